@@ -21,9 +21,34 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_documents(spark, sf_dir))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.exact_dedup import exact_groups
+
+    return exact_groups(_documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing, "op8_fingerprints": op8_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL}
