@@ -15,6 +15,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.secrets import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltsheaf.llm.bpe import encode_and_decode
 
@@ -27,6 +33,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.warc import archive_round_trip
+
+    return archive_round_trip(_pages(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltsheaf.llm.packing import pack
 
@@ -39,6 +51,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
 
+OP5_SQL = """
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN best END AS refers_to
+FROM (SELECT *, strlen(h) >= 1000 AND best <> page_id AS again
+      FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages))
+"""
+
 OP3_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -47,8 +66,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing, "op8_fingerprints": op8_fingerprints}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_fingerprints": op8_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_warc": OP5_SQL}
