@@ -33,6 +33,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltsheaf.llm.warc import archive_round_trip
 
@@ -45,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.html import extract
+
+    return extract(_pages(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltsheaf.llm.fingerprints import edited_fingerprints
 
@@ -66,7 +78,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op5_warc": op5_warc, "op6_packing": op6_packing, "op8_fingerprints": op8_fingerprints}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_fingerprints": op8_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
