@@ -156,22 +156,23 @@ def exact_groups(docs: DataFrame, modulus: int = MODULUS, piece_chars: int = PIE
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group of equal texts; the columns stay as they are.
+def keep_marked(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of docs that verdict (doc_id, text_sha256, kept: a row for each) marks kept.
 
-    Rows leave by an anti-join on the ids to drop.  Ids that occur on several rows are few and
-    are reduced by id and text.
+    Rows leave by an anti-join on the ids to drop.  Where ids occur on several rows, rows are met by
+    id and text and reduced to one each.
     """
-    from voltsheaf.llm.common import written as keep
-
-    verdict = keep(exact_groups(docs), "exact-groups")
-    ids = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any_kept"))
-    several = ids.filter("n > 1 or doc_id is null").checkpoint()
+    verdict = written(verdict.select("doc_id", "text_sha256", "kept"), "verdict")
+    several = verdict.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1)
     if several.isEmpty():
         gone = sized_broadcast(verdict.filter(~F.col("kept")).select("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    names = docs.columns
     hashed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     kept = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
     left = hashed.join(kept, hashed.doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return left.dropDuplicates(["doc_id", "__sha"]).select(*names)
+    return left.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without all but one row of each group of equal texts; the columns stay as they are."""
+    return keep_marked(docs, exact_groups(docs))
