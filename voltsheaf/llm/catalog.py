@@ -63,6 +63,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltsheaf.llm.suffix_dedup import without_repeats
+
+    return without_repeats(_documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltsheaf.llm.near_dedup import near_groups
 
@@ -84,7 +90,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_fingerprints": op8_fingerprints, "op10_near_dedup": op10_near_dedup}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language_id": op4_language_id, "op5_warc": op5_warc, "op6_packing": op6_packing, "op7_html_text": op7_html_text, "op8_fingerprints": op8_fingerprints, "op9_suffix_dedup": op9_suffix_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
