@@ -1,15 +1,656 @@
-"""The registered queries of the library's own operators and their SQL twins."""
+"""The registered queries of the library's own operators and their SQL twins.
+
+The tables at hand stand in for recordings: embeddings for spectra (|value| as power at 1, 2, ...
+Hz, label as parcel), events for samples and markers, customers and orders for subjects and their
+measurements.  Computed doubles are rounded, since sums depend on the order of partitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voltsheaf.functions import spectral as S
+from voltsheaf.operators import cohort, normative, normdata, qc, segments, spectral, stats
+from voltsheaf.plans import charts
+from voltsheaf.plans import kernels as K
+from voltsheaf.sources import text as logs
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    # adding 0.0 makes a negative zero positive
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: i.cast("double")).alias("freqs"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("power"))
+
+
+def seconds(ts: str = "ts"):
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", seconds().alias("t"))
+
+
+BANDS = "bands(band, lo, hi) AS (VALUES ('Theta', 3, 8), ('Alpha', 8, 13), ('Beta', 13, 30), ('Gamma', 30, 40))"
+PSD = "psd AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS p FROM embeddings)"
+AREA = "coalesce(list_sum(list_transform(range({lo}, {hi}), lambda i: (p[i] + p[i + 1]) / 2)), 0)"
+POWERS = f"""WITH {PSD}, {BANDS}, areas AS (SELECT vec_id, label, band, p, {AREA.format(lo="lo", hi="hi")} AS a, {AREA.format(lo="3", hi="40")} AS total FROM psd, bands)"""
+EVENTS = "ev AS (SELECT event_id, user_id, event_type, value, props, floor(epoch(ts))::BIGINT AS t FROM events)"
+
+
+@query(f"{POWERS} SELECT vec_id, band, round(CASE WHEN a > 0 THEN log10(a) END, 6) + 0 AS abs_power FROM areas")
+def band_power_abs(spark, sf_dir):
+    return rounded(spectral.band_powers(psd(spark, sf_dir), keys=("vec_id",)).drop("rel_power"), "abs_power")
+
+
+@query(f"{POWERS} SELECT vec_id, band, round(a / nullif(total, 0), 6) + 0 AS rel_power FROM areas")
+def band_power_rel(spark, sf_dir):
+    return rounded(spectral.band_powers(psd(spark, sf_dir), keys=("vec_id",)).drop("abs_power"), "rel_power")
+
+
+@query(
+    f"""{POWERS} SELECT x.vec_id, x.band || '_over_' || y.band AS feature, round(CASE WHEN x.a / nullif(y.a, 0) > 0 THEN log10(x.a / nullif(y.a, 0)) END, 6) + 0 AS value
+FROM areas x JOIN areas y USING (vec_id) JOIN (VALUES ('Theta', 'Alpha'), ('Theta', 'Beta'), ('Theta', 'Gamma'), ('Alpha', 'Beta'), ('Alpha', 'Gamma'), ('Beta', 'Gamma')) r(n, d) ON x.band = n AND y.band = d"""
+)
+def band_ratio(spark, sf_dir):
+    return rounded(spectral.band_ratios(psd(spark, sf_dir), keys=("vec_id",)), "value")
+
+
+@query(f"{POWERS} SELECT 'lobe_' || label AS parcel, band, round(avg(CASE WHEN a > 0 THEN log10(a) END), 6) + 0 AS abs_power, round(avg(a / nullif(total, 0)), 6) + 0 AS rel_power FROM areas GROUP BY 1, 2")
+def parcel_band_mean(spark, sf_dir):
+    spectra = psd(spark, sf_dir)
+    layout = spectra.select("vec_id", F.concat(F.lit("lobe_"), "label").alias("parcel"))
+    powers = spectral.band_powers(spectra, keys=("vec_id",))
+    return rounded(spectral.parcel_mean(powers, layout, ("band",), "vec_id", ("abs_power", "rel_power")), "abs_power", "rel_power")
+
+
+@query(
+    f"""WITH {PSD}, b(band, lo, hi, dn, up) AS (VALUES ('Theta', 3, 8, -2, 3), ('Alpha', 8, 13, -2, 3), ('Beta', 13, 30, -8, 9), ('Gamma', 30, 40, -5, 5)),
+k AS (SELECT vec_id, band, p, dn, up, lo - 1 + list_position(p[lo:hi], list_max(p[lo:hi])) AS peak FROM psd, b)
+SELECT vec_id, band, peak::DOUBLE AS peak, round(CASE WHEN a > 0 THEN log10(a) END, 6) + 0 AS abs_power
+FROM (SELECT *, {AREA.format(lo="greatest(peak + dn, 1)", hi="least(peak + up, 64)")} AS a FROM k)"""
+)
+def individual_band_power(spark, sf_dir):
+    return rounded(spectral.individual_powers(psd(spark, sf_dir), keys=("vec_id",)).drop("rel_power"), "abs_power")
+
+
+@query(
+    f"""{POWERS}, m AS (SELECT label, band, avg(a) AS v FROM areas GROUP BY 1, 2)
+SELECT l.band AS feature, 'p' || (l.label // 2) || '_lh_vs_rh_x' AS region, round(l.v - r.v, 6) + 0 AS value FROM m l JOIN m r ON l.band = r.band AND r.label = l.label + 1 WHERE l.label % 2 = 0"""
+)
+def hemispheric_asymmetry(spark, sf_dir):
+    areas = psd(spark, sf_dir).select("label", "freqs", "power", spectral.bands_column().alias("b")).select("label", "b.band", S.trapezoid(F.col("freqs"), F.col("power"), F.col("b.lo"), F.col("b.hi")).alias("a"))
+    side = F.when(F.col("label") % 2 == 0, "_lh_x").otherwise("_rh_x")
+    means = areas.groupBy(F.col("band").alias("feature"), F.concat(F.lit("p"), F.expr("label div 2"), side).alias("region")).agg(F.avg("a").alias("value"))
+    return rounded(spectral.hemispheric_asymmetry(means, ("feature",)), "value")
+
+
+@query(
+    f"""WITH {PSD}, x AS (SELECT vec_id, label, unnest(p) AS v, unnest(range(1, 65)) AS f FROM psd), g AS (SELECT label, f, avg(v) AS ap FROM x GROUP BY 1, 2)
+SELECT vec_id, round(sum(greatest(0, v - ap)), 6) + 0 AS periodic_power FROM x JOIN g USING (label, f) GROUP BY 1"""
+)
+def periodic_residual(spark, sf_dir):
+    spectra = psd(spark, sf_dir)
+    long = spectra.select("label", F.posexplode("power").alias("f", "v")).groupBy("label", "f").agg(F.avg("v").alias("m"))
+    models = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda x: F.log10(x["m"])).alias("ap"))
+    rest = spectra.join(models, "label").select("vec_id", S.periodic_part(F.col("power"), F.col("ap")).alias("power"))
+    return rounded(rest.select("vec_id", F.aggregate("power", F.lit(0.0), lambda s, x: s + x).alias("periodic_power")), "periodic_power")
+
+
+@query(f"{POWERS} SELECT vec_id, 'Abs_OriginalPSD_Canonical__' || band AS feature, round(CASE WHEN a > 0 THEN log10(a) END, 6) + 0 AS value FROM areas WHERE band IN ('Theta', 'Alpha')")
+def feature_long_names(spark, sf_dir):
+    rows = spectral.feature_table(psd(spark, sf_dir), keys=("vec_id",)).filter("feature = 'Abs_OriginalPSD_Canonical' and band in ('Theta', 'Alpha')")
+    return rounded(rows.select("vec_id", F.concat_ws("__", "feature", "band").alias("feature"), "value"), "value")
+
+
+# cohort
+
+
+@query("SELECT c_custkey::VARCHAR AS participant_id, c_mktsegment AS diagnosis, c_nationkey AS site, n_orders, total FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) + 0 AS total FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
+def cohort_inner_join(spark, sf_dir):
+    features = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("participant_id")).agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("participant_id"), F.col("c_mktsegment").alias("diagnosis"), F.col("c_nationkey").alias("site"), F.lit("open").alias("eyes"))
+    return rounded(cohort.with_demographics(features, [("cohort", people)]), "total", digits=2)
+
+
+@query("SELECT c_custkey AS subject, coalesce(string_agg(o_orderkey::VARCHAR, '*' ORDER BY o_orderkey::VARCHAR), '') AS recordings FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def manifest_left_join(spark, sf_dir):
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").cast("string").alias("path"))
+    return cohort.manifest(subjects, files).select("subject", F.array_join("recordings", "*").alias("recordings"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def subjects_missing_recording(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return cohort.without(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), seen, "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def qc_semi(spark, sf_dir):
+    passed = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return cohort.only(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), passed, "o_custkey")
+
+
+@query(
+    """SELECT p_partkey, p_size, arg_min(n, (abs(p_size - a) * 100 + i)) AS template FROM part, (VALUES ('A12', 12, 0), ('A18', 18, 1), ('A24', 24, 2), ('A36', 36, 3), ('A48', 48, 4)) t(n, a, i) GROUP BY 1, 2"""
+)
+def nearest_template(spark, sf_dir):
+    return cohort.nearest(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", [("A12", 12), ("A18", 18), ("A24", 24), ("A36", 36), ("A48", 48)])
+
+
+@query("SELECT r_name, c_mktsegment, a::INTEGER AS age FROM (SELECT DISTINCT r_name FROM region), (SELECT DISTINCT c_mktsegment FROM customer), generate_series(5, 80, 5) g(a)")
+def grid_cross(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select("r_name").distinct()
+    segments_ = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    return regions.crossJoin(segments_).withColumn("age", F.explode(F.sequence(F.lit(5), F.lit(80), F.lit(5))))  # two short lists of levels
+
+
+@query(
+    """WITH s AS (SELECT n_name AS k, n_nationkey * 1.0::DOUBLE AS v FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT r_name, 100.0 + r_regionkey FROM region)
+SELECT n_name AS full_name, r_name AS bare, coalesce(a.v, b.v) AS value FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN s a ON a.k = n_name LEFT JOIN s b ON b.k = r_name"""
+)
+def stat_lookup_fallback(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("region"), F.col("n_nationkey").cast("double").alias("value"))
+    known = known.unionByName(r.select(F.col("r_name").alias("region"), (F.lit(100.0) + F.col("r_regionkey")).alias("value")))
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("full_name"), F.col("r_name").alias("bare"))
+    return cohort.lookup_with_fallback(names, known, "full_name", "bare")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1"""
+)
+def dedupe_keep_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return cohort.keep_first(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+
+
+@query(
+    "SELECT c_custkey::VARCHAR AS participant_id, c_acctbal::DOUBLE AS age, CASE c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'MACHINERY' THEN 'M' END AS sex, coalesce(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'patient' END, 'nan') AS diagnosis, 'one' AS site FROM customer"
+)
+def value_mapping(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return cohort.demographics_table(raw, 0, 1, {"col_name": "sex", "col_id": 2, "mapping": {"BUILDING": "F", "MACHINERY": "M"}}, {"col_name": "diagnosis", "col_id": 2, "mapping": {"AUTOMOBILE": "patient"}}, {"col_name": "site", "single_value": "one"})
+
+
+GAPS = "gaps AS (SELECT event_id, user_id, event_type AS feature, CASE WHEN event_id % 7 = 0 OR (event_type = 'click' AND event_id % 3 = 0) THEN NULL ELSE value END AS value FROM events)"
+
+
+def gaps(spark, sf_dir) -> DataFrame:
+    hole = (F.col("event_id") % 7 == 0) | ((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("feature"), F.when(~hole, F.col("value")).alias("value"))
+
+
+@query(f"WITH {GAPS} SELECT * FROM gaps WHERE feature IN (SELECT feature FROM gaps GROUP BY 1 HAVING avg((value IS NULL)::INTEGER) < 0.2)")
+def column_missing_filter(spark, sf_dir):
+    return cohort.drop_sparse_features(gaps(spark, sf_dir))
+
+
+@query(f"WITH {GAPS}, m AS (SELECT feature, median(value) AS med FROM gaps GROUP BY 1 HAVING count(*) - count(value) <= 0.25 * count(*)) SELECT event_id, user_id, feature, round(coalesce(value, med), 6) + 0 AS value FROM gaps JOIN m USING (feature)")
+def median_fill(spark, sf_dir):
+    rows = gaps(spark, sf_dir)
+    most = rows.groupBy("feature").agg((F.count("*") * 0.25).alias("most"))
+    sparse = rows.groupBy("feature").agg(F.sum(F.col("value").isNull().cast("long")).alias("gone")).join(most, "feature").filter("gone <= most").select("feature")
+    kept = rows.join(sparse, "feature", "left_semi")
+    return rounded(cohort.fill_with_median(kept, 2**62).select("event_id", "user_id", "feature", "value"), "value")
+
+
+@query(f"WITH {GAPS}, m AS (SELECT feature, median(value) AS med FROM gaps GROUP BY 1 HAVING count(*) - count(value) <= 400) SELECT event_id, user_id, feature, round(coalesce(value, med), 6) + 0 AS value FROM gaps JOIN m USING (feature)")
+def count_threshold_clean(spark, sf_dir):
+    return rounded(cohort.fill_with_median(gaps(spark, sf_dir), 400).select("event_id", "user_id", "feature", "value"), "value")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS name FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT c_custkey, NULL, c_name FROM customer WHERE c_acctbal > 9000")
+def union_by_name(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    b = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return cohort.union_all([a, b])
+
+
+@query("SELECT c_custkey AS subject FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def except_subjects(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject")).subtract(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("subject")))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_totalprice DESC) AS n FROM orders) WHERE n = 1")
+def upsert_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return cohort.upsert(rows.filter("o_orderkey < 0"), rows, ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, name AS feature, value FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))")
+def melt_long(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    return cohort.melt(rows, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_discount", "l_tax"])
+
+
+@query(
+    """SELECT o_custkey, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) + 0 AS F, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) + 0 AS O, round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) + 0 AS P FROM orders GROUP BY 1"""
+)
+def pivot_wide(spark, sf_dir):
+    long = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("feature")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return cohort.widen(long, ["o_custkey"], ["F", "O", "P"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_discount > 0.02 THEN log10(l_discount - 0.02) END, 6) + 0 AS value FROM lineitem")
+def finite_cleanup(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    raw = F.when(F.col("l_discount") > 0.02, F.log10(F.col("l_discount") - 0.02)).otherwise(F.lit(float("-inf")))
+    return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", S.finite(raw).alias("value")), "value")
+
+
+# imputation and splits
+
+IMPUTE = "g AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS grp, event_id % 50 AS age, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)"
+
+
+def holes(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("grp"), (F.col("event_id") % 50).alias("age"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+
+
+@query(
+    f"""WITH {IMPUTE} SELECT event_id, round(coalesce(v, CASE WHEN grp IS NOT NULL THEN coalesce(avg(v) OVER (PARTITION BY grp ORDER BY age RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), avg(v) OVER (PARTITION BY grp)) END, avg(v) OVER ()), 6) + 0 AS imputed FROM g"""
+)
+def impute_window_mean(spark, sf_dir):
+    return rounded(normdata.impute_mean(holes(spark, sf_dir), "v", ["grp"], "age").select("event_id", "imputed"), "imputed")
+
+
+@query(
+    f"""WITH {IMPUTE}, m AS (SELECT a.event_id, median(b.v) AS near FROM g a JOIN g b ON a.grp = b.grp AND b.age BETWEEN a.age - 5 AND a.age + 5 WHERE a.v IS NULL GROUP BY 1)
+SELECT event_id, round(coalesce(v, near, (SELECT median(v) FROM g k WHERE k.grp = g.grp), (SELECT median(v) FROM g)), 6) + 0 AS imputed FROM g LEFT JOIN m USING (event_id)"""
+)
+def impute_window_median(spark, sf_dir):
+    return rounded(normdata.impute_median(holes(spark, sf_dir), "v", "event_id", ["grp"], "age").select("event_id", "imputed"), "imputed")
+
+
+@query(
+    """SELECT c_custkey, c_mktsegment, CASE WHEN n <= floor(m * 0.5) THEN 'train' WHEN n <= floor(m * 0.5) + floor(m * 0.2) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 2654435761 + 42 * 40503) % 1000003, c_custkey) AS n, count(*) OVER (PARTITION BY c_mktsegment) AS m FROM customer)"""
+)
+def stratified_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return normdata.stratified_split(rows, ["c_mktsegment"], "c_custkey", 0.5, 0.2)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) <= 1.5 * (SELECT stddev_samp(o_totalprice) FROM orders)")
+def outlier_removal(spark, sf_dir):
+    return normdata.without_outliers(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], 1.5)
+
+
+# quality control
+
+MAD = "m AS (SELECT median(c_acctbal) AS med, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer), d AS (SELECT median(abs(c_acctbal - med)) AS mad FROM customer, m)"
+
+
+@query(
+    f"WITH {MAD} SELECT c_custkey, round((c_acctbal - med) / CASE WHEN mad > 0 THEN 1.4826::DOUBLE * mad WHEN iqr > 0 THEN iqr / 1.349::DOUBLE ELSE 1 END, 6) + 0 AS robust_z, (c_acctbal - med) / CASE WHEN mad > 0 THEN 1.4826::DOUBLE * mad WHEN iqr > 0 THEN iqr / 1.349::DOUBLE ELSE 1 END < -1.1 AS failed FROM customer, m, d"
+)
+def mad_robust_z(spark, sf_dir):
+    return rounded(qc.robust_z(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 1.1).drop("c_acctbal"), "robust_z")
+
+
+@query("WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 5 < 3 THEN 0 ELSE c_acctbal END AS x FROM customer), m AS (SELECT median(x) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM v), d AS (SELECT median(abs(x - med)) AS mad FROM v, m) SELECT c_custkey, round((x - med) / CASE WHEN mad > 0 THEN 1.4826::DOUBLE * mad WHEN iqr > 0 THEN iqr / 1.349::DOUBLE ELSE 1 END, 6) + 0 AS robust_z, (x - med) / CASE WHEN mad > 0 THEN 1.4826::DOUBLE * mad WHEN iqr > 0 THEN iqr / 1.349::DOUBLE ELSE 1 END < -3 AS failed FROM v, m, d")
+def mad_iqr_fallback(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 < 3, 0.0).otherwise(F.col("c_acctbal")).alias("x"))
+    return rounded(qc.robust_z(rows, "x").drop("x"), "robust_z")
+
+
+@query("SELECT c_custkey, c_acctbal, abs(c_acctbal - (SELECT median(c_acctbal) FROM customer)) > 4000 AS failed FROM customer")
+def abs_dev_qc(spark, sf_dir):
+    return qc.absolute_deviation(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 4000.0)
+
+
+@query("SELECT (floor((p_size - 5) / 5.0) * 5 + 5)::INTEGER AS bin_lo, round(avg(p_retailprice), 4) + 0 AS mean, round(stddev_pop(p_retailprice), 4) + 0 AS std, count(*) AS n FROM part WHERE p_size >= 5 AND p_size < 50 GROUP BY 1")
+def age_bin_mean_std(spark, sf_dir):
+    return rounded(qc.binned_mean_std(table(spark, sf_dir, "part"), "p_retailprice", "p_size", 5, 45, 5), "mean", "std", digits=4)
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority AS g, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1), z AS (SELECT o_orderpriority AS grp, o_custkey % 5 AS run, (o_totalprice - m) / s AS z FROM orders JOIN s ON g = o_orderpriority),
+r AS (SELECT grp, run, avg((z > 1.5)::INTEGER) * 100 AS hi, avg((z < -1.5)::INTEGER) * 100 AS lo FROM z GROUP BY 1, 2)
+SELECT grp, round(avg(hi), 6) + 0 AS mean_high, round(1.96 * stddev_samp(hi) / sqrt(count(*)), 6) + 0 AS ci_high, round(avg(lo), 6) + 0 AS mean_low, round(1.96 * stddev_samp(lo) / sqrt(count(*)), 6) + 0 AS ci_low FROM r GROUP BY 1"""
+)
+def extreme_rate_ci(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_custkey") % 5).alias("run"), "o_totalprice")
+    s = o.groupBy("grp").agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
+    z = o.join(s, "grp").withColumn("z", (F.col("o_totalprice") - F.col("m")) / F.col("s"))
+    return rounded(qc.extreme_rates(z, "grp", "run", limit=1.5), "mean_high", "ci_high", "mean_low", "ci_low")
+
+
+@query(
+    """WITH q AS (SELECT quantile_cont(c_acctbal, 0.05) AS a, quantile_cont(c_acctbal, 0.25) AS b, quantile_cont(c_acctbal, 0.75) AS c, quantile_cont(c_acctbal, 0.95) AS d FROM customer)
+SELECT c_custkey, CASE WHEN v < round(a, 3) THEN 'extremely low' WHEN v < round(b, 3) THEN 'below normal' WHEN v <= round(c, 3) THEN 'normal' WHEN v <= round(d, 3) THEN 'above normal' ELSE 'extremely high' END AS class FROM (SELECT *, round(c_acctbal, 3) AS v FROM customer), q"""
+)
+def gauge_class(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    q = c.agg(F.percentile("c_acctbal", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)])).alias("q"))
+    return c.crossJoin(F.broadcast(q)).select("c_custkey", S.gauge(F.col("c_acctbal"), *[F.col("q")[i] for i in range(4)]).alias("class"))  # one row
+
+
+@query(
+    f"""WITH {EVENTS}, u AS (SELECT user_id, count(*) FILTER (event_type = 'login') AS logs, count(*) FILTER (event_type = 'purchase') AS won, ((SELECT max(t) FROM ev) - max(t)) / 60.0 AS mins, bool_or(event_type = 'error') AS locked FROM ev GROUP BY 1)
+SELECT user_id, CASE WHEN logs = 0 THEN 'missing' WHEN won > 12 THEN 'success' WHEN mins <= 30 THEN 'running' WHEN locked AND mins > 1440 THEN 'stalled' ELSE 'failed' END AS status FROM u"""
+)
+def status_class(spark, sf_dir):
+    e = events(spark, sf_dir)
+    end = e.agg(F.max("t").alias("end"))
+    u = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "login").alias("logs"), F.count_if(F.col("event_type") == "purchase").alias("won"), F.max("t").alias("last"), F.bool_or(F.col("event_type") == "error").alias("locked"))
+    minutes = (F.col("end") - F.col("last")) / 60.0
+    return u.crossJoin(F.broadcast(end)).select("user_id", qc.subject_status(F.col("logs") > 0, F.col("won") > 12, minutes, F.col("locked"), F.when(F.col("locked"), minutes)).alias("status"))  # one row
+
+
+@query("SELECT event_type AS state, count(*) AS n FROM events GROUP BY 1")
+def state_count(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("job"), "event_id", F.lit("|"), "event_type", F.lit(" by 1")).alias("line"))
+    return qc.state_counts(qc.job_states(lines))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1")
+def modal_level(spark, sf_dir):
+    return qc.modal_level(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+CURVE = "curve AS (SELECT o_orderpriority AS p, (year(o_orderdate) * 12 + month(o_orderdate))::INTEGER AS x, round(avg(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2)"
+
+
+def curve(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("p"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("x")).agg(F.round(F.avg("o_totalprice"), 2).alias("y"))
+
+
+@query(f"WITH {CURVE} SELECT p, (SELECT x FROM curve k WHERE k.p = c.p ORDER BY y DESC, x LIMIT 1) AS x_peak, max(y) AS y_peak, (SELECT x FROM curve k WHERE k.p = c.p ORDER BY y, x LIMIT 1) AS x_trough, min(y) AS y_trough FROM curve c GROUP BY p")
+def curve_scale_peak(spark, sf_dir):
+    return qc.scaled_curve(curve(spark, sf_dir), ["p"], "x", "y")
+
+
+@query(f"WITH {CURVE} SELECT p, x, y FROM (SELECT *, sign(y - lag(y) OVER w) AS b, sign(lead(y) OVER w - y) AS a FROM curve WINDOW w AS (PARTITION BY p ORDER BY x)) WHERE b <> a")
+def sign_changes(spark, sf_dir):
+    return qc.slope_changes(curve(spark, sf_dir), ["p"], "x", "y")
+
+
+@query(f"WITH {CURVE}, r AS (SELECT p, row_number() OVER w - 1 AS i, greatest(abs(y), abs(lead(y) OVER w)) / nullif(least(abs(y), abs(lead(y) OVER w)), 0) AS r, lead(y) OVER w AS nxt FROM curve WINDOW w AS (PARTITION BY p ORDER BY x)) SELECT p, (SELECT i FROM r k WHERE k.p = r.p AND nxt IS NOT NULL ORDER BY r DESC NULLS LAST, i LIMIT 1)::BIGINT AS idx, round(max(r) FILTER (nxt IS NOT NULL), 6) + 0 AS ratio FROM r GROUP BY p")
+def consecutive_ratio(spark, sf_dir):
+    return rounded(qc.largest_ratio(curve(spark, sf_dir), ["p"], "x", "y"), "ratio")
+
+
+@query("SELECT user_id, event_type, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(r) DESC, event_type DESC) AS n FROM (SELECT user_id, event_type, round(corr(value, event_id), 6) + 0 AS r FROM events GROUP BY 1, 2 HAVING count(*) > 2)) WHERE n = 1 AND abs(r) >= 0.3")
+def best_component(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    enough = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 2").select("user_id", "event_type")
+    rows = e.join(enough, ["user_id", "event_type"], "left_semi").withColumn("ref", F.col("event_id").cast("double"))
+    return rounded(qc.best_component(rows, ["user_id"], "event_type", "value", "ref", 0.3), "r")
+
+
+@query("SELECT l_returnflag, a, b, round(cov, 4) + 0 AS cov FROM (SELECT l_returnflag, 'q' AS a, 'q' AS b, covar_samp(l_quantity, l_quantity) AS cov FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'q', 'd', covar_samp(l_quantity, l_discount) FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'd', 'd', covar_samp(l_discount, l_discount) FROM lineitem GROUP BY 1)")
+def covariance_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    return rounded(qc.covariances(rows, ["q", "d"], ["l_returnflag"]), "cov", digits=4)
+
+
+# segments
+
+EPOCHS = f"{EVENTS}, a AS (SELECT user_id, t // 86400 AS epoch, event_type, max(value) - min(value) AS ptp FROM ev GROUP BY 1, 2, 3), v AS (SELECT user_id, epoch, max(ptp) AS max_ptp, min(ptp) AS min_ptp, count(*) AS n_channels FROM a GROUP BY 1, 2), w AS (SELECT *, CASE WHEN max_ptp > 60 THEN 'noisy' WHEN min_ptp < 0.001 THEN 'flat' ELSE 'good' END AS verdict FROM v)"
+
+
+def verdicts(spark, sf_dir) -> DataFrame:
+    rows = segments.epochs(events(spark, sf_dir), "t", 86400)
+    return segments.rejected_epochs(segments.amplitudes(rows, ["user_id", "epoch"], "event_type", "value"), ["user_id", "epoch"], 60.0, 0.001)
+
+
+@query(f"WITH {EPOCHS} SELECT * FROM w")
+def epoch_reject(spark, sf_dir):
+    return verdicts(spark, sf_dir)
+
+
+@query(f"WITH {EPOCHS} SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'good') AS good, count(*) FILTER (verdict = 'noisy') AS noisy, count(*) FILTER (verdict = 'flat') AS flat, round(count(*) FILTER (verdict = 'good') / count(*) * 100, 6) + 0 AS retained, (count(*) FILTER (verdict = 'good') * 86400)::DOUBLE AS seconds FROM w GROUP BY 1")
+def rejection_summary(spark, sf_dir):
+    return rounded(segments.rejection_summary(verdicts(spark, sf_dir), ["user_id"], 86400.0), "retained")
+
+
+@query(
+    f"""WITH {EVENTS}, x AS (SELECT user_id, event_type, value, t, unnest([t // 43200 * 43200, t // 43200 * 43200 - 43200]) AS start FROM ev), p AS (SELECT user_id, start, event_type, max(value) - min(value) AS ptp FROM x WHERE t < start + 86400 GROUP BY 1, 2, 3),
+s AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY 1), f AS (SELECT user_id, start, CASE WHEN max(ptp) > 60 THEN 'BAD_peak' WHEN min(ptp) < 0.001 THEN 'BAD_flat' END AS flag FROM p GROUP BY 1, 2)
+SELECT f.* FROM f JOIN s USING (user_id) WHERE flag IS NOT NULL AND start >= t0 AND start + 86400 <= t1"""
+)
+def sliding_noise(spark, sf_dir):
+    return segments.noise_flags(events(spark, sf_dir), ["user_id"], "t", "event_type", "value", 86400, 43200, 60.0, 0.001)
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT t // 86400 AS epoch, event_type, stddev_pop(value) AS sd FROM ev GROUP BY 1, 2), m AS (SELECT event_type, avg(sd) AS m, stddev_pop(sd) AS s FROM s GROUP BY 1)
+SELECT epoch, round(max((sd - m) / s), 6) + 0 AS max_z FROM s JOIN m USING (event_type) GROUP BY 1 HAVING max((sd - m) / s) > 1.5"""
+)
+def noisy_epoch_z(spark, sf_dir):
+    rows = segments.epochs(events(spark, sf_dir), "t", 86400)
+    return rounded(segments.noisy_epochs(rows, ["epoch"], "event_type", "value", 1.5), "max_z")
+
+
+@query(f"WITH {EVENTS}, k AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_type), max(t) OVER (PARTITION BY user_id)) AS stop FROM ev) SELECT user_id, t AS start, stop, stop - t AS duration FROM k WHERE event_type = 'view'")
+def block_extract(spark, sf_dir):
+    return segments.blocks(events(spark, sf_dir).select("user_id", "t", "event_type"), ["user_id"], "t", "event_type", "view")
+
+
+@query(
+    f"""WITH {EVENTS}, k AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_type), max(t) OVER (PARTITION BY user_id)) AS stop FROM ev), b AS (SELECT user_id, t AS start, stop - t AS duration FROM k WHERE event_type = 'view' AND stop - t >= 36000),
+o AS (SELECT *, (coalesce(sum(duration) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off, row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS block FROM b)
+SELECT user_id, block::INTEGER AS block, i::INTEGER AS k, off + i * 28800 AS onset, start + i * 28800 AS source_time FROM (SELECT *, unnest(range(0, (duration - 36000) // 28800 + 1)) AS i FROM o)"""
+)
+def block_onsets(spark, sf_dir):
+    found = segments.blocks(events(spark, sf_dir).select("user_id", "t", "event_type"), ["user_id"], "t", "event_type", "view")
+    return segments.block_onsets(found, ["user_id"], 36000, 7200)
+
+
+@query(
+    f"""WITH {EVENTS}, a AS (SELECT user_id, event_type, t, event_id % 100 AS d FROM ev) SELECT user_id, event_type, start, length, (coalesce(sum(length) OVER (PARTITION BY user_id, event_type ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS position FROM (SELECT user_id, event_type, t + 10 AS start, d - 25 AS length FROM a WHERE d > 25)"""
+)
+def trim_concat(spark, sf_dir):
+    a = events(spark, sf_dir).select("user_id", "event_type", F.col("t").alias("onset"), (F.col("event_id") % 100).alias("duration"))
+    return segments.trimmed(a, ["user_id"], "onset", "duration", "event_type", 10, 15)
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT DISTINCT user_id, t // 3600 * 3600 AS start, t // 3600 * 3600 + 3600 AS stop FROM ev) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_id = s.user_id AND event_type = 'error' AND t < stop AND t + 1800 > start)"""
+)
+def annotation_overlap_anti(spark, sf_dir):
+    e = events(spark, sf_dir)
+    k = F.expr("t div 3600") * 3600
+    hours = e.select("user_id", k.alias("start"), (k + 3600).alias("stop")).distinct()
+    marks = e.filter("event_type = 'error'").select("user_id", F.col("t").alias("onset"), F.lit(1800).alias("duration"))
+    return segments.without_overlap(hours, marks, ["user_id"], 3600)
+
+
+# normative models
+
+
+@query(
+    """WITH q AS (SELECT o_orderpriority AS g, unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS quantile, unnest([quantile_cont(o_totalprice, 0.05), quantile_cont(o_totalprice, 0.25), quantile_cont(o_totalprice, 0.5), quantile_cont(o_totalprice, 0.75), quantile_cont(o_totalprice, 0.95)]) AS pred FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+e AS (SELECT o_orderstatus, quantile, avg((pred >= o_totalprice)::INTEGER) AS emp FROM orders JOIN q ON g = o_orderpriority WHERE o_orderkey % 2 = 1 GROUP BY 1, 2) SELECT o_orderstatus, round(avg(abs(quantile - emp)), 6) + 0 AS mace FROM e GROUP BY 1"""
+)
+def calibration_mace(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    q = normative.empirical_centiles(o.filter("o_orderkey % 2 = 0"), ["o_orderpriority"], "o_totalprice")
+    rows = o.filter("o_orderkey % 2 = 1").join(F.broadcast(q), "o_orderpriority")  # five rows a level
+    return rounded(normative.calibration_error(rows, ["o_orderstatus"], "o_totalprice", "value"), "mace")
+
+
+OLS = "m AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, sqrt(greatest(regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity), 0) / (count(*) - 2)) AS sigma, count(*) AS n FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {OLS} SELECT l_returnflag, round(slope, 4) + 0 AS slope, round(intercept, 4) + 0 AS intercept, round(sigma, 3) + 0 AS sigma, n FROM m")
+def ols_norm_model(spark, sf_dir):
+    m = normative.linear_norms(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return rounded(rounded(m, "slope", "intercept", digits=4), "sigma", digits=3)
+
+
+@query(f"WITH {OLS} SELECT l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - intercept - slope * l_quantity) / sigma, 5) + 0 AS z FROM lineitem JOIN m USING (l_returnflag)")
+def norm_z_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    m = normative.linear_norms(li, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    rows = li.join(F.broadcast(m), "l_returnflag").withColumn("mu", F.col("intercept") + F.col("slope") * F.col("l_quantity"))  # a row a level
+    return rounded(normative.z_scores(rows, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "z"), "z", digits=5)
+
+
+@query(
+    f"WITH {OLS} SELECT l_returnflag, x::INTEGER AS l_quantity, q AS quantile, round(intercept + slope * x + sigma * zq, 3) + 0 AS value FROM m, generate_series(1, 50) g(x), (VALUES (0.05::DOUBLE, -1.6448536269514726::DOUBLE), (0.25::DOUBLE, -0.6744897501960818::DOUBLE), (0.5::DOUBLE, 0::DOUBLE), (0.75::DOUBLE, 0.6744897501960818::DOUBLE), (0.95::DOUBLE, 1.6448536269514715::DOUBLE)) z(q, zq)"
+)
+def centile_grid(spark, sf_dir):
+    m = normative.linear_norms(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    grid = m.withColumn("l_quantity", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("mu", F.col("intercept") + F.col("slope") * F.col("l_quantity"))
+    return rounded(normative.centiles(grid).select("l_returnflag", "l_quantity", "quantile", "value"), "value", digits=3)
+
+
+@query("WITH c AS (SELECT p_brand, p_size AS age, avg(p_retailprice) AS v FROM part GROUP BY 1, 2), b AS (SELECT p_brand, arg_min(age, abs(age - 24.3) * 1000 + age / 1000.0) AS age FROM c GROUP BY 1) SELECT p_brand, age, round(v, 4) + 0 AS value FROM c JOIN b USING (p_brand, age)")
+def individual_centile(spark, sf_dir):
+    c = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("age")).agg(F.avg("p_retailprice").alias("value"))
+    return rounded(normative.individual_centiles(c, ["p_brand"], 24.3), "value", digits=4)
+
+
+# statistics
+
+RANKS = "x AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS rk FROM x)"
+
+
+@query(f"WITH {RANKS}, s AS (SELECT count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality <> 1) AS n2, sum(rk) FILTER (quality = 1) AS r1 FROM r) SELECT n1, n2, r1, round((r1 - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) + 0 AS z FROM s")
+def rank_sum(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rounded(stats.rank_sum(rows, "n_chars", "quality", 1), "z")
+
+
+@query(
+    """WITH p AS (SELECT user_id, round(avg(value) / 100, 6) AS p FROM events GROUP BY 1), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, user_id) AS raw, row_number() OVER (ORDER BY p, user_id) AS k FROM p)
+SELECT user_id, p, round(least(min(raw) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) + 0 AS p_adjusted FROM r"""
+)
+def bh_fdr(spark, sf_dir):
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value") / 100, 6).alias("p"))
+    return rounded(stats.false_discovery(p, "p", "user_id"), "p_adjusted")
+
+
+@query(
+    "WITH v AS (SELECT p_brand, p_size / 50.0 AS v FROM part), n AS (SELECT p_brand, count(*) AS n FROM v GROUP BY 1) SELECT p_brand, g.i::INTEGER AS i, round(0.0 + g.i * (1.0::DOUBLE / 200), 6) + 0 AS x, round(sum(greatest(0, 0.75 * (1 - ((i * (1.0::DOUBLE / 200) - v) / 0.05) ** 2))) / (any_value(n) * 0.05), 4) + 0 AS density FROM v JOIN n USING (p_brand), generate_series(0, 200) g(i) WHERE abs(i * (1.0::DOUBLE / 200) - v) < 0.05 - 1e-9 GROUP BY p_brand, g.i"
+)
+def kde_grid(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 50.0).alias("v"))
+    d = stats.density(rows, "v", ["p_brand"], 0.0, 1.0, 201, 0.05).filter("density > 1e-9")
+    return rounded(rounded(d, "x"), "density", digits=4)
+
+
+@query("SELECT c_nationkey, least(floor((c_acctbal / 100 - 5) / 5) * 5 + 5, 80)::INTEGER AS bin_lo, count(*) AS n FROM customer WHERE c_acctbal / 100 BETWEEN 5 AND 85 GROUP BY 1, 2")
+def hist_site(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_acctbal") / 100).alias("age"))
+    return stats.histogram(rows, "age", ["c_nationkey"], 5, 85, 5)
+
+
+@query("SELECT p_brand, p_retailprice, round(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) / (count(*) OVER (PARTITION BY p_brand) + 1), 6) + 0 AS position FROM part")
+def qq_points(spark, sf_dir):
+    return rounded(stats.quantile_points(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand"]), "position")
+
+
+@query(
+    """WITH h AS (SELECT event_type, user_id % 4 AS chain, value, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) * 2 <= count(*) OVER (PARTITION BY event_type, user_id % 4) THEN 0 ELSE 1 END AS half FROM events),
+p AS (SELECT event_type, chain, half, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM h GROUP BY 1, 2, 3), o AS (SELECT event_type, avg(v) AS w, var_samp(m) AS b, avg(n) AS n, count(*) AS n_chains FROM p GROUP BY 1) SELECT event_type, n_chains, round(sqrt(((n - 1) / n * w + b) / w), 6) + 0 AS r_hat FROM o"""
+)
+def split_r_hat(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("chain", F.col("user_id") % 4)
+    return rounded(stats.split_r_hat(rows, ["event_type"], "chain", "event_id", "value"), "r_hat")
+
+
+@query("SELECT o_orderpriority, min(o_totalprice) AS low, round(quantile_cont(o_totalprice, 0.25), 4) + 0 AS q1, round(quantile_cont(o_totalprice, 0.5), 4) + 0 AS median, round(quantile_cont(o_totalprice, 0.75), 4) + 0 AS q3, max(o_totalprice) AS high, count(*) AS n FROM orders GROUP BY 1")
+def box_stats(spark, sf_dir):
+    return rounded(stats.melted_boxes(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice"), "q1", "median", "q3", digits=4)
+
+
+# text sources
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2")
+def last_lines(spark, sf_dir):
+    return logs.tail(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", 2)
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, nullif(regexp_extract(url, '/([a-z]{2})/\\d+', 1), '') AS lang, try_cast(nullif(regexp_extract(url, '/[a-z]{2}/(\\d+)', 1), '') AS BIGINT) AS number FROM pages")
+def regex_index(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    part = lambda pattern: F.nullif(F.regexp_extract("url", pattern, 1), F.lit(""))
+    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), part(r"/([a-z]{2})/\d+").alias("lang"), part(r"/[a-z]{2}/(\d+)").cast("long").alias("number"))
+
+
+@query("SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def json_keys(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+# charts
+
+
+@query("SELECT o_orderpriority AS band, (floor((p - 5) / 5.0) * 5 + 5)::INTEGER AS age_lo, round(avg(v) * 100, 4) + 0 AS mean_percent, round(1.96 * stddev_pop(v) * 100, 4) + 0 AS band_percent FROM (SELECT o_orderpriority, month(o_orderdate) * 5 AS p, o_totalprice / 1000000 AS v FROM orders) GROUP BY 1, 2")
+def population_chart(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("band"), (F.month("o_orderdate") * 5).alias("age"), (F.col("o_totalprice") / 1000000).alias("value"))
+    return rounded(charts.population_chart(o, 5, 60, 5), "mean_percent", "band_percent", digits=4)
+
+
+@query("SELECT o_orderpriority, y, round(avg(o_totalprice), 3) + 0 AS value, CASE WHEN y <= 1997 THEN y::DOUBLE ELSE 1997 + (y - 1997) / 3.0::DOUBLE END AS x FROM (SELECT *, year(o_orderdate)::INTEGER AS y FROM orders) GROUP BY 1, 2")
+def growth_chart(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("value"))
+    return rounded(charts.growth_curves(o, ["o_orderpriority"], "y", "value", 1997), "value", digits=3)
+
+
+# kernels
+
+
+@query()
+def shapiro_bins(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("response"), F.col("p_size").cast("double").alias("covariate"), F.col("p_retailprice").alias("z"))
+    return K.shapiro_by_bins(rows, "response", "covariate", "z", 10)
+
+
+@query()
+def welch_psd(spark, sf_dir):
+    return K.welch(K.event_series(spark, sf_dir), sfreq=24.0, segment=2.0, overlap=1.0)
+
+
+@query()
+def onef_fit(spark, sf_dir):
+    return K.parameterize(psd(spark, sf_dir).select(F.col("label").cast("string").alias("subject"), F.col("vec_id").cast("string").alias("channel"), "freqs", "power"))
+
+
+@query()
+def irasa(spark, sf_dir):
+    return K.irasa(K.event_series(spark, sf_dir), sfreq=24.0, band=(1.0, 6.0))
+
+
+@query()
+def fastica(spark, sf_dir):
+    return K.independent_components(K.event_series(spark, sf_dir), n=2)
