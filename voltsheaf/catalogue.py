@@ -401,7 +401,7 @@ def sign_changes(spark, sf_dir):
     return qc.slope_changes(curve(spark, sf_dir), ["p"], "x", "y")
 
 
-@query(f"WITH {CURVE}, r AS (SELECT p, row_number() OVER w - 1 AS i, greatest(abs(y), abs(lead(y) OVER w)) / nullif(least(abs(y), abs(lead(y) OVER w)), 0) AS r, lead(y) OVER w AS nxt FROM curve WINDOW w AS (PARTITION BY p ORDER BY x)) SELECT p, (SELECT i FROM r k WHERE k.p = r.p AND nxt IS NOT NULL ORDER BY r DESC NULLS LAST, i LIMIT 1)::BIGINT AS idx, round(max(r) FILTER (nxt IS NOT NULL), 6) + 0 AS ratio FROM r GROUP BY p")
+@query(f"WITH {CURVE}, r AS (SELECT p, row_number() OVER w - 1 AS i, abs(y / nullif(lead(y) OVER w, 0)) AS r FROM curve WINDOW w AS (PARTITION BY p ORDER BY x)) SELECT p, (SELECT i FROM r k WHERE k.p = r.p AND k.r IS NOT NULL ORDER BY k.r DESC, i LIMIT 1)::BIGINT AS idx, round(max(r), 6) + 0 AS ratio FROM r GROUP BY p")
 def consecutive_ratio(spark, sf_dir):
     return rounded(qc.largest_ratio(curve(spark, sf_dir), ["p"], "x", "y"), "ratio")
 
@@ -559,12 +559,12 @@ def bh_fdr(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT p_brand, p_size / 50.0 AS v FROM part), n AS (SELECT p_brand, count(*) AS n FROM v GROUP BY 1) SELECT p_brand, g.i::INTEGER AS i, round(0.0 + g.i * (1.0::DOUBLE / 200), 6) + 0 AS x, round(sum(greatest(0, 0.75 * (1 - ((i * (1.0::DOUBLE / 200) - v) / 0.05) ** 2))) / (any_value(n) * 0.05), 4) + 0 AS density FROM v JOIN n USING (p_brand), generate_series(0, 200) g(i) WHERE abs(i * (1.0::DOUBLE / 200) - v) < 0.05 - 1e-9 GROUP BY p_brand, g.i"
+    "WITH v AS (SELECT p_brand, p_size / 50.0 AS v FROM part), n AS (SELECT p_brand, count(*) AS n FROM v GROUP BY 1) SELECT p_brand, g.i::INTEGER AS i, round(0.0 + g.i * (1.0::DOUBLE / 200), 6) + 0 AS x, round(sum(greatest(0, 0.75 * (1 - ((i * (1.0::DOUBLE / 200) - v) / 0.05) ** 2))) / (any_value(n) * 0.05), 6) + 0 AS density FROM v JOIN n USING (p_brand), generate_series(0, 200) g(i) WHERE abs(i * (1.0::DOUBLE / 200) - v) < 0.05 - 1e-9 GROUP BY p_brand, g.i"
 )
 def kde_grid(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 50.0).alias("v"))
     d = stats.density(rows, "v", ["p_brand"], 0.0, 1.0, 201, 0.05).filter("density > 1e-9")
-    return rounded(rounded(d, "x"), "density", digits=4)
+    return rounded(d, "x", "density")
 
 
 @query("SELECT c_nationkey, least(floor((c_acctbal / 100 - 5) / 5) * 5 + 5, 80)::INTEGER AS bin_lo, count(*) AS n FROM customer WHERE c_acctbal / 100 BETWEEN 5 AND 85 GROUP BY 1, 2")

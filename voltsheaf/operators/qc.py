@@ -70,12 +70,12 @@ def slope_changes(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def largest_ratio(df: DataFrame, by: list[str], index: str, value: str) -> DataFrame:
-    """The index and size of the largest ratio of a value to the one before it, in |.|, the first of
-    equals; index 0 and ratio 0 where no pair is without a zero."""
+    """Place (from 0) and size of the largest |value / next value|, the first of equals; pairs with
+    a zero are left out, and without any other pair both are 0."""
     w = Window.partitionBy(*by).orderBy(index)
-    a, b = F.abs(F.col(value)), F.abs(F.lead(value).over(w))
-    pairs = df.select(*by, (F.row_number().over(w) - 1).alias("i"), F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    best = pairs.groupBy(*by).agg(F.max(F.when(F.col("lo") > 0, F.struct((F.col("hi") / F.nullif(F.col("lo"), F.lit(0.0))).alias("r"), (-F.col("i")).alias("i")))).alias("best"))
+    after = F.lead(value).over(w)
+    pairs = df.select(*by, (F.row_number().over(w) - 1).alias("i"), F.when(F.col(value) != 0, F.abs(F.col(value) / F.nullif(after, F.lit(0.0)))).alias("r"))
+    best = pairs.groupBy(*by).agg(F.max(F.when(F.col("r").isNotNull(), F.struct("r", (-F.col("i")).alias("i")))).alias("best"))
     return best.select(*by, F.coalesce(-F.col("best.i"), F.lit(0)).cast("long").alias("idx"), F.coalesce(F.col("best.r"), F.lit(0.0)).alias("ratio"))
 
 

@@ -51,7 +51,7 @@ def device_of(path, given=None):
 def layouts(spark: SparkSession, path: str, device: str) -> DataFrame:
     """device, layout, parcel, channel of a layout file: layout -> parcel -> list of channels."""
     kind = "map<string,map<string,array<string>>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("layout", "parcels"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("layout", "parcels"))
     return rows.select(F.lit(device).alias("device"), "layout", F.explode("parcels").alias("parcel", "channels")).select("device", "layout", "parcel", F.explode("channels").alias("channel"))
 
 
@@ -85,7 +85,7 @@ def subject_features(spark: SparkSession, path: str) -> DataFrame:
 
     Each file has its own columns, so lines are read as text and met with their file's header.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     rows = whole.select(F.split("value", "\r?\n").alias("l")).select(F.split(F.col("l")[0], ",").alias("names"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("line")).filter("line <> ''")
     cells = F.explode(F.arrays_zip(F.col("names").alias("name"), F.split("line", ",").alias("cell")))
     flat = rows.select(F.split("line", ",")[0].alias("subject"), cells.alias("x")).filter("x.name <> '' and x.name is not null")

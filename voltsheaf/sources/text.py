@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of all text files under a folder; a file is one row until it is exploded."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter("line <> ''")
 
 
