@@ -58,7 +58,7 @@ def test_collision_rate_is_weighted_jaccard():
         words = [f"w{x}" for x in rng.integers(0, 500, 60)]
         a = words * int(rng.integers(1, 8))
         b = words * int(rng.integers(1, 8)) + [f"v{x}" for x in rng.integers(0, 500, int(rng.integers(0, 90)))]
-        s = X.bag_min_hash([" ".join(a), " ".join(b)], 256)
+        s = X.bag_min_hash([" ".join(a), " ".join(b)], 512)
         want = jaccard(bag(" ".join(a)), bag(" ".join(b)))
         errors.append(float((s[0] == s[1]).mean()) - want)
         assert abs(X.overlap(" ".join(a), " ".join(b)) - want) < 1e-12
