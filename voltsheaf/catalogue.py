@@ -16,7 +16,10 @@ from voltsheaf.functions import spectral as S
 from voltsheaf.operators import cohort, normative, normdata, qc, segments, spectral, stats
 from voltsheaf.plans import charts
 from voltsheaf.plans import kernels as K
+from voltsheaf.plans import norms
+from voltsheaf.sources import files
 from voltsheaf.sources import text as logs
+from voltsheaf.streaming import monitor
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -559,12 +562,12 @@ def bh_fdr(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT p_brand, p_size / 50.0 AS v FROM part), n AS (SELECT p_brand, count(*) AS n FROM v GROUP BY 1) SELECT p_brand, g.i::INTEGER AS i, round(0.0 + g.i * (1.0::DOUBLE / 200), 6) + 0 AS x, round(sum(greatest(0, 0.75 * (1 - ((i * (1.0::DOUBLE / 200) - v) / 0.05) ** 2))) / (any_value(n) * 0.05), 6) + 0 AS density FROM v JOIN n USING (p_brand), generate_series(0, 200) g(i) WHERE abs(i * (1.0::DOUBLE / 200) - v) < 0.05 - 1e-9 GROUP BY p_brand, g.i"
+    "WITH v AS (SELECT p_brand, p_size / 50.0 AS v FROM part), n AS (SELECT p_brand, count(*) AS n FROM v GROUP BY 1) SELECT p_brand, g.i::INTEGER AS i, round(0.0 + g.i * (1.0::DOUBLE / 200), 6) + 0 AS x, round(sum(greatest(0, 0.75 * (1 - ((i * (1.0::DOUBLE / 200) - v) / 0.05) ** 2))) / (any_value(n) * 0.05), 8) + 0 AS density FROM v JOIN n USING (p_brand), generate_series(0, 200) g(i) WHERE abs(i * (1.0::DOUBLE / 200) - v) < 0.05 - 1e-9 GROUP BY p_brand, g.i"
 )
 def kde_grid(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 50.0).alias("v"))
     d = stats.density(rows, "v", ["p_brand"], 0.0, 1.0, 201, 0.05).filter("density > 1e-9")
-    return rounded(d, "x", "density")
+    return rounded(rounded(d, "x"), "density", digits=8)
 
 
 @query("SELECT c_nationkey, least(floor((c_acctbal / 100 - 5) / 5) * 5 + 5, 80)::INTEGER AS bin_lo, count(*) AS n FROM customer WHERE c_acctbal / 100 BETWEEN 5 AND 85 GROUP BY 1, 2")
@@ -654,3 +657,145 @@ def irasa(spark, sf_dir):
 @query()
 def fastica(spark, sf_dir):
     return K.independent_components(K.event_series(spark, sf_dir), n=2)
+
+
+# more of the same families
+
+
+@query("SELECT user_id, event_id, session FROM (SELECT user_id, event_id, 1 AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 2")
+def session_pick(spark, sf_dir):
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("r"))
+    return lists.select("user_id", cohort.session(F.col("r"), 1).alias("event_id"), F.lit(1).alias("session")).filter("event_id is not null")
+
+
+@query("SELECT o_custkey AS subject, path FROM (SELECT o_custkey, o_orderkey::VARCHAR AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey::VARCHAR) AS n FROM orders) WHERE n = 3")
+def kth_file(spark, sf_dir):
+    return cohort.kth_file(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").cast("string").alias("path")), 3)
+
+
+@query("SELECT avg((event_id % 7 = 0)::INTEGER) AS a, avg((event_id % 3 = 0)::INTEGER) AS b FROM events")
+def missing_share(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return cohort.missing_shares(e.select(F.when(F.col("event_id") % 7 != 0, 1).alias("a"), F.when(F.col("event_id") % 3 != 0, 1).alias("b")), ["a", "b"])
+
+
+@query("SELECT DISTINCT event_type AS channel FROM events WHERE event_type NOT IN ('click', 'view')")
+def unassigned_channels(spark, sf_dir):
+    layout = spark.createDataFrame([("click", "p"), ("view", "p")], "channel string, parcel string")
+    return spectral.unassigned_channels(table(spark, sf_dir, "events").select(F.col("event_type").alias("channel")), layout)
+
+
+@query("SELECT o_custkey AS subject, o_orderkey AS run FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def last_dataset_wins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderkey").alias("run"))
+    return cohort.last_dataset_wins(o, "at").select("subject", "run")
+
+
+@query(f"WITH {EVENTS} SELECT user_id, event_id, value FROM ev JOIN (SELECT user_id, max(t) AS t1 FROM ev GROUP BY 1) USING (user_id) WHERE t >= 1704844800 AND t <= t1 - 86400")
+def crop_recording(spark, sf_dir):
+    return segments.cropped(events(spark, sf_dir), ["user_id"], "t", 1704844800, -86400).select("user_id", "event_id", "value")
+
+
+@query(f"WITH {EVENTS}, m AS (SELECT user_id, sum(event_id % 100) AS moved FROM ev WHERE event_type = 'error' GROUP BY 1), n AS (SELECT user_id, count(*) * 30.0 AS total FROM ev GROUP BY 1) SELECT user_id, (total - coalesce(moved, 0))::DOUBLE AS usable FROM n LEFT JOIN m USING (user_id) WHERE total - coalesce(moved, 0) >= 2 * 300 + 600")
+def usable_duration(spark, sf_dir):
+    e = events(spark, sf_dir)
+    marks = e.filter("event_type = 'error'").select("user_id", (F.col("event_id") % 100).cast("double").alias("duration"))
+    totals = e.groupBy("user_id").agg((F.count("*") * 30.0).alias("total"))
+    return segments.usable(marks, totals, ["user_id"], 300.0, 600.0).select("user_id", "usable")
+
+
+@query(f"WITH {CURVE} SELECT p, x, round((y - min(y) OVER w) / nullif(max(y) OVER w - min(y) OVER w, 0) * 100, 6) + 0 AS y FROM curve WINDOW w AS (PARTITION BY p)")
+def percent_curve(spark, sf_dir):
+    return rounded(qc.percent_of_range(curve(spark, sf_dir), ["p"], "y"), "y")
+
+
+@query("WITH w(event_type, region, weight) AS (VALUES ('click', 'A', 0.5::DOUBLE), ('view', 'A', -1.0::DOUBLE), ('view', 'B', 2.0::DOUBLE)) SELECT user_id AS subject, region, event_id AS t_idx, round(sum(weight * value), 6) + 0 AS value FROM events JOIN w USING (event_type) GROUP BY 1, 2, 3")
+def weighted_parcels(spark, sf_dir):
+    weights = spark.createDataFrame([("click", "A", 0.5), ("view", "A", -1.0), ("view", "B", 2.0)], "channel string, region string, weight double")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("channel"), F.col("event_id").alias("t_idx"), "value")
+    return rounded(segments.weighted_parcels(e, weights), "value")
+
+
+@query("WITH v AS (SELECT l_returnflag, var_samp(l_quantity) AS q, var_samp(l_discount) AS d, covar_samp(l_quantity, l_discount) AS c FROM lineitem GROUP BY 1) SELECT l_returnflag, unnest(['q', 'q', 'd']) AS a, unnest(['q', 'd', 'd']) AS b, round(unnest([0.95 * q + 0.05 * (q + d) / 2, 0.95 * c, 0.95 * d + 0.05 * (q + d) / 2]), 4) + 0 AS cov FROM v")
+def shrunk_covariance(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    return rounded(qc.shrunk(qc.covariances(rows, ["q", "d"], ["l_returnflag"]), ["l_returnflag"], 2), "cov", digits=4)
+
+
+@query("SELECT l_linenumber, o_orderpriority AS site, value, round(avg(value) OVER (PARTITION BY l_linenumber), 4) + 0 AS site_mean FROM (SELECT l_linenumber, o_orderpriority, round(quantile_cont(l_extendedprice, 0.75), 4) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")
+def site_quantiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c = rounded(normative.empirical_centiles(rows.withColumnRenamed("o_orderpriority", "site"), ["l_linenumber", "site"], "l_extendedprice", (0.25, 0.75)), "value", digits=4)
+    return rounded(charts.site_differences(c, ["l_linenumber"], 0.75).select("l_linenumber", "site", "value", "site_mean"), "site_mean", digits=4)
+
+
+@query("SELECT c_custkey, round(20 + 500 * (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 4) + 0 AS size, round(sqrt(c_acctbal * c_acctbal + c_custkey * c_custkey), 4) + 0 AS magnitude FROM customer")
+def scatter_points(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return rounded(charts.magnitudes(charts.scatter_sizes(c, "c_acctbal"), "c_acctbal", "c_custkey").drop("c_acctbal"), "size", "magnitude", digits=4)
+
+
+@query("SELECT p_partkey, p_size AS age, CASE WHEN p_size < 12 THEN 0 WHEN p_size < 20 THEN 1 WHEN p_size < 40 THEN 2 WHEN p_size < 60 THEN 3 ELSE 4 END AS stage FROM part")
+def life_stage(spark, sf_dir):
+    return charts.life_stages(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("age")))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'lh' WHEN 1 THEN 'rh' END AS hemi, 'G_' || s_suppkey AS bare FROM supplier")
+def region_names(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("lh.G_"), "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("G_"), "s_suppkey", F.lit("-rh"))).otherwise(F.concat(F.lit("G_"), "s_suppkey")).alias("region"))
+    return charts.region_parts(s).drop("region")
+
+
+@query("SELECT 'ANTS' || p_size || '-5Years3T' AS name, ((p_size + 0.5) * 12)::DOUBLE AS months FROM (SELECT DISTINCT p_size::DOUBLE::INTEGER AS p_size FROM part)")
+def template_ages(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("ANTS"), "p_size", F.lit("-5Years3T")).alias("name")).distinct()
+    return logs.template_ages(names.unionByName(names.limit(1).select(F.lit("other").alias("name"))))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'MEGIN' WHEN 1 THEN 'BTI' WHEN 2 THEN 'CTF' ELSE 'SET' END AS device FROM orders")
+def device_dispatch(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    path = F.when(k == 0, "/d/a.fif").when(k == 1, "/d/4D/x").when(k == 2, "/d/s.ds/m").otherwise("/d/a.set")
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.device_of(path).alias("device"))
+
+
+@query("SELECT 'sub-' || doc_id AS subject, CASE WHEN doc_id % 2 = 0 THEN 'ses-1' END AS session, concat_ws('_', 'sub-' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ses-1' END) AS job FROM documents")
+def image_jobs(spark, sf_dir):
+    d = F.concat(F.lit("/m/sub-"), "doc_id")
+    ses = F.when(F.col("doc_id") % 2 == 0, "/ses-1").otherwise("")
+    paths = table(spark, sf_dir, "documents").select(F.concat(d, ses, F.lit("/anat/x_T1w.nii.gz")).alias("path"))
+    return files.image_jobs(paths).select("subject", "session", "job")
+
+
+@query("SELECT epoch_ms((epoch_ms(ts) // 3600000) * 3600000) AS start, user_id, event_type, max(value) - min(value) AS ptp, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def amplitude_windows(spark, sf_dir):
+    f = monitor.amplitude_flags(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", "value", "1 hour", "1 hour", "1 hour", 1e9, -1.0)
+    return f.select("start", "user_id", "event_type", "ptp", "n")
+
+
+@query(f"WITH {EVENTS}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600 THEN 0 ELSE 1 END AS new FROM ev), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(t) AS first FROM s GROUP BY user_id, k")
+def event_sessions(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t"))
+    return monitor.sessions(e, "ts", "user_id", "6 hours", "1 hour").select("user_id", "n", F.unix_seconds("start").alias("first"))
+
+
+@query(
+    """WITH h AS (SELECT event_type, user_id % 4 AS c, event_id, value - avg(value) OVER (PARTITION BY event_type, user_id % 4) AS v, count(*) OVER (PARTITION BY event_type, user_id % 4) AS n FROM events),
+l AS (SELECT *, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b FROM h WINDOW w AS (PARTITION BY event_type, c ORDER BY event_id)), r AS (SELECT event_type, c, max(n) AS n, sum(v * a) / sum(v * v) AS r1, sum(v * b) / sum(v * v) AS r2 FROM l GROUP BY 1, 2)
+SELECT event_type, round(sum(n / (1 + 2 * CASE WHEN r1 <= 0 THEN 0 WHEN r2 <= 0 THEN r1 ELSE r1 + r2 END)), 4) + 0 AS ess FROM r GROUP BY 1"""
+)
+def effective_draws(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("chain", F.col("user_id") % 4)
+    return rounded(stats.effective_size(rows, ["event_type"], "chain", "event_id", "value", 2), "ess", digits=4)
+
+
+@query(
+    """WITH w AS (SELECT c_custkey, c_mktsegment, c_nationkey, unnest(['bal', 'key']) AS response, unnest([CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END, c_custkey::DOUBLE]) AS y FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+i AS (SELECT *, coalesce(y, avg(y) OVER (PARTITION BY response, c_mktsegment ORDER BY c_nationkey RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), avg(y) OVER (PARTITION BY response, c_mktsegment)) AS v FROM w),
+s AS (SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 2654435761 + 42 * 40503) % 1000003, c_custkey) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.5) THEN 'train' ELSE 'test' END AS split FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+SELECT c_custkey, c_mktsegment, c_nationkey, response, round(v, 4) + 0 AS y, split FROM i JOIN s USING (c_custkey)"""
+)
+def normative_data(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("bal"), F.col("c_custkey").cast("double").alias("key"), F.lit(None).cast("double").alias("gone"))
+    out = norms.prepared(c, "c_custkey", ["bal", "key", "gone"], "c_nationkey", ["c_mktsegment"], ("c_mktsegment", ["BUILDING", "MACHINERY"]), half_width=2.0)
+    return rounded(out, "y", digits=4)

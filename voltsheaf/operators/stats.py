@@ -85,3 +85,18 @@ def melted_boxes(long: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and extremes for box plots."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return long.groupBy(*by).agg(q.alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).select(*by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "n")
+
+
+def effective_size(draws: DataFrame, by: list[str], chain: str, draw: str, value: str, lags: int = 20) -> DataFrame:
+    """Effective sample size from the autocorrelations up to a lag, cut at the first that is not
+    positive, averaged over chains: by, ess."""
+    w = Window.partitionBy(*by, chain)
+    c = draws.withColumn("__c", F.col(value) - F.avg(value).over(w)).withColumn("__n", F.count("*").over(w))
+    o = w.orderBy(draw)
+    products = [F.sum(F.col("__c") * F.col(f"__l{k}")).alias(f"__s{k}") for k in range(1, lags + 1)]
+    lagged = c.withColumns({f"__l{k}": F.lag("__c", k).over(o) for k in range(1, lags + 1)})
+    per = lagged.groupBy(*by, chain).agg(F.sum(F.col("__c") * F.col("__c")).alias("__s0"), F.max("__n").alias("__n"), *products)
+    rho = F.array(*[F.coalesce(F.col(f"__s{k}") / F.nullif(F.col("__s0"), F.lit(0.0)), F.lit(0.0)) for k in range(1, lags + 1)])
+    stop = F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("on"))
+    total = F.aggregate(rho, stop, lambda a, r: F.struct(F.when(a["on"] & (r > 0), a["s"] + r).otherwise(a["s"]).alias("s"), (a["on"] & (r > 0)).alias("on")), lambda a: a["s"])
+    return per.withColumn("__t", F.col("__n") / (1 + 2 * total)).groupBy(*by).agg(F.sum("__t").alias("ess"))

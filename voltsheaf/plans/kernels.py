@@ -75,7 +75,7 @@ def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins
         rows = rows.withColumn("bin", F.least("bin", F.lit(n_bins - 1)))
     rows = rows.filter(F.col("bin").between(0, n_bins - 1))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], kernels.shapiro_w(pdf[z].to_numpy(float)))], columns=[response, "w"])
 
     each = rows.select(response, "bin", z).groupBy(response, "bin").applyInPandas(run, f"{response} string, w double")
@@ -85,7 +85,7 @@ def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins
 def independent_components(samples: DataFrame, n: int = 2) -> DataFrame:
     """subject, component, t, value: components of each subject's channels (and lagged copies of one)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="t_idx", columns="channel", values="value").dropna().to_numpy().T
         if wide.shape[0] < n:
             lags = [wide[0][k : len(wide[0]) - n + 1 + k] for k in range(n)]
