@@ -30,19 +30,21 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-#: Encodings tried in turn: name, what the whole token looks like, its alphabet in order of code.
+#: How often two letters of written text agree, which makes its chi-squared grow with its length; in
+#: text of the letters a to f and digits two symbols agree more often.
+TEXT_MATCH, HEX_MATCH = 0.066, 0.113
+#: Encodings tried in turn: name, what the whole token looks like, its alphabet in order of code,
+#: and how often two symbols of written text in that alphabet agree.
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", DIGITS + LOWER[:6]),
-    ("HEX", "^[0-9A-F]+$", DIGITS + LOWER[:6].upper()),
-    ("base32", "^[A-Z2-7]+$", LOWER.upper() + DIGITS[2:8]),
-    ("base36", "^[0-9a-z]+$", DIGITS + LOWER),
-    ("base62", "^[0-9A-Za-z]+$", LOWER.upper() + LOWER + DIGITS),
-    ("base64", "^[0-9A-Za-z+/]+$", LOWER.upper() + LOWER + DIGITS + "+/"),
-    ("base64url", "^[0-9A-Za-z_-]+$", LOWER.upper() + LOWER + DIGITS + "-_"),
-    ("mixed", "", LOWER.upper() + LOWER + DIGITS + "+/-_"),
+    ("hex", "^[0-9a-f]+$", DIGITS + LOWER[:6], HEX_MATCH),
+    ("HEX", "^[0-9A-F]+$", DIGITS + LOWER[:6].upper(), HEX_MATCH),
+    ("base32", "^[A-Z2-7]+$", LOWER.upper() + DIGITS[2:8], TEXT_MATCH),
+    ("base36", "^[0-9a-z]+$", DIGITS + LOWER, TEXT_MATCH),
+    ("base62", "^[0-9A-Za-z]+$", LOWER.upper() + LOWER + DIGITS, TEXT_MATCH),
+    ("base64", "^[0-9A-Za-z+/]+$", LOWER.upper() + LOWER + DIGITS + "+/", TEXT_MATCH),
+    ("base64url", "^[0-9A-Za-z_-]+$", LOWER.upper() + LOWER + DIGITS + "-_", TEXT_MATCH),
+    ("mixed", "", LOWER.upper() + LOWER + DIGITS + "+/-_", TEXT_MATCH),
 )
-#: How often two letters of written text agree: that makes its chi-squared grow with its length.
-TEXT_MATCH = 0.066
 RANDOM_P, FDR = 0.003, 0.05
 #: Bins of -ln p a unit, and the last bin.
 FINE, LAST_BIN = 20, 2000
@@ -105,10 +107,10 @@ def battery(token: Column) -> Column:
         power = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         z_serial = F.when(power > 0, serial / power * F.sqrt(n)).otherwise(F.lit(9.0))
-        excess = k * TEXT_MATCH - 1.0
-        excess = F.greatest(excess, F.lit(0.5))
-        expected = (k - 1) + n * excess
-        sd = F.sqrt(2.0 * (k - 1) + 4.0 * n * excess * (1.0 + excess))
+        # under "written text" chi-squared is non-central, by the length times the excess of agreements
+        shift = n * (k * F.when(k == 16, HEX_MATCH).otherwise(TEXT_MATCH) - 1.0)
+        expected = (k - 1) + shift
+        sd = F.sqrt(2.0 * (k - 1) + 4.0 * shift)
         p_random = F.least(upper_tail(z_chi), 2.0 * upper_tail(F.abs(z_runs)), 2.0 * upper_tail(F.abs(z_serial)))
         p_text = upper_tail((expected - chi) / sd)
         return F.struct(F.floor(F.log2(n)).cast("int").alias("cls"), p_random.alias("p_random"), p_text.alias("p_text"))
