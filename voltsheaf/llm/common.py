@@ -43,7 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, None) or 10000) > ARROW_ROWS:
+    now = int(spark.conf.get(key, None) or 10000)
+    if now <= 0 or now > ARROW_ROWS:  # 0 and below: no bound
         spark.conf.set(key, str(ARROW_ROWS))
 
 
