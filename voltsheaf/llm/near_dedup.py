@@ -8,11 +8,13 @@ strips, and of the strip that w cuts those of lesser height.  Each component kee
 a process stops once its next point lies beyond all components.  Two texts agree in a component
 with a probability equal to their weighted Jaccard similarity, the multiset overlap.
 
-Signatures are banded.  Within a bucket every text is compared with the bucket's least text; the
-links found make classes, and where a bucket still holds several classes its texts are compared
-block by block by their signatures, and the pairs that may reach the threshold are verified too,
-best first, until each is verified or within one class.  All links are verified on the multisets
-of the whole texts.  Equal texts are taken together first.  Classes are connected components.
+The first BANDED components are banded.  Every text is first compared with the least text of its
+buckets; the links found make classes.  Where a bucket still holds several classes, its texts are
+compared block by block by their signatures, and each text outside the bucket's commonest class is
+verified against those of other classes that agree with it best: TOP of them in the first round,
+more in the next, and in the last all that may reach the threshold, by when few are left.  All
+links are verified on the multisets of the whole texts.  Equal texts are taken together first.
+Classes are connected components.
 
 Null text counts as empty; texts without words are only near texts equal to them.  Texts of fewer
 than five words have one shingle of all their words.  A null doc_id is smaller than any other.
@@ -22,17 +24,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltsheaf.llm.common import arrow_map, as_batch, mix64, sized_broadcast, slices, written
 from voltsheaf.llm.fingerprints import shingles, word_hashes
 
-SIZE, ROWS = 128, 4
+SIZE, BANDED, ROWS = 512, 128, 4
 THRESHOLD = 0.8
-#: Pairs whose signatures agree in fewer than this share are below the threshold (over 4 deviations).
-AGREE = 0.65
+#: Pairs of texts whose signatures, of two bits a component, estimate less are below the threshold
+#: (4 deviations of 0.021).
+ESTIMATE = 0.716
 BLOCK = 256
+#: Rounds: how many bands they look at, and how many texts of other classes each text is verified
+#: against; the last looks at all bands and takes all texts.
+TURNS = ((8, 4), (8, 32), (BANDED // ROWS, None))
 
 
 def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,18 +87,19 @@ def overlap(a: str, b: str) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, bands (null without words), sig (16 bits a component)."""
+    """doc_id, text_sha256, bands (null without words), sig (2 bits a component)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         for batch in slices(batches, 1 << 22, "text"):
             least = bag_min_hash(batch.column("text").to_pylist())
             bits = mix64(np.ascontiguousarray(least).view(np.uint64))
-            band = np.zeros((len(least), SIZE // ROWS), np.uint64)
+            band = np.zeros((len(least), BANDED // ROWS), np.uint64)
             for k in range(ROWS):
-                band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + bits[:, k::ROWS] + np.arange(SIZE // ROWS, dtype=np.uint64))
+                band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + bits[:, k:BANDED:ROWS] + np.arange(BANDED // ROWS, dtype=np.uint64))
             some = np.isfinite(least[:, 0])
-            sig = (bits & np.uint64(0xFFFF)).astype("<u2")
+            two = (bits & np.uint64(3)).astype(np.uint8).reshape(len(least), -1, 4)
+            sig = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
             yield as_batch({"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "bands": [b if ok else None for b, ok in zip(band.view(np.int64).tolist(), some.tolist())], "sig": [s.tobytes() for s in sig]}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
@@ -105,17 +112,22 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star steps, each a grouped minimum and a join; a component's
     links never meet in one task, and edges become stars in a logarithmic number of rounds.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    while True:
+    last = state(edges)
+    while last[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct().checkpoint()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        same = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
-        edges = small
-        if same:
+        edges = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        now = state(edges)
+        if now == last:
             break
+        last = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -133,36 +145,54 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return written(arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long, near boolean"), "verified")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """a, b, agree: pairs of different classes in one bucket whose signatures agree enough.
+def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Similarity of one packed signature to many: equal pairs of bits, less those equal by chance."""
+    x = one ^ many
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
+    return (1 - differ / SIZE - 0.25) / 0.75
+
 
-    members: band, node, cls, sig.  In each bucket the texts outside its commonest class are set
-    against all, BLOCK by BLOCK, so that pairs are never rows before their signatures are compared.
+def block_pairs(members: DataFrame, top: int | None) -> DataFrame:
+    """a, b: pairs of different classes in one bucket whose signatures agree enough.
+
+    members: band, j (which band), node, cls, sig, bands (31 bits each).  In each bucket the texts
+    outside its commonest class are set against all, BLOCK by BLOCK, so that pairs are never rows
+    before their signatures are compared; each such text gives its ``top`` best partners, or all.
+    A pair counts in the first bucket that it shares alone.
     """
     split = members.groupBy("band", "cls").agg(F.count("*").alias("k"))
     shape = split.groupBy("band").agg(F.max_by("cls", F.struct("k", "cls")).alias("common"), F.sum("k").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
     placed = members.join(sized_broadcast(shape.checkpoint()), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long")))
-    row = F.collect_list(F.struct("node", "cls", "sig"))
-    every = placed.groupBy("band", "block").agg(row.alias("y"))
-    asked = placed.filter("cls <> common").groupBy("band", "block").agg(row.alias("x")).select("band", "x")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.float64())])
+    # a block of texts is one row: blocks of a bucket meet, never texts
+    row = F.struct("node", "cls", "sig", "bands")
+    blocks = placed.groupBy("band", "j", "block", "common").agg(F.collect_list(row).alias("y"))
+    asked = blocks.select("band", F.expr("filter(y, m -> m.cls <> common)").alias("x")).filter(F.size("x") > 0)
+    schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("est", pa.float64())])
+
+    def side(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        sig = np.stack([np.frombuffer(m["sig"], np.uint64) for m in rows])
+        return (sig, *(np.array([m[c] for m in rows]) for c in ("cls", "node", "bands")))
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"a": [], "b": [], "agree": []}
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                sx, sy = (np.stack([np.frombuffer(m["sig"], "<u2") for m in side]) for side in (x, y))
-                cx, cy = (np.array([m["cls"] for m in side]) for side in (x, y))
-                nx, ny = (np.array([m["node"] for m in side]) for side in (x, y))
-                for i in range(len(sx)):
-                    agree = (sy == sx[i]).mean(1)
-                    hit = np.flatnonzero((agree >= AGREE) & (cy != cx[i]))
-                    out["a"] += np.maximum(nx[i], ny[hit]).tolist()
-                    out["b"] += np.minimum(nx[i], ny[hit]).tolist()
-                    out["agree"] += agree[hit].tolist()
-            yield as_batch(out, schema)
-
-    return arrow_map(asked.join(every, "band").select("x", "y"), run, "a long, b long, agree double").distinct()
+            for j, x, y in zip(*(batch.column(c).to_pylist() for c in ("j", "x", "y"))):
+                out: dict[str, list] = {"q": [], "p": [], "est": []}
+                (sx, cx, nx, bx), (sy, cy, ny, by) = side(x), side(y)
+                for i in range(len(nx)):
+                    est = estimates(sx[i], sy)
+                    hit = np.flatnonzero((est >= ESTIMATE) & (cy != cx[i]))
+                    hit = hit[(by[hit, :j] != bx[i, :j]).all(1)]
+                    if top is not None and len(hit) > top:
+                        hit = hit[np.argpartition(-est[hit], top)[:top]]
+                    out["q"] += [int(nx[i])] * len(hit)
+                    out["p"] += ny[hit].tolist()
+                    out["est"] += est[hit].tolist()
+                yield as_batch(out, schema)
+
+    pairs = arrow_map(asked.join(blocks.select("band", "j", "y"), "band").select("j", "x", "y"), run, "q long, p long, est double")
+    if top is not None:
+        pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("est"), "p"))).filter(F.col("place") <= top)
+    return pairs.select(F.greatest("q", "p").alias("a"), F.least("q", "p").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,14 +200,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     One row of each class is kept, a row of class_id.
     """
-    spark = docs.sparkSession
     rows = written(signed(docs), "bag-min-hash").withColumn("row", F.monotonically_increasing_id())
     nodes = rows.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.posexplode("bands").alias("j", "band"))
     buckets = sized_broadcast(banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("k")).filter("k > 1").select("band", "b").checkpoint())
     members = written(banded.join(buckets, "band"), "buckets")
-    stars = members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct().checkpoint()
+    stars = members.filter("node <> b").select(F.col("node").alias("a"), "b")
 
     needed = sized_broadcast(members.select("node").distinct().checkpoint())
     wanted = nodes.join(needed, "node", "left_semi").select("node", F.col("text_sha256").alias("sha"), F.col("best.doc_id").alias("id"))
@@ -186,34 +215,19 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = source.join(wanted, source.doc_id.eqNullSafe(F.col("id")) & (F.sha2("text", 256) == F.col("sha"))).select("node", "text")
     texts = written(found, "texts").dropDuplicates(["node"])
 
-    def classed(links: DataFrame, pairs: DataFrame) -> DataFrame:
-        """pairs with the classes of both sides, those within one class left out."""
-        label = components(links.select("a", "b")).checkpoint()
-        a, b = label.select(F.col("node").alias("a"), F.col("root").alias("ca")), label.select(F.col("node").alias("b"), F.col("root").alias("cb"))
-        out = pairs.join(a, "a", "left").join(b, "b", "left")
-        return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
-
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    tried = verified(first, texts, threshold)
-    rest = classed(tried.filter("near"), stars.join(tried.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b").checkpoint()
-    if not rest.isEmpty():
-        tried = tried.unionByName(verified(rest, texts, threshold))
-    label = components(tried.filter("near").select("a", "b")).checkpoint()
-    inside = members.select("band", "node").join(label, "node", "left").join(nodes.select("node", "sig"), "node").select("band", "node", F.coalesce("root", "node").alias("cls"), "sig")
-    open_pairs = written(block_pairs(inside).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
-    most = 4
-    while True:
-        left = classed(tried.filter("near"), open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")).checkpoint()
-        if left.isEmpty():
-            break
-        # the best pairs of each text first: one link is enough to put it into a class
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy("a", "cb").orderBy(F.desc("agree"), "b"))
-        turn = left.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
-        tried = tried.unionByName(verified(turn, texts, threshold))
-        most *= 16
-    label = components(tried.filter("near").select("a", "b"))
+    tried = verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, threshold)
+    label = components(tried.filter("near")).checkpoint()
+    sigs = nodes.join(needed, "node", "left_semi").select("node", "sig", "bands")
+    for bands, top in TURNS:
+        low = F.transform(F.slice("bands", 1, bands), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        inside = members.filter(F.col("j") < bands).select("band", "j", "node").join(label, "node", "left").join(sigs, "node").select("band", "j", "node", F.coalesce("root", "node").alias("cls"), "sig", low.alias("bands"))
+        fresh = block_pairs(inside, top).join(tried.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            if top is None:
+                break
+            continue
+        tried = tried.unionByName(verified(fresh, texts, threshold))
+        label = components(tried.filter("near")).checkpoint()
 
     whole = nodes.select("text_sha256", "node", "best", "n").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = whole.select("text_sha256", "root", "best", "n").checkpoint()
