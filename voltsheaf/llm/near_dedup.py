@@ -38,7 +38,7 @@ ESTIMATE = 0.716
 BLOCK = 256
 #: Rounds: how many bands they look at, and how many texts of other classes each text is verified
 #: against; the last looks at all bands and takes all texts.
-TURNS = ((8, 4), (8, 32), (BANDED // ROWS, None))
+TURNS = ((4, 2), (8, 8), (BANDED // ROWS, None))
 
 
 def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 def block_pairs(members: DataFrame, top: int | None) -> DataFrame:
     """a, b: pairs of different classes in one bucket whose signatures agree enough.
 
-    members: band, j (which band), node, cls, sig, bands (31 bits each).  In each bucket the texts
+    members: band, j (which band), node, cls, sig, bands (those before j, 31 bits each).  In each bucket the texts
     outside its commonest class are set against all, BLOCK by BLOCK, so that pairs are never rows
     before their signatures are compared; each such text gives its ``top`` best partners, or all.
     A pair counts in the first bucket that it shares alone.
@@ -181,7 +181,8 @@ def block_pairs(members: DataFrame, top: int | None) -> DataFrame:
                 for i in range(len(nx)):
                     est = estimates(sx[i], sy)
                     hit = np.flatnonzero((est >= ESTIMATE) & (cy != cx[i]))
-                    hit = hit[(by[hit, :j] != bx[i, :j]).all(1)]
+                    if j:
+                        hit = hit[(by[hit] != bx[i]).all(1)]
                     if top is not None and len(hit) > top:
                         hit = hit[np.argpartition(-est[hit], top)[:top]]
                     out["q"] += [int(nx[i])] * len(hit)
@@ -219,7 +220,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(tried.filter("near")).checkpoint()
     sigs = nodes.join(needed, "node", "left_semi").select("node", "sig", "bands")
     for bands, top in TURNS:
-        low = F.transform(F.slice("bands", 1, bands), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        low = F.transform(F.slice("bands", F.lit(1), F.col("j")), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
         inside = members.filter(F.col("j") < bands).select("band", "j", "node").join(label, "node", "left").join(sigs, "node").select("band", "j", "node", F.coalesce("root", "node").alias("cls"), "sig", low.alias("bands"))
         fresh = block_pairs(inside, top).join(tried.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
         if fresh.isEmpty():
