@@ -28,6 +28,31 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_heavy_terms_count_by_their_weight():
+    for k in range(4):
+        one = " ".join(f"s{k}" for _ in range(1004))  # one shingle of weight 1000
+        a, b = (one + " " + " ".join(f"{side}{k}.{i}" for i in range(20)) for side in "ab")
+        line = " ".join(f"l{k}.{i}" for i in range(20)) + " "
+        c, d = (line * 100 + " ".join(f"{side}{k}.{i}" for i in range(300)) for side in "cd")
+        for x, y in ((a, b), (c, d)):
+            s = X.signatures([x, y], 1024)
+            assert abs(float((s[0] == s[1]).mean()) - jaccard(x, y)) < 0.06
+
+
+def test_nothing_is_lost_where_drawing_stops(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (1, 3, 5, 9, 40, 300, 2000)] + ["a b " * 300]
+    got = X.signatures(texts)
+    monkeypatch.setattr(X, "UNITS", 64)
+    assert (X.signatures(texts) == got).all()
+    for t, s in zip(texts, got):
+        unit, row = X.units(*X.shingles(*X.word_hashes([t])))
+        time, sample = X.arrivals(unit, np.zeros(len(unit)), 0, 3000, X.BINS)  # every arrival, far past the last that can win
+        for k in range(X.BINS):
+            at = np.where(sample == k, time, np.inf).min(axis=1).argmin()
+            assert s[k] == (int(X.mix64(unit[at : at + 1])[0]) >> 48) | 1
+
+
 def test_equal_short_and_empty_texts():
     s = X.signatures(["", " ", "a b", "a b", "b a", "a b c d e f"])
     assert (s[0] == 0).all() and (s[1] == 0).all() and (s[2] == s[3]).all() and not (s[2] == s[4]).all()

@@ -1,13 +1,15 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its five-word shingles, weighted by how often they occur.  Each term falls
-by hash into TURNS of BINS bins, and every bin draws one consistent weighted sample: for a term
-of weight w with r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), all drawn from the term's hash,
-``t = floor(ln w / r + b)``, ``ln y = r (t - b)``, ``ln a = ln c - ln y - r``; the term with the
-least a is the sample, named by (term, t).  Two texts have the same sample of a bin with a
-probability equal to the generalised Jaccard similarity of their terms in it.  A bin without
-terms takes the sample of the next bin picked for it by a hash chain (re-randomised, so that two
-texts fill it alike when their terms are alike).  One pass over the terms thus gives all samples.
+The terms of a text are its five-word shingles, weighted by how often they occur.  A term of
+weight w is w units, (term, 1) to (term, w), and every unit takes part in all of the BINS samples:
+a sample is the unit with the least of independent Exp(1) values, named by its term and number.
+Two texts thus have the same sample with a probability equal to the generalised Jaccard similarity
+of their terms, the sum of the lesser weights by that of the greater, whatever the weights are.
+
+A unit's values come in rising order, as the arrivals of a Poisson process over all samples (gaps
+are exponential, each arrival falls into a uniform sample, and the first in a sample counts).  Once
+a unit's arrivals are past the largest minimum of its text, none of its later ones can be the least
+of any sample, and they need not be drawn; nothing else is left out.
 
 Texts of fewer than five words have one shingle of all their words; texts without words (null,
 empty or white space) have the fingerprint of no terms, like each other and unlike all others.
@@ -28,10 +30,8 @@ from voltsheaf.llm.common import arrow_map, as_batch, mix64
 
 SHINGLE = 5
 BINS = 128
-#: Bins that each term takes part in: more of them bring a bin's share of terms nearer to the whole.
-TURNS = 4
-#: Most rounds of the hash chain; a text whose only bins the chain misses takes its least sample.
-CHAIN = 4 * BINS
+#: Units of texts whose arrivals are drawn together, and most arrivals in one array.
+UNITS, ARRIVALS = 1 << 17, 1 << 20
 #: Rows of one ordered run; ids for the cut points are a bounded sample.
 RUN_ROWS, MOST_RUNS, SAMPLE = 256, 20_000, 100_000
 LEAST = -(2**63)
@@ -77,56 +77,65 @@ def shingles(codes: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tup
     return np.concatenate(out_h), np.concatenate(out_row)
 
 
-def draws(h: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each term: a random 7-bit-and-more integer, r and c from Gamma(2, 1), b from Uniform(0, 1)."""
-    x = mix64(h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64))
-    y = mix64(x + np.uint64(0xD1B54A32D192ED03))
-    low, scale = np.uint64(2**26 - 1), 2.0**-26
-    u1, u2 = ((x >> np.uint64(38)) + 0.5) * scale, (((x >> np.uint64(12)) & low) + 0.5) * scale
-    u3, u4 = ((y >> np.uint64(38)) + 0.5) * scale, (((y >> np.uint64(12)) & low) + 0.5) * scale
-    z = mix64(y ^ x)
-    return z >> np.uint64(32), -np.log(u1 * u2), -np.log(u3 * u4), ((z & np.uint64(2**32 - 1)) + 0.5) * 2.0**-32
+def units(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units of each text and their rows: equal shingles of a text are numbered."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+    weights = np.diff(np.r_[first, len(h)])
+    number = np.arange(len(h)) - np.repeat(first, weights)
+    return mix64(h + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row
+
+
+def arrivals(unit: np.ndarray, since: np.ndarray, done: int, more: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times and samples of the arrivals done + 1 to done + more of each unit, (n, more) arrays;
+    since: the time of the last one before.  They do not depend on how they are cut into calls."""
+    x = mix64(unit[:, None] + np.arange(done + 1, done + more + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    gaps = -np.log(((x >> np.uint64(24)) + 0.5) * 2.0**-40)
+    gaps[:, 0] += since
+    return np.cumsum(gaps, axis=1), (((x & np.uint64(2**24 - 1)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64)
+
+
+def drawn(unit: np.ndarray, row: np.ndarray, least: np.ndarray, name: np.ndarray) -> None:
+    """Draw the units into the (rows, bins) minima and the names of who holds them."""
+    bins = least.shape[1]
+    flat, names = least.reshape(-1), name.reshape(-1)
+    since, done, more = np.zeros(len(unit)), 0, 1
+    while len(unit):
+        for at in range(0, len(unit), step := max(1, ARRIVALS // more)):
+            u, r = unit[at : at + step], row[at : at + step]
+            time, sample = arrivals(u, since[at : at + step], done, more, bins)
+            since[at : at + step] = time[:, -1]
+            slot = (r[:, None] * bins + sample).reshape(-1)
+            time = time.reshape(-1)
+            near = np.flatnonzero(time < flat[slot])
+            slot, time = slot[near], time[near]
+            np.minimum.at(flat, slot, time)
+            won = np.flatnonzero(time == flat[slot])
+            names[slot[won]] = u[near[won] // more]
+        on = np.flatnonzero(since < least.max(axis=1)[row])
+        unit, row, since = unit[on], row[on], since[on]
+        done, more = done + more, 2 * more
 
 
 def signatures(texts: list[str], bins: int = BINS) -> np.ndarray:
-    """One 16-bit name for each bin of each text, an (n, bins) array; 0 throughout: no terms."""
-    h, row = shingles(*word_hashes(texts))
+    """One 16-bit name for each sample of each text, an (n, bins) array; 0 throughout: no terms."""
     out = np.zeros((len(texts), bins), np.uint16)
-    if not len(h):
-        return out
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-    first = np.flatnonzero(new)
-    ln_w = np.log(np.diff(np.r_[first, len(h)]))
-    h, row = h[first], row[first]
-    least = np.full(len(texts) * bins, np.inf)
-    tried = []
-    for turn in range(TURNS):
-        pick, r, c, b = draws(h, turn)
-        t = np.floor(ln_w / r + b)
-        ln_a = np.log(c) - r * (t - b) - r
-        slot = row * bins + (pick % np.uint64(bins)).astype(np.int64)
-        np.minimum.at(least, slot, ln_a)
-        tried.append((slot, ln_a, t))
-    full, have = np.zeros(len(least), np.uint64), np.isfinite(least)
-    for slot, ln_a, t in tried:
-        won = np.flatnonzero(ln_a == least[slot])
-        full[slot[won]] = mix64(h[won] ^ (t[won].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    full, have = full.reshape(-1, bins), have.reshape(-1, bins)
-    some = have.any(1)
-    todo_row, todo_bin = np.nonzero(~have & some[:, None])
-    for step in range(CHAIN):
-        if not len(todo_row):
-            break
-        jump = (mix64(todo_bin.astype(np.uint64) * np.uint64(CHAIN) + np.uint64(step + 1)) % np.uint64(bins)).astype(np.int64)
-        hit = have[todo_row, jump]
-        # a borrowed sample is renamed by the bin that borrows it
-        full[todo_row[hit], todo_bin[hit]] = mix64(full[todo_row[hit], jump[hit]] + todo_bin[hit].astype(np.uint64) + np.uint64(1))
-        todo_row, todo_bin = todo_row[~hit], todo_bin[~hit]
-    for i, k in zip(todo_row.tolist(), todo_bin.tolist()):
-        full[i, k] = mix64(full[i][have[i]].min(keepdims=True) + np.uint64(k + 1))[0]
-    out[some] = (full[some] >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    codes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    start = 0
+    while start < len(texts):
+        before = ends[start] - counts[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + UNITS, side="right")))
+        h, row = shingles(codes[before : ends[stop - 1]], counts[start:stop])
+        if len(h):
+            unit, row = units(h, row)
+            least, name = np.full((stop - start, bins), np.inf), np.zeros((stop - start, bins), np.uint64)
+            for at in range(0, len(unit), UNITS):  # more than one block: a single long text
+                drawn(unit[at : at + UNITS], row[at : at + UNITS], least, name)
+            some = np.isfinite(least[:, 0])
+            out[start:stop][some] = (mix64(name[some]) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+        start = stop
     return out
 
 
