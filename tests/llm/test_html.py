@@ -19,6 +19,26 @@ def test_regions():
     assert X.main_text("", X.DEFAULT) == "" and X.main_text("<p", X.DEFAULT) in ("", "<p") and X.main_text("plain words", X.DEFAULT) == "plain words"
 
 
+def test_names_of_wrappers_do_not_shut_the_article():
+    wrappers = ["div class='no-sidebar'", "div class='has-sidebar layout'", "div class='col-md-8 with-sidebar'", "div class='elementor-widget-container'", "div class='page sidebar-left'", "div class='md:flex hidden lg:block'"]
+    wrappers += ["section aria-label='How to share a login'", "div data-id='login' data-class=\"menu\"", "div title='a hidden gem'"]
+    for w in wrappers:
+        name = w.split()[0]
+        for a, b in (("<article>", "</article>"), ("", "")):
+            assert X.main_text(PAGE.format(open=f"<{w}>{a}", shut=f"{b}</{name}>"), X.DEFAULT) == WANT, w
+    for w in ("article class='post category-social tag-search'", "article class='post widget'", "main class='has-menu'"):
+        assert X.main_text(PAGE.format(open=f"<{w}>", shut=f"</{w.split()[0]}>"), X.DEFAULT) == WANT, w
+    for w in ("div hidden", "div style='display: none'", "div aria-hidden=true", "div class='share'", "div id=comments"):
+        page = PAGE.format(open="<article>", shut=f"<{w}><p>Not a part of it.</p></div></article>")
+        assert X.main_text(page, X.DEFAULT) == WANT, w
+
+
+def test_names_lower_the_score():
+    page = "<div class=content><p>" + "own " * 40 + "</p></div><hr><div class=comments><p>" + "said " * 60 + "</p></div>"
+    assert X.main_text(page, X.DEFAULT | {"named": 0.25, "tag:hr": -20.0}) == ("own " * 40).strip()
+    assert X.counts_of("<article><p>a b</p></article><div class=comments><p>c d e</p></div>")["named", False] == 3
+
+
 def simple(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S)
     return " ".join(entities.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") in ("b", "a") else " ", body[1])).split())

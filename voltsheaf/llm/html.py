@@ -5,7 +5,9 @@ heading, list, table, other; in a link or not) and tags negative by their name;
 finds the contiguous region of the largest sum.  The weights are log-odds counted on labelled
 pages: those that mark their article as one ``article`` element, a bounded sample of them.  Parts
 that markup itself names as no content (navigation, forms, adverts, comments and so on) score
-nothing and give no text wherever they stand.
+nothing and give no text wherever they stand.  Class, id and role only hint at that: they never
+shut an article element, a box around the one article or main element of a page, or a box that
+holds over half of its paragraph words; there they only lower the score of words, by a learnt factor.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space.  Null or empty html, and pages without positive region, give the empty
@@ -26,8 +28,8 @@ from voltsheaf.llm.common import arrow_map, as_batch, slices
 
 SAMPLE_PAGES = 2000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|([^<]+|<)""", re.S)
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 # fixed values: names of HTML elements, and words that class names give to parts around an article
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,15 +41,19 @@ NAMED = re.compile(
     re.I,
 )
 OUTSIDE_ARTICLE = re.compile(r"(?:^|[-_\s])(?:header|masthead|notice|notices|alert|side|meta)(?:$|[-_\s])", re.I)
+#: A class that starts so tells of the page or the topic and names no part: no-sidebar, tag-search.
+TELLS = re.compile(r"(?:no|not|has|with|without|category|tag)[-_]", re.I)
 CLOSES_P = BOXES - {"td", "th", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "html", "body", "head"}
-DEFAULT = {"word:p": 1.0, "word:head": 0.5, "word:list": 0.3, "word:table": 0.3, "word:other": 0.3, "word:link": 0.05}
+DEFAULT = {"word:p": 1.0, "word:head": 0.5, "word:list": 0.3, "word:table": 0.3, "word:other": 0.3, "word:link": 0.05, "named": 0.5}
 LEAST = 0.05
+#: Least factor of the score of words in a box that was kept though its names speak against it.
+LEAST_NAMED = 0.25
 
 
 def place_of(stack: list[list], link: int) -> str:
     if link:
         return "word:link"
-    for name, _, _ in reversed(stack):
+    for name, *_ in reversed(stack):
         if name == "p" or name in ("pre", "blockquote"):
             return "word:p"
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -61,10 +67,53 @@ def place_of(stack: list[list], link: int) -> str:
     return "word:other"
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts, as in browsers."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def speaks_against(attributes: dict[str, str], inside: bool) -> bool:
+    """Whether class, id or role name a part around an article."""
+    names = [n for key in ("class", "id", "role") for n in attributes.get(key, "").split() if not TELLS.match(n)]
+    return any(NAMED.search(n) or (not inside and OUTSIDE_ARTICLE.search(n)) for n in names)
+
+
 def tokens(page: str):
-    """(kind, text, shut, inside) of a page: kind is a word place or a tag name; shut: in a part
-    that is no content; inside: in an article element."""
-    stack: list[list] = []  # [name, shut, in article]
+    """(kind, text, shut, inside, named) of a page: kind is a word place or a tag name; shut: in a
+    part that is no content; inside: in an article element; named: in a box kept despite its names."""
+    held: dict[int, int] = {}  # words of paragraphs, and of all text but links, in each named box
+    held_any: dict[int, int] = {}
+    around: list[tuple[int, ...]] = []  # the named boxes around each article or main element
+    words = words_any = 0
+    for kind, text, shut, _, boxes in scanned(page, None):
+        if text is None:
+            if kind == "open":
+                around.append(boxes)
+        elif not shut and kind != "word:link":
+            n = len(text.split())
+            words_any += n
+            words += n if kind == "word:p" else 0
+            for k in boxes:
+                held_any[k] = held_any.get(k, 0) + n
+                held[k] = held.get(k, 0) + (n if kind == "word:p" else 0)
+    if not words:
+        words, held = words_any, held_any
+    keep = {k for k, n in held.items() if 2 * n > words}
+    if len(around) == 1:
+        keep.update(around[0])
+    for kind, text, shut, inside, boxes in scanned(page, keep):
+        if kind != "open":
+            yield kind, text, shut, inside, bool(boxes)
+
+
+def scanned(page: str, keep: set[int] | None):
+    """Tokens with the numbers of the open boxes that names speak against; those not in keep are
+    shut (None: none of them).  An article or main element that opens is told as kind "open"."""
+    stack: list[list] = []  # [name, shut, in article, named boxes]
+    number = 0
     link, raw = 0, None
     at = 0
     while at < len(page):
@@ -82,13 +131,14 @@ def tokens(page: str):
         at = m.end()
         shut = bool(stack) and stack[-1][1]
         inside = bool(stack) and stack[-1][2]
+        boxes = stack[-1][3] if stack else ()
         if text is not None:
-            yield place_of(stack, link), text, shut, inside
+            yield place_of(stack, link), text, shut, inside, boxes
             continue
         if m.group(2) is None:
             continue
         name, closing, attributes = m.group(2).lower(), bool(m.group(1)), m.group(3)
-        yield "tag:" + name, None, shut, inside
+        yield "tag:" + name, None, shut, inside, boxes
         if name == "a":
             link = 0 if closing else 1
         if not closing and name in RAW and not attributes.endswith("/"):
@@ -112,22 +162,27 @@ def tokens(page: str):
             stack.pop()
         shut = bool(stack) and stack[-1][1]
         inside = bool(stack) and stack[-1][2]
+        boxes = stack[-1][3] if stack else ()
+        number += 1
         if not shut:
-            hints = " ".join(next(x for x in h if x is not None) if any(x is not None for x in h) else "" for h in HINT.findall(attributes)) if attributes else ""
-            shut = name in NO_CONTENT or (name == "header" and not inside) or bool(attributes and HIDDEN.search(attributes))
-            if hints and not shut and name not in ("html", "body", "main"):
-                shut = bool(NAMED.search(hints)) or (not inside and bool(OUTSIDE_ARTICLE.search(hints)))
-        stack.append([name, shut, inside or (name in ("article", "main") and not shut)])
+            has = attributes_of(attributes) if attributes else {}
+            shut = name in NO_CONTENT or (name == "header" and not inside) or "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(has.get("style", "")))
+            if has and not shut and name not in ("html", "body", "main", "article") and speaks_against(has, inside):
+                shut = keep is not None and number not in keep
+                boxes = (*boxes, number)
+        if name in ("article", "main") and not shut and not inside:
+            yield "open", None, shut, inside, boxes
+        stack.append([name, shut, inside or (name in ("article", "main") and not shut), boxes])
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best region: a linear scan for the maximum-scoring subsequence."""
     kept: list[tuple[str, str | None]] = []
     best_sum, best_from, best_to, run_sum, run_from = 0.0, 0, 0, 0.0, 0
-    for kind, text, shut, _ in tokens(page):
+    for kind, text, shut, _, named in tokens(page):
         if text is not None:
             n = 0 if shut else len(text.split())
-            score = n * weights.get(kind, DEFAULT["word:other"])
+            score = n * weights.get(kind, DEFAULT["word:other"]) * (weights.get("named", DEFAULT["named"]) if named else 1.0)
         else:
             score = 0.0 if shut else weights.get(kind, -LEAST)
         kept.append((kind, None if shut else text))
@@ -148,11 +203,13 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 def counts_of(page: str) -> dict[tuple[str, bool], int]:
     """How often each kind stands inside and outside the article, of a page that has just one."""
     out: dict[tuple[str, bool], int] = {}
-    for kind, text, _, inside in tokens(page):
+    for kind, text, shut, inside, named in tokens(page):
         if kind in ("tag:article", "tag:main"):
             continue
         n = 1 if text is None else len(text.split())
         out[kind, inside] = out.get((kind, inside), 0) + n
+        if named and not shut and text is not None:
+            out["named", inside] = out.get(("named", inside), 0) + n
     return out
 
 
@@ -176,7 +233,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     # element names are few; odd ones of broken pages are not worth a weight
     table = arrow_map(labelled.select("html"), count, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
     found = table.orderBy(F.desc(F.col("a") + F.col("b")), "kind").limit(300).collect()
-    a, b = sum(r.a for r in found), sum(r.b for r in found)
+    a, b = (sum(r[x] for r in found if r.kind != "named") for x in ("a", "b"))
     weights = dict(DEFAULT)
     if not a:
         return weights
@@ -184,6 +241,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
         odds = math.log(((r.a + 1) / (a + 1)) / ((r.b + 1) / (b + 1)))
         if r.kind.startswith("word:"):
             weights[r.kind] = min(max(odds, LEAST), 1.0)
+        elif r.kind == "named":
+            weights[r.kind] = min(max(odds, LEAST_NAMED), 1.0)
         else:
             weights[r.kind] = max(min(odds, -LEAST), -2.0)
     return weights
