@@ -48,3 +48,17 @@ def test_foreign_archives(spark, tmp_path):
     warc.register(spark)
     rows = spark.read.format("warc").load(f"file://{tmp_path}").collect()
     assert len(rows) == 5 and all(bytes(r.payload) == b"hello" and r.record_id == "urn:a" for r in rows)
+
+
+def test_many_records_in_a_gzip_member(spark, tmp_path):
+    records = [f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {4 * n}\r\n\r\n".encode() + b"\r\n\r\n" * n + b"\r\n\r\n" for i, n in enumerate((0, 5, 900_000, 3, 1))]
+    whole = b"".join(records)
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "pairs.warc.gz").write_bytes(gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:])) + bytes(512))
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(gzip.compress(whole[k : k + 60_000]) for k in range(0, len(whole), 60_000)))
+    warc.register(spark)
+    want = [("urn:0", 0), ("urn:1", 20), ("urn:2", 3_600_000), ("urn:3", 12), ("urn:4", 4)]
+    for name in ("whole", "pairs", "cut"):
+        back = spark.read.format("warc").load(f"file://{tmp_path}/{name}.warc.gz")
+        assert sorted((r.record_id, len(r.payload)) for r in back.collect()) == want
+        assert [r.record_id for r in back.filter("record_id = 'urn:3'").collect()] == ["urn:3"]

@@ -129,6 +129,20 @@ def parsed(head: bytes) -> dict[str, str]:
     return out
 
 
+def inflated(f, at: int) -> Iterator[bytes]:
+    """All gzip members of a file from a place on, in pieces of at most 1 MB."""
+    f.seek(at)
+    inflate = zlib.decompressobj(31)
+    data = b""
+    while data or (data := f.read(1 << 16)):
+        if inflate.eof:
+            data = data.lstrip(b"\0")  # padding
+            inflate = zlib.decompressobj(31)
+            continue
+        yield inflate.decompress(data, 1 << 20)
+        data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
@@ -200,13 +214,16 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, READ_SCHEMA)
 
     def members(self, f, stop: int) -> Iterator[dict]:
-        """Records of gzip members; members of other writers tell no length and are inflated to their end."""
+        """Records of gzip members that tell their length, one in each; from a member of another writer
+        on, which may hold many records or a part of one, the file is inflated to its end."""
         at = f.tell()
         while at < stop:
             f.seek(at)
             front = f.read(4096)
-            told = front[:4] == b"\x1f\x8b\x08\x04" and front[12:14] == b"sl"
-            length = struct.unpack("<I", front[16:20])[0] if told else None
+            if not (front[:4] == b"\x1f\x8b\x08\x04" and front[12:14] == b"sl"):
+                yield from self.stream(inflated(f, at))
+                return
+            length = struct.unpack("<I", front[16:20])[0]
             inflate = zlib.decompressobj(31)
             plain = inflate.decompress(front[:length])
             while b"\r\n\r\n" not in plain and not inflate.eof and (more := f.read(65536)):
@@ -215,20 +232,42 @@ class WarcReader(DataSourceReader):
             headers = parsed(head)
             row = self.row(headers)
             keep = self.wanted(row)
-            need = keep and self.with_payload and row["record_type"] != "revisit"
-            if need or not told:
+            if keep and self.with_payload and row["record_type"] != "revisit":
                 parts = [rest]
-                while not inflate.eof and (more := f.read(1 << 16 if not told else max(1, at + length - f.tell()))):
-                    got = inflate.decompress(more)
-                    if need:
-                        parts.append(got)
-                if need:
-                    row["payload"] = self.payload(row, b"".join(parts)[: int(headers.get("content-length", 0))])
-            at = at + length if told else f.tell() - len(inflate.unused_data)
+                while not inflate.eof and (more := f.read(max(1, at + length - f.tell()))):
+                    parts.append(inflate.decompress(more))
+                row["payload"] = self.payload(row, b"".join(parts)[: int(headers.get("content-length", 0))])
+            at += length
             if keep and head:
                 yield row
-            if not told and not inflate.eof:
-                return
+
+    def stream(self, pieces: Iterator[bytes]) -> Iterator[dict]:
+        """Records of inflated bytes, one after another; unwanted blocks are not held."""
+        held = b""
+        while True:
+            held = held.lstrip(b"\r\n")
+            while b"\r\n\r\n" not in held:
+                if (more := next(pieces, None)) is None:
+                    return
+                held = (held + more).lstrip(b"\r\n")
+            head, _, held = held.partition(b"\r\n\r\n")
+            headers = parsed(head)
+            row, left = self.row(headers), int(headers.get("content-length", 0))
+            keep = self.wanted(row)
+            need = keep and self.with_payload and row["record_type"] != "revisit"
+            parts = []
+            while True:
+                part, held = held[:left], held[left:]
+                left -= len(part)
+                if need:
+                    parts.append(part)
+                if not left or (more := next(pieces, None)) is None:
+                    break
+                held = more
+            if need:
+                row["payload"] = self.payload(row, b"".join(parts))
+            if keep:
+                yield row
 
     def plain(self, f, stop: int) -> Iterator[dict]:
         """Records of a file that is not compressed; unwanted blocks are skipped by seeking."""
