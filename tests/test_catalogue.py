@@ -51,3 +51,13 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
     shutil.copytree(REPO, tmp_path / "repo", ignore=ignore)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+
+
+def test_upsert_merges_two_tables(spark, sf_small, monkeypatch):
+    seen = []
+    inner = catalogue.cohort.upsert
+    monkeypatch.setattr(catalogue.cohort, "upsert", lambda old, new, *a: seen.append((old, new)) or inner(old, new, *a))
+    catalogue.queries()["upsert_latest"](spark, sf_small)
+    old, new = (t.select("o_custkey").distinct() for t in seen[0])
+    assert old.join(new, "o_custkey").count() > 0 and old.subtract(new).count() > 0
+    assert seen[0][0].intersect(seen[0][1]).count() > 0

@@ -250,7 +250,10 @@ def except_subjects(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_totalprice DESC) AS n FROM orders) WHERE n = 1")
 def upsert_latest(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return cohort.upsert(rows.filter("o_orderkey < 0"), rows, ["o_custkey"], "o_orderkey")
+    # the new rows are the orders of the highest keys, and some of them are in the old table too
+    rows_and_mean = rows.crossJoin(F.broadcast(rows.agg(F.avg("o_orderkey").alias("mean"))))
+    old, new = rows_and_mean.filter("o_orderkey < 1.75 * mean"), rows_and_mean.filter("o_orderkey >= 1.5 * mean")
+    return cohort.upsert(old.drop("mean"), new.drop("mean"), ["o_custkey"], "o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, name AS feature, value FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))")
