@@ -39,6 +39,36 @@ def test_names_lower_the_score():
     assert X.counts_of("<article><p>a b</p></article><div class=comments><p>c d e</p></div>")["named", False] == 3
 
 
+def test_names_inside_an_article_drop_nothing():
+    parts = ["<div class='social'>{}</div>", "<section class='search'>{}</section>", "<p class='promo-code'>{}</p>", "<table class='ads'><tr><td>{}</td></tr></table>", "<p data-x='is hidden here'>{}</p>", "<p>{}</p>", "<div class='alert'>{}</div>"]
+    for k, part in enumerate(parts):
+        assert X.main_text(f"<article><p>before it all</p>{part.format('own words here')}<p>after it all</p></article>", X.DEFAULT) == "before it all own words here after it all", k
+    assert X.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", X.DEFAULT) == "so x=1 holds"
+
+
+def test_learnt_names(spark):
+    page = "<div class='qz'>not at all of it</div><article><p>one two three four</p><div class='menu'>five six seven</div></article><div class='menu-x'>a b</div>"
+    pages = spark.createDataFrame([(i, page) for i in range(30)], "page_id long, html string")
+    weights = X.fit(pages)
+    assert weights["name:qz"] < -3 and weights["name:menu"] > 0
+    # a name of the labelled articles stays, though a prior speaks against it; one from outside alone goes even inside
+    test = "<article><p>{}</p><div class='qz'>{}</div><div class='menu'>{}</div><p>{}</p></article>"
+    a, b, c, d = (" ".join(w * 40) for w in (["one"], ["two"], ["three"], ["four"]))
+    assert X.main_text(test.format(a, b, c, d), weights) == f"{a} {b} {c} {d}"
+    assert X.main_text(test.format(a, b, c, d), weights | {"name:qz": -8.0}) == f"{a} {c} {d}"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    tails = ["<a ", '<a "', "<a '", '<a ">" ', "<!", "<p", "</p", "<div>", "<ul><li>x", "<div class=ad>", "<a href='x\">", "<!--", "<nav><div></p>"]
+    for tail in tails:
+        page = "<article><p>one two</p></article>" + tail * (400_000 // len(tail))
+        began = time.time()
+        X.main_text(page, X.DEFAULT)
+        assert time.time() - began < 8, tail
+
+
 def simple(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S)
     return " ".join(entities.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") in ("b", "a") else " ", body[1])).split())

@@ -3,15 +3,21 @@
 A page is a sequence of words and tags.  Words score positive by where they stand (paragraph,
 heading, list, table, other; in a link or not) and tags negative by their name; one linear scan
 finds the contiguous region of the largest sum.  The weights are log-odds counted on labelled
-pages: those that mark their article as one ``article`` element, a bounded sample of them.  Parts
-that markup itself names as no content (navigation, forms, adverts, comments and so on) score
-nothing and give no text wherever they stand.  Class, id and role only hint at that: they never
-shut an article element, a box around the one article or main element of a page, or a box that
-holds over half of its paragraph words; there they only lower the score of words, by a learnt factor.
+pages: those that mark their article as one ``article`` element, a bounded sample of them.
+
+What a box is called (class, id, role) has a weight too: the log-odds of its words, counted on the
+labelled pages, on top of a prior for a few common names of adverts, comments, menus and the like,
+which the counts can overrule.  An article element speaks for what it holds.  A box whose weight is
+at most SHUT is no content: it scores nothing and gives no text wherever it stands.  Paragraphs,
+headings and list items are never judged by a name, nor is a box around the one article or main
+element of a page, or one that holds over half of its paragraph words; there, and above SHUT, a
+negative weight only lowers the score of words by a learnt factor.  Elements that are no content by
+definition (navigation, footers, forms, scripts, hidden parts and so on) give no text either.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space.  Null or empty html, and pages without positive region, give the empty
-text.  Unclosed and stray tags are tolerated; ties go to the earliest region.
+text.  Unclosed and stray tags are tolerated, a tag with an unclosed quote ends at its first ``>``,
+and the time is linear in the page whatever is broken; ties go to the earliest region.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,44 +34,32 @@ from pyspark.sql import functions as F
 from voltsheaf.llm.common import arrow_map, as_batch, slices
 
 SAMPLE_PAGES = 2000
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|([^<]+|<)""", re.S)
+#: An element or a name counts if it is on one of so many labelled pages at least, which bounds the weights.
+RARE = 200
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TEXT = re.compile(r"<[^<]*|[^<]+")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 # fixed values: names of HTML elements, and words that class names give to parts around an article
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "math"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+INLINE |= {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "semantics"}
 BOXES = {"article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "head", "header", "html", "li", "main", "menu", "nav", "ol", "section", "select", "button", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "p", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}
 NO_CONTENT = {"nav", "footer", "aside", "form", "head", "menu", "select", "button", "dialog", "fieldset"}
-NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adsense|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|copyright|disqus|dropdown|footer|gdpr|login|menu|modal|nav|navbar|navigation|navlinks|newsletter|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|search|searchbox|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|trending|widget|widgets|complementary|contentinfo)(?:$|[-_\s])",
-    re.I,
-)
-OUTSIDE_ARTICLE = re.compile(r"(?:^|[-_\s])(?:header|masthead|notice|notices|alert|side|meta)(?:$|[-_\s])", re.I)
+JUDGED = {"div", "section", "ul", "ol", "dl", "details", "figure", "header", "table", "td"}
+PRIOR = dict.fromkeys("ad advert adverts advertisement advertising adsense comment comments commentlist disqus reply replies respond share sharing consent cookie cookies gdpr newsletter".split(), -6.0)
+PRIOR |= dict.fromkeys("ads banner breadcrumb breadcrumbs copyright dropdown footer login menu modal nav navbar navigation navlinks pager pagination popup promo promoted recommended related search searchbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets complementary contentinfo header masthead notice notices alert side meta".split(), -3.0)
 #: A class that starts so tells of the page or the topic and names no part: no-sidebar, tag-search.
 TELLS = re.compile(r"(?:no|not|has|with|without|category|tag)[-_]", re.I)
 CLOSES_P = BOXES - {"td", "th", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "html", "body", "head"}
+PLACES = dict.fromkeys(("p", "pre", "blockquote"), "word:p") | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "word:head") | dict.fromkeys(("li", "dd", "dt"), "word:list") | dict.fromkeys(("td", "th"), "word:table") | dict.fromkeys(("div", "section", "article", "main", "body"), "word:other")
 DEFAULT = {"word:p": 1.0, "word:head": 0.5, "word:list": 0.3, "word:table": 0.3, "word:other": 0.3, "word:link": 0.05, "named": 0.5}
 LEAST = 0.05
 #: Least factor of the score of words in a box that was kept though its names speak against it.
 LEAST_NAMED = 0.25
-
-
-def place_of(stack: list[list], link: int) -> str:
-    if link:
-        return "word:link"
-    for name, *_ in reversed(stack):
-        if name == "p" or name in ("pre", "blockquote"):
-            return "word:p"
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            return "word:head"
-        if name in ("li", "dd", "dt"):
-            return "word:list"
-        if name in ("td", "th"):
-            return "word:table"
-        if name in ("div", "section", "article", "main", "body"):
-            break
-    return "word:other"
+#: A box of this weight or less is no content; what an article element adds; the largest weight of a name.
+SHUT, ARTICLE, MOST = -3.0, 3.0, 8.0
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -75,70 +70,119 @@ def attributes_of(source: str) -> dict[str, str]:
     return out
 
 
-def speaks_against(attributes: dict[str, str], inside: bool) -> bool:
-    """Whether class, id or role name a part around an article."""
-    names = [n for key in ("class", "id", "role") for n in attributes.get(key, "").split() if not TELLS.match(n)]
-    return any(NAMED.search(n) or (not inside and OUTSIDE_ARTICLE.search(n)) for n in names)
+def names_of(attributes: dict[str, str]) -> list[str]:
+    """Class names, id and roles that may name a part."""
+    return [n.lower() for key in ("class", "id", "role") for n in attributes.get(key, "").split() if not TELLS.match(n)]
+
+
+def weight_of(names: list[str], weights: dict[str, float]) -> float:
+    """The least weight of the names: what was learnt, on top of the prior of their words."""
+    return min((max(-MOST, min(MOST, weights.get("name:" + n, 0.0) + min(PRIOR.get(x, 0.0) for x in re.split("[-_]+", n)))) for n in names), default=0.0)
+
+
+def tag_stop(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends: at a ``>`` outside quotes, else at the first.
+
+    dead: quotes already known to lead to no end; they make broken pages linear.
+    """
+    i, seen = at, []
+    while m := STOP.search(page, i):
+        j = m.start()
+        if page[j] == ">":
+            return j
+        if j in dead:
+            break
+        seen.append(j)
+        i = page.find(page[j], j + 1) + 1
+        if not i:
+            break
+    dead.update(seen)
+    return page.find(">", at)
+
+
+class Box:
+    """An open box with names: its parent, what it is called, its weight, and the words it holds."""
+
+    __slots__ = ("parent", "names", "weight", "inside", "words", "paragraphs")
 
+    def __init__(self, parent: Box | None, names: list[str], weight: float, inside: bool) -> None:
+        self.parent, self.names, self.weight, self.inside, self.words, self.paragraphs = parent, names, weight, inside, [0, 0], 0
 
-def tokens(page: str):
+
+def tokens(page: str, weights: dict[str, float], boxes: list[Box] | None = None):
     """(kind, text, shut, inside, named) of a page: kind is a word place or a tag name; shut: in a
     part that is no content; inside: in an article element; named: in a box kept despite its names."""
-    held: dict[int, int] = {}  # words of paragraphs, and of all text but links, in each named box
-    held_any: dict[int, int] = {}
-    around: list[tuple[int, ...]] = []  # the named boxes around each article or main element
-    words = words_any = 0
-    for kind, text, shut, _, boxes in scanned(page, None):
+    boxes, around = [] if boxes is None else boxes, []
+    words = total = 0
+    for kind, text, shut, inside, box in scanned(page, weights, boxes, None):
         if text is None:
             if kind == "open":
-                around.append(boxes)
+                around.append(box)
         elif not shut and kind != "word:link":
             n = len(text.split())
-            words_any += n
+            total += n
             words += n if kind == "word:p" else 0
-            for k in boxes:
-                held_any[k] = held_any.get(k, 0) + n
-                held[k] = held.get(k, 0) + (n if kind == "word:p" else 0)
-    if not words:
-        words, held = words_any, held_any
-    keep = {k for k, n in held.items() if 2 * n > words}
+            if box is not None:
+                box.words[inside] += n
+                box.paragraphs += n if kind == "word:p" else 0
+    for box in reversed(boxes):  # a box comes after the one around it
+        if box.parent is not None:
+            box.parent.words[0] += box.words[0]
+            box.parent.words[1] += box.words[1]
+            box.parent.paragraphs += box.paragraphs
+    keep = {k for k, box in enumerate(boxes) if 2 * (box.paragraphs if words else sum(box.words)) > (words or total)}
     if len(around) == 1:
-        keep.update(around[0])
-    for kind, text, shut, inside, boxes in scanned(page, keep):
+        at, number = around[0], {id(box): k for k, box in enumerate(boxes)}
+        while at is not None:
+            keep.add(number[id(at)])
+            at = at.parent
+    for kind, text, shut, inside, box in scanned(page, weights, boxes, keep):
         if kind != "open":
-            yield kind, text, shut, inside, bool(boxes)
+            yield kind, text, shut, inside, box is not None and box.weight < 0
+
+
+def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[int] | None):
+    """Tokens with the innermost open box that has names.  The first scan (keep is None) fills boxes and
+    shuts none for its names, the second shuts those of weight SHUT that are not in keep.  An article
+    or main element that opens is told as kind "open"."""
+    # name, shut, index of the outermost shut one, in article, box, place of words
+    stack: list[tuple[str, bool, int, bool, Box | None, str]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
+    last, dead, met = page.rfind(">"), set(), 0
+    nothing = ("", False, -1, False, None, "word:other")
+    link, raw, at = 0, None, 0
 
+    def drop(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
 
-def scanned(page: str, keep: set[int] | None):
-    """Tokens with the numbers of the open boxes that names speak against; those not in keep are
-    shut (None: none of them).  An article or main element that opens is told as kind "open"."""
-    stack: list[list] = []  # [name, shut, in article, named boxes]
-    number = 0
-    link, raw = 0, None
-    at = 0
     while at < len(page):
         if raw is not None:
             end = re.compile(rf"</{re.escape(raw)}\s*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             raw = None
             continue
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            m = re.compile("<|[^<]+").match(page, at)
-            text = m.group()
-        else:
-            text = m.group(4)
-        at = m.end()
-        shut = bool(stack) and stack[-1][1]
-        inside = bool(stack) and stack[-1][2]
-        boxes = stack[-1][3] if stack else ()
-        if text is not None:
-            yield place_of(stack, link), text, shut, inside, boxes
+        _, shut, root, inside, box, place = stack[-1] if stack else nothing
+        text = tag = None
+        if page[at] != "<" or at > last:
+            text = TEXT.match(page, at).group()
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        if m.group(2) is None:
+        elif page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
             continue
-        name, closing, attributes = m.group(2).lower(), bool(m.group(1)), m.group(3)
-        yield "tag:" + name, None, shut, inside, boxes
+        elif (tag := TAG.match(page, at)) is None:
+            text = TEXT.match(page, at).group()
+        if text is not None:
+            at += len(text)
+            yield "word:link" if link else place, text, shut, inside, box
+            continue
+        stop = tag_stop(page, tag.end(), dead)
+        attributes, at = page[tag.end() : stop], stop + 1
+        name, closing = tag.group(2).lower(), bool(tag.group(1))
+        yield "tag:" + name, None, shut, inside, box
         if name == "a":
             link = 0 if closing else 1
         if not closing and name in RAW and not attributes.endswith("/"):
@@ -147,39 +191,38 @@ def scanned(page: str, keep: set[int] | None):
         if name not in BOXES:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    link = 0
-                    break
-                if stack[k][1] and not (k and stack[k - 1][1]) and stack[k][0] not in ("p", "li"):
-                    if name in ("p", "li", "td", "tr"):
-                        break  # a stray end inside a part that is no content
+            k = places[name][-1] if places[name] else -1
+            # a stray end inside a part that is no content does not leave it
+            stray = name in ("p", "li", "td", "tr") and k < root and stack[root][0] not in ("p", "li")
+            if k >= 0 and not stray:
+                drop(k)
+                link = 0
             continue
-        if stack and stack[-1][0] == "p" and name in CLOSES_P:
-            stack.pop()
-        if stack and name == "li" and stack[-1][0] == "li":
-            stack.pop()
-        shut = bool(stack) and stack[-1][1]
-        inside = bool(stack) and stack[-1][2]
-        boxes = stack[-1][3] if stack else ()
-        number += 1
+        if stack and (stack[-1][0] == "p" and name in CLOSES_P or name == "li" and stack[-1][0] == "li"):
+            drop(len(stack) - 1)
+            _, shut, root, inside, box, place = stack[-1] if stack else nothing
+        has = attributes_of(attributes) if attributes else {}
+        named = names_of(has) if has and name in JUDGED else []
+        if named:
+            if keep is None:
+                boxes.append(Box(box, named, weight_of(named, weights) + ARTICLE * inside, inside))
+            box = boxes[met]
+            met += 1
         if not shut:
-            has = attributes_of(attributes) if attributes else {}
             shut = name in NO_CONTENT or (name == "header" and not inside) or "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(has.get("style", "")))
-            if has and not shut and name not in ("html", "body", "main", "article") and speaks_against(has, inside):
-                shut = keep is not None and number not in keep
-                boxes = (*boxes, number)
+            shut = shut or bool(named and keep is not None and box.weight <= SHUT and met - 1 not in keep)
+            root = len(stack) if shut else -1
         if name in ("article", "main") and not shut and not inside:
-            yield "open", None, shut, inside, boxes
-        stack.append([name, shut, inside or (name in ("article", "main") and not shut), boxes])
+            yield "open", None, shut, inside, box
+        places[name].append(len(stack))
+        stack.append((name, shut, root, inside or (name in ("article", "main") and not shut), box, PLACES.get(name, place)))
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best region: a linear scan for the maximum-scoring subsequence."""
     kept: list[tuple[str, str | None]] = []
     best_sum, best_from, best_to, run_sum, run_from = 0.0, 0, 0, 0.0, 0
-    for kind, text, shut, _, named in tokens(page):
+    for kind, text, shut, _, named in tokens(page, weights):
         if text is not None:
             n = 0 if shut else len(text.split())
             score = n * weights.get(kind, DEFAULT["word:other"]) * (weights.get("named", DEFAULT["named"]) if named else 1.0)
@@ -202,15 +245,20 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 def counts_of(page: str) -> dict[tuple[str, bool], int]:
     """How often each kind stands inside and outside the article, of a page that has just one."""
-    out: dict[tuple[str, bool], int] = {}
-    for kind, text, shut, inside, named in tokens(page):
+    out: dict[tuple[str, bool], int] = defaultdict(int)
+    boxes: list[Box] = []
+    for kind, text, shut, inside, named in tokens(page, {}, boxes):
         if kind in ("tag:article", "tag:main"):
             continue
         n = 1 if text is None else len(text.split())
-        out[kind, inside] = out.get((kind, inside), 0) + n
+        out[kind, inside] += n
         if named and not shut and text is not None:
-            out["named", inside] = out.get(("named", inside), 0) + n
-    return out
+            out["named", inside] += n
+    for box in boxes:
+        for name in dict.fromkeys(box.names):
+            for inside in (False, True):
+                out["name:" + name, inside] += box.words[inside]
+    return dict(out)
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
@@ -219,21 +267,23 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     labelled = rows.filter(F.size(F.regexp_extract_all("html", F.lit("(?i)<article[\\s>]"), F.lit(0))) == 1)
     n = labelled.count()
     if n > sample_pages:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * sample_pages / n)
-    schema = pa.schema([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
+        labelled = labelled.filter(F.pmod(F.xxhash64("id", "html"), F.lit(1_000_000)) < 1_000_000 * sample_pages / n)
+    schema = pa.schema([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64()), ("pages", pa.int64())])
 
     def count(batches):
         for batch in batches:
-            total: dict[tuple[str, bool], int] = {}
+            total: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
             for page in batch.column("html").to_pylist():
                 for k, v in counts_of(page).items():
-                    total[k] = total.get(k, 0) + v
-            yield as_batch({"kind": [k[0][:40] for k in total], "inside": [k[1] for k in total], "n": list(total.values())}, schema)
+                    total[k][0] += v
+                    total[k][1] += 1
+            yield as_batch({"kind": [k[0] for k in total], "inside": [k[1] for k in total], "n": [v[0] for v in total.values()], "pages": [v[1] for v in total.values()]}, schema)
 
-    # element names are few; odd ones of broken pages are not worth a weight
-    table = arrow_map(labelled.select("html"), count, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
-    found = table.orderBy(F.desc(F.col("a") + F.col("b")), "kind").limit(300).collect()
-    a, b = (sum(r[x] for r in found if r.kind != "named") for x in ("a", "b"))
+    counted = arrow_map(labelled.select("html"), count, "kind string, inside boolean, n long, pages long")
+    table = counted.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"), F.sum("pages").alias("pages"))
+    found = table.filter(F.col("pages") * RARE >= min(n, sample_pages)).collect()
+    words = [r for r in found if r.kind.startswith(("word:", "tag:"))]
+    a, b = (sum(r[x] for r in words) for x in ("a", "b"))
     weights = dict(DEFAULT)
     if not a:
         return weights
@@ -243,6 +293,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
             weights[r.kind] = min(max(odds, LEAST), 1.0)
         elif r.kind == "named":
             weights[r.kind] = min(max(odds, LEAST_NAMED), 1.0)
+        elif r.kind.startswith("name:"):
+            weights[r.kind] = min(max(odds, -MOST), MOST)
         else:
             weights[r.kind] = max(min(odds, -LEAST), -2.0)
     return weights
