@@ -59,3 +59,31 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefgh1 end", 9, 1), (2, None, None, 1), (3, "token: " + "0123456789abcdef" * 2 + "!", 40, 1)], "doc_id long, text string, n_chars long, found int")
     rows = {r.doc_id: r for r in X.redact(docs).collect()}
     assert rows[1].text == "é [secret] end" and rows[1].n_chars == 14 and rows[2].text is None and rows[3].text == "[secret]!"
+
+
+def test_recall_where_secrets_are_rare(spark):
+    """Some 0.1 % of the tokens of a length class are keys, the rest are names of written words."""
+    rng = np.random.default_rng(11)
+    words = ["user", "handler", "configuration", "version", "cluster", "release", "module", "index", "error", "payment", "service", "gateway", "staging", "eu", "west", "backup", "daily", "report", "image", "cache"]
+    alphabets = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    keys = [(name, n, "".join(rng.choice(list(letters), n))) for name, letters in alphabets.items() for n in (40, 64) for _ in range(12)]
+    names = []
+    for i in range(30_000):
+        w = [str(x) for x in rng.choice(words, 4 + i % 4)] + [str(rng.integers(1, 2030))]
+        names.append("_".join(w) if i % 3 == 0 else "-".join(w) if i % 3 == 1 else "".join(x.capitalize() for x in w))
+    texts = dict(enumerate(["see " + k[2] for k in keys] + ["see " + n for n in names]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    found = {r.doc_id for r in X.scan(docs).filter("n_random > 0").collect()}
+    wrong = [i for i in found if i >= len(keys)]
+    for name, least in (("base62", 0.8), ("base36", 0.8), ("base32", 0.4)):
+        mine = [i for i, k in enumerate(keys) if k[0] == name]
+        assert sum(i in found for i in mine) >= least * len(mine), name
+    assert len(wrong) <= 0.1 * len(found)
+
+
+def test_many_spans_in_one_text(spark):
+    rng = np.random.default_rng(5)
+    letters = list("0123456789abcdef")
+    text = " ".join("".join(rng.choice(letters, 32)) + ("" if i % 3 else "=Z/" * 9) for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, "é" * 300 + " token=abcdefgh1"), (3, "0" * 200_000)], "doc_id long, text string")
+    verify(X.scan(docs).collect(), {r.doc_id: r.text for r in docs.collect()})

@@ -7,9 +7,12 @@ codes are put to three tests: chi-squared for a uniform alphabet, the number of
 below the middle code, and lag-one serial correlation.  A token is a secret if
 
 * no test rejects randomness (each at RANDOM_P / 3), and
-* under the null "written by a person", whose chi-squared grows with the length as text repeats
-  its letters, the token's p-value is small enough: Benjamini-Hochberg at FDR within each class of
-  length (powers of two), over all tokens of the corpus, from a histogram of log p-values.
+* under the null "written by a person" the token's p-value is small enough: Benjamini-Hochberg at FDR
+  within each class of length (powers of two), over all tokens of the corpus, from a histogram of
+  log p-values.  That p-value combines chi-squared, which grows with the length as text repeats its
+  letters, and the runs of capitals, small letters and digits, which are long in words and names.
+
+Time grows a little faster than the matches of a text (power 1.5): running positions are made block by block.
 
 Null text counts as empty.  Spans are code points, the end exclusive.  Repeated rows, ties and
 extra columns need no rule: rows are judged one by one, against thresholds for the whole corpus.
@@ -17,6 +20,7 @@ extra columns need no rule: rows are judged one by one, against thresholds for t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +50,12 @@ ENCODINGS = (
     ("mixed", "", LOWER.upper() + LOWER + DIGITS + "+/-_", TEXT_MATCH),
 )
 RANDOM_P, FDR = 0.003, 0.05
+#: How often neighbours of written text differ in kind (capital, small letter, digit): names of both cases, of one, and hex words.
+MIXED_CHANGE, PLAIN_CHANGE, HEX_CHANGE = 0.35, 0.12, 0.25
+#: Deviation of the sum of the two scores under the null, which go together a little (correlation 0.3).
+SUM_SD = 1.61
+#: Elements of a block of a running aggregate.
+RUN_BLOCK = 128
 #: Bins of -ln p a unit, and the last bin.
 FINE, LAST_BIN = 20, 2000
 
@@ -60,21 +70,50 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], row: Callable[[Column, Column], Column]) -> Column:
+    """Array of row(carry, item), carry being what step has made of zero and the items before; null without items.
+
+    Lists grow inside blocks alone, so no long list is copied again and again.
+    """
+
+    def whole(items: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN_BLOCK).cast("int")), lambda b: F.slice(items, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK)))
+
+        def list_of(carry: Column, out: Column) -> Column:
+            return F.struct(carry.alias("carry"), out.alias("out"))
+
+        def blocks(cut: Column) -> Column:
+            after = F.aggregate(cut, list_of(zero, F.array(zero)), lambda acc, x: bound(F.aggregate(x, acc["carry"], step), lambda c: list_of(c, F.concat(acc["out"], F.array(c)))), lambda acc: acc["out"])
+
+            def rows(block: Column, carry: Column) -> Column:
+                first = F.slice(block, 1, 1)
+                start = F.transform(first, lambda x: list_of(step(carry, x), F.array(row(carry, x))))
+                return F.aggregate(F.slice(block, 2, F.lit(RUN_BLOCK)), F.element_at(start, 1), lambda acc, x: list_of(step(acc["carry"], x), F.concat(acc["out"], F.array(row(acc["carry"], x)))), lambda acc: acc["out"])
+
+            return bound(after, lambda after: F.flatten(F.zip_with(cut, F.slice(after, F.lit(1), F.size(cut)), rows)))
+
+        return bound(cut, blocks)
+
+    return bound(items, lambda x: F.when(F.size(x) > 0, whole(x)))
+
+
 def located(text: Column, pattern: str, gate: str | None = None) -> Column:
     """Array of (start, stop, match) of all matches, from the matches and the text between them."""
-    step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint,match:string>>").alias("out"))
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("gap"))
     found = F.filter(found, lambda x: x["match"].isNotNull())
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["match"])
-        row = F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), x["match"].alias("match"))
-        return F.struct(stop.cast("long").alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def row(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("stop"), x["match"].alias("match"))
 
-    # F.concat copies the list: fine for the few matches of a text
-    all_of = F.aggregate(found, step, add, lambda acc: acc["out"])
-    return F.when(text.rlike(gate or pattern), all_of).otherwise(step["out"])
+    spans = running(found, F.lit(0).cast("long"), lambda at, x: at + F.length(x["gap"]) + F.length(x["match"]), row)
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,match:string>>")
+    return F.when(text.rlike(gate or pattern), F.coalesce(spans, none)).otherwise(none)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -85,47 +124,65 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of n, cls (length class), p_random (least of the three tests, two-sided) and p_text."""
+    """Struct of cls (length class), p_random (least of the three tests, two-sided) and p_text.
+
+    Every value that several others use is bound first: a lambda computes what it names for each element.
+    """
     bare = F.rtrim(token, F.lit("="))
     alphabet = reduce(lambda rest, e: F.when(bare.rlike(e[1]), F.lit(e[2])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][2]))
 
-    def judged(x: Column) -> Column:
+    def coded(x: Column) -> Column:
+        """The symbols as codes from 1 to k, and what the kinds of characters tell."""
+        codes = F.transform(F.regexp_extract_all(x["bare"], F.lit("."), F.lit(0)), lambda c: F.call_function("instr", x["alphabet"], c))
+        # words between separators count as joined: their ends are no evidence
+        plain = F.regexp_replace(x["bare"], "[+/_-]", "")
+        kinds = F.size(F.regexp_extract_all(plain, F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)))
+        k = F.length(x["alphabet"]).cast("double")
+        rate = F.when(k == 16, HEX_CHANGE).when(x["bare"].rlike("[a-z]") & x["bare"].rlike("[A-Z]"), MIXED_CHANGE).otherwise(PLAIN_CHANGE)
+        return bound(F.struct(codes.alias("codes"), k.alias("k"), F.greatest(F.length(plain), F.lit(2)).alias("n_plain"), kinds.alias("kinds"), rate.alias("rate")), summed)
+
+    def summed(x: Column) -> Column:
         codes, k = x["codes"], x["k"]
         n = F.size(codes).cast("double")
-        counts = F.transform(F.sequence(F.lit(1), k), lambda v: F.size(F.filter(codes, lambda c: c == v)).cast("double"))
-        chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c - n / k) * (c - n / k) / (n / k))
-        # the cube root of chi-squared over its degrees is near normal (Wilson and Hilferty)
-        spread = 2.0 / (9.0 * (k - 1))
-        z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1.0 - spread)) / F.sqrt(spread)
-        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         high = F.size(F.filter(codes, lambda c: c * 2 > k)).cast("double")
-        runs = F.size(F.filter(pairs, lambda p: (p["a"] * 2 > k) != (p["b"] * 2 > k))) + 1.0
-        mu = 2.0 * high * (n - high) / n + 1.0
-        var = (mu - 1.0) * (mu - 2.0) / (n - 1.0)
-        z_runs = F.when(var > 0, (runs - mu) / F.sqrt(var)).otherwise(F.lit(9.0))
         mean = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
+        # how often each symbol of the token stands in it
+        squares = F.aggregate(F.transform(F.array_distinct(codes), lambda c: n - F.size(F.array_remove(codes, c))), F.lit(0.0), lambda s, c: s + c * c)
+        held = F.struct(codes.alias("codes"), k.alias("k"), n.alias("n"), high.alias("high"), mean.alias("mean"), (squares * k / n - n).alias("chi"), x["n_plain"].alias("n_plain"), x["kinds"].alias("kinds"), x["rate"].alias("rate"))
+        return bound(held, tested)
+
+    def tested(x: Column) -> Column:
+        codes, k, n, high, mean = (x[c] for c in ("codes", "k", "n", "high", "mean"))
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(((a * 2 > k) != (b * 2 > k)).cast("int").alias("turn"), ((a - mean) * (b - mean)).alias("both")))
+        sums = F.aggregate(pairs, F.struct(F.lit(1.0).alias("runs"), F.lit(0.0).alias("serial")), lambda s, p: F.struct((s["runs"] + p["turn"]).alias("runs"), (s["serial"] + p["both"]).alias("serial")))
         power = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
-        z_serial = F.when(power > 0, serial / power * F.sqrt(n)).otherwise(F.lit(9.0))
-        # under "written text" chi-squared is non-central, by the length times the excess of agreements
-        shift = n * (k * F.when(k == 16, HEX_MATCH).otherwise(TEXT_MATCH) - 1.0)
-        expected = (k - 1) + shift
-        sd = F.sqrt(2.0 * (k - 1) + 4.0 * shift)
-        p_random = F.least(upper_tail(z_chi), 2.0 * upper_tail(F.abs(z_runs)), 2.0 * upper_tail(F.abs(z_serial)))
-        p_text = upper_tail((expected - chi) / sd)
-        return F.struct(F.floor(F.log2(n)).cast("int").alias("cls"), p_random.alias("p_random"), p_text.alias("p_text"))
+        mu = 2.0 * high * (n - high) / n + 1.0
+        var = (mu - 1.0) * (mu - 2.0) / (n - 1.0)
+        # the cube root of chi-squared over its degrees is near normal (Wilson and Hilferty)
+        spread = 2.0 / (9.0 * (k - 1))
+        z_chi = (F.pow(x["chi"] / (k - 1), F.lit(1 / 3)) - (1.0 - spread)) / F.sqrt(spread)
+
+        def scored(y: Column) -> Column:
+            z_runs = F.when(y["var"] > 0, (y["s"]["runs"] - y["mu"]) / F.sqrt(y["var"])).otherwise(F.lit(9.0))
+            z_serial = F.when(y["power"] > 0, y["s"]["serial"] / y["power"] * F.sqrt(n)).otherwise(F.lit(9.0))
+            # under "written text" chi-squared is non-central, by the length times the excess of agreements
+            shift = n * (k * F.when(k == 16, HEX_MATCH).otherwise(TEXT_MATCH) - 1.0)
+            z_text = (k - 1 + shift - x["chi"]) / F.sqrt(2.0 * (k - 1) + 4.0 * shift)
+            rate, n_plain = x["rate"], x["n_plain"].cast("double") - 1.0
+            z_kinds = (x["kinds"] - 1.0 - n_plain * rate) / F.sqrt(n_plain * rate * (1.0 - rate))
+            z = F.struct(y["z_chi"].alias("chi"), F.abs(z_runs).alias("runs"), F.abs(z_serial).alias("serial"), ((z_text + z_kinds) / SUM_SD).alias("text"))
+            return bound(z, lambda z: F.struct(F.floor(F.log2(n)).cast("int").alias("cls"), F.least(upper_tail(z["chi"]), 2.0 * upper_tail(z["runs"]), 2.0 * upper_tail(z["serial"])).alias("p_random"), upper_tail(z["text"]).alias("p_text")))
 
-    codes = F.transform(F.regexp_extract_all(bare, F.lit("."), F.lit(0)), lambda c: F.call_function("instr", alphabet, c))
-    start = F.struct(codes.alias("codes"), F.length(alphabet).alias("k"))
-    return F.element_at(F.transform(F.array(start), judged), 1)
+        return bound(F.struct(sums.alias("s"), power.alias("power"), mu.alias("mu"), var.alias("var"), z_chi.alias("z_chi")), scored)
+
+    return bound(F.struct(bare.alias("bare"), alphabet.alias("alphabet")), coded)
 
 
 def candidates(text: Column) -> Column:
     """Located tokens with their battery results: array of (start, stop, cls, p_random, p_text)."""
 
     def row(s: Column) -> Column:
-        b = battery(s["match"])
-        return F.element_at(F.transform(F.array(b), lambda r: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), r["cls"].alias("cls"), r["p_random"].alias("p_random"), r["p_text"].alias("p_text"))), 1)
+        return bound(battery(s["match"]), lambda r: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), r["cls"].alias("cls"), r["p_random"].alias("p_random"), r["p_text"].alias("p_text")))
 
     return F.transform(located(text, TOKEN), row)
 
@@ -163,10 +220,17 @@ def all_spans(text: Column, least: dict[int, int], random_p: float = RANDOM_P) -
     good = F.filter(candidates(text), lambda c: (c["p_random"] >= random_p / 3) & F.coalesce(bin_of(c["p_text"]) >= limit[c["cls"]], F.lit(False)))
 
     def beside(held: Column) -> Column:
-        extra = F.filter(good, lambda c: ~F.exists(held, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-        return F.array_sort(F.concat(held, F.transform(extra, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["stop"].alias("stop")))))
+        both = F.array_sort(F.concat(held, F.transform(good, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["stop"].alias("stop")))))
+
+        def apart(both: Column) -> Column:
+            # a token is dropped if a base span before it reaches into it, or one after it begins inside
+            reach = running(both, F.lit(0).cast("long"), lambda at, s: F.when(s["rank"] < 3, F.greatest(at, s["stop"])).otherwise(at), lambda at, s: F.struct(s.alias("s"), (at > s["start"]).alias("hit")))
+            ahead = running(F.reverse(reach), F.lit(2**62), lambda at, r: F.when(r["s"]["rank"] < 3, r["s"]["start"]).otherwise(at), lambda at, r: F.struct(r["s"].alias("s"), (r["hit"] | (at < r["s"]["stop"])).alias("hit")))
+            return F.transform(F.filter(F.reverse(ahead), lambda r: (r["s"]["rank"] < 3) | ~r["hit"]), lambda r: r["s"])
+
+        return bound(both, lambda b: F.when(F.exists(b, lambda s: s["rank"] == 3), apart(b)).otherwise(b))
 
-    return F.element_at(F.transform(F.array(base), beside), 1)
+    return bound(base, beside)
 
 
 def digest(spans: Column) -> Column:
