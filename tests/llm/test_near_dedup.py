@@ -61,7 +61,7 @@ def test_collision_rate_is_weighted_jaccard():
         s = X.bag_min_hash([" ".join(a), " ".join(b)], 512)
         want = jaccard(bag(" ".join(a)), bag(" ".join(b)))
         errors.append(float((s[0] == s[1]).mean()) - want)
-        assert abs(X.overlap(" ".join(a), " ".join(b)) - want) < 1e-12
+        assert abs(X.overlap(*X.bags([" ".join(a), " ".join(b)])) - want) < 1e-12
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: long documents then stay within tens of MB of a Python worker.
-ARROW_ROWS = 1000
-#: A key table of at most this many rows is broadcast (16 to 40 bytes a row); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
+#: A key table of at most this many bytes is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 48 << 20
+#: Bytes that a value of a type takes in a broadcast relation; strings and binaries are keys of up to 64 bytes.
+WIDTHS = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 80, "binary": 48}
+#: Paths written since each temporary() block that is open began, the innermost last.
+_open_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share.
+
+    Where the session names none, a local master gets a folder of its own; on a cluster that is an
+    error, since what executors write to their own disks cannot be read back by others.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="voltsheaf-")
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -32,24 +44,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voltsheaf/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it survives lost executors and is computed once."""
+def written(df: DataFrame, name: str, outlast: bool = False) -> DataFrame:
+    """df as a table in the shared folder: it survives lost executors and is computed once.
+
+    Inside a temporary() block it goes with the block, or if it is to outlast it, with the block
+    around that one; outside it stays until the folder is cleaned.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    blocks = _open_blocks.get()
+    if len(blocks) > outlast:
+        blocks[-2 if outlast else -1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at its end the tables that were written inside; what lasts must not read them."""
+    mine: list[str] = []
+    token = _open_blocks.set((*_open_blocks.get(), mine))
+    try:
+        yield
+    finally:
+        _open_blocks.reset(token)
+        for path in mine:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, None) or 10000)
-    if now <= 0 or now > ARROW_ROWS:  # 0 and below: no bound
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound Arrow batches by rows and bytes, unless the session already asks for smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(key, None) or 0)
+        if not now.isdigit() or not 0 < int(now) <= most:  # 0 and below: no bound
+            spark.conf.set(key, str(most))
+
+
+def row_bytes(df: DataFrame) -> int:
+    """About what a row of a table of flat keys takes in a broadcast relation."""
+    return 32 + sum(sum(WIDTHS.get(g.dataType.simpleString(), 48) for g in f.dataType.fields) if f.dataType.typeName() == "struct" else WIDTHS.get(f.dataType.simpleString(), 48) for f in df.schema.fields)
 
 
-def sized_broadcast(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """keys with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffled join)."""
+def sized_broadcast(keys: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """keys with a broadcast hint if it takes at most ``most_bytes``, else as it is (a shuffled join)."""
+    most = most_bytes // row_bytes(keys)
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 

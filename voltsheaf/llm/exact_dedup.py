@@ -14,6 +14,7 @@ smaller than any other.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltsheaf.llm.common import arrow_map, as_batch, sized_broadcast, slices, utf8_parts, written
+from voltsheaf.llm.common import arrow_map, as_batch, sized_broadcast, slices, temporary, utf8_parts, written
 
 MODULUS = 2**31 - 1
 BASES = (1_566_083_941, 911_382_323)
@@ -141,7 +142,10 @@ def exact_groups(docs: DataFrame, modulus: int = MODULUS, piece_chars: int = PIE
         found = groups.withColumn("exact", F.lit("").cast("binary"))
     else:
         inside = rows.join(sized_broadcast(clash), KEY, "left_semi")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("exact")).withColumn("text_sha256", F.sha2("exact", 256)).distinct()
+        # only texts of groups that collide are shuffled
+        those = sized_broadcast(written(inside.select("doc_id", "text_sha256").distinct(), "collided-rows"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("exact")).withColumn("text_sha256", F.sha2("exact", 256))
+        texts = texts.join(those, texts.doc_id.eqNullSafe(those.doc_id) & (texts.text_sha256 == those.text_sha256), "left_semi").distinct()
         inside = inside.join(texts, inside.doc_id.eqNullSafe(texts.doc_id) & (inside.text_sha256 == texts.text_sha256)).select(inside["*"], F.col("exact").cast("binary").alias("exact"))
         keyed = rows.join(sized_broadcast(clash), KEY, "left_anti").withColumn("exact", F.lit("").cast("binary")).unionByName(inside)
         split = inside.groupBy(*KEY, "exact").agg(best, F.count("*").alias("group_size")).filter("group_size > 1")
@@ -156,23 +160,24 @@ def exact_groups(docs: DataFrame, modulus: int = MODULUS, piece_chars: int = PIE
     )
 
 
-def keep_marked(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs that verdict (doc_id, text_sha256, kept: a row for each) marks kept.
+def keep_marked(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that judge(docs) (doc_id, text_sha256, kept: a row for each) marks kept.
 
     Rows leave by an anti-join on the ids to drop.  Where ids occur on several rows, rows are met by
     id and text and reduced to one each.
     """
-    verdict = written(verdict.select("doc_id", "text_sha256", "kept"), "verdict")
+    with temporary(docs.sparkSession):
+        verdict = written(judge(docs).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "verdict", outlast=True)
     several = verdict.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1)
     if several.isEmpty():
         gone = sized_broadcast(verdict.filter(~F.col("kept")).select("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    hashed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+    hashed = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    kept = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__kept_sha"))
     left = hashed.join(kept, hashed.doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
     return left.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of equal texts; the columns stay as they are."""
-    return keep_marked(docs, exact_groups(docs))
+    return keep_marked(docs, exact_groups)

@@ -8,16 +8,18 @@ strips, and of the strip that w cuts those of lesser height.  Each component kee
 a process stops once its next point lies beyond all components.  Two texts agree in a component
 with a probability equal to their weighted Jaccard similarity, the multiset overlap.
 
-The first BANDED components are banded.  Every text is first compared with the least text of its
-buckets; the links found make classes.  Where a bucket still holds several classes, its texts are
-compared block by block by their signatures, and each text outside the bucket's commonest class is
-verified against those of other classes that agree with it best: TOP of them in the first round,
-more in the next, and in the last all that may reach the threshold, by when few are left.  All
-links are verified on the multisets of the whole texts.  Equal texts are taken together first.
-Classes are connected components.
+The first BANDED components are banded.  A text that shares buckets with many is central; each text
+is first compared with the most and the least central of the centres of its buckets, and the links
+found make classes, in groups of copies of one original nearly all of them.  Where a bucket still
+holds several classes, its texts outside its commonest class are set against all of it, block by
+block by their signatures, and verified against those of other classes that agree with them best:
+TOP of them in the first rounds, and in the last all that may reach the threshold, by when few are
+left.  All links are verified on the multisets of the whole texts.  Equal texts are taken together
+first.  Classes are connected components.
 
 Null text counts as empty; texts without words are only near texts equal to them.  Texts of fewer
 than five words have one shingle of all their words.  A null doc_id is smaller than any other.
+A text is hashed in one piece, some 100 bytes of a worker's memory for each of its words.
 """
 
 from __future__ import annotations
@@ -27,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltsheaf.llm.common import arrow_map, as_batch, mix64, sized_broadcast, slices, written
+from voltsheaf.llm.common import arrow_map, as_batch, mix64, sized_broadcast, slices, temporary, written
 from voltsheaf.llm.fingerprints import shingles, word_hashes
 
 SIZE, BANDED, ROWS = 512, 128, 4
 THRESHOLD = 0.8
-#: Pairs of texts whose signatures, of two bits a component, estimate less are below the threshold
-#: (4 deviations of 0.021).
-ESTIMATE = 0.716
+#: Pairs of texts whose signatures, of four bits a component, estimate less are below the threshold
+#: (4 deviations of 0.0184).
+ESTIMATE = 0.726
 BLOCK = 256
 #: Rounds: how many bands they look at, and how many texts of other classes each text is verified
 #: against; the last looks at all bands and takes all texts.
-TURNS = ((4, 2), (8, 8), (BANDED // ROWS, None))
+TURNS = ((8, 4), (BANDED // ROWS, None))
 
 
 def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,19 +78,24 @@ def bag_min_hash(texts: list[str], size: int = SIZE) -> np.ndarray:
     return least.reshape(-1, size)
 
 
-def overlap(a: str, b: str) -> float:
-    """Multiset overlap of two texts: the sum of least weights over the sum of greatest."""
-    row, h, w = weighted([a, b])
-    left, right = row == 0, row == 1
-    _, i, j = np.intersect1d(h[left], h[right], assume_unique=True, return_indices=True)
-    both = float(np.minimum(w[left][i], w[right][j]).sum())
-    total = float(w.sum()) - both
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Multiset overlap of two texts, given as hashes and weights: the sum of least weights over the sum of greatest."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = float(np.minimum(a[1][i], b[1][j]).sum())
+    total = float(a[1].sum() + b[1].sum()) - both
     return both / total if total else 0.0
 
 
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and weights of the shingles of each text."""
+    row, h, w = weighted(texts)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1))
+    return [(h[i:j], w[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, bands (null without words), sig (2 bits a component)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """doc_id, row (a number for each row), sha, bands (null without words), sig (4 bits a component)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         for batch in slices(batches, 1 << 22, "text"):
@@ -98,12 +105,20 @@ def signed(docs: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + bits[:, k:BANDED:ROWS] + np.arange(BANDED // ROWS, dtype=np.uint64))
             some = np.isfinite(least[:, 0])
-            two = (bits & np.uint64(3)).astype(np.uint8).reshape(len(least), -1, 4)
-            sig = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
-            yield as_batch({"doc_id": batch.column("doc_id"), "text_sha256": batch.column("text_sha256"), "bands": [b if ok else None for b, ok in zip(band.view(np.int64).tolist(), some.tolist())], "sig": [s.tobytes() for s in sig]}, schema)
+            four = (bits & np.uint64(15)).astype(np.uint8)
+            sig = four[:, 0::2] | four[:, 1::2] << 4
+            ends = pa.array(np.r_[0, np.cumsum(some * band.shape[1])], pa.int32(), mask=np.r_[~some, False])
+            bands = pa.ListArray.from_arrays(ends, pa.array(band[some].view(np.int64).ravel()))
+            yield as_batch({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "sha": batch.column("sha"), "bands": bands, "sig": [s.tobytes() for s in sig]}, schema)
+
+    rows = keyed(docs).withColumn("row", F.monotonically_increasing_id())
+    return arrow_map(rows.select("doc_id", "row", "sha", "text"), run, "doc_id long, row long, sha binary, bands array<long>, sig binary")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
-    return arrow_map(rows.select("doc_id", "text_sha256", "text"), run, "doc_id long, text_sha256 string, bands array<long>, sig binary")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and sha, the digest of the text that tells equal texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,19 +131,21 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    last = state(edges)
-    while last[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct().checkpoint()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        now = state(edges)
-        if now == last:
-            break
-        last = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with temporary(edges.sparkSession):
+        edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        last = state(edges)
+        while last[0]:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = written(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large-star")
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            edges = written(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+            now = state(edges)
+            if now == last:
+                break
+            last = now
+        found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        return written(found, "components", outlast=True)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -136,8 +153,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_())])
 
     def run(batches):
-        for batch in slices(batches, 1 << 23, "x"):
-            near = [overlap(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        for batch in slices(slices(batches, 1 << 22, "x"), 1 << 22, "y"):
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            texts = dict(zip(a, x)) | dict(zip(b, y))  # each text of a batch is hashed once
+            bag = dict(zip(texts, bags(list(texts.values()))))
+            near = [overlap(bag[i], bag[j]) >= threshold for i, j in zip(a, b)]
             yield as_batch({"a": batch.column("a"), "b": batch.column("b"), "near": near}, schema)
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -146,31 +166,62 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Similarity of one packed signature to many: equal pairs of bits, less those equal by chance."""
+    """Similarity of packed signatures: equal fours of bits, less those equal by chance."""
     x = one ^ many
-    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
-    return (1 - differ / SIZE - 0.25) / 0.75
+    x |= x >> np.uint64(2)
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1111111111111111)).sum(1)
+    return (1 - differ / SIZE - 1 / 16) / (15 / 16)
+
+
+def stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b: each text with the most and the least central centre of its buckets, where signatures allow it.
+
+    members: band, node, k (the bucket's size).  How many texts one shares its buckets with tells how
+    central it is; the centre of a bucket is its most central text (ties: the largest node).
+    """
+    central = members.groupBy("node").agg(F.sum("k").alias("pop"))
+    centres = members.select("band", "node").join(central, "node").groupBy("band").agg(F.max(F.struct("pop", "node")).alias("c"))
+    two = members.select("band", "node").join(sized_broadcast(written(centres, "centres")), "band").groupBy("node").agg(F.max("c").alias("most"), F.min("c").alias("least"))
+    pairs = two.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("most.node", "least.node"))).alias("b")).filter("a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            yield batch.filter(pa.array(estimates(x, y) >= ESTIMATE)).select(["a", "b"]).cast(schema)
 
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
-def block_pairs(members: DataFrame, top: int | None) -> DataFrame:
+
+def block_pairs(members: DataFrame, sigs: DataFrame, top: int | None) -> DataFrame:
     """a, b: pairs of different classes in one bucket whose signatures agree enough.
 
-    members: band, j (which band), node, cls, sig, bands (those before j, 31 bits each).  In each bucket the texts
+    members: band, j (which band), node, cls; sigs: node, sig, bands.  In each bucket the texts
     outside its commonest class are set against all, BLOCK by BLOCK, so that pairs are never rows
     before their signatures are compared; each such text gives its ``top`` best partners, or all.
-    A pair counts in the first bucket that it shares alone.
+    A pair counts in the first bucket that it shares alone.  Signatures travel only to buckets of
+    several classes.
     """
     split = members.groupBy("band", "cls").agg(F.count("*").alias("k"))
-    shape = split.groupBy("band").agg(F.max_by("cls", F.struct("k", "cls")).alias("common"), F.sum("k").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-    placed = members.join(sized_broadcast(shape.checkpoint()), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long")))
+    shape = split.groupBy("band").agg(F.max(F.struct("k", "cls")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+    shape = written(shape.select("band", F.col("top.cls").alias("common"), "n", (F.col("n") - F.col("top.k")).alias("others")), "buckets-of-classes")
+    placed = members.join(sized_broadcast(shape), "band").join(sigs, "node")
+    # of the bands before j, 31 bits each
+    low = F.transform(F.slice("bands", F.lit(1), F.col("j")), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    placed = placed.select("band", "j", "common", "n", "others", F.struct("node", "cls", "sig", low.alias("bands")).alias("m"))
     # a block of texts is one row: blocks of a bucket meet, never texts
-    row = F.struct("node", "cls", "sig", "bands")
-    blocks = placed.groupBy("band", "j", "block", "common").agg(F.collect_list(row).alias("y"))
-    asked = blocks.select("band", F.expr("filter(y, m -> m.cls <> common)").alias("x")).filter(F.size("x") > 0)
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("m.node"), F.ceil(F.col(size) / BLOCK).cast("long"))
+        return rows.groupBy("band", "j", block.alias("block")).agg(F.collect_list("m").alias(name)).drop("block")
+
+    asked = blocks(placed.filter("m.cls <> common"), "others", "x").drop("j")
     schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("est", pa.float64())])
 
     def side(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        sig = np.stack([np.frombuffer(m["sig"], np.uint64) for m in rows])
+        sig = np.frombuffer(b"".join([m["sig"] for m in rows]), np.uint64).reshape(len(rows), -1)
         return (sig, *(np.array([m[c] for m in rows]) for c in ("cls", "node", "bands")))
 
     def run(batches):
@@ -190,7 +241,7 @@ def block_pairs(members: DataFrame, top: int | None) -> DataFrame:
                     out["est"] += est[hit].tolist()
                 yield as_batch(out, schema)
 
-    pairs = arrow_map(asked.join(blocks.select("band", "j", "y"), "band").select("j", "x", "y"), run, "q long, p long, est double")
+    pairs = arrow_map(asked.join(blocks(placed, "n", "y"), "band").select("j", "x", "y"), run, "q long, p long, est double")
     if top is not None:
         pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("est"), "p"))).filter(F.col("place") <= top)
     return pairs.select(F.greatest("q", "p").alias("a"), F.least("q", "p").alias("b")).distinct()
@@ -201,45 +252,48 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     One row of each class is kept, a row of class_id.
     """
-    rows = written(signed(docs), "bag-min-hash").withColumn("row", F.monotonically_increasing_id())
-    nodes = rows.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    banded = nodes.select("node", F.posexplode("bands").alias("j", "band"))
-    buckets = sized_broadcast(banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("k")).filter("k > 1").select("band", "b").checkpoint())
-    members = written(banded.join(buckets, "band"), "buckets")
-    stars = members.filter("node <> b").select(F.col("node").alias("a"), "b")
-
-    needed = sized_broadcast(members.select("node").distinct().checkpoint())
-    wanted = nodes.join(needed, "node", "left_semi").select("node", F.col("text_sha256").alias("sha"), F.col("best.doc_id").alias("id"))
-    wanted = sized_broadcast(wanted.checkpoint())
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = source.join(wanted, source.doc_id.eqNullSafe(F.col("id")) & (F.sha2("text", 256) == F.col("sha"))).select("node", "text")
-    texts = written(found, "texts").dropDuplicates(["node"])
-
-    tried = verified(stars.groupBy("a").agg(F.min("b").alias("b")), texts, threshold)
-    label = components(tried.filter("near")).checkpoint()
-    sigs = nodes.join(needed, "node", "left_semi").select("node", "sig", "bands")
-    for bands, top in TURNS:
-        low = F.transform(F.slice("bands", F.lit(1), F.col("j")), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-        inside = members.filter(F.col("j") < bands).select("band", "j", "node").join(label, "node", "left").join(sigs, "node").select("band", "j", "node", F.coalesce("root", "node").alias("cls"), "sig", low.alias("bands"))
-        fresh = block_pairs(inside, top).join(tried.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
-        if fresh.isEmpty():
-            if top is None:
-                break
-            continue
-        tried = tried.unionByName(verified(fresh, texts, threshold))
-        label = components(tried.filter("near")).checkpoint()
-
-    whole = nodes.select("text_sha256", "node", "best", "n").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = whole.select("text_sha256", "root", "best", "n").checkpoint()
-    groups = whole.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("group_size")).filter("group_size > 1").checkpoint()
-    table = sized_broadcast(whole.select("text_sha256", "root").join(sized_broadcast(groups), "root").select("text_sha256", "first", "group_size").checkpoint())
-    return rows.join(table, "text_sha256", "left").select(
+    spark = docs.sparkSession
+    rows = written(signed(docs), "bag-min-hash")
+    with temporary(spark):
+        # equal texts are one node, the least of their rows
+        same = written(rows.groupBy("sha").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "equal-texts")
+        copies = written(rows.select("sha", "row").join(sized_broadcast(same.select("sha", "node")), "sha").filter("row <> node").select(F.col("row").alias("node")), "copies")
+        nodes = rows.withColumnRenamed("row", "node").join(sized_broadcast(copies), "node", "left_anti")
+        banded = nodes.select("node", F.posexplode("bands").alias("j", "band"))
+        buckets = written(banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "buckets")
+        members = written(banded.join(sized_broadcast(buckets), "band"), "members")
+        needed = sized_broadcast(written(members.select("node").distinct(), "needed"))
+        chosen = nodes.join(needed, "node", "left_semi")
+        sigs = chosen.select("node", "sig", "bands")
+        wanted = sized_broadcast(written(chosen.select("node", "sha", F.col("doc_id").alias("id")), "wanted"))
+        source = keyed(docs)
+        found = source.join(wanted, (source.sha == wanted.sha) & source.doc_id.eqNullSafe(F.col("id"))).select("node", "text")
+        texts = written(found.dropDuplicates(["node"]), "texts")
+
+        tried = verified(written(stars(members, sigs), "stars"), texts, threshold)
+        label = components(tried.filter("near"))
+        for bands, top in TURNS:
+            inside = members.filter(F.col("j") < bands).select("band", "j", "node").join(label, "node", "left").select("band", "j", "node", F.coalesce("root", "node").alias("cls"))
+            fresh = written(block_pairs(inside, sigs, top).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if fresh.isEmpty():
+                continue
+            seen = verified(fresh, texts, threshold)
+            tried = tried.unionByName(seen)
+            label = components(seen.filter("near").select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+        # of each class of several rows: whose it is, and what they know of it
+        linked = label.join(nodes.select("node", "sha", F.struct("doc_id", F.col("node").alias("row")).alias("own")), "node")
+        alone = same.join(label.select("node"), "node", "left_anti").select("sha", F.col("node").alias("root"), "best", "n")
+        known = linked.join(same.select("node", "best", "n"), "node", "left").select("sha", "root", F.coalesce("best", "own").alias("best"), F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+        whole = written(known.unionByName(alone), "classes")
+        groups = whole.groupBy("root").agg(F.min("best").alias("first"), F.sum("n").alias("group_size"))
+        table = written(whole.select("sha", "root").join(groups, "root").select("sha", "first", "group_size"), "groups", outlast=True)
+    return rows.join(sized_broadcast(table), "sha", "left").select(
         "doc_id",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("first").isNull() | (F.col("first.row") == F.col("row"))).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
@@ -247,4 +301,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each class; the columns stay as they are."""
     from voltsheaf.llm.exact_dedup import keep_marked
 
-    return keep_marked(docs, near_groups(docs))
+    return keep_marked(docs, near_groups)
