@@ -1,4 +1,8 @@
+import unicodedata
 import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -29,9 +33,47 @@ def test_odd_rows(spark):
 
 
 def test_false_positives_are_corrected():
-    import numpy as np
-
     filters = X.Filters(["a", "b"], np.full((16, 1), 3, np.uint64), np.array([0.5, 0.5]), 1)
-    lang, score, close = filters.predict(["some text"])
-    assert lang == ["a"] or lang == ["b"]
-    assert close[0] <= 1
+    lang, score, close, has = filters.predict(["some text"])
+    assert lang == ["a"] and close[0] <= 1 and has[0]  # a tie: the language that sorts first
+
+
+def plain_grams(text):
+    words = " " + " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()) + " "
+    return [words[i : i + n] for n in X.ORDERS for i in range(len(words) - n + 1)]
+
+
+def test_against_exact_sets(spark, sf_small):
+    """The filters against the n-gram sets they stand for, fitted and counted without Spark or hashes."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang].update(plain_grams(r.text or ""))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    least = {k: min(3, max(1, n // 1000)) for k, n in totals.items()}
+    most = defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / totals[k])
+    sets = {k: {g for g, n in c.items() if n >= least[k] and n / totals[k] >= X.TYPICAL * most[g]} for k, c in counts.items()}
+    covered = {k: sum(counts[k][g] for g in v) / totals[k] for k, v in sets.items()}
+    got = {r.doc_id: r for r in X.identify(docs).collect()}
+    for r in rows:
+        found = plain_grams(r.text or "")
+        share = {k: sum(g in v for g in found) / max(1, len(found)) / covered[k] for k, v in sorted(sets.items())}
+        best = max(share, key=share.get)
+        if any(unicodedata.category(c)[0] in "LM" for c in r.text or ""):
+            assert abs(got[r.doc_id].fit - min(1, share[best])) < 0.06
+            if share[best] - max(v for k, v in share.items() if k != best) > 0.05:
+                assert got[r.doc_id].lang_pred == best
+
+
+def test_pieces():
+    texts = ["ab cd", None, "x" * 25, "some words to cut at spaces now", ""]
+    parts = [(o, p) for owner, part in X.pieces(texts, 10) for o, p in zip(owner.tolist(), part)]
+    assert ["".join(p for o, p in parts if o == i) for i in range(5)] == [t or "" for t in texts]
+    assert max(len(p) for _, p in parts) <= 10
+    filters = X.Filters(["a"], np.full((16, 1), 1, np.uint64), np.array([0.5]), 0)
+    assert filters.predict(["# " * 10 + "x " * 1_500_000])[3].tolist() == [True]

@@ -8,10 +8,17 @@ n-grams that its filter contains; the counts are corrected for the filter's fals
 for how much of the language's own training text its filter covers, and the largest decides.
 
 Only texts and non-null languages of documents outside the held-out quarter are learnt from, at
-most about SAMPLE_DOCS documents a language (a stated bound on labelled rows, by a hash of the id).
+most about SAMPLE_DOCS documents a language (a stated bound on labelled rows, by a hash of id and
+text).  Every typical n-gram that its language's sample holds LEAST_COUNT times enters the filter
+(fewer times, down to one, for a language whose sample has less than 3,000 n-grams), and the filter
+has BITS_EACH slots for each n-gram of the language with most, so its false-positive rate does not
+depend on how much was kept and its size is bounded by the sample.
+
 Null texts and texts without a letter are ``und`` with score 0; a text of no known n-gram is the
 language with most training documents, with score 0.  Ties go to the language that sorts first.
-Without training rows every text is ``und``.
+Without training rows every text is ``und``.  A text of over PIECE characters is counted in pieces,
+cut at white space if possible, so that a task's memory is bounded; the at most six n-grams over a
+cut are not counted.
 """
 
 from __future__ import annotations
@@ -21,16 +28,18 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltsheaf.llm.common import arrow_map, as_batch, mix64, slices
+from voltsheaf.llm.common import arrow_map, as_batch, mix64, slices, temporary, written
 
 ORDERS = (2, 3, 4)
-SAMPLE_DOCS, GRAMS_EACH, LEAST_COUNT = 2000, 50_000, 3
+SAMPLE_DOCS, LEAST_COUNT = 2000, 3
 TYPICAL = 0.5
-#: Slots an n-gram sets, bits of filter for each n-gram, and the most slots (so much is broadcast).
-HASHES, BITS_EACH, MOST_SLOTS = 3, 10, 1 << 22
+#: Slots an n-gram sets, and slots of filter for each n-gram.
+HASHES, BITS_EACH = 3, 10
+#: Characters counted in one piece, and bytes of texts counted together: some 150 bytes of memory each.
+PIECE, BATCH_BYTES = 1 << 20, 1 << 20
 UND = "und"
 
 
@@ -71,6 +80,29 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_h), np.concatenate(out_row), has
 
 
+def pieces(texts: list[str | None], size: int = PIECE):
+    """The texts in lists of at most about ``size`` characters, with the number of the text of each part."""
+    owner: list[int] = []
+    part: list[str] = []
+    held = 0
+    for i, text in enumerate(texts):
+        at = 0
+        text = text or ""
+        while at < len(text) or not at:
+            stop = min(len(text), at + size - held) if len(text) - at > size else len(text)
+            if stop < len(text):
+                stop = max(text.rfind(" ", at, stop) + 1, text.rfind("\n", at, stop) + 1) or stop
+            owner.append(i)
+            part.append(text[at:stop])
+            held += stop - at
+            at = max(stop, 1)
+            if held >= size:
+                yield np.array(owner), part
+                owner, part, held = [], [], 0
+    if part:
+        yield np.array(owner), part
+
+
 def slots_of(h: np.ndarray, turn: int, slots: int) -> np.ndarray:
     return (mix64(h + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)) & np.uint64(slots - 1)).astype(np.int64)
 
@@ -87,26 +119,32 @@ class Filters:
     def bit(masks: np.ndarray, k: int) -> np.ndarray:
         return (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (its share of all languages' evidence) and fit (how much of the text it covers)."""
-        n = len(texts)
-        h, row, has = grams([t or "" for t in texts])
-        if not self.languages:
-            return [UND] * n, np.zeros(n), np.zeros(n)
-        masks = self.slots[slots_of(h, 0, len(self.slots))]
-        for turn in range(1, HASHES):
-            masks = masks & self.slots[slots_of(h, turn, len(self.slots))]
-        total = np.bincount(row, minlength=n)
-        share = np.zeros((n, len(self.languages)))
-        for k in range(len(self.languages)):
-            hits = np.bincount(row, weights=self.bit(masks, k).astype(np.float64), minlength=n)
-            real = np.maximum(0, hits - total * self.false_positive[k]) / (1 - self.false_positive[k])
-            share[:, k] = real / np.maximum(total, 1) / max(self.covered[k], 1e-9)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score (its share of all languages' evidence), fit (how much of the text it covers)
+        and whether the text has a letter."""
+        n, known = len(texts), len(self.languages)
+        total, hits, has = np.zeros(n), np.zeros((n, known)), np.zeros(n, bool)
+        for owner, part in pieces(texts):
+            h, row, some = grams(part)
+            np.logical_or.at(has, owner, some)
+            if not known:
+                continue
+            row = owner[row]
+            masks = self.slots[slots_of(h, 0, len(self.slots))]
+            for turn in range(1, HASHES):
+                masks &= self.slots[slots_of(h, turn, len(self.slots))]
+            total += np.bincount(row, minlength=n)
+            for k in range(known):
+                hits[:, k] += np.bincount(row[self.bit(masks, k).astype(bool)], minlength=n)
+        if not known:
+            return [UND] * n, np.zeros(n), np.zeros(n), has
+        real = np.maximum(0, hits - total[:, None] * self.false_positive) / (1 - self.false_positive)
+        share = real / np.maximum(total, 1)[:, None] / np.maximum(self.covered, 1e-9)
         best = share.argmax(1)
         top, all_of = share[np.arange(n), best], share.sum(1)
         best = np.where(top > 0, best, self.common)
         score = np.where(has & (all_of > 0), top / np.maximum(all_of, 1e-12), 0.0)
-        return [self.languages[b] if ok else UND for b, ok in zip(best.tolist(), has.tolist())], np.minimum(score, 1.0), np.where(has, np.minimum(top, 1.0), 0.0)
+        return [self.languages[b] if ok else UND for b, ok in zip(best.tolist(), has.tolist())], np.minimum(score, 1.0), np.where(has, np.minimum(top, 1.0), 0.0), has
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,6 +157,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
 
     n-gram counts shuffle pre-aggregated; what comes to the driver is at most the filter's slots.
     """
+    with temporary(docs.sparkSession):
+        return fitted(docs, sample_docs)
+
+
+def fitted(docs: DataFrame, sample_docs: int) -> Filters:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     seen = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -127,33 +170,38 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
     number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
     odds = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample_docs / seen[name]))])
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < odds[F.col("lang")] * 1_000_000).select("text", number[F.col("lang")].alias("k"))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < odds[F.col("lang")] * 1_000_000).select("text", number[F.col("lang")].alias("k"))
     schema = pa.schema([("k", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
-        for batch in slices(batches, 1 << 22, "text"):
-            h, row, _ = grams(batch.column("text").to_pylist())
-            k = np.array(batch.column("k").to_pylist(), np.int32)[row]
-            for one in np.unique(k):
-                gram, n = np.unique(h[k == one], return_counts=True)
-                yield as_batch({"k": np.full(len(gram), one, np.int32), "gram": gram.view(np.int64), "n": n}, schema)
-
-    counts = arrow_map(picked, count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).checkpoint()
+        for batch in slices(batches, BATCH_BYTES, "text"):
+            code = np.array(batch.column("k").to_pylist(), np.int32)
+            for owner, part in pieces(batch.column("text").to_pylist()):
+                h, row, _ = grams(part)
+                k = code[owner[row]]
+                for one in np.unique(k):
+                    gram, n = np.unique(h[k == one], return_counts=True)
+                    yield as_batch({"k": np.full(len(gram), one, np.int32), "gram": gram.view(np.int64), "n": n}, schema)
+
+    counts = written(arrow_map(picked, count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")), "n-grams")
     totals = {r.k: r.n for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
-    share = F.col("n") / F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])[F.col("k")]
-    shares = counts.withColumn("p", share)
-    most = shares.groupBy("gram").agg(F.max("p").alias("most"))
-    typical = shares.join(most, "gram").filter((F.col("n") >= min(LEAST_COUNT, max(1, min(totals.values()) // 1000))) & (F.col("p") >= TYPICAL * F.col("most")))
-    ranked = typical.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("p"), "gram"))).filter(F.col("place") <= GRAMS_EACH).checkpoint()
-    kept = ranked.groupBy("k").agg(F.sum("p").alias("covered"), F.count("*").alias("n")).collect()
+
+    def of_language(values: dict[int, float]) -> Column:
+        return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])[F.col("k")]
+
+    # an n-gram meets itself once for each language that has it
+    shares = counts.withColumn("p", F.col("n") / of_language(totals))
+    shares = shares.groupBy("gram").agg(F.max("p").alias("most"), F.collect_list(F.struct("k", "n", "p")).alias("x")).select("gram", "most", F.inline("x"))
+    least = {k: min(LEAST_COUNT, max(1, n // 1000)) for k, n in totals.items()}
+    typical = written(shares.filter((F.col("n") >= of_language(least)) & (F.col("p") >= TYPICAL * F.col("most"))).select("k", "gram", "p"), "typical-n-grams")
+    kept = typical.groupBy("k").agg(F.sum("p").alias("covered"), F.count("*").alias("n")).collect()
     covered = np.zeros(len(languages))
     for r in kept:
         covered[r.k] = r.covered
-    need = sum(r.n for r in kept) * BITS_EACH
     slots = 1 << 10
-    while slots < min(need, MOST_SLOTS):
+    while slots < max((r.n for r in kept), default=0) * BITS_EACH:
         slots *= 2
     words = -(-len(languages) // 64)
     table = np.zeros((slots, words), np.uint64)
@@ -167,7 +215,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
             for turn in range(HASHES):
                 yield as_batch({"slot": slots_of(h, turn, slots), "word": (k // 64).astype(np.int32), "mask": mask}, slot_schema)
 
-    filled = arrow_map(ranked.select("k", "gram"), place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    filled = arrow_map(typical.select("k", "gram"), place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
     got = filled.toArrow()
     table[got["slot"].to_numpy(), got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     return Filters(languages, table, covered, max(range(len(languages)), key=lambda k: (seen[languages[k]], -k)))
@@ -175,13 +223,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, fit: one row per document, in one narrow pass over whole texts."""
-    filters = filters or fit(docs)
-    model = docs.sparkSession.sparkContext.broadcast(filters)
+    model = docs.sparkSession.sparkContext.broadcast(filters or fit(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("fit", pa.float64())])
 
     def run(batches):
-        for batch in slices(batches, 1 << 22, "text"):
-            lang, score, close = model.value.predict(batch.column("text").to_pylist())
+        for batch in slices(batches, BATCH_BYTES, "text"):
+            lang, score, close, _ = model.value.predict(batch.column("text").to_pylist())
             yield as_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score, "fit": close}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -194,16 +241,13 @@ def keep_identified(docs: DataFrame, least_fit: float = 0.05, filters: Filters |
     The columns stay as they are.  Without learnt languages nothing can be told, and only texts
     without a letter go.
     """
-    filters = filters or fit(docs)
-    model = docs.sparkSession.sparkContext.broadcast(filters)
+    model = docs.sparkSession.sparkContext.broadcast(filters or fit(docs))
     names = docs.columns
     place = names.index("text")
 
     def run(batches):
-        for batch in slices(batches, 1 << 22, "text"):
-            texts = batch.column(place).to_pylist()
-            _, _, has = grams([t or "" for t in texts])
-            close = model.value.predict(texts)[2] if model.value.languages else np.ones(len(texts))
-            yield batch.filter(pa.array(has & (close >= least_fit)))
+        for batch in slices(batches, BATCH_BYTES, "text"):
+            _, _, close, has = model.value.predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array(has & (close >= least_fit) if model.value.languages else has))
 
     return arrow_map(docs, run, docs.schema)
