@@ -3,15 +3,19 @@
 Reading plans one partition per file, or per block of a file that has an index of block starts
 beside it.  Predicates on record type and headers are pushed down: each record's header block is
 parsed first, and the payload of a record that is not wanted is neither inflated nor decoded.
-Writing gives one file a task, records as gzip members that tell their own length, and a manifest
-of the committed files, so that files of failed attempts are never read.
+Writing gives one file a task, which begins with a warcinfo record, records as gzip members that
+tell their own length, and a manifest for each commit.  Files of our own writer are read only if a
+manifest lists them, so those of failed attempts never are; archives of other writers in the folder
+are always read.  Appending adds a manifest; overwriting deletes what was there once its own is written.
 
-A null payload is written as an empty one.  Paths are those that pyarrow's file systems open.
+A null payload is written as an empty one.  Paths are those that pyarrow's file systems open.  A
+record is held whole, some three times its payload, and batches are bounded by bytes.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -24,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from voltsheaf.llm.common import scratch_path, sized_broadcast
+from voltsheaf.llm.common import scratch_path, sized_broadcast, small_batches
 
 READ_DDL = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, content_type string, headers map<string,string>, payload binary"
 WRITE_COLUMNS = ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest", "payload")
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 #: Compressed bytes between the block starts that a file's index lists.
 BLOCK = 4 << 20
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest-[0-9a-f]{32}\.json$")
+OWN = re.compile(r"part-[0-9a-f]{32}\.warc\.gz$")
+INFO = b"software: voltsheaf\r\nformat: WARC File Format 1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = pa.schema(
     [(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest")]
@@ -76,30 +82,47 @@ class Written(WriterCommitMessage):
     size: int
 
 
+def info_bytes(name: str, date: str) -> bytes:
+    return b"WARC/1.1\r\n" + f"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(INFO)}\r\n\r\n".encode() + INFO + b"\r\n\r\n"
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.path, self.level = options["path"], int(options.get("level", "4"))
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", "4")), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         blocks, at = [0], 0
-        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    member = gzip_member(record_bytes(row), self.level)
-                    if at - blocks[-1] >= BLOCK:
-                        blocks.append(at)
-                    out.write(member)
-                    at += len(member)
+        try:
+            with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+                for batch in iterator:
+                    for i in range(batch.num_rows):  # a row at a time: payloads are not held twice
+                        row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                        member = gzip_member(record_bytes(row), self.level)
+                        if not at:
+                            at = out.write(gzip_member(info_bytes(name, row["date"]), self.level))
+                        if at - blocks[-1] >= BLOCK:
+                            blocks.append(at)
+                        out.write(member)
+                        at += len(member)
+        except BaseException:
+            system.delete_file(f"{root}/{name}")
+            raise
         return Written(name, blocks, at)
 
     def commit(self, messages: list) -> None:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        before = [x.path for x in system.get_file_info(fs.FileSelector(root)) if MANIFEST.search(x.path) or x.path.endswith((".warc", ".warc.gz"))] if self.overwrite else []
+        fresh = {f"{root}/{m.name}" for m in messages if m is not None}
+        with system.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([[m.name, m.blocks, m.size] for m in messages if m is not None]).encode())
+        # manifests first: a reader in between finds the new files alone
+        for path in sorted(before, key=lambda x: not MANIFEST.search(x)):
+            if path.rsplit("/", 1)[-1] not in {f.rsplit("/", 1)[-1] for f in fresh}:
+                system.delete_file(path)
 
     def abort(self, messages: list) -> None:
         system, root = opened(self.path)
@@ -163,12 +186,15 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(root)
         if info.type == fs.FileType.File:
             return [Block(root, 0, -1)]
-        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-                listed = json.loads(f.read())
-            return [Block(f"{root}/{name}", a, b) for name, blocks, size in listed for a, b in zip(blocks, [*blocks[1:], size]) if b > a]
-        found = system.get_file_info(fs.FileSelector(root))
-        return [Block(x.path, 0, -1) for x in sorted(found, key=lambda x: x.path) if x.path.endswith((".warc", ".warc.gz"))]
+        out = []
+        for x in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+            if MANIFEST.search(x.path):
+                with system.open_input_stream(x.path) as f:
+                    listed = json.loads(f.read())
+                out += [Block(f"{root}/{name}", a, b) for name, blocks, size in listed for a, b in zip(blocks, [*blocks[1:], size]) if b > a]
+            elif x.path.endswith((".warc", ".warc.gz")) and not OWN.search(x.path):
+                out.append(Block(x.path, 0, -1))
+        return out
 
     def wanted(self, row: dict) -> bool:
         for name, kind, value in self.tests:
@@ -303,7 +329,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -340,8 +366,10 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     register(spark)
     path = path or scratch_path(spark, "warc")
+    small_batches(spark)
     page_records(pages).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").load(path)
+    # pushed down to the record headers: the warcinfo record of each file is not even inflated
+    back = spark.read.format("warc").load(path).filter(F.col("record_type").isin("response", "revisit"))
 
     def id_of(c):
         return F.nullif(F.substring(c, len("urn:page:") + 1, 30), F.lit("")).cast("long")
