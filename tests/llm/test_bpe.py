@@ -48,3 +48,17 @@ def test_null_empty_and_extra_columns(spark):
     rows = bpe.encode_and_decode(docs, keep_ids=True).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 1, 1]
     assert bpe.encode_and_decode(docs.limit(0)).collect() == []
+
+
+def test_words_around_the_long_word_bound(theirs):
+    rng = random.Random(9)
+    coder = bpe.word_end_coder("word_bpe_49k.json")
+    texts = ["".join(rng.choice("etaoinsrhld") for _ in range(n)) for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 5 * bpe.LONG_WORD)]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_only_short_chunks_are_kept():
+    coder = bpe.word_end_coder("word_bpe_49k.json")
+    coder.encode(["short " + "q" * 500])
+    assert "short" in coder.known and max(map(len, coder.known)) <= bpe.CACHE_CHARS

@@ -29,8 +29,9 @@ from voltsheaf.llm.common import arrow_map, as_batch, slices
 
 NO_RANK = np.int32(2**31 - 1)
 LONG_WORD = 1024
-#: Words a worker keeps with their ids; once full, further words are encoded in each batch anew.
-CACHE_WORDS = 600_000
+#: Chunks a worker keeps with their ids, and the most characters of such a chunk: 260 MB at most.
+#: Longer chunks, and once that is full all others, are encoded in each batch anew.
+CACHE_WORDS, CACHE_CHARS = 600_000, 32
 #: White space as Unicode has it, which is less than str.split() takes.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -229,11 +230,11 @@ class ChunkCoder:
         order = list(single)
         ids = dict(zip(order, self.bpe.encode([w.encode() for w in order])))
         got = {c: ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for c, p in parts.items()}
+        self.known.fresh = got
         if len(self.known) + len(got) <= CACHE_WORDS:
+            if max(map(len, got), default=0) > CACHE_CHARS:
+                got = {c: x for c, x in got.items() if len(c) <= CACHE_CHARS}
             self.known.update(got)
-            self.known.fresh = {}
-        else:
-            self.known.fresh = got
 
     def join(self, chunked: list[list[str]]) -> list[bytes]:
         self.learn(set().union(*chunked) if chunked else set())
