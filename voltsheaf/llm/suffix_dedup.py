@@ -16,7 +16,10 @@ only anchors whose gram occurs twice can lie in repeated windows, and only those
   all t together.
 
 A gram that occurs more than HOT times would make one target's work grow without bound.  Its windows
-are counted by 128-bit hashes instead, pre-aggregated, and joined back: exact for the rest.
+are dealt out by longer keys, RANGE of the t at a time: windows with t from lo to hi agree in 200 - hi
+bytes to the right and lo to the left, so these bytes name the target.  And of suffixes that agree in
+all their bytes a task sends one alone, since the windows of all of them are known to be repeated.  So
+what meets in a target is one suffix a task, or suffixes that share less than a window.
 
 Texts are compared in UTF-8; null counts as empty.  Texts that occur on several rows are worked on
 once: from 200 bytes on they go whole.  Nothing depends on the ids.
@@ -35,7 +38,7 @@ from voltsheaf.llm.common import arrow_map, as_batch, mix64, sized_broadcast, sl
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM  # the most bytes a window starts left of its anchor
-HOT = 20_000
+HOT, RANGE = 4000, 25
 SEGMENT = 1 << 20
 RUN_BYTES, TARGET_BYTES = 32 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -161,8 +164,8 @@ def common(a: bytes, b: bytes, at: int) -> int:
     return low
 
 
-RUN = pa.schema([("target", pa.int32()), ("lcp", pa.binary()), ("tail", pa.binary()), ("tails", pa.binary()), ("left_lcp", pa.binary()), ("left_tail", pa.binary()), ("lefts", pa.binary()), ("near", pa.binary()), ("far", pa.binary()), ("rows", pa.binary()), ("bytes", pa.binary())])
-RUN_DDL = "target int, lcp binary, tail binary, tails binary, left_lcp binary, left_tail binary, lefts binary, near binary, far binary, rows binary, bytes binary"
+RUN = pa.schema([("target", pa.int32()), ("lcp", pa.binary()), ("tail", pa.binary()), ("tails", pa.binary()), ("left_lcp", pa.binary()), ("left_tail", pa.binary()), ("lefts", pa.binary()), ("near", pa.binary()), ("far", pa.binary()), ("rows", pa.binary()), ("bytes", pa.binary()), ("known", pa.binary())])
+RUN_DDL = "target int, lcp binary, tail binary, tails binary, left_lcp binary, left_tail binary, lefts binary, near binary, far binary, rows binary, bytes binary, known binary"
 
 
 def front_coded(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -187,21 +190,42 @@ def decoded(lcp: bytes, size: bytes, tails: bytes) -> list[bytes]:
 
 
 def sorted_run(target: int, entries: list[tuple]) -> dict:
-    """entries: (right, reversed left, near t, far t, row, byte), sorted and front-coded."""
+    """entries: (right, reversed left, near t, far t, row, byte), sorted and front-coded.
+
+    Of entries with equal bytes and t one stays; the spans of all of them are repeated: known.
+    """
     entries.sort()
-    lcp, size, tails = front_coded([e[0] for e in entries])
-    left_lcp, left_size, lefts = front_coded([e[1] for e in entries])
+    one, known = entries[:1], []
+    for last, e in zip(entries, entries[1:]):
+        if e[:4] == last[:4]:
+            if last is one[-1]:
+                known.append(last)
+            known.append(e)
+        else:
+            one.append(e)
+    lcp, size, tails = front_coded([e[0] for e in one])
+    left_lcp, left_size, lefts = front_coded([e[1] for e in one])
     return {
         "target": target, "lcp": lcp, "tail": size, "tails": tails, "left_lcp": left_lcp, "left_tail": left_size, "lefts": lefts,
-        "near": bytes(e[2] for e in entries), "far": bytes(e[3] for e in entries),
-        "rows": np.array([e[4] for e in entries], "<i8").tobytes(), "bytes": np.array([e[5] for e in entries], "<i8").tobytes(),
+        "near": bytes(e[2] for e in one), "far": bytes(e[3] for e in one),
+        "rows": np.array([e[4] for e in one], "<i8").tobytes(), "bytes": np.array([e[5] for e in one], "<i8").tobytes(),
+        "known": np.array([(e[4], e[5] - e[3], e[5] - e[2] + LENGTH) for e in known], "<i8").tobytes(),
     }
 
 
-def suffix_runs(texts: DataFrame, targets: int) -> DataFrame:
+def hot_keys(gram: int, right: bytes, left: bytes, near: int, far: int):
+    """(key, near, far) of each range of t that a suffix of a hot gram has windows in; left is reversed."""
+    for lo in range(0, SPAN, RANGE):
+        hi = SPAN if lo + RANGE >= SPAN else lo + RANGE - 1
+        if max(near, lo) <= min(far, hi):
+            key = hashlib.blake2b(b"%d %d " % (gram, lo) + right[: LENGTH - hi] + left[:lo], digest_size=8).digest()
+            yield int.from_bytes(key, "little"), max(near, lo), min(far, hi)
+
+
+def suffix_runs(texts: DataFrame, targets: int, hot: int = HOT) -> DataFrame:
     """Sorted front-coded runs of the suffixes at candidate anchors: a run for each task and target.
 
-    texts: row, text, cands (gram, place).
+    texts: row, text, cands (gram, place, n: how often the gram occurs).
     """
 
     def run(batches):
@@ -216,8 +240,10 @@ def suffix_runs(texts: DataFrame, targets: int) -> DataFrame:
                     place = c["place"]
                     at = a + (place >> 14)
                     right, left = whole[at : min(b, at + LENGTH)], whole[max(a, at - SPAN) : at][::-1]
-                    held.setdefault(c["gram"] % targets, []).append((right, left, place >> 7 & 127, place & 127, row, place >> 14))
-                    size += LENGTH + SPAN
+                    near, far = place >> 7 & 127, place & 127
+                    for key, low, high in [(c["gram"], near, far)] if c["n"] <= hot else hot_keys(c["gram"], right, left, near, far):
+                        held.setdefault(key % targets, []).append((right, left, low, high, row, place >> 14))
+                        size += LENGTH + SPAN
             if size > RUN_BYTES:
                 yield pa.RecordBatch.from_pylist([sorted_run(t, e) for t, e in held.items()], RUN)
                 held, size = {}, 0
@@ -327,6 +353,8 @@ def merged_spans(runs: DataFrame, targets: int) -> DataFrame:
         return as_batch(spans_of(found, np.array(rows), np.array(byte)), SPAN_SCHEMA)
 
     def merge(held: list[dict]):
+        known = np.frombuffer(b"".join([r["known"] for r in held]), "<i8").reshape(-1, 3)
+        yield as_batch({"row": known[:, 0], "start": known[:, 1], "stop": known[:, 2]}, SPAN_SCHEMA)
         coded = [[decoded(r["lcp"], r["tail"], r["tails"]), r["lcp"], decoded(r["left_lcp"], r["left_tail"], r["lefts"]), r["near"], r["far"], np.frombuffer(r["rows"], "<i8").tolist(), np.frombuffer(r["bytes"], "<i8").tolist()] for r in held]
         block: list = []
         for k, i, lcp in merged([c[0] for c in coded], [c[1] for c in coded]):
@@ -354,30 +382,6 @@ def merged_spans(runs: DataFrame, targets: int) -> DataFrame:
     return arrow_map(runs.repartition(targets, "target").sortWithinPartitions("target"), run, SPAN_DDL)
 
 
-def hot_spans(texts: DataFrame) -> DataFrame:
-    """The spans of windows at hot grams, by counts of window hashes; texts: row, text, cands."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
-
-    def run(batches):
-        for batch in slices(batches, 1 << 20, "text"):
-            raw, offsets = utf8_parts(batch.column("text"))
-            for i, (row, cands) in enumerate(zip(batch.column("row").to_pylist(), batch.column("cands").to_pylist())):
-                text = raw[offsets[i] : offsets[i + 1]]
-                starts = np.concatenate([np.arange((c["place"] >> 14) - (c["place"] & 127), (c["place"] >> 14) - (c["place"] >> 7 & 127) + 1) for c in cands])
-                out1, out2 = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-                part = starts // SEGMENT
-                for p in np.unique(part):
-                    piece = text[p * SEGMENT : (p + 1) * SEGMENT + LENGTH]
-                    mine = part == p
-                    out1[mine] = window_hashes(piece, LENGTH)[starts[mine] - p * SEGMENT]
-                    out2[mine] = window_hashes(piece, LENGTH, 0xD1B54A32D192ED03)[starts[mine] - p * SEGMENT]
-                yield as_batch({"w1": out1.view(np.int64), "w2": out2.view(np.int64), "row": np.full(len(starts), row), "start": starts}, schema)
-
-    windows = written(arrow_map(texts.select("row", "text", "cands"), run, "w1 long, w2 long, row long, start long"), "hot-windows")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n").checkpoint()
-    return windows.join(again, ["w1", "w2"], "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("stop"))
-
-
 def without_repeats(docs: DataFrame, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes): a row per row.
 
@@ -395,15 +399,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT, keep_text: bool = False) ->
     picked = source.select("sha", "text").join(sized_broadcast(cands.select("sha")), "sha", "left_semi").dropDuplicates(["sha"])
     texts = picked.join(cands, "sha")
 
-    sizes = cands.select(F.sum(F.size("cands")).alias("n"), F.max(F.array_max(F.transform("cands", lambda c: c["n"]))).alias("most")).first()
-    spans = None
-    if sizes.n:
-        targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes.n * (LENGTH + SPAN) // TARGET_BYTES))
-        plain = texts.withColumn("cands", F.filter("cands", lambda c: c["n"] <= hot))
-        spans = merged_spans(suffix_runs(plain.filter(F.size("cands") > 0), targets), targets)
-        if sizes.most > hot:
-            often = texts.withColumn("cands", F.filter("cands", lambda c: c["n"] > hot))
-            spans = spans.unionByName(hot_spans(often.filter(F.size("cands") > 0)))
+    n = cands.select(F.sum(F.size("cands"))).first()[0]
+    if n:
+        targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (LENGTH + SPAN) // TARGET_BYTES))
+        spans = merged_spans(suffix_runs(texts, targets, hot), targets)
     else:
         spans = docs.sparkSession.createDataFrame([], SPAN_DDL)
     whole = sized_broadcast(shas.filter(F.col("n_bytes") >= LENGTH).select("sha"))
