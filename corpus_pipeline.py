@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltsheaf.llm.common import written
+from voltsheaf.llm.common import temporary, written
 from voltsheaf.llm.exact_dedup import drop_copies
 from voltsheaf.llm.langid import keep_identified
 from voltsheaf.llm.near_dedup import drop_near_copies
@@ -57,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each written as Parquet and read again."""
+    """All stages on the documents of sf_dir, each written as Parquet and read again.
+
+    What a stage wrote on its way goes once its own output is written, and all but the last output
+    once that is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with temporary(spark):
+        for name, stage in STAGES[:-1]:
+            with temporary(spark):
+                docs = written(stage(spark, docs, sf_dir), name, outlast=True)
+        name, stage = STAGES[-1]
+        return written(stage(spark, docs, sf_dir), name, outlast=True)
