@@ -83,7 +83,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def row_bytes(df: DataFrame) -> int:
     """About what a row of a table of flat keys takes in a broadcast relation."""
-    return 32 + sum(sum(WIDTHS.get(g.dataType.simpleString(), 48) for g in f.dataType.fields) if f.dataType.typeName() == "struct" else WIDTHS.get(f.dataType.simpleString(), 48) for f in df.schema.fields)
+    return 64 + sum(sum(WIDTHS.get(g.dataType.simpleString(), 48) for g in f.dataType.fields) if f.dataType.typeName() == "struct" else WIDTHS.get(f.dataType.simpleString(), 48) for f in df.schema.fields)
 
 
 def sized_broadcast(keys: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:

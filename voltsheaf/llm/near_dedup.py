@@ -98,7 +98,7 @@ def signed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
-        for batch in slices(batches, 1 << 22, "text"):
+        for batch in slices(batches, 1 << 21, "text"):
             least = bag_min_hash(batch.column("text").to_pylist())
             bits = mix64(np.ascontiguousarray(least).view(np.uint64))
             band = np.zeros((len(least), BANDED // ROWS), np.uint64)
