@@ -636,15 +636,6 @@ def growth_chart(spark, sf_dir):
 # kernels
 
 
-@query()
-def shapiro_bins(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("response"), F.col("p_size").cast("double").alias("covariate"), F.col("p_retailprice").alias("z"))
-    return K.shapiro_by_bins(rows, "response", "covariate", "z", 10)
-
-
-@query()
-def welch_psd(spark, sf_dir):
-    return K.welch(K.event_series(spark, sf_dir), sfreq=24.0, segment=2.0, overlap=1.0)
 
 
 @query()
@@ -782,15 +773,6 @@ def event_sessions(spark, sf_dir):
     return monitor.sessions(e, "ts", "user_id", "6 hours", "1 hour").select("user_id", "n", F.unix_seconds("start").alias("first"))
 
 
-@query(
-    """WITH h AS (SELECT event_type, user_id % 4 AS c, event_id, value - avg(value) OVER (PARTITION BY event_type, user_id % 4) AS v, count(*) OVER (PARTITION BY event_type, user_id % 4) AS n FROM events),
-l AS (SELECT *, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b FROM h WINDOW w AS (PARTITION BY event_type, c ORDER BY event_id)), r AS (SELECT event_type, c, max(n) AS n, sum(v * a) / sum(v * v) AS r1, sum(v * b) / sum(v * v) AS r2 FROM l GROUP BY 1, 2)
-SELECT event_type, round(sum(n / (1 + 2 * CASE WHEN r1 <= 0 THEN 0 WHEN r2 <= 0 THEN r1 ELSE r1 + r2 END)), 4) + 0 AS ess FROM r GROUP BY 1"""
-)
-def effective_draws(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("chain", F.col("user_id") % 4)
-    return rounded(stats.effective_size(rows, ["event_type"], "chain", "event_id", "value", 2), "ess", digits=4)
-
 
 @query(
     """WITH w AS (SELECT c_custkey, c_mktsegment, c_nationkey, unnest(['bal', 'key']) AS response, unnest([CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END, c_custkey::DOUBLE]) AS y FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),

@@ -8,9 +8,38 @@ from dataclasses import asdict, dataclass, field, fields
 
 # fixed values: the documented defaults
 BAND_NAMES = ("Delta", "Theta", "Alpha", "Beta", "Gamma")
-RATIO_PAIRS = [["Theta", "Alpha"], ["Theta", "Beta"], ["Theta", "Gamma"], ["Theta", "Delta"], ["Alpha", "Beta"], ["Alpha", "Gamma"], ["Alpha", "Delta"], ["Beta", "Gamma"], ["Beta", "Delta"], ["Gamma", "Delta"]]
-FLAGS_ON = ("Offset", "Exponent", "AdjustedPSD_Canonical_Abs", "AdjustedPSD_Canonical_Rel", "OriginalPSD_Canonical_Abs", "OriginalPSD_Canonical_Rel", "OriginalPSD_Ratio", "AdjustedPSD_Ratio", "Hemispheric_Asymmetry")
-FLAGS_OFF = ("Peak_Center", "Peak_Power", "Peak_Width", "AdjustedPSD_Individualized_Abs", "AdjustedPSD_Individualized_Rel", "OriginalPSD_Individualized_Abs", "OriginalPSD_Individualized_Rel")
+BANDS = {"Theta": (3, 8), "Alpha": (8, 13), "Beta": (13, 30), "Gamma": (30, 40)}
+OFFSETS = {"Theta": (-2, 3), "Alpha": (-2, 3), "Beta": (-8, 9), "Gamma": (-5, 5)}
+RATIO_PAIRS = [
+    ("Theta", "Beta"),
+    ("Theta", "Alpha"),
+    ("Alpha", "Beta"),
+    ("Delta", "Beta"),
+    ("Delta", "Alpha"),
+    ("Delta", "Theta"),
+    ("Beta", "Gamma"),
+    ("Alpha", "Gamma"),
+    ("Theta", "Gamma"),
+    ("Delta", "Gamma"),
+]
+FEATURE_CATEGORIES = {
+    "Offset": True,
+    "Exponent": True,
+    "Peak_Center": False,
+    "Peak_Power": False,
+    "Peak_Width": False,
+    "Adjusted_Canonical_Relative_Power": True,
+    "Adjusted_Canonical_Absolute_Power": True,
+    "Adjusted_Individualized_Relative_Power": False,
+    "Adjusted_Individualized_Absolute_Power": False,
+    "OriginalPSD_Canonical_Relative_Power": True,
+    "OriginalPSD_Canonical_Absolute_Power": True,
+    "OriginalPSD_Individualized_Relative_Power": False,
+    "OriginalPSD_Individualized_Absolute_Power": False,
+    "Adjusted_Band_Ratio": True,
+    "OriginalPSD_Band_Ratio": True,
+    "Hemispheric_Asymmetry_index": True,
+}
 
 
 @dataclass(frozen=True)
@@ -44,10 +73,10 @@ class RunConfig:
     least_peak_height: float = 0.0
     peak_threshold: float = 2.0
     least_r2: float = 0.9
-    bands: dict = field(default_factory=lambda: {"Theta": [3, 8], "Alpha": [8, 13], "Beta": [13, 30], "Gamma": [30, 40]})
-    offsets: dict = field(default_factory=lambda: {"Theta": [-2, 3], "Alpha": [-2, 3], "Beta": [-8, 9], "Gamma": [-5, 5]})
+    bands: dict = field(default_factory=lambda: {k: list(v) for k, v in BANDS.items()})
+    offsets: dict = field(default_factory=lambda: {k: list(v) for k, v in OFFSETS.items()})
     ratios: list = field(default_factory=lambda: [list(p) for p in RATIO_PAIRS])
-    features: dict = field(default_factory=lambda: {k: k in FLAGS_ON for k in (*FLAGS_ON, *FLAGS_OFF)})
+    features: dict = field(default_factory=lambda: dict(FEATURE_CATEGORIES))
     same_environmental_noise: bool = False
     environmental_noise: bool = True
     random_state: int = 42
@@ -70,6 +99,8 @@ class RunConfig:
             raise ValueError("cutoff_low lies below cutoff_high")
         if self.same_environmental_noise and not self.environmental_noise:
             raise ValueError("same_environmental_noise needs environmental_noise")
+        if unknown := set(self.features) - set(FEATURE_CATEGORIES):
+            raise ValueError(f"unknown feature categories: {sorted(unknown)}")
         for a, b in self.ratios:
             if a not in BAND_NAMES or b not in BAND_NAMES:
                 raise ValueError(f"band ratios name bands of {BAND_NAMES}")

@@ -51,11 +51,16 @@ def dominant_peak(freqs: Column, power: Column, lo, hi) -> Column:
     return -best["f"]
 
 
+def peak_in_band(peaks: Column, lo, hi) -> Column:
+    """The strongest of parameterised peaks (cf, pw, bw) in a band, the lowest of equals; peaks with a missing value are left out."""
+    inside = F.filter(peaks, lambda p: (p["cf"] >= lo) & (p["cf"] <= hi) & F.nvl2(p["pw"] + p["bw"], ~F.isnan(p["pw"] + p["bw"]), F.lit(False)))
+    best = F.array_max(F.transform(inside, lambda p: F.struct(p["pw"].alias("pw"), (-p["cf"]).alias("back"), p["bw"].alias("bw"))))
+    return F.when(best.isNotNull(), F.struct((-best["back"]).alias("cf"), best["pw"].alias("pw"), best["bw"].alias("bw")))
+
+
 def strongest_peak(peaks: Column, lo, hi) -> Column:
-    """Centre of the strongest of parameterised peaks (cf, pw, bw) in a band; NULL peaks are left out."""
-    inside = F.filter(peaks, lambda p: (p["cf"] >= lo) & (p["cf"] <= hi) & p["pw"].isNotNull() & ~F.isnan(p["pw"]))
-    best = F.array_max(F.transform(inside, lambda p: F.struct(p["pw"].alias("pw"), (-p["cf"]).alias("cf"))))
-    return -best["cf"]
+    """Centre of the strongest of parameterised peaks in a band."""
+    return peak_in_band(peaks, lo, hi)["cf"]
 
 
 def periodic_part(power: Column, aperiodic_log10: Column) -> Column:

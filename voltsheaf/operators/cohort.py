@@ -147,6 +147,28 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def union_distinct(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Distinct rows of several tables, by their common columns."""
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct()
+
+
+def discovered(logs: DataFrame, exclude: list[str], subject: str = "subject", has_log: str = "has_log") -> DataFrame:
+    """Subject folders of a results directory: those with a log, or all where none has one.
+
+    Hidden folders, templates (fsaverage...) and excluded names never count.
+    """
+    own = logs.filter(~F.col(subject).startswith(".") & ~F.col(subject).startswith("fsaverage") & ~F.col(subject).isin(exclude))
+    found = own.groupBy(subject).agg(F.max(F.col(has_log).cast("int")).alias("__log"))
+    some = found.agg(F.max("__log").alias("__any"))
+    return found.crossJoin(F.broadcast(some)).filter("__log = __any").select(subject)  # one row
+
+
+def picked_channels(channels: DataFrame, kinds: list[str], drop: list[str] = (), kind: str = "type", name: str = "name") -> DataFrame:
+    """Channels of the wanted sensor types (in any case), without those named in drop."""
+    out = channels.filter(F.lower(kind).isin([k.lower() for k in kinds]))
+    return out.filter(~F.col(name).isin(list(drop))) if drop else out
+
+
 def melt(wide: DataFrame, ids: list[str], values: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     return wide.unpivot(ids, values, name, value)
 

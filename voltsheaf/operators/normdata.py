@@ -43,6 +43,11 @@ def impute_median(df: DataFrame, value: str, key: str, groups: list[str], covari
     return out.withColumn("imputed", F.coalesce(value, "__near", "__group", "__all")).drop("__near", "__group", "__all")
 
 
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a missing value (NULL or NaN) in the columns: the alternative to imputation."""
+    return df.dropna(subset=columns)
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, train: float = 0.5, validation: float = 0.0, seed: int = 42) -> DataFrame:
     """df with column split: in each stratum the first share in a seeded order is train.
 

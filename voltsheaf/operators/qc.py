@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,27 @@ def shrunk(cov: DataFrame, by: list[str], dimensions: int, shrinkage: float = 0.
     """Covariances shrunk towards the mean variance: (1 - s) C + s tr(C) / p I."""
     trace = cov.filter("a = b").groupBy(*by).agg((F.sum("cov") / dimensions).alias("__m"))
     return cov.join(trace, by).withColumn("cov", (1 - shrinkage) * F.col("cov") + F.when(F.col("a") == F.col("b"), shrinkage * F.col("__m")).otherwise(0.0)).drop("__m")
+
+
+def flat_or_noisy(samples: DataFrame, by: list[str], value: str, flat: float, noisy: float) -> DataFrame:
+    """by, sd, verdict: channels whose deviation lies under flat or over noisy, else good."""
+    sd = F.stddev_samp(value)
+    return samples.groupBy(*by).agg(sd.alias("sd")).withColumn("verdict", F.when(F.col("sd") < flat, "flat").when(F.col("sd") > noisy, "noisy").otherwise("good"))
+
+
+def covariance_spectrum(cov: DataFrame, by: list[str], tolerance: float = 1e-10) -> DataFrame:
+    """by, rank, condition of covariance matrices given as rows (a, b, cov): some channels squared of numbers a group."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cov.select(*by).schema.fields)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {n: i for i, n in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        for a, b, c in zip(pdf["a"], pdf["b"], pdf["cov"]):
+            m[at[a], at[b]] = m[at[b], at[a]] = c
+        values = np.linalg.eigvalsh(m)
+        good = values > tolerance * max(values[-1], 0.0)
+        condition = float(values[-1] / values[0]) if good.all() and len(values) else None
+        return pd.DataFrame([(*key, int(good.sum()), condition)], columns=[*by, "rank", "condition"])
+
+    return cov.groupBy(*by).applyInPandas(run, f"{fields}, rank int, condition double")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltsheaf import config
 from voltsheaf.functions import spectral as S
 
-# fixed values: default bands, individual offsets and band ratios
-BANDS = {"Theta": (3.0, 8.0), "Alpha": (8.0, 13.0), "Beta": (13.0, 30.0), "Gamma": (30.0, 40.0)}
-OFFSETS = {"Theta": (-2.0, 3.0), "Alpha": (-2.0, 3.0), "Beta": (-8.0, 9.0), "Gamma": (-5.0, 5.0)}
-RATIOS = (("Theta", "Alpha"), ("Theta", "Beta"), ("Theta", "Gamma"), ("Alpha", "Beta"), ("Alpha", "Gamma"), ("Beta", "Gamma"))
+BANDS = {k: (float(a), float(b)) for k, (a, b) in config.BANDS.items()}
+OFFSETS = {k: (float(a), float(b)) for k, (a, b) in config.OFFSETS.items()}
+RATIOS = config.RATIO_PAIRS  # pairs of a band that is not asked for are left out
 FIT_RANGE = (3.0, 40.0)
 
 
@@ -99,3 +99,43 @@ def feature_table(psd: DataFrame, models: DataFrame | None = None, bands: dict =
         shape = F.explode(F.array(*[F.struct(F.lit(n.capitalize()).alias("feature"), F.col(n).alias("value")) for n in ("offset", "exponent")]))
         out = out.unionByName(good.select(*keys, shape.alias("x")).select(*keys, "x.feature", F.lit("").alias("band"), "x.value"))
     return out
+
+
+def features(psd: DataFrame, models: DataFrame, settings: config.RunConfig, layout: DataFrame | None = None, keys: tuple = ("subject",), channel: str = "channel", left: str = "_lh_", right: str = "_rh_") -> DataFrame:
+    """keys, channel (or parcel), feature, band, value: what the settings' feature flags ask for.
+
+    Spectra meet their models (offset, exponent, r2, ap, peaks); poorly fitted ones go.  All features
+    of a spectrum are expressions over its row, so there is one join, and one shuffle more for the
+    parcels of a layout (channel, parcel), if the settings name one.  Individualised power lies
+    around the strongest peak of the model in the band; without one it is missing, and missing
+    values are no rows.  Asymmetries are named by ``_lh_vs_rh_``.
+    """
+    on = {k for k, v in settings.features.items() if v}
+    bands = {k: (float(a), float(b)) for k, (a, b) in settings.bands.items()}
+    total = tuple(settings.freq_range)
+    good = well_fitted(models, settings.least_r2).select(*keys, channel, "offset", "exponent", "ap", "peaks")
+    rows = psd.join(good, [*keys, channel]).withColumn("adjusted", S.periodic_part(F.col("power"), F.col("ap")))
+    freqs, spectra = F.col("freqs"), {"Adjusted": F.col("adjusted"), "OriginalPSD": F.col("power")}
+    found = [("Offset", "", F.col("offset")), ("Exponent", "", F.col("exponent"))]
+    for kind, power in spectra.items():
+        found += [(f"{kind}_Band_Ratio", f"{a}_over_{b}", S.band_ratio(freqs, power, bands[a], bands[b])) for a, b in settings.ratios if a in bands and b in bands]
+    for band, (lo, hi) in bands.items():
+        peak = S.peak_in_band(F.col("peaks"), lo, hi)
+        found += [("Peak_Center", band, peak["cf"]), ("Peak_Power", band, peak["pw"]), ("Peak_Width", band, peak["bw"])]
+        for kind, power in spectra.items():
+            found.append((f"{kind}_Canonical_Absolute_Power", band, S.abs_band_power(freqs, power, lo, hi)))
+            if band != "Broadband":
+                found.append((f"{kind}_Canonical_Relative_Power", band, S.rel_band_power(freqs, power, lo, hi, *total)))
+            if band != "Broadband" and band in settings.offsets:
+                down, up = (peak["cf"] + F.lit(float(x)) for x in settings.offsets[band])
+                found.append((f"{kind}_Individualized_Absolute_Power", band, F.when(peak["cf"].isNotNull(), S.abs_band_power(freqs, power, down, up))))
+                found.append((f"{kind}_Individualized_Relative_Power", band, F.when(peak["cf"].isNotNull(), S.rel_band_power(freqs, power, down, up, *total))))
+    items = [F.struct(F.lit(f).alias("feature"), F.lit(b).alias("band"), v.cast("double").alias("value")) for f, b, v in found if f in on]
+    if not items:
+        return rows.select(*keys, channel, F.lit("").alias("feature"), F.lit("").alias("band"), F.lit(0.0).alias("value")).limit(0)
+    out = rows.select(*keys, channel, F.explode(F.array(*items)).alias("x")).select(*keys, channel, "x.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    if settings.which_layout and layout is not None:
+        out = parcel_mean(out, layout, (*keys, "feature", "band"), channel).withColumnRenamed("parcel", channel)
+    if "Hemispheric_Asymmetry_index" in on:
+        out = out.unionByName(hemispheric_asymmetry(out, (*keys, "feature", "band"), channel, "value", left, right))
+    return out

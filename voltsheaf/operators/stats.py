@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)
+def two_sided_p(z: Column) -> Column:
+    """P(|Z| > |z|) of a standard normal variable, to about 1e-12: a series near 0, a continued fraction beyond."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda a, n: F.struct((-a["t"] * x * x / n).alias("t"), (a["s"] - a["t"] * x * x / n / (2 * n + 1)).alias("s")), lambda a: 1 - a["s"] * 1.1283791670955126)
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda f, n: n / 2.0 / (x + f))
+    far = F.exp(-x * x) / (x + tail) * 0.5641895835477563
+    return F.when(F.isnan(z), None).when(x < 2.5, near).otherwise(far)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(NormalDist().inv_cdf)
+# fixed values: the published coefficients of algorithm AS 241 (Wichura 1988), the constant first
+CENTRE = ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727), (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610))
+MIDDLE = ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4), (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+OUTER = ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7), (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
+def polynomial(x: Column, coefficients: tuple) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile, to about 1e-15; null outside (0, 1)."""
+    q = p - 0.5
+    r = 0.180625 - q * q
+    s = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(1 - p)))
+    tail = F.when(s <= 5, polynomial(s - 1.6, MIDDLE[0]) / polynomial(s - 1.6, MIDDLE[1])).otherwise(polynomial(s - 5, OUTER[0]) / polynomial(s - 5, OUTER[1]))
+    inner = q * polynomial(r, CENTRE[0]) / polynomial(r, CENTRE[1])
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.when(q < 0, -tail).otherwise(tail)))
+
+
+#: Ranges that a sort over all rows is cut into.
+RANGES = 200
+
+
+def before(rows: DataFrame, order: str, weight: Column, by: tuple = (), ranges: int = RANGES, key: tuple = ()) -> DataFrame:
+    """rows with __range and __before, the sum of weight over all rows of smaller order (ties: by key) in their group.
+
+    Rows are dealt to ranges of the order by approximate quantiles, which decide balance alone, and
+    summed up within their range; sums of whole ranges, at most ``ranges`` a group, are added.  So no
+    sort holds more than a range, even where all rows are one group.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
+    keyed = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row for each group
+    keyed = keyed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__w", weight)
+    sums = keyed.groupBy(*by, "__range").agg(F.sum("__w").alias("__sum"))
+    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    offsets = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    own = Window.partitionBy(*by, "__range").orderBy(order, *key).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.withColumn("__own", F.coalesce(F.sum("__w").over(own), F.lit(0))).join(F.broadcast(offsets), [*by, "__range"])
+    return out.withColumn("__before", F.col("__own") + F.col("__offset")).drop("__w", "__own", "__offset")
 
 
 def rank_sum(df: DataFrame, value: str, group: str, first, by: tuple = ()) -> DataFrame:
@@ -28,22 +69,28 @@ def rank_sum(df: DataFrame, value: str, group: str, first, by: tuple = ()) -> Da
     values are one row; a family of tests (by) is ranked in parallel.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.sum((F.col(group) == F.lit(first)).cast("long")).alias("n1"))
-    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = before(counts, value, F.col("n"), by).withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2)
     out = ranked.groupBy(*by).agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"), F.sum(F.col("rank") * F.col("n1")).alias("r1"))
     a, b = F.col("n1").cast("double"), F.col("n2").cast("double")
     sd = F.sqrt(a * b * (a + b + 1) / 12)
     return out.withColumn("z", F.when(sd > 0, (F.col("r1") - a * (a + b + 1) / 2) / sd))
 
 
-def false_discovery(df: DataFrame, p: str, key: str) -> DataFrame:
-    """df with p_adjusted (Benjamini-Hochberg step-up) over all rows with a p-value: a family of tests."""
+def false_discovery(df: DataFrame, p: str, key: str, ranges: int = RANGES) -> DataFrame:
+    """df with p_adjusted (Benjamini-Hochberg step-up) over all rows with a p-value: a family of tests.
+
+    Ranks are prefix counts over ranges of p, and the running minimum is taken within a range and
+    then with the least value of the ranges above.
+    """
     tests = df.filter(F.col(p).isNotNull())
-    order = Window.partitionBy(F.lit(1)).orderBy(p, key)  # one row a test
-    ranked = tests.withColumn("__m", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("__r", F.row_number().over(order))
-    raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))
-    later = Window.partitionBy(F.lit(1)).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("p_adjusted", F.least(F.min("__raw").over(later), F.lit(1.0))).drop("__m", "__r", "__raw")
+    n = tests.agg(F.count("*").alias("__m"))
+    ranked = before(tests, p, F.lit(1), (), ranges, (key,)).crossJoin(F.broadcast(n))  # one row
+    raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__before") + 1))
+    later = Window.partitionBy(F.lit(1)).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    above = raw.groupBy("__range").agg(F.min("__raw").alias("__least")).select("__range", F.min("__least").over(later).alias("__above"))
+    own = Window.partitionBy("__range").orderBy(F.desc("__before")).rowsBetween(Window.unboundedPreceding, 0)
+    out = raw.withColumn("__own", F.min("__raw").over(own)).join(F.broadcast(above), "__range")
+    return out.withColumn("p_adjusted", F.least("__own", "__above", F.lit(1.0))).select(*df.columns, "p_adjusted")
 
 
 def density(df: DataFrame, value: str, by: list[str], lo: float, hi: float, points: int, bandwidth: float) -> DataFrame:
@@ -87,16 +134,75 @@ def melted_boxes(long: DataFrame, by: list[str], value: str) -> DataFrame:
     return long.groupBy(*by).agg(q.alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).select(*by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "n")
 
 
-def effective_size(draws: DataFrame, by: list[str], chain: str, draw: str, value: str, lags: int = 20) -> DataFrame:
-    """Effective sample size from the autocorrelations up to a lag, cut at the first that is not
-    positive, averaged over chains: by, ess."""
+def held(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint in the folder that spark.checkpoint.dir names, which also cuts the
+    plan, or where none is named (a local session) in memory."""
+    spark = df.sparkSession
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(place)
+        return df.checkpoint()
+    return df.persist()
+
+
+#: Lags of the first round of autocorrelations, and of a late one.
+FIRST_LAGS, MOST_LAGS = 20, 160
+
+
+def effective_size(draws: DataFrame, by: list[str], chain: str, draw: str, value: str) -> DataFrame:
+    """Effective sample size from the autocorrelations up to the first that is not positive, summed
+    over chains: by, ess.
+
+    Lags are taken in rounds, each of twice as many up to MOST_LAGS, and after each only chains whose
+    autocorrelation is still positive go on, so slowly mixing chains are followed as far as they need.
+    """
     w = Window.partitionBy(*by, chain)
-    c = draws.withColumn("__c", F.col(value) - F.avg(value).over(w)).withColumn("__n", F.count("*").over(w))
     o = w.orderBy(draw)
-    products = [F.sum(F.col("__c") * F.col(f"__l{k}")).alias(f"__s{k}") for k in range(1, lags + 1)]
-    lagged = c.withColumns({f"__l{k}": F.lag("__c", k).over(o) for k in range(1, lags + 1)})
-    per = lagged.groupBy(*by, chain).agg(F.sum(F.col("__c") * F.col("__c")).alias("__s0"), F.max("__n").alias("__n"), *products)
-    rho = F.array(*[F.coalesce(F.col(f"__s{k}") / F.nullif(F.col("__s0"), F.lit(0.0)), F.lit(0.0)) for k in range(1, lags + 1)])
-    stop = F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("on"))
-    total = F.aggregate(rho, stop, lambda a, r: F.struct(F.when(a["on"] & (r > 0), a["s"] + r).otherwise(a["s"]).alias("s"), (a["on"] & (r > 0)).alias("on")), lambda a: a["s"])
-    return per.withColumn("__t", F.col("__n") / (1 + 2 * total)).groupBy(*by).agg(F.sum("__t").alias("ess"))
+    rows = held(draws.filter(F.col(value).isNotNull()).select(*by, chain, draw, (F.col(value) - F.avg(value).over(w)).alias("__c")))
+    chains = rows.groupBy(*by, chain).agg(F.sum(F.col("__c") * F.col("__c")).alias("__s0"), F.count("*").alias("__n"))
+    ended, going, first, size = [], chains.withColumn("__sum", F.lit(0.0)), 1, FIRST_LAGS
+    while True:
+        lags = range(first, first + size)
+        lagged = rows.join(going.select(*by, chain), [*by, chain], "left_semi").select(*by, chain, "__c", *[F.lag("__c", k).over(o).alias(f"__l{k}") for k in lags])
+        products = lagged.groupBy(*by, chain).agg(F.array(*[F.sum(F.col("__c") * F.col(f"__l{k}")) for k in lags]).alias("__p"))
+        rho = F.transform("__p", lambda x: F.coalesce(x / F.nullif(F.col("__s0"), F.lit(0.0)), F.lit(0.0)))
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("on"))
+        summed = F.aggregate(rho, start, lambda a, r: F.struct((a["s"] + F.when(a["on"] & (r > 0), r).otherwise(0.0)).alias("s"), (a["on"] & (r > 0)).alias("on")))
+        step = going.join(products, [*by, chain]).withColumn("__a", summed).withColumn("__sum", F.col("__sum") + F.col("__a.s")).withColumn("__on", F.col("__a.on"))
+        step = held(step.select(*by, chain, "__s0", "__n", "__sum", "__on"))  # a row a chain
+        ended.append(step.filter(~F.col("__on")))
+        going, first, size = step.filter("__on").drop("__on"), first + size, min(2 * size, MOST_LAGS)
+        if going.isEmpty():
+            break
+    done = reduce(DataFrame.unionByName, ended)
+    return done.withColumn("__t", F.col("__n") / (1 + 2 * F.col("__sum"))).groupBy(*by).agg(F.sum("__t").alias("ess"))
+
+
+def rank_normalised(draws: DataFrame, by: list[str], value: str) -> DataFrame:
+    """draws with z, the normal score of the mid-rank of each value among all draws of its parameter."""
+    counts = draws.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
+    sizes = counts.groupBy(*by).agg(F.sum("__k").alias("__n"))
+    ranked = before(counts, value, F.col("__k"), tuple(by)).join(sizes, by)
+    score = normal_quantile((F.col("__before") + (F.col("__k") + 1) / 2 - 0.375) / (F.col("__n") + 0.25))
+    return draws.join(ranked.select(*by, value, score.alias("z")), [*by, value])
+
+
+def convergence(draws: DataFrame, by: list[str], chain: str, draw: str, value: str) -> DataFrame:
+    """by, r_hat, ess_bulk, ess_tail, mcse_sd of rank-normalised split chains (Vehtari et al. 2021).
+
+    ess_bulk is that of the normal scores, ess_tail the lesser of those of the indicators of the 5 %
+    and 95 % quantiles; mcse_sd is the deviation over the square root of twice the plain size.
+    """
+    scored = rank_normalised(draws, by, value)
+    q = draws.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("__q"), F.stddev_samp(value).alias("__sd"))
+    marked = scored.join(q, by).withColumn("__low", (F.col(value) <= F.col("__q")[0]).cast("double")).withColumn("__high", (F.col(value) <= F.col("__q")[1]).cast("double"))
+    out = split_r_hat(scored, by, chain, draw, "z").select(*by, "r_hat")
+    for column, name in (("z", "ess_bulk"), ("__low", "__ess_low"), ("__high", "__ess_high"), (value, "__ess")):
+        out = out.join(effective_size(marked, by, chain, draw, column).withColumnRenamed("ess", name), by)
+    out = out.join(q.select(*by, "__sd"), by)
+    return out.select(*by, "r_hat", "ess_bulk", F.least("__ess_low", "__ess_high").alias("ess_tail"), (F.col("__sd") / F.sqrt(2 * F.col("__ess"))).alias("mcse_sd"))
+
+
+def with_normal_quantile(points: DataFrame, position: str = "position") -> DataFrame:
+    """Plotting positions with their normal quantile beside them, for QQ plots."""
+    return points.withColumn("normal", normal_quantile(F.col(position)))

@@ -65,3 +65,9 @@ def region_parts(df: DataFrame, name: str = "region") -> DataFrame:
     n = F.col(name)
     hemi = F.when(n.rlike("(^lh[._-])|([._-]lh$)"), "lh").when(n.rlike("(^rh[._-])|([._-]rh$)"), "rh")
     return df.withColumn("hemi", hemi).withColumn("bare", F.regexp_replace(n, "^(lh|rh)[._-]|[._-](lh|rh)$", ""))
+
+
+def range_markers(centiles: DataFrame, observed: DataFrame, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """by, low, high, value: an individual's value on the range between two centiles, ends of each bar."""
+    ends = centiles.filter(F.col("quantile").isin([low, high])).groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.join(observed.select(*by, F.col("value")), by)

@@ -1,4 +1,4 @@
-"""Kernels run by group: Spark deals out (subject, channel) groups, numpy works within each."""
+"""Kernels over spectra and series: Spark cuts recordings into segments, numpy works on blocks of them."""
 
 from __future__ import annotations
 
@@ -6,41 +6,82 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voltsheaf.functions import kernels
+from voltsheaf.operators.stats import normal_quantile
 
 MODEL = "subject string, channel string, offset double, exponent double, r2 double, ap array<double>, peaks array<struct<cf:double,pw:double,bw:double>>"
 
 
 def event_series(spark, sf_dir: str) -> DataFrame:
-    """events as samples: subject, channel, t_idx, value."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("user_id").cast("string").alias("subject"), F.lit("value").alias("channel"), F.col("event_id").alias("t_idx"), "value")
+    """events as samples: subject, channel, t_idx (the number of a sample in its recording), value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value").isNotNull())
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return e.select(F.col("user_id").cast("string").alias("subject"), F.lit("value").alias("channel"), number.cast("long").alias("t_idx"), "value")
 
 
-def series(samples: DataFrame) -> DataFrame:
-    """One row per recording and channel, with its samples in order as an array (one channel, one group)."""
+def segments(samples: DataFrame, length: int, step: int) -> DataFrame:
+    """subject, channel, segment, x: windows of ``length`` samples, one every ``step``, each a row.
+
+    A sample is sent to the windows that hold it, so a long recording is many rows and many tasks,
+    never one array.  Windows at the end that are not full go, but a recording shorter than one
+    window keeps what it has as its only segment.  t_idx numbers the samples of a recording from 0.
+    """
+    first, last = F.greatest(F.floor((F.col("t_idx") - length) / step) + 1, F.lit(0)), F.floor(F.col("t_idx") / step)
+    rows = samples.filter(F.col("value").isNotNull()).withColumn("segment", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("t_idx", "value"))), lambda x: x["value"])
-    return samples.filter(F.col("value").isNotNull()).groupBy("subject", "channel").agg(ordered.alias("x"))
+    cut = rows.groupBy("subject", "channel", "segment").agg(ordered.alias("x"))
+    lengths = samples.filter(F.col("value").isNotNull()).groupBy("subject", "channel").agg((F.max("t_idx") + 1).alias("n"))
+    return cut.join(lengths, ["subject", "channel"]).filter((F.size("x") == length) | ((F.col("n") < length) & (F.col("segment") == 0))).drop("n")
 
 
-def welch(samples: DataFrame, sfreq: float, segment: float = 2.0, overlap: float = 1.0, band: tuple = (0.0, float("inf"))) -> DataFrame:
-    """subject, channel, freqs, power; the band is cut inside the kernel."""
+def spectra_of(cut: DataFrame, names: tuple[str, ...], kernel) -> DataFrame:
+    """Spectra of segments, averaged by recording: subject, channel, freqs and an array for each name.
+
+    kernel takes a block of equally long segments, the rows of a matrix, and gives the frequencies
+    and for each name a matrix of as many rows.
+    """
 
     def run(frames):
         for pdf in frames:
-            out = []
-            for x in pdf["x"]:
-                f, p = kernels.welch(np.asarray(x, float), sfreq, segment, overlap) if len(x) >= 4 else (np.zeros(0), np.zeros(0))
-                keep = (f >= band[0]) & (f <= band[1])
-                out.append((f[keep], p[keep]))
-            yield pdf[["subject", "channel"]].assign(freqs=[o[0] for o in out], power=[o[1] for o in out])
+            for _, part in pdf.groupby(pdf["x"].map(len)):
+                x = np.stack([np.asarray(v, float) for v in part["x"]])
+                if x.shape[1] < 4:
+                    continue
+                freqs, *power = kernel(x)
+                yield part[["subject", "channel"]].assign(freqs=[freqs] * len(part), **{n: list(p) for n, p in zip(names, power)})
+
+    fields = ", ".join(f"{n} array<double>" for n in ("freqs", *names))
+    each = cut.select("subject", "channel", "x").mapInPandas(run, f"subject string, channel string, {fields}")
+    points = each.select("subject", "channel", F.posexplode(F.arrays_zip("freqs", *names)).alias("i", "p")).select("subject", "channel", "i", "p.*")
+    means = points.groupBy("subject", "channel", "i").agg(F.first("freqs").alias("freqs"), *[F.avg(n).alias(n) for n in names])
+    whole = means.groupBy("subject", "channel").agg(F.array_sort(F.collect_list(F.struct("i", "freqs", *names))).alias("p"))
+    return whole.select("subject", "channel", *[F.col(f"p.{n}").alias(n) for n in ("freqs", *names)])
+
 
-    return series(samples).mapInPandas(run, "subject string, channel string, freqs array<double>, power array<double>")
+def banded(freqs: np.ndarray, band: tuple, *power: np.ndarray) -> list[np.ndarray]:
+    keep = (freqs >= band[0]) & (freqs <= band[1])
+    return [freqs[keep], *[p[..., keep] for p in power]]
+
+
+def welch(samples: DataFrame, sfreq: float, segment: float = 2.0, overlap: float = 1.0, band: tuple = (0.0, float("inf"))) -> DataFrame:
+    """subject, channel, freqs, power: the mean of the periodograms of overlapping segments."""
+    n = int(round(segment * sfreq))
+    cut = segments(samples, n, max(1, n - int(round(overlap * sfreq))))
+    return spectra_of(cut, ("power",), lambda x: banded(np.fft.rfftfreq(x.shape[1], 1 / sfreq), band, kernels.periodograms(x, sfreq)))
+
+
+def multitaper(samples: DataFrame, sfreq: float, segment: float = 2.0, overlap: float = 1.0, band: tuple = (0.0, float("inf")), tapers: int = 7) -> DataFrame:
+    """subject, channel, freqs, power: the mean of the multitaper spectra of the segments."""
+    n = int(round(segment * sfreq))
+    cut = segments(samples, n, max(1, n - int(round(overlap * sfreq))))
+    return spectra_of(cut, ("power",), lambda x: banded(np.fft.rfftfreq(x.shape[1], 1 / sfreq), band, kernels.multitaper(x, sfreq, tapers)))
 
 
 def parameterize(psd: DataFrame, knee: bool = False, fit_range: tuple = (3.0, 40.0), **options) -> DataFrame:
-    """The spectral model of each spectrum: a narrow pass over rows."""
+    """The spectral model of each spectrum.  A fit takes milliseconds while a spectrum is a few hundred
+    bytes, so spectra are dealt out by recording and channel first."""
 
     def run(frames):
         for pdf in frames:
@@ -51,16 +92,44 @@ def parameterize(psd: DataFrame, knee: bool = False, fit_range: tuple = (3.0, 40
                 out.append(kernels.parameterize(f[keep], p[keep], knee, **options))
             yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=["offset", "exponent", "r2", "ap", "peaks"])], axis=1)
 
-    return psd.select("subject", "channel", "freqs", "power").mapInPandas(run, MODEL)
+    parts = max(int(psd.sparkSession.conf.get("spark.sql.shuffle.partitions")), psd.sparkSession.sparkContext.defaultParallelism)
+    return psd.select("subject", "channel", "freqs", "power").repartition(parts, "subject", "channel").mapInPandas(run, MODEL)
+
+
+def irasa(samples: DataFrame, sfreq: float, band: tuple, segment: float = 10.0, overlap: float = 2.0) -> DataFrame:
+    """subject, channel, freqs, power, aperiodic, periodic: IRASA of every epoch, then the mean over epochs."""
+    n = int(round(segment * sfreq))
+    cut = segments(samples, n, max(1, n - int(round(overlap * sfreq))))
 
+    def kernel(x: np.ndarray):
+        each = [kernels.irasa(v, sfreq, band) for v in x]
+        return [each[0]["freqs"], *[np.stack([e[k] for e in each]) for k in ("power", "aperiodic", "periodic")]]
+
+    return spectra_of(cut, ("power", "aperiodic", "periodic"), kernel)
+
+
+def filtered_blocks(samples: DataFrame, sfreq: float, lo: float = 1.0, hi: float = 80.0, line: float | None = 50.0, block: float = 60.0, margin: float = 5.0) -> DataFrame:
+    """subject, channel, t_idx, value: band-passed and notch-filtered samples.
+
+    Blocks of a recording are filtered with a margin on both sides that is then cut off, so that no
+    recording has to fit in one row; the first and last block have their margin on one side alone.
+    """
+    n, m = int(round(block * sfreq)), int(round(margin * sfreq))
+    at = F.floor(F.col("t_idx") / n)
+    near = F.array_distinct(F.array(F.greatest(F.floor((F.col("t_idx") - m) / n), F.lit(0)), at, F.floor((F.col("t_idx") + m) / n)))
+    rows = samples.filter(F.col("value").isNotNull()).withColumn("block", F.explode(near))
+    cut = rows.groupBy("subject", "channel", "block").agg(F.array_sort(F.collect_list(F.struct("t_idx", "value"))).alias("s"))
+    cut = cut.select("subject", "channel", "block", F.transform("s", lambda x: x["t_idx"]).alias("t"), F.transform("s", lambda x: x["value"]).alias("x"))
 
-def irasa(samples: DataFrame, sfreq: float, band: tuple) -> DataFrame:
     def run(frames):
         for pdf in frames:
-            out = [kernels.irasa(np.asarray(x, float), sfreq, band) if len(x) >= 8 else {k: np.zeros(0) for k in ("freqs", "power", "aperiodic", "periodic")} for x in pdf["x"]]
-            yield pdf[["subject", "channel"]].assign(**{k: [o[k] for o in out] for k in ("freqs", "power", "aperiodic", "periodic")})
+            for subject, channel, k, t, x in pdf.itertuples(index=False):
+                t = np.asarray(t)
+                mine = (t >= k * n) & (t < (k + 1) * n)
+                if mine.any():
+                    yield pd.DataFrame({"subject": subject, "channel": channel, "t_idx": t[mine], "value": kernels.band_pass(np.asarray(x, float), sfreq, lo, hi, line)[mine]})
 
-    return series(samples).mapInPandas(run, "subject string, channel string, freqs array<double>, power array<double>, aperiodic array<double>, periodic array<double>")
+    return cut.mapInPandas(run, "subject string, channel string, t_idx long, value double")
 
 
 def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins: int = 10, include_right_edge: bool = False) -> DataFrame:
@@ -75,11 +144,34 @@ def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins
         rows = rows.withColumn("bin", F.least("bin", F.lit(n_bins - 1)))
     rows = rows.filter(F.col("bin").between(0, n_bins - 1))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], kernels.shapiro_w(pdf[z].to_numpy(float)))], columns=[response, "w"])
+    # W is (sum of weights times order statistics) squared over the sum of squares: ranks by a sort, sums by groups
+    w = Window.partitionBy(response, "bin")
+    sizes = rows.filter(F.col(z).isNotNull() & ~F.isnan(z)).select(response, "bin", F.col(z).alias("__z")).withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy("__z")))
+    n, i = F.col("__n").cast("double"), F.col("__i")
+    m = normal_quantile((i - 0.375) / (n + 0.25))
+    scored = sizes.withColumn("__m", m)
+    moments = scored.groupBy(response, "bin").agg(F.first("__n").alias("__n"), F.sum(F.col("__m") * F.col("__m")).alias("ss"), F.sum(F.col("__m") * F.col("__z")).alias("mz"), F.var_pop("__z").alias("v"), *[F.max(F.when(F.col("__i") == at, F.col(c))).alias(k) for k, c, at in (("m1", "__m", F.col("__n")), ("m2", "__m", F.col("__n") - 1), ("hi", "__z", F.col("__n")), ("hi2", "__z", F.col("__n") - 1), ("lo", "__z", F.lit(1)), ("lo2", "__z", F.lit(2)))])
+    return moments.withColumn("w", shapiro_from_moments()).groupBy(response).agg(F.avg("w").alias("w"), F.count("w").alias("n_bins"))
 
-    each = rows.select(response, "bin", z).groupBy(response, "bin").applyInPandas(run, f"{response} string, w double")
-    return each.groupBy(response).agg(F.avg("w").alias("w"), F.count("w").alias("n_bins"))
+
+def shapiro_from_moments():
+    """W from the sums of a group (Royston 1995); null for fewer than three values or equal ones.
+
+    ss: sum of squared normal scores, mz: scores times values, m1, m2: the two largest scores, hi,
+    hi2, lo, lo2: the two largest and smallest values, v: variance.
+    """
+    n, ss, m1, m2 = F.col("__n").cast("double"), F.col("ss"), F.col("m1"), F.col("m2")
+    u, root = 1 / F.sqrt(n), F.sqrt(ss)
+    # fixed values: the published polynomials for the two extreme weights
+    last = m1 / root + u * (0.221157 + u * (-0.147981 + u * (-2.071190 + u * (4.434685 - 2.706056 * u))))
+    second = m2 / root + u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 - 3.582633 * u))))
+    ends, ends2 = F.col("hi") - F.col("lo"), F.col("hi2") - F.col("lo2")
+    wide = (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * last * last - 2 * second * second)
+    narrow = (ss - 2 * m1 * m1) / (1 - 2 * last * last)
+    big = last * ends + second * ends2 + (F.col("mz") - m1 * ends - m2 * ends2) / F.sqrt(wide)
+    small = last * ends + (F.col("mz") - m1 * ends) / F.sqrt(narrow)
+    total = F.when(n == 3, F.sqrt(F.lit(0.5)) * ends).when(n > 5, big).otherwise(small)
+    return F.when((n >= 3) & (ends > 0), total * total / (n * F.col("v")))
 
 
 def independent_components(samples: DataFrame, n: int = 2) -> DataFrame:
@@ -95,13 +187,3 @@ def independent_components(samples: DataFrame, n: int = 2) -> DataFrame:
         return pd.DataFrame({"subject": key[0], "component": i.ravel(), "t": t.ravel(), "value": parts.ravel()})
 
     return samples.groupBy("subject").applyInPandas(run, "subject string, component int, t int, value double")
-
-
-def preprocessed(samples: DataFrame, sfreq: float, lo: float = 1.0, hi: float = 80.0, line: float | None = 50.0) -> DataFrame:
-    """Band-passed and notch-filtered samples by channel."""
-
-    def run(frames):
-        for pdf in frames:
-            yield pdf.assign(x=[kernels.band_pass(np.asarray(x, float), sfreq, lo, hi, line) for x in pdf["x"]])
-
-    return series(samples).mapInPandas(run, "subject string, channel string, x array<double>")

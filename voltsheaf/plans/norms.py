@@ -9,12 +9,12 @@ from voltsheaf.functions.spectral import finite
 from voltsheaf.operators import cohort, normdata
 
 
-def prepared(wide: DataFrame, key: str, responses: list[str], covariate: str, groups: list[str], diagnoses: tuple[str, list] | None = None, subjects: DataFrame | None = None, exclude: str | None = None, include: list[str] | None = None, missing: float = 0.2, half_width: float = 5.0, train: float = 0.5) -> DataFrame:
+def prepared(wide: DataFrame, key: str, responses: list[str], covariate: str, groups: list[str], diagnoses: tuple[str, list] | None = None, subjects: DataFrame | None = None, exclude: str | None = None, include: list[str] | None = None, missing: float = 0.2, half_width: float = 5.0, train: float = 0.5, impute: bool = True) -> DataFrame:
     """Long normative data: key, groups, covariate, response, y, split.
 
     Cohort filters, column selection, infinities as missing, features with too many gaps dropped,
-    gaps imputed by group and covariate window, rows split by strata.  Features stay long, so the
-    plan does not grow with their number.
+    gaps imputed by group and covariate window (or, without imputation, subjects with a gap dropped),
+    rows split by strata.  Features stay long, so the plan does not grow with their number.
     """
     rows = wide
     if diagnoses is not None:
@@ -27,5 +27,8 @@ def prepared(wide: DataFrame, key: str, responses: list[str], covariate: str, gr
     split = normdata.stratified_split(rows.select(*ids), groups, key, train).select(key, "split")
     long = cohort.melt(rows.select(*ids, *[F.col(c).cast("double").alias(c) for c in names]), ids, names, "response", "y").withColumn("y", finite(F.col("y")))
     good = cohort.drop_sparse_features(long, "response", "y", missing)
+    if not impute:
+        gaps = good.filter(F.col("y").isNull()).select(key).distinct()
+        return cohort.without(good, gaps, key).join(split, key)
     filled = normdata.impute_mean(good, "y", ["response", *groups], covariate, half_width)
     return filled.withColumn("y", F.col("imputed")).drop("imputed").join(split, key)

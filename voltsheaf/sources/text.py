@@ -50,11 +50,25 @@ def subjects_with_errors(files: DataFrame) -> DataFrame:
     return bad.select(F.split(F.split(base, r"\.")[0], "_")[0].alias("subject")).distinct()
 
 
+# fixed values: what a log line of an error looks like
+ERROR_PATTERNS = (
+    r"\bERROR\b",
+    r"Segmentation (fault|violation)",
+    r"\bKilled\b",
+    r"out of memory",
+    r"No space left on device",
+    r"Bus error",
+    r"floating point exception",
+    r"Abort",
+    r"assertion.*failed",
+)
+
+
 def error_hints(lines: DataFrame, by: list[str], order: str, n: int = 10) -> DataFrame:
-    """The last n lines of each log that look like errors."""
-    pattern = r"(?i)(error|exception|segmentation fault|cannot|failed|killed|out of memory|no such file|abort)"
+    """The last n lines of each log that look like errors, trimmed: by, hints."""
+    pattern = "(?i)" + "|".join(ERROR_PATTERNS)
     hits = tail(lines.filter(F.col("line").rlike(pattern)), by, order, n)
-    return hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]).alias("hints"))
+    return hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: F.trim(x["line"])).alias("hints"))
 
 
 def task_of(path: Column) -> Column:
