@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltsheaf.operators import stats
+
 
 def impute_mean(df: DataFrame, value: str, groups: list[str], covariate: str, half_width: float = 5.0) -> DataFrame:
     """Missing values from neighbours in the same group and covariate window (both ends included),
     else from the group, else from all rows; a missing group or covariate falls through.
 
-    Neighbours are original values.  One shuffle by group; the overall mean is one small row.
+    Neighbours are original values.  Observed values are first summed up by group and covariate, and
+    gaps meet these sums in bands of the covariate (an equi-join), so no group is sorted as a whole.
     """
-    grouped = Window.partitionBy(*groups)
-    keys = ", ".join(f"`{g}`" for g in groups)  # a window of fractional width has no form but SQL
-    near = F.expr(f"avg(`{value}`) OVER (PARTITION BY {keys} ORDER BY CAST(`{covariate}` AS DOUBLE) RANGE BETWEEN {float(half_width)}D PRECEDING AND {float(half_width)}D FOLLOWING)")
-    known = F.lit(True)
-    for g in groups:
-        known = known & F.col(g).isNotNull()
+    band = half_width or 1.0
+    seen = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(covariate).cast("double").alias("__o")).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
+    seen = seen.withColumn("__band", F.floor(F.col("__o") / band))
+    gaps = df.filter(F.col(value).isNull() & F.col(covariate).isNotNull()).select(*groups, F.col(covariate).cast("double").alias("__c")).distinct()
+    at = F.floor(F.col("__c") / band)
+    gaps = gaps.withColumn("__band", F.explode(F.array(at - 1, at, at + 1)))
+    near = gaps.join(seen, [*groups, "__band"]).filter(F.abs(F.col("__o") - F.col("__c")) <= half_width).groupBy(*groups, "__c").agg((F.sum("__s") / F.sum("__n")).alias("__near"))
+    by_group = seen.groupBy(*groups).agg((F.sum("__s") / F.sum("__n")).alias("__group"))
     overall = df.agg(F.avg(value).alias("__all"))
-    out = df.crossJoin(F.broadcast(overall))  # one row
-    filled = F.coalesce(value, F.when(known & F.col(covariate).isNotNull(), near), F.when(known, F.avg(value).over(grouped)), "__all")
-    return out.withColumn("imputed", filled).drop("__all")
+    out = df.withColumn("__c", F.col(covariate).cast("double")).join(near, [*groups, "__c"], "left").join(by_group, groups, "left").crossJoin(F.broadcast(overall))  # one row
+    return out.withColumn("imputed", F.coalesce(value, "__near", "__group", "__all")).select(*df.columns, "imputed")
 
 
 def impute_median(df: DataFrame, value: str, key: str, groups: list[str], covariate: str, half_width: float = 5.0, widths: dict | None = None, width_by: str | None = None) -> DataFrame:
@@ -38,7 +44,7 @@ def impute_median(df: DataFrame, value: str, key: str, groups: list[str], covari
     seen = df.filter(F.col(value).isNotNull()).select(*groups, F.floor(F.col(covariate) / band).alias("__band"), F.col(covariate).alias("__o"), F.col(value).alias("__v"))
     near = gaps.join(seen, [*groups, "__band"]).filter(F.abs(F.col("__o") - F.col("__c")) <= F.col("__w")).groupBy(key).agg(F.median("__v").alias("__near"))
     by_group = df.groupBy(*groups).agg(F.median(value).alias("__group"))
-    overall = df.agg(F.median(value).alias("__all"))
+    overall = stats.quantiles(df, value, {"__all": 0.5})
     out = df.join(near, key, "left").join(by_group, groups, "left").crossJoin(F.broadcast(overall))  # one row
     return out.withColumn("imputed", F.coalesce(value, "__near", "__group", "__all")).drop("__near", "__group", "__all")
 
@@ -55,10 +61,13 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, train: float =
     of the stratum's rows, rounded down; validation is taken from what train leaves.
     """
     order = F.pmod(F.col(key) * 2654435761 + F.lit(seed) * 40503, F.lit(1_000_003))
-    w = Window.partitionBy(*strata)
-    n, place = F.count("*").over(w), F.row_number().over(w.orderBy(order, key))
+    ranked = stats.before(df.withColumn("__order", order), "__order", F.lit(1), tuple(strata), key=(key,))
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("__size"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in strata])
+    out = ranked.join(sizes.withColumnsRenamed({c: f"__r_{c}" for c in strata}), same)
+    n, place = F.col("__size"), F.col("__before") + 1
     cut = F.floor(n * F.lit(float(train)))
-    return df.withColumn("split", F.when(place <= cut, "train").when(place <= cut + F.floor(n * F.lit(float(validation))), "validation").otherwise("test"))
+    return out.withColumn("split", F.when(place <= cut, "train").when(place <= cut + F.floor(n * F.lit(float(validation))), "validation").otherwise("test")).select(*df.columns, "split")
 
 
 def split_tables(df: DataFrame, key: str, covariates: list[str], batch: list[str], responses: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,25 +7,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltsheaf.operators import stats
+
 
 def robust_z(df: DataFrame, value: str, threshold: float = 3.0) -> DataFrame:
     """df with robust_z and failed: distance from the median in scaled MADs; only the low tail fails.
 
     The scale is 1.4826 MAD, if that is 0 the interquartile range over 1.349, if that is 0 one.
-    Both passes are aggregates to one row, which is then sent to all tasks.
+    Both passes give one row, which is then sent to all tasks.
     """
-    first = df.agg(F.median(value).alias("__med"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    first = stats.quantiles(df, value, {"__med": 0.5, "__q1": 0.25, "__q3": 0.75})
     near = df.crossJoin(F.broadcast(first))  # one row
-    scale = near.agg(F.median(F.abs(F.col(value) - F.col("__med"))).alias("__mad"))
-    iqr = F.col("__q")[1] - F.col("__q")[0]
+    scale = stats.quantiles(near.select(F.abs(F.col(value) - F.col("__med")).alias("__d")), "__d", {"__mad": 0.5})
+    iqr = F.col("__q3") - F.col("__q1")
     unit = F.when(F.col("__mad") > 0, 1.4826 * F.col("__mad")).when(iqr > 0, iqr / 1.349).otherwise(1.0)
     out = near.crossJoin(F.broadcast(scale)).withColumn("robust_z", (F.col(value) - F.col("__med")) / unit)  # one row
-    return out.withColumn("failed", F.col("robust_z") < -threshold).drop("__med", "__q", "__mad")
+    return out.withColumn("failed", F.col("robust_z") < -threshold).drop("__med", "__q1", "__q3", "__mad")
 
 
 def absolute_deviation(df: DataFrame, value: str, threshold: float) -> DataFrame:
     """df with failed: further than the threshold from the median, on either side."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(value).alias("__med")))).withColumn("failed", F.abs(F.col(value) - F.col("__med")) > threshold).drop("__med")  # one row
+    return df.crossJoin(F.broadcast(stats.quantiles(df, value, {"__med": 0.5}))).withColumn("failed", F.abs(F.col(value) - F.col("__med")) > threshold).drop("__med")  # one row
 
 
 def hemisphere_minimum(df: DataFrame, left: str = "lh_en", right: str = "rh_en") -> DataFrame:

@@ -51,17 +51,40 @@ def before(rows: DataFrame, order: str, weight: Column, by: tuple = (), ranges:
     summed up within their range; sums of whole ranges, at most ``ranges`` a group, are added.  So no
     sort holds more than a range, even where all rows are one group.
     """
+    def meet(left: DataFrame, right: DataFrame, names: tuple) -> DataFrame:
+        """An inner join on names, where NULL meets NULL; a table without names is one row."""
+        if not names:
+            return left.crossJoin(F.broadcast(right))  # one row
+        other = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
+        same = reduce(lambda x, y: x & y, [left[n].eqNullSafe(other[f"__r_{n}"]) for n in names])
+        return left.join(other, same).drop(*[f"__r_{n}" for n in names])
+
     cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
-    keyed = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row for each group
-    keyed = keyed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__w", weight)
+    keyed = meet(rows, cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__w", weight)
     sums = keyed.groupBy(*by, "__range").agg(F.sum("__w").alias("__sum"))
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
     offsets = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
     own = Window.partitionBy(*by, "__range").orderBy(order, *key).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.withColumn("__own", F.coalesce(F.sum("__w").over(own), F.lit(0))).join(F.broadcast(offsets), [*by, "__range"])
+    out = meet(keyed.withColumn("__own", F.coalesce(F.sum("__w").over(own), F.lit(0))), offsets, (*by, "__range"))
     return out.withColumn("__before", F.col("__own") + F.col("__offset")).drop("__w", "__own", "__offset")
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """One row with the exact quantiles of a column over all rows, interpolated: a column for each name of at.
+
+    An exact percentile aggregate gathers all distinct values in one task; here every range is sorted
+    on its own and only the few rows of the wanted ranks go on.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("__v"))
+    ranked = before(rows, "__v", F.lit(1), (), ranges).crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n"))))  # one row
+    place = {name: (F.col("__n") - 1) * F.lit(float(q)) for name, q in at.items()}
+    wanted = reduce(lambda x, y: x | y, [(F.col("__before") == F.floor(h)) | (F.col("__before") == F.ceil(h)) for h in place.values()])
+    picked = ranked.filter(wanted)
+    ends = [x for name, h in place.items() for x in (F.max(F.when(F.col("__before") == F.floor(h), F.col("__v"))).alias(f"__a_{name}"), F.max(F.when(F.col("__before") == F.ceil(h), F.col("__v"))).alias(f"__b_{name}"), F.max(h - F.floor(h)).alias(f"__f_{name}"))]
+    found = picked.agg(*ends)
+    return found.select(*[(F.col(f"__a_{n}") + F.col(f"__f_{n}") * (F.col(f"__b_{n}") - F.col(f"__a_{n}"))).alias(n) for n in at])
+
+
 def rank_sum(df: DataFrame, value: str, group: str, first, by: tuple = ()) -> DataFrame:
     """Rank-sum statistic of the first group against the others, with mid-ranks: by, n1, n2, r1, z.
 
