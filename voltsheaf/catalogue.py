@@ -173,11 +173,11 @@ def nearest_template(spark, sf_dir):
     return cohort.nearest(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", [("A12", 12), ("A18", 18), ("A24", 24), ("A36", 36), ("A48", 48)])
 
 
-@query("SELECT r_name, c_mktsegment, a::INTEGER AS age FROM (SELECT DISTINCT r_name FROM region), (SELECT DISTINCT c_mktsegment FROM customer), generate_series(5, 80, 5) g(a)")
+@query("SELECT r_name, c_mktsegment, a::INTEGER AS age FROM (SELECT DISTINCT r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), (SELECT DISTINCT c_mktsegment FROM customer), generate_series(5, 80, 5) g(a)")
 def grid_cross(spark, sf_dir):
-    regions = table(spark, sf_dir, "region").select("r_name").distinct()
-    segments_ = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    return regions.crossJoin(segments_).withColumn("age", F.explode(F.sequence(F.lit(5), F.lit(80), F.lit(5))))  # two short lists of levels
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return cohort.level_grid(rows, ["r_name", "c_mktsegment"], 5, 80, 5)
 
 
 @query(
@@ -761,10 +761,13 @@ def image_jobs(spark, sf_dir):
     return files.image_jobs(paths).select("subject", "session", "job")
 
 
-@query("SELECT epoch_ms((epoch_ms(ts) // 3600000) * 3600000) AS start, user_id, event_type, max(value) - min(value) AS ptp, count(*) AS n FROM events GROUP BY 1, 2, 3")
+@query(
+    """WITH h AS (SELECT *, (epoch_ms(ts) // 3600000) * 3600000 AS h FROM events), s AS (SELECT *, unnest([h, h - 3600000]) AS s FROM h)
+SELECT epoch_ms(s) AS start, user_id, event_type, max(value) - min(value) AS ptp, count(*) AS n, CASE WHEN max(value) - min(value) > 60 THEN 'BAD_peak' WHEN max(value) - min(value) < 5 THEN 'BAD_flat' END AS flag FROM s GROUP BY s, user_id, event_type"""
+)
 def amplitude_windows(spark, sf_dir):
-    f = monitor.amplitude_flags(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", "value", "1 hour", "1 hour", "1 hour", 1e9, -1.0)
-    return f.select("start", "user_id", "event_type", "ptp", "n")
+    f = monitor.amplitude_flags(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", "value", "2 hours", "1 hour", "1 hour", 60.0, 5.0)
+    return f.select("start", "user_id", "event_type", "ptp", "n", "flag")
 
 
 @query(f"WITH {EVENTS}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600 THEN 0 ELSE 1 END AS new FROM ev), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(t) AS first FROM s GROUP BY user_id, k")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def amplitude_flags(samples: DataFrame, ts: str, key: str, channel: str, value: str, window: str, step: str, late: str, reject: float, flat: float) -> DataFrame:
-    """Sliding windows by recording and channel whose peak-to-peak amplitude is out of range.
+    """Sliding windows by recording and channel with a flag where their peak-to-peak amplitude is out of range.
 
     Batch or stream; in a stream, windows close once the watermark passes them (append mode).
     """
