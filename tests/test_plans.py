@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voltsheaf import config
 from voltsheaf.functions import kernels
-from voltsheaf.operators import spectral, stats
+from voltsheaf.operators import qc, spectral, stats
 from voltsheaf.plans import kernels as K
 from voltsheaf.sources import tables
 
@@ -122,3 +122,11 @@ def test_stated_tables_round_trip(spark, tmp_path):
         tables.save(df, "splits", f"{tmp_path}/s")
     ids = [spark.createDataFrame([(x,)], "subject string") for x in "abc"]
     assert sorted(tuple(r) for r in tables.exclusions(*ids).collect()) == [("a", "failed"), ("b", "missing"), ("c", "quality")]
+
+
+def test_elbow_of_explained_variance(spark):
+    values = [100.0, 60.0, 40.0, 1.0, 0.9, 0.8, 0.7]
+    assert kernels.pca_elbow(np.array(values), 2) == 3 and kernels.pca_elbow(np.array(values)) == 30 and kernels.pca_elbow(np.zeros(4)) == 30
+    cov = spark.createDataFrame([("s", f"c{i}", f"c{i}", v) for i, v in enumerate(values)] + [("s", "c7", "c7", 0.0)], "subject string, a string, b string, cov double")
+    r = qc.covariance_spectrum(cov, ["subject"], least=2).first()
+    assert (r["rank"], r.condition, r.components) == (7, None, 3)

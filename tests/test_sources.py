@@ -32,7 +32,7 @@ def test_structured_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("name\ttype\nE1\tEEG\nE2\tEOG\n")
     assert [r.type for r in files.channel_types(spark, f"{tmp_path}/c.tsv").collect()] == ["eeg", "eog"]
     with pytest.raises(ValueError):
-        files.demographics(spark, "x.xlsx")
+        files.demographics(spark, "x.ods")
 
 
 def test_logs(spark, tmp_path):
@@ -63,3 +63,14 @@ def test_streaming(spark, tmp_path):
     batch = monitor.amplitude_flags(rows, "ts", "subject", "channel", "value", "10 seconds", "5 seconds", "1 second", 5.0, 0.1).filter("n = 10")
     assert got.count() > 10 and got.exceptAll(batch).count() == 0
     assert monitor.sessions(rows, "ts", "subject", "5 seconds", "1 second").first().n == 100
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>id</t></si><si><r><t>s</t></r><r><t>1</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>age</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>31.5</v></c></row><row><c r="A3"/></row></sheetData></worksheet>')
+    rows = files.demographics(spark, f"{tmp_path}/d.xlsx")
+    assert rows.columns == ["id", "_c1", "age"] and [tuple(r) for r in rows.collect()] == [("s1", None, "31.5")]

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltsheaf.functions import kernels
 from voltsheaf.operators import stats
 
 
@@ -125,8 +126,12 @@ def flat_or_noisy(samples: DataFrame, by: list[str], value: str, flat: float, no
     return samples.groupBy(*by).agg(sd.alias("sd")).withColumn("verdict", F.when(F.col("sd") < flat, "flat").when(F.col("sd") > noisy, "noisy").otherwise("good"))
 
 
-def covariance_spectrum(cov: DataFrame, by: list[str], tolerance: float = 1e-10) -> DataFrame:
-    """by, rank, condition of covariance matrices given as rows (a, b, cov): some channels squared of numbers a group."""
+def covariance_spectrum(cov: DataFrame, by: list[str], tolerance: float = 1e-10, least: int = 15, default: int = 30) -> DataFrame:
+    """by, rank, condition, components of covariance matrices given as rows (a, b, cov): the square of the
+    number of channels in a group, whatever the length of the recordings.
+
+    components: where explained variance has its elbow, or the default.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cov.select(*by).schema.fields)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,6 +143,6 @@ def covariance_spectrum(cov: DataFrame, by: list[str], tolerance: float = 1e-10)
         values = np.linalg.eigvalsh(m)
         good = values > tolerance * max(values[-1], 0.0)
         condition = float(values[-1] / values[0]) if good.all() and len(values) else None
-        return pd.DataFrame([(*key, int(good.sum()), condition)], columns=[*by, "rank", "condition"])
+        return pd.DataFrame([(*key, int(good.sum()), condition, kernels.pca_elbow(values[::-1], least, default))], columns=[*by, "rank", "condition", "components"])
 
-    return cov.groupBy(*by).applyInPandas(run, f"{fields}, rank int, condition double")
+    return cov.groupBy(*by).applyInPandas(run, f"{fields}, rank int, condition double, components int")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltsheaf.sources.sheets import xlsx_table
+
 
 def listed(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
     """path of all files under base whose name fits a glob; contents are not read."""
@@ -73,10 +75,13 @@ def montage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def demographics(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or TSV table; other endings raise."""
-    sep = {"csv": ",", "tsv": "\t"}.get(path.rsplit(".", 1)[-1].lower())
+    """A CSV, TSV or XLSX table, all columns as text; other endings raise."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending == "xlsx":
+        return xlsx_table(spark, path)
+    sep = {"csv": ",", "tsv": "\t"}.get(ending)
     if sep is None:
-        raise ValueError(f"not a CSV or TSV file: {path}")
+        raise ValueError(f"not a CSV, TSV or XLSX file: {path}")
     return spark.read.option("header", True).option("sep", sep).csv(path)
 
 
