@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voltsheaf import config
 from voltsheaf.functions import kernels
 from voltsheaf.operators import qc, spectral, stats
+from voltsheaf.plans import extraction
 from voltsheaf.plans import kernels as K
 from voltsheaf.sources import tables
 
@@ -130,3 +131,18 @@ def test_elbow_of_explained_variance(spark):
     cov = spark.createDataFrame([("s", f"c{i}", f"c{i}", v) for i, v in enumerate(values)] + [("s", "c7", "c7", 0.0)], "subject string, a string, b string, cov double")
     r = qc.covariance_spectrum(cov, ["subject"], least=2).first()
     assert (r["rank"], r.condition, r.components) == (7, None, 3)
+
+
+def test_from_samples_to_features(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(6000) / 100
+    noise = np.cumsum(rng.normal(size=(2, 6000)), axis=1) * 0.05 + rng.normal(size=(2, 6000)) * 0.5
+    rows = [("s", f"e_{side}h_1", i, float(v)) for side, x in zip("lr", noise + 2 * np.sin(2 * np.pi * 10 * t)) for i, v in enumerate(x)]
+    samples = spark.createDataFrame(rows, "subject string, channel string, t_idx long, value double")
+    flags = dict.fromkeys(config.FEATURE_CATEGORIES, True)
+    for settings in (config.RunConfig(features=flags, which_layout=None, parameterization="fooof", aperiodic_mode="fixed", least_r2=0.2), config.RunConfig(features=flags, which_layout=None, parameterization="irasa", aperiodic_mode="fixed", least_r2=0.2, psd_method="multitaper")):
+        got = {(r.channel, r.feature, r.band): r.value for r in extraction.extracted(samples, settings, 100.0).collect()}
+        assert got["e_lh_1", "OriginalPSD_Canonical_Relative_Power", "Alpha"] > 0.5 and ("e_lh_vs_rh_1", "Exponent", "") in got
+        assert (settings.parameterization == "fooof") == (("e_lh_1", "Peak_Center", "Alpha") in got)
+        if settings.parameterization == "fooof":
+            assert abs(got["e_lh_1", "Peak_Center", "Alpha"] - 10) < 0.5

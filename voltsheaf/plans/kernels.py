@@ -96,13 +96,35 @@ def parameterize(psd: DataFrame, knee: bool = False, fit_range: tuple = (3.0, 40
     return psd.select("subject", "channel", "freqs", "power").repartition(parts, "subject", "channel").mapInPandas(run, MODEL)
 
 
-def irasa(samples: DataFrame, sfreq: float, band: tuple, segment: float = 10.0, overlap: float = 2.0) -> DataFrame:
+def aperiodic_models(spectra: DataFrame, knee: bool = False) -> DataFrame:
+    """Models of aperiodic spectra (freqs, aperiodic): offset, exponent and fit, without peaks."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for f, p in zip(pdf["freqs"], pdf["aperiodic"]):
+                f, p = np.asarray(f, float), np.asarray(p, float)
+                good = (f > 0) & (p > 0)
+                if good.sum() < 6:
+                    out.append((None, None, None, [], []))
+                    continue
+                x, y = f[good], np.log10(p[good])
+                fit = kernels.aperiodic_fit(x, y, knee)
+                rest, spread = y - kernels.aperiodic_curve(x, fit), y - y.mean()
+                r2 = 1 - float(rest @ rest / (spread @ spread)) if spread @ spread > 0 else None
+                out.append((float(fit[0]), float(fit[-1]), r2, kernels.aperiodic_curve(np.where(f > 0, f, np.nan), fit).tolist(), []))
+            yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=["offset", "exponent", "r2", "ap", "peaks"])], axis=1)
+
+    return spectra.select("subject", "channel", "freqs", "aperiodic").mapInPandas(run, MODEL)
+
+
+def irasa(samples: DataFrame, sfreq: float, band: tuple, segment: float = 10.0, overlap: float = 2.0, factors: np.ndarray | None = None) -> DataFrame:
     """subject, channel, freqs, power, aperiodic, periodic: IRASA of every epoch, then the mean over epochs."""
     n = int(round(segment * sfreq))
     cut = segments(samples, n, max(1, n - int(round(overlap * sfreq))))
 
     def kernel(x: np.ndarray):
-        each = [kernels.irasa(v, sfreq, band) for v in x]
+        each = [kernels.irasa(v, sfreq, band, factors) for v in x]
         return [each[0]["freqs"], *[np.stack([e[k] for e in each]) for k in ("power", "aperiodic", "periodic")]]
 
     return spectra_of(cut, ("power", "aperiodic", "periodic"), kernel)
