@@ -16,6 +16,7 @@ WANT = "A & B First bold words here, and some more of them. Second paragraph wit
 def test_regions():
     for a, b in (("<article>", "</article>"), ("<div class=content>", "</div>"), ("<main>", "</main>"), ("", "")):
         assert X.main_text(PAGE.format(open=a, shut=b), X.DEFAULT) == WANT
+    assert X.main_text("<article><p>a b</p><!--><p>c d</p><!-- x --><p>e f</p></article>", X.DEFAULT) == "a b c d e f"
     assert X.main_text("", X.DEFAULT) == "" and X.main_text("<p", X.DEFAULT) in ("", "<p") and X.main_text("plain words", X.DEFAULT) == "plain words"
 
 

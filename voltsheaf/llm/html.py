@@ -167,7 +167,7 @@ def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[in
         if page[at] != "<" or at > last:
             text = TEXT.match(page, at).group()
         elif page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
+            end = page.find("-->", at + 2)  # <!--> is an empty comment
             at = end + 3 if end >= 0 else len(page)
             continue
         elif page.startswith(("<!", "<?"), at):
