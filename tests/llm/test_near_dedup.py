@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from voltsheaf.llm import near_dedup as X
 
@@ -90,3 +91,23 @@ def test_documents(spark, sf_small):
     assert got_classes(X.near_groups(docs)) == want
     left = X.drop_near_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(w[0] for w in want)
+
+
+@pytest.mark.parametrize("chars", [X.BLOCK_CHARS, 0])
+def test_group_just_below_the_threshold(spark, monkeypatch, chars):
+    """Most pairs of the group have a likeness of 0.7 to 0.8, some a little more: no link is lost, and pairs make no rows."""
+    monkeypatch.setattr(X, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(X, "BLOCK", 16)
+    seen = []
+    inner = X.verified
+    monkeypatch.setattr(X, "verified", lambda pairs, *a: seen.append(pairs.count()) or inner(pairs, *a))
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        t = [f"h{k}" for k in range(200)]
+        for k in rng.sample(range(200), rng.choice((3, 3, 4))):
+            t[k] = f"x{rng.random()}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, sure string").repartition(4)
+    assert got_classes(X.near_groups(docs)) == classes(rows)
+    assert seen[0] <= 2 * len(rows) and seen[1] <= 8 * len(rows) and (sum(seen[2:]) == 0) == (chars > 0)

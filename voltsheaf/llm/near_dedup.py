@@ -13,9 +13,11 @@ is first compared with the most and the least central of the centres of its buck
 found make classes, in groups of copies of one original nearly all of them.  Where a bucket still
 holds several classes, its texts outside its commonest class are set against all of it, block by
 block by their signatures, and verified against those of other classes that agree with them best:
-TOP of them in the first rounds, and in the last all that may reach the threshold, by when few are
-left.  All links are verified on the multisets of the whole texts.  Equal texts are taken together
-first.  Classes are connected components.
+TOP of them in the first round, and in the last all that may reach the threshold, by when few are
+left.  In that round the blocks carry their texts and only links leave them, so that a group whose
+texts are all a little less alike than the threshold makes no rows of pairs (pairs with a text of
+over BLOCK_CHARS go on as rows).  All links are verified on the multisets of the whole texts.  Equal
+texts are taken together first.  Classes are connected components.
 
 Null text counts as empty; texts without words are only near texts equal to them.  Texts of fewer
 than five words have one shingle of all their words.  A null doc_id is smaller than any other.
@@ -37,7 +39,9 @@ THRESHOLD = 0.8
 #: Pairs of texts whose signatures, of four bits a component, estimate less are below the threshold
 #: (4 deviations of 0.0184).
 ESTIMATE = 0.726
-BLOCK = 256
+BLOCK, BLOCK_CHARS = 256, 16_384
+#: Points drawn in one array.
+POINTS = 1 << 18
 #: Rounds: how many bands they look at, and how many texts of other classes each text is verified
 #: against; the last looks at all bands and takes all texts.
 TURNS = ((8, 4), (BANDED // ROWS, None))
@@ -62,19 +66,25 @@ def bag_min_hash(texts: list[str], size: int = SIZE) -> np.ndarray:
     floor = np.where(strip > 0, 2.0 ** np.maximum(strip - 1, 0), 0.0)
     length = np.maximum(floor, 1.0)
     seed = mix64(h[item] + strip.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    row, weight, x = row[item], weight[item].astype(np.float64), np.zeros(len(item))
-    turn = 0
+    row, weight, since = row[item], weight[item].astype(np.float64), np.zeros(len(item))
+    done, more = 0, 1  # points of each process drawn so far, and at the next turn: texts of few shingles need many
     while len(seed):
-        turn += 1
-        a = mix64(seed + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
-        x = x - np.log(((a >> np.uint64(11)) + 0.5) * 2.0**-53) / (size * length)
-        b = mix64(a)
-        low = floor + ((b >> np.uint64(16)) * 2.0**-48) * length < weight
-        slot = row * size + ((b & np.uint64(0xFFFF)) % np.uint64(size)).astype(np.int64)
-        np.minimum.at(least, slot[low], x[low])
-        beyond = least.reshape(-1, size).max(1)
-        live = x < beyond[row]
-        seed, x, row, weight, floor, length = seed[live], x[live], row[live], weight[live], floor[live], length[live]
+        turn = np.arange(done + 1, done + more + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for at in range(0, len(seed), step := max(1, POINTS // more)):
+            part = slice(at, at + step)
+            a = mix64(seed[part, None] + turn)
+            gap = np.log(((a >> np.uint64(11)) + 0.5) * 2.0**-53) / (-size * length[part, None])
+            gap[:, 0] += since[part]
+            x = np.cumsum(gap, axis=1)
+            since[part] = x[:, -1]
+            b = mix64(a)
+            low = floor[part, None] + ((b >> np.uint64(16)) * 2.0**-48) * length[part, None] < weight[part, None]
+            slot = row[part, None] * size + ((b & np.uint64(0xFFFF)) % np.uint64(size)).astype(np.int64)
+            won = low & (x < least[slot])
+            np.minimum.at(least, slot[won], x[won])
+        live = since < least.reshape(-1, size).max(1)[row]
+        seed, since, row, weight, floor, length = seed[live], since[live], row[live], weight[live], floor[live], length[live]
+        done, more = done + more, 2 * more
     return least.reshape(-1, size)
 
 
@@ -195,22 +205,24 @@ def stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, sigs: DataFrame, top: int | None) -> DataFrame:
-    """a, b: pairs of different classes in one bucket whose signatures agree enough.
+def block_pairs(members: DataFrame, sigs: DataFrame, top: int | None, texts: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, sure: pairs of different classes in one bucket whose signatures agree enough.
 
-    members: band, j (which band), node, cls; sigs: node, sig, bands.  In each bucket the texts
-    outside its commonest class are set against all, BLOCK by BLOCK, so that pairs are never rows
-    before their signatures are compared; each such text gives its ``top`` best partners, or all.
-    A pair counts in the first bucket that it shares alone.  Signatures travel only to buckets of
-    several classes.
+    members: band, j (which band), node, cls; sigs: node, sig, bands; texts: node, text.  In each
+    bucket the texts outside its commonest class are set against all, BLOCK by BLOCK, so that pairs
+    are never rows before their signatures are compared; each such text gives its ``top`` best
+    partners, or all.  With texts, pairs of short texts are verified at once and only links are given
+    (sure).  A pair counts in the first bucket that it shares alone.  Signatures and texts travel only
+    to buckets of several classes.
     """
     split = members.groupBy("band", "cls").agg(F.count("*").alias("k"))
     shape = split.groupBy("band").agg(F.max(F.struct("k", "cls")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
     shape = written(shape.select("band", F.col("top.cls").alias("common"), "n", (F.col("n") - F.col("top.k")).alias("others")), "buckets-of-classes")
-    placed = members.join(sized_broadcast(shape), "band").join(sigs, "node")
+    carried = sigs.withColumn("text", F.lit(None).cast("string")) if texts is None else sigs.join(texts.filter(F.length("text") <= BLOCK_CHARS), "node", "left")
+    placed = members.join(sized_broadcast(shape), "band").join(carried, "node")
     # of the bands before j, 31 bits each
     low = F.transform(F.slice("bands", F.lit(1), F.col("j")), lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    placed = placed.select("band", "j", "common", "n", "others", F.struct("node", "cls", "sig", low.alias("bands")).alias("m"))
+    placed = placed.select("band", "j", "common", "n", "others", F.struct("node", "cls", "sig", low.alias("bands"), "text").alias("m"))
     # a block of texts is one row: blocks of a bucket meet, never texts
 
     def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
@@ -218,33 +230,41 @@ def block_pairs(members: DataFrame, sigs: DataFrame, top: int | None) -> DataFra
         return rows.groupBy("band", "j", block.alias("block")).agg(F.collect_list("m").alias(name)).drop("block")
 
     asked = blocks(placed.filter("m.cls <> common"), "others", "x").drop("j")
-    schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("est", pa.float64())])
+    schema = pa.schema([("q", pa.int64()), ("p", pa.int64()), ("est", pa.float64()), ("sure", pa.bool_())])
 
     def side(rows: list[dict]) -> tuple[np.ndarray, ...]:
         sig = np.frombuffer(b"".join([m["sig"] for m in rows]), np.uint64).reshape(len(rows), -1)
         return (sig, *(np.array([m[c] for m in rows]) for c in ("cls", "node", "bands")))
 
+    def linked(pairs: list[tuple[int, int, float]], text: dict[int, str | None]) -> list[tuple[int, int, float, bool]]:
+        """Pairs with whether they are sure to be links; those of short texts that are no links go."""
+        short = {i for q, p, _ in pairs if text[q] is not None and text[p] is not None for i in (q, p)}
+        bag = dict(zip(short, bags([text[i] for i in short])))
+        found = [(q, p, est, q in bag and p in bag) for q, p, est in pairs]
+        return [f for f in found if not f[3] or overlap(bag[f[0]], bag[f[1]]) >= threshold]
+
     def run(batches):
         for batch in batches:
-            for j, x, y in zip(*(batch.column(c).to_pylist() for c in ("j", "x", "y"))):
-                out: dict[str, list] = {"q": [], "p": [], "est": []}
+            for i in range(batch.num_rows):
+                j, x, y = (batch.column(c)[i].as_py() for c in ("j", "x", "y"))
+                pairs: list[tuple[int, int, float]] = []
                 (sx, cx, nx, bx), (sy, cy, ny, by) = side(x), side(y)
-                for i in range(len(nx)):
-                    est = estimates(sx[i], sy)
-                    hit = np.flatnonzero((est >= ESTIMATE) & (cy != cx[i]))
+                for k in range(len(nx)):
+                    est = estimates(sx[k], sy)
+                    hit = np.flatnonzero((est >= ESTIMATE) & (cy != cx[k]))
                     if j:
-                        hit = hit[(by[hit] != bx[i]).all(1)]
+                        hit = hit[(by[hit] != bx[k]).all(1)]
                     if top is not None and len(hit) > top:
                         hit = hit[np.argpartition(-est[hit], top)[:top]]
-                    out["q"] += [int(nx[i])] * len(hit)
-                    out["p"] += ny[hit].tolist()
-                    out["est"] += est[hit].tolist()
-                yield as_batch(out, schema)
+                    pairs += [(int(nx[k]), p, e) for p, e in zip(ny[hit].tolist(), est[hit].tolist())]
+                if pairs:
+                    rows = linked(pairs, {m["node"]: m["text"] for m in (*x, *y)})
+                    yield as_batch(dict(zip(schema.names, zip(*rows) if rows else ([], [], [], []))), schema)
 
-    pairs = arrow_map(asked.join(blocks(placed, "n", "y"), "band").select("j", "x", "y"), run, "q long, p long, est double")
+    pairs = arrow_map(asked.join(blocks(placed, "n", "y"), "band").select("j", "x", "y"), run, "q long, p long, est double, sure boolean")
     if top is not None:
         pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("est"), "p"))).filter(F.col("place") <= top)
-    return pairs.select(F.greatest("q", "p").alias("a"), F.least("q", "p").alias("b")).distinct()
+    return pairs.groupBy(F.greatest("q", "p").alias("a"), F.least("q", "p").alias("b")).agg(F.max("sure").alias("sure"))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,12 +294,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         label = components(tried.filter("near"))
         for bands, top in TURNS:
             inside = members.filter(F.col("j") < bands).select("band", "j", "node").join(label, "node", "left").select("band", "j", "node", F.coalesce("root", "node").alias("cls"))
-            fresh = written(block_pairs(inside, sigs, top).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            if fresh.isEmpty():
+            found = written(block_pairs(inside, sigs, top, None if top else texts, threshold).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if found.isEmpty():
                 continue
-            seen = verified(fresh, texts, threshold)
+            seen = verified(found.filter("not sure").select("a", "b"), texts, threshold)
             tried = tried.unionByName(seen)
-            label = components(seen.filter("near").select("a", "b").unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            links = found.filter("sure").select("a", "b").unionByName(seen.filter("near").select("a", "b"))
+            label = components(links.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
         # of each class of several rows: whose it is, and what they know of it
         linked = label.join(nodes.select("node", "sha", F.struct("doc_id", F.col("node").alias("row")).alias("own")), "node")
