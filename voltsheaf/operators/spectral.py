@@ -115,21 +115,33 @@ def features(psd: DataFrame, models: DataFrame, settings: config.RunConfig, layo
     total = tuple(settings.freq_range)
     good = well_fitted(models, settings.least_r2).select(*keys, channel, "offset", "exponent", "ap", "peaks")
     rows = psd.join(good, [*keys, channel]).withColumn("adjusted", S.periodic_part(F.col("power"), F.col("ap")))
+    # areas and peaks are columns, since several features come from each
     freqs, spectra = F.col("freqs"), {"Adjusted": F.col("adjusted"), "OriginalPSD": F.col("power")}
-    found = [("Offset", "", F.col("offset")), ("Exponent", "", F.col("exponent"))]
+    rows = rows.withColumns({f"__peak_{b}": S.peak_in_band(F.col("peaks"), lo, hi) for b, (lo, hi) in bands.items()})
+    areas = {}
     for kind, power in spectra.items():
-        found += [(f"{kind}_Band_Ratio", f"{a}_over_{b}", S.band_ratio(freqs, power, bands[a], bands[b])) for a, b in settings.ratios if a in bands and b in bands]
-    for band, (lo, hi) in bands.items():
-        peak = S.peak_in_band(F.col("peaks"), lo, hi)
-        found += [("Peak_Center", band, peak["cf"]), ("Peak_Power", band, peak["pw"]), ("Peak_Width", band, peak["bw"])]
-        for kind, power in spectra.items():
-            found.append((f"{kind}_Canonical_Absolute_Power", band, S.abs_band_power(freqs, power, lo, hi)))
-            if band != "Broadband":
-                found.append((f"{kind}_Canonical_Relative_Power", band, S.rel_band_power(freqs, power, lo, hi, *total)))
+        areas[f"__all_{kind}"] = S.trapezoid(freqs, power, *total)
+        for band, (lo, hi) in bands.items():
+            areas[f"__area_{kind}_{band}"] = S.trapezoid(freqs, power, lo, hi)
             if band != "Broadband" and band in settings.offsets:
-                down, up = (peak["cf"] + F.lit(float(x)) for x in settings.offsets[band])
-                found.append((f"{kind}_Individualized_Absolute_Power", band, F.when(peak["cf"].isNotNull(), S.abs_band_power(freqs, power, down, up))))
-                found.append((f"{kind}_Individualized_Relative_Power", band, F.when(peak["cf"].isNotNull(), S.rel_band_power(freqs, power, down, up, *total))))
+                peak = F.col(f"__peak_{band}.cf")
+                down, up = (peak + F.lit(float(x)) for x in settings.offsets[band])
+                areas[f"__own_{kind}_{band}"] = F.when(peak.isNotNull(), S.trapezoid(freqs, power, down, up))
+    rows = rows.withColumns(areas)
+    found = [("Offset", "", F.col("offset")), ("Exponent", "", F.col("exponent"))]
+    for kind in spectra:
+        area = {band: F.col(f"__area_{kind}_{band}") for band in bands}
+        found += [(f"{kind}_Band_Ratio", f"{a}_over_{b}", S.log10_or_null(S.ratio_or_null(area[a], area[b]))) for a, b in settings.ratios if a in bands and b in bands]
+        for band in bands:
+            found.append((f"{kind}_Canonical_Absolute_Power", band, S.log10_or_null(area[band])))
+            if band != "Broadband":
+                found.append((f"{kind}_Canonical_Relative_Power", band, S.ratio_or_null(area[band], F.col(f"__all_{kind}"))))
+            if f"__own_{kind}_{band}" in areas:
+                own = F.col(f"__own_{kind}_{band}")
+                found.append((f"{kind}_Individualized_Absolute_Power", band, S.log10_or_null(own)))
+                found.append((f"{kind}_Individualized_Relative_Power", band, S.ratio_or_null(own, F.col(f"__all_{kind}"))))
+    for band in bands:
+        found += [(f"Peak_{name}", band, F.col(f"__peak_{band}.{part}")) for name, part in (("Center", "cf"), ("Power", "pw"), ("Width", "bw"))]
     items = [F.struct(F.lit(f).alias("feature"), F.lit(b).alias("band"), v.cast("double").alias("value")) for f, b, v in found if f in on]
     if not items:
         return rows.select(*keys, channel, F.lit("").alias("feature"), F.lit("").alias("band"), F.lit(0.0).alias("value")).limit(0)

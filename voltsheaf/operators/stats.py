@@ -30,14 +30,24 @@ def polynomial(x: Column, coefficients: tuple) -> Column:
     return out
 
 
+def named(value: Column, use) -> Column:
+    """use(value), with the value computed once: a polynomial names it many times, which generated code would repeat."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normal_quantile(p: Column) -> Column:
     """The standard normal quantile, to about 1e-15; null outside (0, 1)."""
-    q = p - 0.5
-    r = 0.180625 - q * q
-    s = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(1 - p)))
-    tail = F.when(s <= 5, polynomial(s - 1.6, MIDDLE[0]) / polynomial(s - 1.6, MIDDLE[1])).otherwise(polynomial(s - 5, OUTER[0]) / polynomial(s - 5, OUTER[1]))
-    inner = q * polynomial(r, CENTRE[0]) / polynomial(r, CENTRE[1])
-    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.when(q < 0, -tail).otherwise(tail)))
+
+    def quotient(x: Column, table: tuple) -> Column:
+        return named(x, lambda x: polynomial(x, table[0]) / polynomial(x, table[1]))
+
+    def of(p: Column) -> Column:
+        q = p - 0.5
+        inner = q * quotient(0.180625 - q * q, CENTRE)
+        tail = named(F.sqrt(-F.ln(F.least(p, 1 - p))), lambda s: F.when(s <= 5, quotient(s - 1.6, MIDDLE)).otherwise(quotient(s - 5, OUTER)))
+        return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.signum(q) * tail))
+
+    return named(p, of)
 
 
 #: Ranges that a sort over all rows is cut into.
