@@ -50,13 +50,23 @@ def written(df: DataFrame, name: str, outlast: bool = False) -> DataFrame:
     Inside a temporary() block it goes with the block, or if it is to outlast it, with the block
     around that one; outside it stays until the folder is cleaned.
     """
+    return written_at(df, name, outlast)[0]
+
+
+def written_at(df: DataFrame, name: str, outlast: bool = False) -> tuple[DataFrame, str]:
+    """As written(), with the path of the table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     blocks = _open_blocks.get()
     if len(blocks) > outlast:
         blocks[-2 if outlast else -1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextlib.contextmanager
@@ -69,8 +79,7 @@ def temporary(spark: SparkSession):
     finally:
         _open_blocks.reset(token)
         for path in mine:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            delete(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
