@@ -56,3 +56,35 @@ def test_documents(spark, sf_small):
     left = X.drop_copies(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted({b[1] for b in brute(rows)})
+
+
+def test_rows_keep_their_names_when_planned_anew(spark, sf_small):
+    """The files of a table may be split in another way between the call and the read of its result."""
+    from voltsheaf.llm.near_dedup import near_groups
+    from voltsheaf.llm.suffix_dedup import without_repeats
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 10**6)).repartition(7)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    n_texts = len({t or "" for _, t in rows})
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes")}
+
+    def plan(n, size):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+    try:
+        found = {}
+        for name, f in (("exact", X.exact_groups), ("near", near_groups), ("suffix", without_repeats), ("drop", X.drop_copies)):
+            plan("1", "128m")
+            df = f(docs)
+            plan("40", "4k")
+            found[name] = df.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.kept for r in found["exact"]) == n_texts == len(found["drop"])
+    assert sum(r.kept for r in found["near"]) == len({r.class_id for r in found["near"]}) if "class_id" in found["near"][0] else True
+    again = without_repeats(docs).collect()
+    key = lambda r: (r.doc_id, r.n_removed, r.kept_sha256)
+    assert sorted(map(key, found["suffix"])) == sorted(map(key, again))

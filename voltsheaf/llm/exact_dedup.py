@@ -133,7 +133,8 @@ def exact_groups(docs: DataFrame, modulus: int = MODULUS, piece_chars: int = PIE
     Only fingerprints are shuffled for grouping; the texts of groups of two and more are read
     again for the comparison, found through their ids (broadcast if few, else joined).
     """
-    rows = written(fingerprints(docs, modulus, piece_chars), "fingerprints").withColumn("row", F.monotonically_increasing_id())
+    # numbered before they are written: numbers taken at each read would follow how the files are split then
+    rows = written(fingerprints(docs, modulus, piece_chars).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     best = F.max(F.struct("doc_id", "row")).alias("best")
     groups = rows.groupBy(*KEY).agg(best, F.count("*").alias("group_size")).filter("group_size > 1").checkpoint()
     clash = collided(docs, rows, groups).checkpoint()

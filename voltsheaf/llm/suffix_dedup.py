@@ -389,7 +389,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT, keep_text: bool = False) ->
     broadcast while few, else joined.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    table = written(scanned(source), "anchors").withColumn("row", F.monotonically_increasing_id())
+    # numbered before they are written: numbers taken at each read would follow how the files are split then
+    table = written(scanned(source).withColumn("row", F.monotonically_increasing_id()), "anchors")
     shas = table.groupBy("sha").agg(F.min("row").alias("first"), F.max("n_bytes").alias("n_bytes"), F.count("*").alias("n")).filter("n > 1").checkpoint()
     copies = table.select("row", "sha").join(sized_broadcast(shas.select("sha", "first")), "sha").filter("row <> first").select("row")
     single = table.join(sized_broadcast(copies.checkpoint()), "row", "left_anti")
