@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from voltsheaf import catalogue, catalogue_plans  # noqa: F401
+from voltsheaf import catalogue, catalogue_cleaning, catalogue_plans  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REPO = Path(__file__).resolve().parent.parent

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltsheaf import config
 from voltsheaf.functions import kernels
 from voltsheaf.operators import qc, spectral, stats
-from voltsheaf.plans import extraction
+from voltsheaf.plans import cleaning, extraction
 from voltsheaf.plans import kernels as K
 from voltsheaf.sources import tables
 
@@ -56,7 +56,7 @@ def test_spectra_find_a_tone(spark):
         assert abs(r.freqs[int(np.argmax(r.power))] - 10.0) < 0.6
     f, p = kernels.welch(x, 100.0)
     assert np.allclose(K.welch(samples, 100.0).first().power, p)
-    kept = K.filtered_blocks(samples, 100.0, 5.0, 20.0, None, block=10.0, margin=3.0).orderBy("t_idx").collect()
+    kept = cleaning.filtered(samples, 100.0, 5.0, 20.0, None, block=10.0).orderBy("t_idx").collect()
     assert len(kept) == 3000 and np.corrcoef([r.value for r in kept][200:-200], np.sin(2 * np.pi * 10 * np.arange(3000) / 100)[200:-200])[0, 1] > 0.99
 
 

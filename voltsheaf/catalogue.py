@@ -648,11 +648,6 @@ def irasa(spark, sf_dir):
     return K.irasa(K.event_series(spark, sf_dir), sfreq=24.0, band=(1.0, 6.0))
 
 
-@query()
-def fastica(spark, sf_dir):
-    return K.independent_components(K.event_series(spark, sf_dir), n=2)
-
-
 # more of the same families
 
 

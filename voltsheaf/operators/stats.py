@@ -50,6 +50,21 @@ def normal_quantile(p: Column) -> Column:
     return named(p, of)
 
 
+def sequence(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number (from 0) in the order of their group, ties in any order.
+
+    Rows are sorted by ranges of (by, order); a range numbers its own, and what the group has in earlier
+    ranges is added.  So a group may hold any share of the rows and no task sorts more than a range.
+    """
+    ranged = held(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33))
+    parts = ranged.groupBy(*by, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("__range").alias("__r_range"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by], F.col("__range") == F.col("__r_range"))
+    return ranged.join(parts, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
 #: Ranges that a sort over all rows is cut into.
 RANGES = 200
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voltsheaf.functions import kernels
-from voltsheaf.operators.stats import normal_quantile
+from voltsheaf.operators.stats import normal_quantile, sequence
 
 MODEL = "subject string, channel string, offset double, exponent double, r2 double, ap array<double>, peaks array<struct<cf:double,pw:double,bw:double>>"
 
@@ -17,8 +17,7 @@ MODEL = "subject string, channel string, offset double, exponent double, r2 doub
 def event_series(spark, sf_dir: str) -> DataFrame:
     """events as samples: subject, channel, t_idx (the number of a sample in its recording), value."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value").isNotNull())
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return e.select(F.col("user_id").cast("string").alias("subject"), F.lit("value").alias("channel"), number.cast("long").alias("t_idx"), "value")
+    return sequence(e, ["user_id"], ["event_id"], "t_idx").select(F.col("user_id").cast("string").alias("subject"), F.lit("value").alias("channel"), "t_idx", "value")
 
 
 def segments(samples: DataFrame, length: int, step: int) -> DataFrame:
@@ -130,30 +129,6 @@ def irasa(samples: DataFrame, sfreq: float, band: tuple, segment: float = 10.0,
     return spectra_of(cut, ("power", "aperiodic", "periodic"), kernel)
 
 
-def filtered_blocks(samples: DataFrame, sfreq: float, lo: float = 1.0, hi: float = 80.0, line: float | None = 50.0, block: float = 60.0, margin: float = 5.0) -> DataFrame:
-    """subject, channel, t_idx, value: band-passed and notch-filtered samples.
-
-    Blocks of a recording are filtered with a margin on both sides that is then cut off, so that no
-    recording has to fit in one row; the first and last block have their margin on one side alone.
-    """
-    n, m = int(round(block * sfreq)), int(round(margin * sfreq))
-    at = F.floor(F.col("t_idx") / n)
-    near = F.array_distinct(F.array(F.greatest(F.floor((F.col("t_idx") - m) / n), F.lit(0)), at, F.floor((F.col("t_idx") + m) / n)))
-    rows = samples.filter(F.col("value").isNotNull()).withColumn("block", F.explode(near))
-    cut = rows.groupBy("subject", "channel", "block").agg(F.array_sort(F.collect_list(F.struct("t_idx", "value"))).alias("s"))
-    cut = cut.select("subject", "channel", "block", F.transform("s", lambda x: x["t_idx"]).alias("t"), F.transform("s", lambda x: x["value"]).alias("x"))
-
-    def run(frames):
-        for pdf in frames:
-            for subject, channel, k, t, x in pdf.itertuples(index=False):
-                t = np.asarray(t)
-                mine = (t >= k * n) & (t < (k + 1) * n)
-                if mine.any():
-                    yield pd.DataFrame({"subject": subject, "channel": channel, "t_idx": t[mine], "value": kernels.band_pass(np.asarray(x, float), sfreq, lo, hi, line)[mine]})
-
-    return cut.mapInPandas(run, "subject string, channel string, t_idx long, value double")
-
-
 def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins: int = 10, include_right_edge: bool = False) -> DataFrame:
     """Mean Shapiro-Wilk W over equal-width covariate bins, by response.
 
@@ -194,18 +169,3 @@ def shapiro_from_moments():
     small = last * ends + (F.col("mz") - m1 * ends) / F.sqrt(narrow)
     total = F.when(n == 3, F.sqrt(F.lit(0.5)) * ends).when(n > 5, big).otherwise(small)
     return F.when((n >= 3) & (ends > 0), total * total / (n * F.col("v")))
-
-
-def independent_components(samples: DataFrame, n: int = 2) -> DataFrame:
-    """subject, component, t, value: components of each subject's channels (and lagged copies of one)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="t_idx", columns="channel", values="value").dropna().to_numpy().T
-        if wide.shape[0] < n:
-            lags = [wide[0][k : len(wide[0]) - n + 1 + k] for k in range(n)]
-            wide = np.stack(lags) if len(lags[0]) > n else np.zeros((1, 0))
-        parts = kernels.fast_ica(wide, n) if wide.shape[1] > n else np.zeros((0, 0))
-        i, t = np.indices(parts.shape)
-        return pd.DataFrame({"subject": key[0], "component": i.ravel(), "t": t.ravel(), "value": parts.ravel()})
-
-    return samples.groupBy("subject").applyInPandas(run, "subject string, component int, t int, value double")
