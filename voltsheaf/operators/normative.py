@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltsheaf.operators import stats
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -67,8 +69,10 @@ def centiles(df: DataFrame, quantiles=QUANTILES) -> DataFrame:
 
 
 def empirical_centiles(df: DataFrame, by: list[str], y: str, quantiles=QUANTILES) -> DataFrame:
-    q = df.groupBy(*by).agg(F.percentile(y, F.array(*[F.lit(x) for x in quantiles])).alias("v"))
-    return q.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in quantiles]).alias("quantile"), F.col("v").alias("value"))).alias("x")).select(*by, "x.quantile", "x.value")
+    """by, quantile, value: exact quantiles of every group; groups without values have none."""
+    q = stats.quantiles(df, y, {f"__q{i}": x for i, x in enumerate(quantiles)}, by=tuple(by))
+    pairs = F.array(*[F.struct(F.lit(x).alias("quantile"), F.col(f"__q{i}").alias("value")) for i, x in enumerate(quantiles)])
+    return q.select(*by, F.explode(pairs).alias("x")).select(*by, "x.quantile", "x.value")
 
 
 def calibration_error(rows: DataFrame, by: list[str], y: str, pred: str, quantile: str = "quantile") -> DataFrame:

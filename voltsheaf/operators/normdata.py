@@ -43,7 +43,7 @@ def impute_median(df: DataFrame, value: str, key: str, groups: list[str], covari
     gaps = gaps.withColumn("__band", F.explode(F.array(at - 1, at, at + 1)))
     seen = df.filter(F.col(value).isNotNull()).select(*groups, F.floor(F.col(covariate) / band).alias("__band"), F.col(covariate).alias("__o"), F.col(value).alias("__v"))
     near = gaps.join(seen, [*groups, "__band"]).filter(F.abs(F.col("__o") - F.col("__c")) <= F.col("__w")).groupBy(key).agg(F.median("__v").alias("__near"))
-    by_group = df.groupBy(*groups).agg(F.median(value).alias("__group"))
+    by_group = stats.quantiles(df, value, {"__group": 0.5}, by=tuple(groups))
     overall = stats.quantiles(df, value, {"__all": 0.5})
     out = df.join(near, key, "left").join(by_group, groups, "left").crossJoin(F.broadcast(overall))  # one row
     return out.withColumn("imputed", F.coalesce(value, "__near", "__group", "__all")).drop("__near", "__group", "__all")
@@ -57,10 +57,14 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def stratified_split(df: DataFrame, strata: list[str], key: str, train: float = 0.5, validation: float = 0.0, seed: int = 42) -> DataFrame:
     """df with column split: in each stratum the first share in a seeded order is train.
 
-    The order is arithmetic on the key, so that it is the same in every run and engine.  Shares are
+    The order is arithmetic on the key (of text and other types, on the first eight hexadecimal digits of
+    its md5), so that it is the same in every run and engine; ties are in the order of the key.  Shares are
     of the stratum's rows, rounded down; validation is taken from what train leaves.
     """
-    order = F.pmod(F.col(key) * 2654435761 + F.lit(seed) * 40503, F.lit(1_000_003))
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(key).cast("long") if whole else F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    # reduced first, so that no key overflows
+    order = F.coalesce(F.pmod(F.pmod(number, F.lit(1_000_003)) * 2654435761 + F.lit(seed) * 40503, F.lit(1_000_003)), F.lit(-1))
     ranked = stats.before(df.withColumn("__order", order), "__order", F.lit(1), tuple(strata), key=(key,))
     sizes = df.groupBy(*strata).agg(F.count("*").alias("__size"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in strata])

@@ -69,23 +69,31 @@ def sequence(rows: DataFrame, by: list[str], order: list[str], name: str) -> Dat
 RANGES = 200
 
 
+def meet(left: DataFrame, right: DataFrame, names: tuple) -> DataFrame:
+    """An inner join on names, where NULL meets NULL; a table without names is one row."""
+    if not names:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
+    same = reduce(lambda x, y: x & y, [left[n].eqNullSafe(other[f"__r_{n}"]) for n in names])
+    return left.join(other, same).drop(*[f"__r_{n}" for n in names])
+
+
 def before(rows: DataFrame, order: str, weight: Column, by: tuple = (), ranges: int = RANGES, key: tuple = ()) -> DataFrame:
     """rows with __range and __before, the sum of weight over all rows of smaller order (ties: by key) in their group.
 
     Rows are dealt to ranges of the order by approximate quantiles, which decide balance alone, and
     summed up within their range; sums of whole ranges, at most ``ranges`` a group, are added.  So no
-    sort holds more than a range, even where all rows are one group.
+    sort holds more than a range, even where all rows are one group.  Rows of equal order share a range:
+    where values repeat, count them first.  The approximate quantiles are computed once, as another
+    computation could give others.
     """
-    def meet(left: DataFrame, right: DataFrame, names: tuple) -> DataFrame:
-        """An inner join on names, where NULL meets NULL; a table without names is one row."""
-        if not names:
-            return left.crossJoin(F.broadcast(right))  # one row
-        other = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
-        same = reduce(lambda x, y: x & y, [left[n].eqNullSafe(other[f"__r_{n}"]) for n in names])
-        return left.join(other, same).drop(*[f"__r_{n}" for n in names])
-
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
-    keyed = meet(rows, cuts, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__w", weight)
+    cut = F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts")
+    if by:
+        cuts = meet(rows, held(rows.groupBy(*by).agg(cut)), by)
+    else:
+        at = sorted(set(rows.agg(cut).first()[0] or []))  # fewer than ``ranges`` numbers
+        cuts = rows.withColumn("__cuts", F.array(*[F.lit(x) for x in at]))
+    keyed = cuts.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts").withColumn("__w", weight)
     sums = keyed.groupBy(*by, "__range").agg(F.sum("__w").alias("__sum"))
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
     offsets = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
@@ -94,20 +102,30 @@ def before(rows: DataFrame, order: str, weight: Column, by: tuple = (), ranges:
     return out.withColumn("__before", F.col("__own") + F.col("__offset")).drop("__w", "__own", "__offset")
 
 
-def quantiles(df: DataFrame, value: str, at: dict[str, float], ranges: int = RANGES) -> DataFrame:
-    """One row with the exact quantiles of a column over all rows, interpolated: a column for each name of at.
+def quantiles(df: DataFrame, value: str, at: dict[str, float], ranges: int = RANGES, by: tuple = ()) -> DataFrame:
+    """The exact quantiles of a column, interpolated, over all rows or by group: a column for each name of at.
 
-    An exact percentile aggregate gathers all distinct values in one task; here every range is sorted
-    on its own and only the few rows of the wanted ranks go on.
+    An exact percentile aggregate gathers all distinct values of a group in one task.  Here equal values
+    are counted first, so that a value of any number of rows is one row, every range of values is
+    ranked on its own, and only the few rows of the wanted ranks go on.  Groups without values have no row.
     """
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("__v"))
-    ranked = before(rows, "__v", F.lit(1), (), ranges).crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n"))))  # one row
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("__v"))
+    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__k"))
+    sizes = counts.groupBy(*by).agg(F.sum("__k").alias("__n"))
+    ranked = meet(before(counts, "__v", F.col("__k"), by, ranges), sizes, by)
     place = {name: (F.col("__n") - 1) * F.lit(float(q)) for name, q in at.items()}
-    wanted = reduce(lambda x, y: x | y, [(F.col("__before") == F.floor(h)) | (F.col("__before") == F.ceil(h)) for h in place.values()])
-    picked = ranked.filter(wanted)
-    ends = [x for name, h in place.items() for x in (F.max(F.when(F.col("__before") == F.floor(h), F.col("__v"))).alias(f"__a_{name}"), F.max(F.when(F.col("__before") == F.ceil(h), F.col("__v"))).alias(f"__b_{name}"), F.max(h - F.floor(h)).alias(f"__f_{name}"))]
-    found = picked.agg(*ends)
-    return found.select(*[(F.col(f"__a_{n}") + F.col(f"__f_{n}") * (F.col(f"__b_{n}") - F.col(f"__a_{n}"))).alias(n) for n in at])
+
+    def holds(rank: Column) -> Column:
+        return (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__k"))
+
+    picked = ranked.filter(reduce(lambda x, y: x | y, [holds(F.floor(h)) | holds(F.ceil(h)) for h in place.values()]))
+    ends = [x for name, h in place.items() for x in (F.max(F.when(holds(F.floor(h)), F.col("__v"))).alias(f"__a_{name}"), F.max(F.when(holds(F.ceil(h)), F.col("__v"))).alias(f"__b_{name}"), F.max(h - F.floor(h)).alias(f"__f_{name}"))]
+    found = picked.groupBy(*by).agg(*ends)
+    found = found.select(*by, *[(F.col(f"__a_{n}") + F.col(f"__f_{n}") * (F.col(f"__b_{n}") - F.col(f"__a_{n}"))).alias(n) for n in at])
+    if by:
+        return found
+    # one row, computed now: whatever uses it, and quantiles of that in turn, would compute it again
+    return df.sparkSession.createDataFrame([found.first()], ", ".join(f"`{n}` double" for n in at))
 
 
 def rank_sum(df: DataFrame, value: str, group: str, first, by: tuple = ()) -> DataFrame:
@@ -127,18 +145,20 @@ def rank_sum(df: DataFrame, value: str, group: str, first, by: tuple = ()) -> Da
 def false_discovery(df: DataFrame, p: str, key: str, ranges: int = RANGES) -> DataFrame:
     """df with p_adjusted (Benjamini-Hochberg step-up) over all rows with a p-value: a family of tests.
 
-    Ranks are prefix counts over ranges of p, and the running minimum is taken within a range and
-    then with the least value of the ranges above.
+    Equal p-values have equal results and are one row while they are ranked.  Ranks are prefix counts over
+    ranges of p, and the running minimum is taken within a range and then with the least value of the
+    ranges above.  key is not needed any more and kept for callers.
     """
     tests = df.filter(F.col(p).isNotNull())
     n = tests.agg(F.count("*").alias("__m"))
-    ranked = before(tests, p, F.lit(1), (), ranges, (key,)).crossJoin(F.broadcast(n))  # one row
-    raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__before") + 1))
+    counts = tests.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k"))
+    ranked = before(counts, "__p", F.col("__k"), (), ranges).crossJoin(F.broadcast(n))  # one row
+    raw = ranked.withColumn("__raw", F.col("__p") * F.col("__m") / (F.col("__before") + F.col("__k")))  # the last of equal ones decides
     later = Window.partitionBy(F.lit(1)).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     above = raw.groupBy("__range").agg(F.min("__raw").alias("__least")).select("__range", F.min("__least").over(later).alias("__above"))
     own = Window.partitionBy("__range").orderBy(F.desc("__before")).rowsBetween(Window.unboundedPreceding, 0)
-    out = raw.withColumn("__own", F.min("__raw").over(own)).join(F.broadcast(above), "__range")
-    return out.withColumn("p_adjusted", F.least("__own", "__above", F.lit(1.0))).select(*df.columns, "p_adjusted")
+    out = raw.withColumn("__own", F.min("__raw").over(own)).join(F.broadcast(above), "__range").select("__p", F.least("__own", "__above", F.lit(1.0)).alias("p_adjusted"))
+    return tests.join(out, F.col(p) == F.col("__p")).select(*df.columns, "p_adjusted")
 
 
 def density(df: DataFrame, value: str, by: list[str], lo: float, hi: float, points: int, bandwidth: float) -> DataFrame:
@@ -177,9 +197,11 @@ def split_r_hat(draws: DataFrame, by: list[str], chain: str, draw: str, value: s
 
 
 def melted_boxes(long: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles and extremes for box plots."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(*by).agg(q.alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).select(*by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "n")
+    """Quartiles and extremes for box plots; a group without values has a row of nulls."""
+    ends = long.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    q = quantiles(long, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=tuple(by)).withColumnsRenamed({c: f"__r_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by])
+    return ends.join(q, same, "left").select(*by, "low", "q1", "median", "q3", "high", "n")
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -242,8 +264,8 @@ def convergence(draws: DataFrame, by: list[str], chain: str, draw: str, value: s
     and 95 % quantiles; mcse_sd is the deviation over the square root of twice the plain size.
     """
     scored = rank_normalised(draws, by, value)
-    q = draws.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("__q"), F.stddev_samp(value).alias("__sd"))
-    marked = scored.join(q, by).withColumn("__low", (F.col(value) <= F.col("__q")[0]).cast("double")).withColumn("__high", (F.col(value) <= F.col("__q")[1]).cast("double"))
+    q = quantiles(draws, value, {"__q05": 0.05, "__q95": 0.95}, by=tuple(by)).join(draws.groupBy(*by).agg(F.stddev_samp(value).alias("__sd")), by)
+    marked = scored.join(q, by).withColumn("__low", (F.col(value) <= F.col("__q05")).cast("double")).withColumn("__high", (F.col(value) <= F.col("__q95")).cast("double"))
     out = split_r_hat(scored, by, chain, draw, "z").select(*by, "r_hat")
     for column, name in (("z", "ess_bulk"), ("__low", "__ess_low"), ("__high", "__ess_high"), (value, "__ess")):
         out = out.join(effective_size(marked, by, chain, draw, column).withColumnRenamed("ess", name), by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltsheaf.sources.sheets import xlsx_table
+from voltsheaf.sources.tables import upsert
 
 
 def listed(spark: SparkSession, base: str, pattern: str = "*") -> DataFrame:
@@ -74,6 +75,35 @@ def montage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("Channel string, X double, Y double, Z double").csv(path)
 
 
+def prepared(samples: DataFrame, types: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
+    """samples with type, x, y and z of their channel, from tables as channel_types() and montage() give them.
+
+    The tables hold a row a channel, or if they have a column subject, a row for each recording and channel; of
+    repeated names the first in the order of the type or position counts.  Types are in small letters.  A type or position that the samples have already stays
+    where the tables know none, and a recording that has any position keeps its own.
+    """
+    def of(table: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, list[str]]:
+        on = ["subject", "channel"] if "subject" in table.columns else ["channel"]
+        named_ = table.withColumnRenamed(name, "channel") if name != "channel" else table
+        first = F.min(F.struct(*columns)).alias("__s")
+        return named_.groupBy(*on).agg(first).select(*on, *[F.col(f"__s.{c}").alias(f"__{c}") for c in columns]), on
+
+    out = samples
+    for c, kind in (("type", "string"), ("x", "double"), ("y", "double"), ("z", "double")):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    if types is not None:
+        found, on = of(types, "name" if "name" in types.columns else "channel", ["type"])
+        out = out.join(found, on, "left").withColumn("type", F.lower(F.coalesce("__type", "type"))).drop("__type")
+    if positions is not None:
+        lower = positions.withColumnsRenamed({"Channel": "channel", "X": "x", "Y": "y", "Z": "z"})
+        found, on = of(lower, "channel", ["x", "y", "z"])
+        own = out.filter(F.col("x").isNotNull()).select("subject").distinct().withColumn("__own", F.lit(True))
+        out = out.join(found, on, "left").join(own, "subject", "left")
+        out = out.withColumns({c: F.when(F.col("__own"), F.col(c)).otherwise(F.col(f"__{c}")) for c in "xyz"}).drop("__own", "__x", "__y", "__z")
+    return out.select(*samples.columns, *[c for c in ("type", "x", "y", "z") if c not in samples.columns])
+
+
 def demographics(spark: SparkSession, path: str) -> DataFrame:
     """A CSV, TSV or XLSX table, all columns as text; other endings raise."""
     ending = path.rsplit(".", 1)[-1].lower()
@@ -105,9 +135,9 @@ def image_jobs(files: DataFrame) -> DataFrame:
     return hit.select(F.regexp_extract("path", "(sub-[^_/]+)", 1).alias("subject"), session.alias("session"), run.alias("run"), "path").withColumn("job", F.concat_ws("_", "subject", "session", "run")).distinct()
 
 
-def write_features(long: DataFrame, path: str) -> None:
-    """The long feature table by subject folder."""
-    long.write.mode("overwrite").partitionBy("subject").parquet(path)
+def write_features(long: DataFrame, path: str, run: str = "features", subjects: DataFrame | None = None) -> int:
+    """Features of the subjects of a run in place of their earlier ones; other subjects keep theirs."""
+    return upsert(long, "features", path, run, subjects)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

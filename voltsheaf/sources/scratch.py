@@ -23,11 +23,16 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", place)
         self.spark, self.place, self.paths = spark, place.rstrip("/"), []
 
-    def saved(self, df: DataFrame, name: str, by: tuple = (), lasts: bool = False) -> DataFrame:
-        """df computed once and read back, in folders by the columns ``by``; one that lasts is not deleted with the others."""
+    def folder(self, name: str, lasts: bool = False) -> str:
+        """A new path."""
         path = f"{self.place}/voltsheaf/{name}-{uuid.uuid4().hex}"
         if not lasts:
             self.paths.append(path)
+        return path
+
+    def saved(self, df: DataFrame, name: str, by: tuple = (), lasts: bool = False) -> DataFrame:
+        """df computed once and read back, in folders by the columns ``by``; one that lasts is not deleted with the others."""
+        path = self.folder(name, lasts)
         df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

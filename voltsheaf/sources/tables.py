@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltsheaf.sources import sinks
+
 #: Columns of each kind of table, and what its files are dealt by.
 SCHEMAS = {
     "psd": ("subject string, channel string, freqs array<double>, power array<double>", []),
@@ -18,14 +20,32 @@ SCHEMAS = {
 }
 
 
-def save(df: DataFrame, kind: str, path: str, mode: str = "errorifexists") -> None:
-    """Write a table of a known kind; its columns are cast to the stated types, others are left out."""
-    ddl, parts = SCHEMAS[kind]
-    schema = df.sparkSession.createDataFrame([], ddl).schema
+#: The columns that name what a run writes again.
+KEYS = {"psd": ["subject"], "features": ["subject"], "splits": ["subject"], "quantile_cube": ["response"], "z_scores": ["response", "run"], "diagnostics": ["model"], "exclusions": ["subject"], "run_manifest": ["job", "subject"]}
+
+
+def stated(df: DataFrame, kind: str) -> DataFrame:
+    """df with the columns of its kind, cast to the stated types; others are left out."""
+    schema = df.sparkSession.createDataFrame([], SCHEMAS[kind][0]).schema
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{kind} needs the columns {missing}")
-    out = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def upsert(df: DataFrame, kind: str, path: str, run: str, spoken_for: DataFrame | None = None) -> int:
+    """Write a table of a known kind so that a repeated run replaces its own keys (sinks.replace_keys)."""
+    return sinks.replace_keys(stated(df, kind), path, KEYS[kind], run, spoken_for)
+
+
+def latest(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """What upsert() has left, key by key."""
+    return sinks.current(spark, path, SCHEMAS[kind][0], KEYS[kind])
+
+
+def save(df: DataFrame, kind: str, path: str, mode: str = "errorifexists") -> None:
+    """Write a table of a known kind; its columns are cast to the stated types, others are left out."""
+    out, parts = stated(df, kind), SCHEMAS[kind][1]
     out.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
