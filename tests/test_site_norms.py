@@ -6,8 +6,8 @@ from voltsheaf.operators import site_norms as S
 ROWS = "response string, site string, age double, y double"
 
 
-def dense(y, x, site, form, rounds=400):
-    """The same posterior by plain gradient rounds on one dense problem: Newton with numeric second derivatives."""
+def dense(y, x, site, form, rounds=30):
+    """The same posterior on one dense problem: Newton rounds with numeric second derivatives."""
     names = sorted(set(site))
     col = np.array([names.index(s) for s in site])
     c, k = form.width - 2, len(names)
@@ -25,7 +25,7 @@ def dense(y, x, site, form, rounds=400):
     t = np.zeros(c + 2 * k)
     for _ in range(rounds):
         f, g = value_and_slope(t)
-        if np.abs(g).max() < 1e-8:
+        if np.abs(g).max() < 1e-5:
             break
         eps = 1e-5
         hess = np.stack([(value_and_slope(t + eps * d)[1] - value_and_slope(t - eps * d)[1]) / (2 * eps) for d in np.eye(len(t))])

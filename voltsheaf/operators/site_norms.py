@@ -141,7 +141,8 @@ def advanced(form: Form, fit: Fit, sums: dict[str, np.ndarray], tolerance: float
         fit.now, fit.best, fit.share = fit.tried, value, 1.0
         d = np.sqrt(np.diag(info))  # spreads differ by many powers of ten
         fit.step = np.linalg.solve(info / np.outer(d, d) + 1e-10 * np.eye(size), grad / d) / d
-        fit.done = bool(np.abs(fit.step).max() < tolerance)
+        if np.abs(fit.step).max() < tolerance:
+            fit.done, fit.now = True, fit.now + fit.step
     fit.tried = fit.now + fit.share * fit.step
 
 
