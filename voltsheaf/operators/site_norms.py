@@ -160,8 +160,8 @@ def fit_site_norms(long: DataFrame, covariate: str, site: str, form: Form = Form
         moments = [f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
         scales = s.saved(rows.groupBy("response").agg(*moments, F.count("*").alias("n"), F.sort_array(F.collect_set("site")).alias("sites")), "scales")
         size = 8 * (1 + form.width + form.width**2)
-        total = scales.agg(F.sum(F.size("sites") * size)).first()[0] or 0
-        waves = max(1, -(-int(total) // wave_bytes))
+        total, responses = scales.agg(F.coalesce(F.sum(F.size("sites") * size), F.lit(0)), F.count("*")).first()
+        waves = max(1, min(-(-int(total) // wave_bytes), responses))
         wave = F.pmod(F.xxhash64("response"), F.lit(waves))
         sd = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
         scaled = rows.join(scales.select("response", "x_mean", "x_sd", "y_mean", "y_sd"), "response")

@@ -301,8 +301,8 @@ def decomposed(s: Scratch, samples: DataFrame, n: int, block: int, rounds: int,
     """
     blocks = s.saved(instants(samples, block), "instants")
     white = s.saved(whitened_by(channel_moments(blocks), n), "whitening")
-    size = white.agg(F.sum(8 * (F.size("white") + F.size("back") + F.size("mean")))).first()[0] or 0
-    waves = max(1, -(-int(size) // wave_bytes))
+    size, recordings = white.agg(F.coalesce(F.sum(8 * (F.size("white") + F.size("back") + F.size("mean"))), F.lit(0)), F.count("*")).first()
+    waves = max(1, min(-(-int(size) // wave_bytes), recordings))
     wave = F.pmod(F.xxhash64("subject"), F.lit(waves))
     if waves > 1:
         blocks = s.saved(blocks.withColumn("wave", wave), "waves", ("wave",))
