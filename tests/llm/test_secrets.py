@@ -81,6 +81,44 @@ def test_recall_where_secrets_are_rare(spark):
     assert len(wrong) <= 0.1 * len(found)
 
 
+def test_keys_after_signs(spark):
+    """Keys in query strings, environment files, JSON and quotes are found where they begin; "=" is padding at the end alone."""
+    rng = np.random.default_rng(13)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    words = ["user", "handler", "configuration", "version", "cluster", "release", "module", "index", "error", "payment"]
+    ways = {"SIG=": "\n", "export DB_CREDENTIAL=": "", "https://a.example/b?sig=": "&page=2", '{"k":"': '"}', "x = '": "'", "é=\"": '"', "a: ": "==", "k==": "="}
+    texts, want = {}, {}
+    for before, after in ways.items():
+        for _ in range(25):
+            i = len(texts)
+            texts[i] = before + "".join(rng.choice(letters, 40)) + after
+            want[i] = f"random:{len(before)}:{len(before) + 40 + (len(after) if after.startswith('=') else 0)}"
+    for i in range(2000):
+        texts[10_000 + i] = "NAME=" + "_".join(str(x) for x in rng.choice(words, 4)) + "_" + str(rng.integers(10, 99))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in X.scan(docs).collect()}
+    for k in range(len(ways)):
+        mine = range(k * 25, k * 25 + 25)
+        assert sum(got[i] == want[i] for i in mine) >= 0.8 * 25, list(ways)[k]
+    found = sum(got[i] != "" for i in want)
+    assert sum(got[i] != "" for i in texts if i >= 10_000) <= 0.1 * found
+
+
+def test_redact_many_spans(spark):
+    """Texts of more spans than a block of blocks holds, beside overlaps and spans at both ends, against a plain replacement."""
+    rng = random.Random(3)
+    rows = [(1, "".join(("é" * (i % 3)) + "%032x" % rng.getrandbits(128) + "; " for i in range(17_000)))]
+    rows += [(2 + i, "".join(rng.choice(["token=", "0123456789abcdef" * 2, "AKIAABCDEFGHIJ12", " ", "🙂", "-"]) for _ in range(n))) for i, n in enumerate((1, 2, 5, 130, 400))]
+    got = {r.doc_id: r.text for r in X.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        out, at = [], 0
+        for a, _, b in brute(text):
+            if a >= at:
+                out.append(text[at:a])
+            at = max(at, b)
+        assert got[i] == "[secret]".join([*out, text[at:]]), i
+
+
 def test_many_spans_in_one_text(spark):
     rng = np.random.default_rng(5)
     letters = list("0123456789abcdef")

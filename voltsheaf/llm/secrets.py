@@ -32,7 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A token may begin after "=", as in query strings and environment files; "=" belongs to it only as padding.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: How often two letters of written text agree, which makes its chi-squared grow with its length; in
 #: text of the letters a to f and digits two symbols agree more often.
@@ -75,6 +76,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def in_blocks(items: Column, size: int) -> Column:
+    """A non-empty array cut into arrays of at most size items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+
+
 def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], row: Callable[[Column, Column], Column]) -> Column:
     """Array of row(carry, item), carry being what step has made of zero and the items before; null without items.
 
@@ -82,8 +88,6 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
     """
 
     def whole(items: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN_BLOCK).cast("int")), lambda b: F.slice(items, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK)))
-
         def list_of(carry: Column, out: Column) -> Column:
             return F.struct(carry.alias("carry"), out.alias("out"))
 
@@ -97,7 +101,7 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
 
             return bound(after, lambda after: F.flatten(F.zip_with(cut, F.slice(after, F.lit(1), F.size(cut)), rows)))
 
-        return bound(cut, blocks)
+        return bound(in_blocks(items, RUN_BLOCK), blocks)
 
     return bound(items, lambda x: F.when(F.size(x) > 0, whole(x)))
 
@@ -261,18 +265,40 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def kept(text: Column, spans: Column) -> Column:
+    """Array of (start, stop) of what a text holds between its spans; spans that overlap count as one."""
+    zero = F.lit(0).cast("long")
+    gaps = running(spans, zero, lambda at, s: F.greatest(at, s["stop"]), lambda at, s: F.struct(at.alias("start"), s["start"].alias("stop")))
+    tail = F.struct(F.array_max(F.transform(spans, lambda s: s["stop"])).alias("start"), F.length(text).cast("long").alias("stop"))
+    return F.concat(F.filter(gaps, lambda g: g["stop"] >= g["start"]), F.array(tail))
+
+
+def pieces(text: Column, base: Column, spans: Column, size: int = RUN_BLOCK**2) -> Column:
+    """The texts of ordered spans, of a text that begins at base.
+
+    A substring is sought from the start of its text, so a text is cut into blocks of spans first, and these again.
+    """
+
+    def part(start: Column, stop: Column) -> Column:
+        return F.substring(text, (start - base).cast("int") + 1, (stop - start).cast("int"))
+
+    if size == 1:
+        return F.transform(spans, lambda s: part(s["start"], s["stop"]))
+
+    def block(spans: Column) -> Column:
+        first = F.element_at(spans, 1)["start"]
+        cut = F.struct(first.alias("base"), part(first, F.element_at(spans, -1)["stop"]).alias("text"))
+        return bound(cut, lambda c: pieces(c["text"], c["base"], spans, size // RUN_BLOCK))
+
+    return F.flatten(F.transform(in_blocks(spans, size), block))
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span of its texts replaced by a mark (overlapping spans by one); null stays null."""
     least = thresholds(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     spans = all_spans(F.coalesce("text", F.lit("")), least)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cover(acc, s):
-        piece = F.concat(F.substring("text", acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-
     held = docs.withColumn("__spans", spans)
-    done = F.aggregate("__spans", start, cover, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"].cast("int") + 1, F.length("text"))))
+    done = F.array_join(bound(kept(F.col("text"), F.col("__spans")), lambda k: pieces(F.col("text"), F.lit(0).cast("long"), k)), mark)
     text = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
     out = held.withColumn("text", text).drop("__spans")
     if "n_chars" in docs.columns:
