@@ -72,8 +72,19 @@ def test_against_exact_sets(spark, sf_small):
 
 def test_pieces():
     texts = ["ab cd", None, "x" * 25, "some words to cut at spaces now", ""]
-    parts = [(o, p) for owner, part in X.pieces(texts, 10) for o, p in zip(owner.tolist(), part)]
+    parts = [(o, p) for owner, part, _ in X.pieces(texts, 10) for o, p in zip(owner.tolist(), part)]
     assert ["".join(p for o, p in parts if o == i) for i in range(5)] == [t or "" for t in texts]
     assert max(len(p) for _, p in parts) <= 10
     filters = X.Filters(["a"], np.full((16, 1), 1, np.uint64), np.array([0.5]), 0)
     assert filters.predict(["# " * 10 + "x " * 1_500_000])[3].tolist() == [True]
+
+
+def test_cuts_lose_no_n_gram():
+    rng = np.random.default_rng(4)
+    texts = [None, ""] + ["".join(rng.choice(list("abÉ  .\n1"), int(n))) for n in rng.integers(0, 60, 200)]
+    whole, _, _, _ = X.grams([t or "" for t in texts])
+    want = Counter((o, int(h)) for i, t in enumerate(texts) for o, h in ((i, h) for h in X.grams([t or ""])[0]))
+    assert sum(want.values()) == len(whole) == sum(len(plain_grams(t)) for t in texts if t and any(c.isalpha() for c in t))
+    for size in (1, 2, 3, 7, 20, 64):
+        got = Counter((int(o), int(x)) for h, row, _ in X.all_grams(texts, size) for o, x in zip(row, h))
+        assert got == want, size

@@ -17,8 +17,8 @@ depend on how much was kept and its size is bounded by the sample.
 Null texts and texts without a letter are ``und`` with score 0; a text of no known n-gram is the
 language with most training documents, with score 0.  Ties go to the language that sorts first.
 Without training rows every text is ``und``.  A text of over PIECE characters is counted in pieces,
-cut at white space if possible, so that a task's memory is bounded; the at most six n-grams over a
-cut are not counted.
+cut at white space if possible, so that a task's memory is bounded; the end of a piece is carried
+into the next one, so that the n-grams over a cut are counted as well.
 """
 
 from __future__ import annotations
@@ -48,12 +48,17 @@ def letter_table() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the texts and the row of each; and which rows have a letter.
+def grams(texts: list[str], head: np.ndarray | None = None, more: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of the texts and the row of each; which rows have a letter; and the end of the last text.
 
-    Texts are lower-cased and all that is no letter becomes a single space.
+    Texts are lower-cased and all that is no letter becomes a single space.  head: the end of what the
+    first text continues; more: the last text goes on.
     """
-    parts = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    lower = [t.lower() for t in texts]
+    parts = [np.frombuffer(((" " if i or head is None else "") + t + ("" if more and i == len(lower) - 1 else " ")).encode("utf-32-le", "surrogatepass"), np.uint32) for i, t in enumerate(lower)]
+    old = 0
+    if head is not None and parts:
+        parts[0], old = np.concatenate([head, parts[0]]), len(head)
     code = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     letter = letter_table()[code]
@@ -64,6 +69,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= row[1:] != row[:-1]  # and one before the first
     keep[:1] = True
     code, row = np.where(letter, code, 32)[keep].astype(np.uint64), row[keep]
+    tail = code[row == len(parts) - 1][1 - max(ORDERS) :].astype(np.uint32)
     out_h, out_row = [], []
     for n in ORDERS:
         if len(code) < n:
@@ -73,15 +79,17 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             h = h * np.uint64(0x1F83D9ABFB41BD6B) + code[k : k + m]
         same = row[:m] == row[n - 1 :]
+        same[: max(0, old - n + 1)] = False  # counted with what came before
         out_h.append(mix64(h[same]))
         out_row.append(row[:m][same])
     if not out_h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
-    return np.concatenate(out_h), np.concatenate(out_row), has
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), has, tail
+    return np.concatenate(out_h), np.concatenate(out_row), has, tail
 
 
 def pieces(texts: list[str | None], size: int = PIECE):
-    """The texts in lists of at most about ``size`` characters, with the number of the text of each part."""
+    """The texts in lists of at most about ``size`` characters, with the number of the text of each part,
+    and whether the last part's text goes on in the next list."""
     owner: list[int] = []
     part: list[str] = []
     held = 0
@@ -96,11 +104,22 @@ def pieces(texts: list[str | None], size: int = PIECE):
             part.append(text[at:stop])
             held += stop - at
             at = max(stop, 1)
-            if held >= size:
-                yield np.array(owner), part
+            if held >= size or at < len(text):
+                yield np.array(owner), part, at < len(text)
                 owner, part, held = [], [], 0
     if part:
-        yield np.array(owner), part
+        yield np.array(owner), part, False
+
+
+def all_grams(texts: list[str | None], size: int = PIECE):
+    """Hashes of the n-grams of whole texts and the number of the text of each, in lists; and which texts of a list have a letter."""
+    head = None
+    for owner, part, more in pieces(texts, size):
+        h, row, some, tail = grams(part, head, more)
+        head = tail if more else None
+        has = np.zeros(len(texts), bool)
+        has[owner[some]] = True
+        yield h, owner[row], has
 
 
 def slots_of(h: np.ndarray, turn: int, slots: int) -> np.ndarray:
@@ -124,12 +143,10 @@ class Filters:
         and whether the text has a letter."""
         n, known = len(texts), len(self.languages)
         total, hits, has = np.zeros(n), np.zeros((n, known)), np.zeros(n, bool)
-        for owner, part in pieces(texts):
-            h, row, some = grams(part)
-            np.logical_or.at(has, owner, some)
+        for h, row, some in all_grams(texts):
+            has |= some
             if not known:
                 continue
-            row = owner[row]
             masks = self.slots[slots_of(h, 0, len(self.slots))]
             for turn in range(1, HASHES):
                 masks &= self.slots[slots_of(h, turn, len(self.slots))]
@@ -176,9 +193,8 @@ def fitted(docs: DataFrame, sample_docs: int) -> Filters:
     def count(batches):
         for batch in slices(batches, BATCH_BYTES, "text"):
             code = np.array(batch.column("k").to_pylist(), np.int32)
-            for owner, part in pieces(batch.column("text").to_pylist()):
-                h, row, _ = grams(part)
-                k = code[owner[row]]
+            for h, row, _ in all_grams(batch.column("text").to_pylist()):
+                k = code[row]
                 for one in np.unique(k):
                     gram, n = np.unique(h[k == one], return_counts=True)
                     yield as_batch({"k": np.full(len(gram), one, np.int32), "gram": gram.view(np.int64), "n": n}, schema)
