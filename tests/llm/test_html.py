@@ -47,6 +47,29 @@ def test_names_inside_an_article_drop_nothing():
     assert X.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", X.DEFAULT) == "so x=1 holds"
 
 
+def test_articles_with_learnt_weights(spark, sf_small):
+    """What an article may hold and what may stand around it, by weights of pages that show none of it."""
+    weights = X.fit(spark.read.parquet(f"{sf_small}/pages.parquet"))
+    around = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now.</div><article>{}</article>{}<footer>the end of it</footer>"
+    first, last = "<p>" + "one two three " * 8 + "</p>", "<p>" + "four five six " * 8 + "</p>"
+    head, tail = ("one two three " * 8).strip(), ("four five six " * 8).strip()
+    own = [("<section class='sharing-knowledge'>{}</section>", "we share what we know"), ("<div id='comments-on-budget'>{}</div>", "the budget is late"), ("<table class='ad-prices'><tr><td>{}</td></tr></table>", "an advert costs ten"), ("<div><div><figure>" * 2 + "{}" + "</figure></div></div>" * 2, "deep words"), ("<div></div>" * 30 + "{}", "bare"), ("<ul><li>{}</li></ul>", "a point"), ("<ul><li><a href=x>{}</a></li></ul>", "a link"), ("<div>{}</div>", "a box")]
+    for box, words in own:
+        assert X.main_text(around.format(first + box.format(words) + last, ""), weights) == f"{head} {words} {tail}", box
+        assert X.main_text(around.format(first + box.format(words), ""), weights) == f"{head} {words}", box
+    assert X.main_text(around.format("<h1>Head line</h1>" + "<div></div>" * 30 + last, ""), weights) == f"Head line {tail}"
+    assert X.main_text(around.format("".join(f"<div>words of box {k}</div>" for k in range(4)), ""), weights) == " ".join(f"words of box {k}" for k in range(4))
+    others = ["<div class='thread'><p>A reader says this at length, and more than once.</p></div>", "<div id='cmp-layer'>We keep small files on your machine.</div>", "<h2>Read on</h2><div class='list'><p>Something else.</p></div>"]
+    for box in others:
+        assert X.main_text(around.format(first + last, box), weights) == f"{head} {tail}", box
+        assert X.main_text(box.replace("h2", "h6") * (box is not others[2]) + around.format(first + last, ""), weights) == f"{head} {tail}", box
+    for box in ("<div class='ad-box'>Buy it</div>", "<div class='comment-list'><p>said</p></div>", "<section id=comments><p>said</p></section>", "<article class='comment'><p>said</p></article>", "<div class='ad'>Buy</div>"):
+        assert X.main_text(around.format(first + box + last, ""), weights) == f"{head} {tail}", box
+    # a small article element beside the main text is not the page's article, and main is one where no article is
+    assert tail in X.main_text("<div class=text>" + last * 5 + "</div><article><p>A card.</p></article>", weights)
+    assert X.main_text("<main>" + first + "<ul><li>a point</li></ul></main><div class=thread><p>said it</p></div>", weights) == f"{head} a point"
+
+
 def test_learnt_names(spark):
     page = "<div class='qz'>not at all of it</div><article><p>one two three four</p><div class='menu'>five six seven</div></article><div class='menu-x'>a b</div>"
     pages = spark.createDataFrame([(i, page) for i in range(30)], "page_id long, html string")

@@ -14,6 +14,14 @@ element of a page, or one that holds over half of its paragraph words; there, an
 negative weight only lowers the score of words by a learnt factor.  Elements that are no content by
 definition (navigation, footers, forms, scripts, hidden parts and so on) give no text either.
 
+The element that is the article, if the page has one: the ``article`` (else ``main``) that holds over
+half of the paragraph words, parts of no content not counted.  Where there is one, words score by
+that too: outside it they count against a region, but for headings before it, and inside it every
+place of words has at least half the weight of paragraphs, while the tags before a group of words
+take at most half of its score.  So lists, tables, bare boxes and deep nesting cut nothing off it.
+Inside an article a name speaks against a box only if all its words do or are words of layout:
+``ad-box`` does, ``ad-prices`` does not.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space.  Null or empty html, and pages without positive region, give the empty
 text.  Unclosed and stray tags are tolerated, a tag with an unclosed quote ends at its first ``>``,
@@ -50,12 +58,16 @@ NO_CONTENT = {"nav", "footer", "aside", "form", "head", "menu", "select", "butto
 JUDGED = {"div", "section", "ul", "ol", "dl", "details", "figure", "header", "table", "td"}
 PRIOR = dict.fromkeys("ad advert adverts advertisement advertising adsense comment comments commentlist disqus reply replies respond share sharing consent cookie cookies gdpr newsletter".split(), -6.0)
 PRIOR |= dict.fromkeys("ads banner breadcrumb breadcrumbs copyright dropdown footer login menu modal nav navbar navigation navlinks pager pagination popup promo promoted recommended related search searchbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets complementary contentinfo header masthead notice notices alert side meta".split(), -3.0)
+#: Words of layout, which tell nothing of what a box holds.
+LAYOUT = set("area bar block body bottom box button buttons container content group header icons inner item items left link links list main outer panel right row section slot title top unit wrap wrapper zone".split())
 #: A class that starts so tells of the page or the topic and names no part: no-sidebar, tag-search.
 TELLS = re.compile(r"(?:no|not|has|with|without|category|tag)[-_]", re.I)
 CLOSES_P = BOXES - {"td", "th", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "html", "body", "head"}
 PLACES = dict.fromkeys(("p", "pre", "blockquote"), "word:p") | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "word:head") | dict.fromkeys(("li", "dd", "dt"), "word:list") | dict.fromkeys(("td", "th"), "word:table") | dict.fromkeys(("div", "section", "article", "main", "body"), "word:other")
 DEFAULT = {"word:p": 1.0, "word:head": 0.5, "word:list": 0.3, "word:table": 0.3, "word:other": 0.3, "word:link": 0.05, "named": 0.5}
 LEAST = 0.05
+#: What a word scores outside the page's article.
+OUTSIDE = -0.5
 #: Least factor of the score of words in a box that was kept though its names speak against it.
 LEAST_NAMED = 0.25
 #: A box of this weight or less is no content; what an article element adds; the largest weight of a name.
@@ -75,9 +87,17 @@ def names_of(attributes: dict[str, str]) -> list[str]:
     return [n.lower() for key in ("class", "id", "role") for n in attributes.get(key, "").split() if not TELLS.match(n)]
 
 
-def weight_of(names: list[str], weights: dict[str, float]) -> float:
+def prior_of(name: str, inside: bool) -> float:
+    """The least prior of a name's words; inside an article none, if a word neither has one nor is of layout."""
+    words = [x for x in re.split(r"[-_\d]+", name) if x]
+    if inside and any(x not in PRIOR and x not in LAYOUT for x in words):
+        return 0.0
+    return min((PRIOR[x] for x in words if x in PRIOR and not (inside and x in LAYOUT and len(words) > 1)), default=0.0)
+
+
+def weight_of(names: list[str], weights: dict[str, float], inside: bool) -> float:
     """The least weight of the names: what was learnt, on top of the prior of their words."""
-    return min((max(-MOST, min(MOST, weights.get("name:" + n, 0.0) + min(PRIOR.get(x, 0.0) for x in re.split("[-_]+", n)))) for n in names), default=0.0)
+    return min((max(-MOST, min(MOST, weights.get("name:" + n, 0.0) + prior_of(n, inside))) for n in names), default=0.0) + ARTICLE * inside
 
 
 def tag_stop(page: str, at: int, dead: set[int]) -> int:
@@ -101,55 +121,97 @@ def tag_stop(page: str, at: int, dead: set[int]) -> int:
 
 
 class Box:
-    """An open box with names: its parent, what it is called, its weight, and the words it holds."""
+    """An open box with names: its parent, what it is called, its weight, and the words it holds.
+
+    low: it or a box around it, in the same article, has a weight that would shut it.
+    """
+
+    __slots__ = ("parent", "names", "weight", "area", "low", "words", "paragraphs")
 
-    __slots__ = ("parent", "names", "weight", "inside", "words", "paragraphs")
+    def __init__(self, parent: Box | None, names: list[str], weight: float, area: int) -> None:
+        self.parent, self.names, self.weight, self.area, self.words, self.paragraphs = parent, names, weight, area, [0, 0], 0
+        self.low = weight <= SHUT or (parent is not None and parent.area == area and parent.low)
 
-    def __init__(self, parent: Box | None, names: list[str], weight: float, inside: bool) -> None:
-        self.parent, self.names, self.weight, self.inside, self.words, self.paragraphs = parent, names, weight, inside, [0, 0], 0
+
+class Area:
+    """An article element, or a main one around them: its name, the one around it, its box, and the words it holds."""
+
+    __slots__ = ("name", "parent", "box", "words", "paragraphs")
+
+    def __init__(self, name: str, parent: int, box: Box | None) -> None:
+        self.name, self.parent, self.box, self.words, self.paragraphs = name, parent, box, 0, 0
+
+
+def article_of(areas: list[Area], words: int, paragraphs: int) -> int | None:
+    """Number of the article (else main) element that holds over half of the page's paragraph words, or of all if there are none."""
+    for area in reversed(areas):  # an area comes after the one around it
+        if area.parent >= 0:
+            areas[area.parent].words += area.words
+            areas[area.parent].paragraphs += area.paragraphs
+    for name in ("article", "main"):
+        for k, area in enumerate(areas):
+            if area.name == name and 2 * (area.paragraphs if paragraphs else area.words) > (paragraphs or words):
+                return k
+    return None
 
 
 def tokens(page: str, weights: dict[str, float], boxes: list[Box] | None = None):
-    """(kind, text, shut, inside, named) of a page: kind is a word place or a tag name; shut: in a
-    part that is no content; inside: in an article element; named: in a box kept despite its names."""
-    boxes, around = [] if boxes is None else boxes, []
-    words = total = 0
-    for kind, text, shut, inside, box in scanned(page, weights, boxes, None):
+    """(kind, text, shut, inside, named, side) of a page: kind is a word place or a tag name; shut: in a
+    part that is no content; inside: in an article element; named: in a box kept despite its names;
+    side: before (-1), in (0) or after (1) the page's article, None if it has none."""
+    boxes, areas, around = [] if boxes is None else boxes, [], []
+    words = total = held = held_paragraphs = 0
+    for kind, text, shut, inside, box, area in scanned(page, weights, boxes, areas, None):
         if text is None:
             if kind == "open":
                 around.append(box)
         elif not shut and kind != "word:link":
             n = len(text.split())
+            paragraphs = n if kind == "word:p" else 0
             total += n
-            words += n if kind == "word:p" else 0
+            words += paragraphs
             if box is not None:
                 box.words[inside] += n
-                box.paragraphs += n if kind == "word:p" else 0
+                box.paragraphs += paragraphs
+            if box is None or box.area != area or not box.low:
+                held += n
+                held_paragraphs += paragraphs
+                if area >= 0:
+                    areas[area].words += n
+                    areas[area].paragraphs += paragraphs
     for box in reversed(boxes):  # a box comes after the one around it
         if box.parent is not None:
             box.parent.words[0] += box.words[0]
             box.parent.words[1] += box.words[1]
             box.parent.paragraphs += box.paragraphs
     keep = {k for k, box in enumerate(boxes) if 2 * (box.paragraphs if words else sum(box.words)) > (words or total)}
-    if len(around) == 1:
-        at, number = around[0], {id(box): k for k, box in enumerate(boxes)}
+    article = article_of(areas, held, held_paragraphs)
+    if article is not None or len(around) == 1:
+        at, number = around[0] if article is None else areas[article].box, {id(box): k for k, box in enumerate(boxes)}
         while at is not None:
             keep.add(number[id(at)])
             at = at.parent
-    for kind, text, shut, inside, box in scanned(page, weights, boxes, keep):
+    within = set()
+    for k, area in enumerate(areas):
+        if k == article or area.parent in within:
+            within.add(k)
+    side = None if article is None else -1
+    for kind, text, shut, inside, box, area in scanned(page, weights, boxes, areas, keep):
+        if side is not None:
+            side = 0 if area in within else 1 if side >= 0 else -1
         if kind != "open":
-            yield kind, text, shut, inside, box is not None and box.weight < 0
+            yield kind, text, shut, inside, box is not None and box.weight < 0, side
 
 
-def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[int] | None):
-    """Tokens with the innermost open box that has names.  The first scan (keep is None) fills boxes and
+def scanned(page: str, weights: dict[str, float], boxes: list[Box], areas: list[Area], keep: set[int] | None):
+    """Tokens with the innermost open box that has names.  The first scan (keep is None) fills boxes and areas and
     shuts none for its names, the second shuts those of weight SHUT that are not in keep.  An article
     or main element that opens is told as kind "open"."""
-    # name, shut, index of the outermost shut one, in article, box, place of words
-    stack: list[tuple[str, bool, int, bool, Box | None, str]] = []
+    # name, shut, index of the outermost shut one, in article, box, place of words, number of the area
+    stack: list[tuple[str, bool, int, bool, Box | None, str, int]] = []
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
-    last, dead, met = page.rfind(">"), set(), 0
-    nothing = ("", False, -1, False, None, "word:other")
+    last, dead, met, opened = page.rfind(">"), set(), 0, 0
+    nothing = ("", False, -1, False, None, "word:other", -1)
     link, raw, at = 0, None, 0
 
     def drop(to: int) -> None:
@@ -162,7 +224,7 @@ def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[in
             at = end.end() if end else len(page)
             raw = None
             continue
-        _, shut, root, inside, box, place = stack[-1] if stack else nothing
+        _, shut, root, inside, box, place, area = stack[-1] if stack else nothing
         text = tag = None
         if page[at] != "<" or at > last:
             text = TEXT.match(page, at).group()
@@ -177,12 +239,12 @@ def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[in
             text = TEXT.match(page, at).group()
         if text is not None:
             at += len(text)
-            yield "word:link" if link else place, text, shut, inside, box
+            yield "word:link" if link else place, text, shut, inside, box, area
             continue
         stop = tag_stop(page, tag.end(), dead)
         attributes, at = page[tag.end() : stop], stop + 1
         name, closing = tag.group(2).lower(), bool(tag.group(1))
-        yield "tag:" + name, None, shut, inside, box
+        yield "tag:" + name, None, shut, inside, box, area
         if name == "a":
             link = 0 if closing else 1
         if not closing and name in RAW and not attributes.endswith("/"):
@@ -200,12 +262,12 @@ def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[in
             continue
         if stack and (stack[-1][0] == "p" and name in CLOSES_P or name == "li" and stack[-1][0] == "li"):
             drop(len(stack) - 1)
-            _, shut, root, inside, box, place = stack[-1] if stack else nothing
+            _, shut, root, inside, box, place, area = stack[-1] if stack else nothing
         has = attributes_of(attributes) if attributes else {}
-        named = names_of(has) if has and name in JUDGED else []
+        named = names_of(has) if has and (name in JUDGED or (name == "article" and inside)) else []
         if named:
             if keep is None:
-                boxes.append(Box(box, named, weight_of(named, weights) + ARTICLE * inside, inside))
+                boxes.append(Box(box, named, weight_of(named, weights, inside), area))
             box = boxes[met]
             met += 1
         if not shut:
@@ -213,21 +275,34 @@ def scanned(page: str, weights: dict[str, float], boxes: list[Box], keep: set[in
             shut = shut or bool(named and keep is not None and box.weight <= SHUT and met - 1 not in keep)
             root = len(stack) if shut else -1
         if name in ("article", "main") and not shut and not inside:
-            yield "open", None, shut, inside, box
+            yield "open", None, shut, inside, box, area
+        if area < 0 and name in ("article", "main") or name == "article" and areas[area].name == "main":
+            if keep is None:
+                areas.append(Area(name, area, box))
+            area, opened = opened, opened + 1
         places[name].append(len(stack))
-        stack.append((name, shut, root, inside or (name in ("article", "main") and not shut), box, PLACES.get(name, place)))
+        stack.append((name, shut, root, inside or (name in ("article", "main") and not shut), box, PLACES.get(name, place), area))
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best region: a linear scan for the maximum-scoring subsequence."""
     kept: list[tuple[str, str | None]] = []
-    best_sum, best_from, best_to, run_sum, run_from = 0.0, 0, 0, 0.0, 0
-    for kind, text, shut, _, named in tokens(page, weights):
+    best_sum, best_from, best_to, run_sum, run_from, owed = 0.0, 0, 0, 0.0, 0, 0.0
+    for kind, text, shut, _, named, side in tokens(page, weights):
         if text is not None:
             n = 0 if shut else len(text.split())
-            score = n * weights.get(kind, DEFAULT["word:other"]) * (weights.get("named", DEFAULT["named"]) if named else 1.0)
+            weight = weights.get(kind, DEFAULT["word:other"])
+            if side == 0 and kind != "word:link":
+                weight = max(weight, weights.get("word:p", DEFAULT["word:p"]) / 2)
+            elif side == 1 or (side == -1 and kind != "word:head"):
+                weight = OUTSIDE
+            score = n * weight * (weights.get("named", DEFAULT["named"]) if named and weight > 0 else 1.0)
+            if side == 0 and n:  # the tags since the last words
+                score, owed = score - min(owed, score / 2), 0.0
         else:
             score = 0.0 if shut else weights.get(kind, -LEAST)
+            if side == 0:
+                score, owed = 0.0, owed - score
         kept.append((kind, None if shut else text))
         if run_sum <= 0.0:
             run_sum, run_from = 0.0, len(kept) - 1
@@ -247,7 +322,7 @@ def counts_of(page: str) -> dict[tuple[str, bool], int]:
     """How often each kind stands inside and outside the article, of a page that has just one."""
     out: dict[tuple[str, bool], int] = defaultdict(int)
     boxes: list[Box] = []
-    for kind, text, shut, inside, named in tokens(page, {}, boxes):
+    for kind, text, shut, inside, named, _ in tokens(page, {}, boxes):
         if kind in ("tag:article", "tag:main"):
             continue
         n = 1 if text is None else len(text.split())
@@ -290,7 +365,9 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     for r in found:
         odds = math.log(((r.a + 1) / (a + 1)) / ((r.b + 1) / (b + 1)))
         if r.kind.startswith("word:"):
-            weights[r.kind] = min(max(odds, LEAST), 1.0)
+            # a place that the sample's articles hardly use keeps its default
+            floor = DEFAULT.get(r.kind, LEAST) if r.a * RARE < a else LEAST
+            weights[r.kind] = min(max(odds, floor), 1.0)
         elif r.kind == "named":
             weights[r.kind] = min(max(odds, LEAST_NAMED), 1.0)
         elif r.kind.startswith("name:"):
