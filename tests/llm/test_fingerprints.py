@@ -39,18 +39,60 @@ def test_heavy_terms_count_by_their_weight():
             assert abs(float((s[0] == s[1]).mean()) - jaccard(x, y)) < 0.06
 
 
-def test_nothing_is_lost_where_drawing_stops(monkeypatch):
+def test_draws_have_the_named_laws():
+    term = X.mix64(np.arange(200_000, dtype=np.uint64))
+    for sample in (0, 1, 126, 127):
+        r, c, v = X.draws(term, np.full(len(term), sample))
+        for x in (r, c):
+            assert abs(x.mean() - 2) < 0.02 and abs(x.var() - 2) < 0.06
+            cdf = np.sort(1 - (1 + x) * np.exp(-x))
+            assert np.abs(cdf - np.arange(len(x)) / len(x)).max() < 0.006
+        assert np.abs(np.sort(v) - np.arange(len(v)) / len(v)).max() < 0.006 and v.min() > 0
+        assert np.abs(np.corrcoef([r, c, v]) - np.eye(3)).max() < 0.012
+    other = [X.draws(term, np.full(len(term), k))[0] for k in (0, 1)]
+    assert abs(np.corrcoef(other)[0, 1]) < 0.012
+
+
+def test_values_of_a_weight_are_exponential():
+    """a of a term of weight w is Exp(w), and y, what t stands for, never exceeds w."""
+    term = X.mix64(np.arange(100_000, dtype=np.uint64))
+    for w in (1, 2, 7, 1000):
+        r, c, v = X.draws(term, np.full(len(term), 3))
+        log_a, _ = X.values(term, np.full(len(term), w), np.full(len(term), 3))
+        assert abs(np.exp(log_a).mean() * w - 1) < 0.02
+        y = np.exp(r * (np.floor(np.log(w) / r + 1 - v) - 1 + v))
+        assert (y <= w * (1 + 1e-9)).all()
+
+
+def test_bounds_lose_no_sample(monkeypatch):
     rng = np.random.default_rng(8)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (1, 3, 5, 9, 40, 300, 2000)] + ["a b " * 300]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, k, n)) for n in (1, 3, 5, 9, 40, 300, 2000) for k in (2, 3, 9, 5000)] + ["a b " * 300]
     got = X.signatures(texts)
-    monkeypatch.setattr(X, "UNITS", 64)
+    monkeypatch.setattr(X, "TERMS", 64)
+    monkeypatch.setattr(X, "WORDS", 64)
     assert (X.signatures(texts) == got).all()
     for t, s in zip(texts, got):
-        unit, row = X.units(*X.shingles(*X.word_hashes([t])))
-        time, sample = X.arrivals(unit, np.zeros(len(unit)), 0, 3000, X.BINS)  # every arrival, far past the last that can win
+        h, _, w = X.weighted(*X.shingles(*X.word_hashes([t])))
         for k in range(X.BINS):
-            at = np.where(sample == k, time, np.inf).min(axis=1).argmin()
-            assert s[k] == (int(X.mix64(unit[at : at + 1])[0]) >> 48) | 1
+            value, name = X.values(h, w, np.full(len(h), k))
+            assert s[k] == (int(X.mix64(name[[value.argmin()]])[0]) >> 48) | 1
+
+
+def test_similarity_of_weights_up_to_a_thousand():
+    """Bias and spread of the collision rate for terms of any weights."""
+    rng = np.random.default_rng(12)
+    h = X.mix64(np.arange(3000, dtype=np.uint64)).reshape(100, 30)
+    errors, law = [], []
+    for term in h:
+        a, b = (np.exp(rng.uniform(0, np.log(1000), 30)).astype(np.int64) for _ in "ab")
+        b = np.where(rng.random(30) < 0.5, a, b)
+        name = np.zeros((2, 1024), np.uint64)
+        X.sampled(np.r_[term, term], np.repeat([0, 1], 30), np.r_[a, b], np.full((2, 1024), np.inf), name)
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        errors.append((name[0] == name[1]).mean() - true)
+        law.append(true * (1 - true) / 1024)
+    assert abs(np.mean(errors)) < 0.005 and np.std(errors) < 0.02
+    assert 0.7 < np.std(errors) / np.sqrt(np.mean(law)) < 1.3
 
 
 def test_equal_short_and_empty_texts():
@@ -64,14 +106,15 @@ def test_edited(spark, sf_small):
     got = {r.doc_id: r for r in X.edited_fingerprints(docs).collect()}
     assert len(got) == len(rows)
     plain = {r.doc_id: r.fingerprint for r in X.fingerprint(docs).collect()}
+    errors = []
     for r, after in zip(rows, rows[1:] + rows[:1]):
         k = len(r.text) // 3
         edited = r.text[: len(r.text) - k] + after.text[:k]
         g = got[r.doc_id]
         assert g.n_chars == len(r.text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert g.fingerprint == plain[r.doc_id]
-        assert abs(g.near_edited - jaccard(r.text, edited)) < 0.3
-        assert abs(g.near_next - jaccard(r.text, after.text)) < 0.3
+        errors += [g.near_edited - jaccard(r.text, edited), g.near_next - jaccard(r.text, after.text)]
+    assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
 
 
 def test_nulls_repeats_and_one_row(spark):

@@ -58,7 +58,7 @@ def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect() if r.doc_id in (1, 2, 3)}
     assert got[1].fingerprint == got[3].fingerprint
     want = jaccard(bag(rows[2][1]), bag(rows[1][1]))
-    assert abs(got[3].near_next - want) < 0.1 and abs(got[1].near_edited - 0.5) < 0.2
+    assert abs(got[3].near_next - want) < 0.1 and abs(got[1].near_edited - 2 / 3) < 0.15  # the next text is short
 
 
 def test_suffixes(docs, rows):
