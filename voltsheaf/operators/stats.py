@@ -181,16 +181,35 @@ def histogram(df: DataFrame, value: str, by: list[str], start: int, stop: int, s
     return inside.groupBy(*by, lo.alias("bin_lo")).agg(F.count("*").alias("n"))
 
 
+#: Rows of one value that are numbered from one row of the counts.
+PIECE_ROWS = 1 << 16
+
+
+def ordered(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, __i (place in the ascending order of the group, from 1) and __n (the group's size), a row a row.
+
+    Values are counted and the counts ranked by ranges, then each value is given its places again, in
+    pieces that are dealt out anew: neither a group nor a value has to fit a task.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
+    sizes = counts.groupBy(*by).agg(F.sum("__k").alias("__n"))
+    ranked = meet(before(counts, value, F.col("__k"), tuple(by)), sizes, tuple(by))
+    end = F.col("__before") + F.col("__k")
+    pieces = ranked.select(*by, value, "__n", end.alias("__end"), F.explode(F.sequence(F.col("__before") + 1, end, F.lit(PIECE_ROWS).cast("long"))).alias("__from"))
+    places = F.sequence("__from", F.least(F.col("__from") + (PIECE_ROWS - 1), F.col("__end")))
+    return pieces.repartition(*by, value, "__from").select(*by, value, F.explode(places).alias("__i"), "__n")
+
+
 def quantile_points(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Order statistics with their plotting position i / (n + 1)."""
-    w = Window.partitionBy(*by)
-    return df.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) / (F.count("*").over(w) + 1)).alias("position"))
+    return ordered(df, value, by).select(*by, value, (F.col("__i") / (F.col("__n") + 1)).alias("position"))
 
 
 def split_r_hat(draws: DataFrame, by: list[str], chain: str, draw: str, value: str) -> DataFrame:
-    """Split-chain R-hat: by, n_chains, r_hat; each chain is halved by its draws' order."""
-    w = Window.partitionBy(*by, chain)
-    half = draws.withColumn("__half", F.when(F.row_number().over(w.orderBy(draw)) * 2 <= F.count("*").over(w), 0).otherwise(1))
+    """Split-chain R-hat: by, n_chains, r_hat; each chain is halved by its draws' order (draws are numbers)."""
+    keys = (*by, chain)
+    placed = meet(before(draws, draw, F.lit(1), keys), draws.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+    half = placed.withColumn("__half", F.when((F.col("__before") + 1) * 2 <= F.col("__n"), 0).otherwise(1))
     per = half.groupBy(*by, chain, "__half").agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))
     out = per.groupBy(*by).agg(F.avg("v").alias("within"), F.var_samp("m").alias("between"), F.avg("n").alias("n"), F.count("*").alias("n_chains"))
     return out.select(*by, "n_chains", F.when(F.col("within") > 0, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between")) / F.col("within"))).alias("r_hat"))

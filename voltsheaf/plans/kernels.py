@@ -6,10 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voltsheaf.functions import kernels
-from voltsheaf.operators.stats import normal_quantile, sequence
+from voltsheaf.operators.stats import normal_quantile, ordered, sequence
 
 MODEL = "subject string, channel string, offset double, exponent double, r2 double, ap array<double>, peaks array<struct<cf:double,pw:double,bw:double>>"
 
@@ -141,12 +140,10 @@ def shapiro_by_bins(df: DataFrame, response: str, covariate: str, z: str, n_bins
         rows = rows.withColumn("bin", F.least("bin", F.lit(n_bins - 1)))
     rows = rows.filter(F.col("bin").between(0, n_bins - 1))
 
-    # W is (sum of weights times order statistics) squared over the sum of squares: ranks by a sort, sums by groups
-    w = Window.partitionBy(response, "bin")
-    sizes = rows.filter(F.col(z).isNotNull() & ~F.isnan(z)).select(response, "bin", F.col(z).alias("__z")).withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy("__z")))
+    # W is (sum of weights times order statistics) squared over the sum of squares: places by ranges, sums by groups
+    finite = rows.filter(F.col(z).isNotNull() & ~F.isnan(z)).select(response, "bin", F.col(z).alias("__z"))
     n, i = F.col("__n").cast("double"), F.col("__i")
-    m = normal_quantile((i - 0.375) / (n + 0.25))
-    scored = sizes.withColumn("__m", m)
+    scored = ordered(finite, "__z", [response, "bin"]).withColumn("__m", normal_quantile((i - 0.375) / (n + 0.25)))
     moments = scored.groupBy(response, "bin").agg(F.first("__n").alias("__n"), F.sum(F.col("__m") * F.col("__m")).alias("ss"), F.sum(F.col("__m") * F.col("__z")).alias("mz"), F.var_pop("__z").alias("v"), *[F.max(F.when(F.col("__i") == at, F.col(c))).alias(k) for k, c, at in (("m1", "__m", F.col("__n")), ("m2", "__m", F.col("__n") - 1), ("hi", "__z", F.col("__n")), ("hi2", "__z", F.col("__n") - 1), ("lo", "__z", F.lit(1)), ("lo2", "__z", F.lit(2)))])
     return moments.withColumn("w", shapiro_from_moments()).groupBy(response).agg(F.avg("w").alias("w"), F.count("w").alias("n_bins"))
 
