@@ -133,6 +133,27 @@ def test_elbow_of_explained_variance(spark):
     assert (r["rank"], r.condition, r.components) == (7, None, 3)
 
 
+def test_models_of_both_methods_in_one_schema(spark):
+    rng = np.random.default_rng(7)
+    t = np.arange(6000) / 100
+    noise = np.cumsum(rng.normal(size=6000)) * 0.05 + rng.normal(size=6000) * 0.5
+    x = noise + 2 * np.sin(2 * np.pi * 10 * t)
+    samples = spark.createDataFrame([("s", "c", i, float(v)) for i, v in enumerate(x)], "subject string, channel string, t_idx long, value double")
+    for method, mode in (("fooof", "fixed"), ("fooof", "knee"), ("irasa", "knee"), ("irasa", "fixed")):
+        psd, models = extraction.decomposed(samples, config.RunConfig(parameterization=method, aperiodic_mode=mode), 100.0)
+        m, s = models.first(), psd.first()
+        assert models.schema.simpleString() == "struct<subject:string,channel:string,offset:double,knee:double,exponent:double,r2:double,ap:array<double>,peaks:array<struct<cf:double,pw:double,bw:double>>>"
+        assert (m.knee is None) == (mode == "fixed") and len(m.ap) == len(s.freqs)
+        curve = m.offset - np.log10((m.knee or 0) + np.array(s.freqs) ** m.exponent)
+        assert np.allclose(m.ap, curve)
+        bands = {r.band: r for r in spectral.fits_by_band(models, {"Low": (3, 8), "Alpha": (8, 13)}).collect()}
+        assert set(bands) == {"Low", "Alpha"} and all(np.isclose(r.exponent, m.exponent) and r.n_peaks == len(m.peaks) for r in bands.values())
+        if method == "fooof":
+            assert abs(bands["Alpha"].cf - 10) < 0.5 and np.isclose(bands["Alpha"].pw, max(p.pw for p in m.peaks if 8 <= p.cf <= 13))
+        else:
+            assert bands["Alpha"].cf is None and bands["Alpha"].pw is None
+
+
 def test_from_samples_to_features(spark):
     rng = np.random.default_rng(6)
     t = np.arange(6000) / 100

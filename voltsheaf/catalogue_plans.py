@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltsheaf.catalogue import psd, query, rounded, table
 from voltsheaf.config import FEATURE_CATEGORIES, OFFSETS, RATIO_PAIRS, RunConfig
 from voltsheaf.operators import cohort, normative, normdata, qc, spectral, stats
-from voltsheaf.plans import charts
+from voltsheaf.plans import charts, extraction
 from voltsheaf.plans import kernels as K
 from voltsheaf.plans import norms
 from voltsheaf.sources import files
@@ -116,6 +116,36 @@ pm AS (SELECT s, feature, band, CASE WHEN vec_id % 2 = 0 THEN 'lobe_lh_a' ELSE '
 al AS (SELECT * FROM pm UNION ALL SELECT s, feature, band, 'lobe_lh_vs_rh_a', x.value - y.value FROM pm x JOIN pm y USING (s, feature, band) WHERE x.channel = 'lobe_lh_a' AND y.channel = 'lobe_rh_a')"""
 
 
+@query(
+    """WITH p AS (SELECT label::VARCHAR AS subject, vec_id::VARCHAR AS channel, unnest(range(1, len(embedding) + 1)) AS f, unnest(embedding) AS v FROM embeddings),
+l AS (SELECT subject, channel, log10(f::DOUBLE) AS x, log10(abs(v::DOUBLE)) AS y FROM p WHERE v <> 0)
+SELECT subject, channel, round(regr_intercept(y, x), 6) + 0 AS "offset", NULL::DOUBLE AS knee, round(-regr_slope(y, x), 6) + 0 AS exponent, round(regr_r2(y, x), 6) + 0 AS r2 FROM l GROUP BY 1, 2"""
+)
+def aperiodic_fits(spark, sf_dir):
+    spectra = psd(spark, sf_dir).select(F.col("label").cast("string").alias("subject"), F.col("vec_id").cast("string").alias("channel"), "freqs", F.col("power").alias("aperiodic"))
+    return rounded(K.aperiodic_models(spectra).select("subject", "channel", "offset", "knee", "exponent", "r2"), "offset", "exponent", "r2")
+
+
+def run_settings(**changes):
+    """Settings for the events as samples at 100 Hz: half-second spectra, two-second epochs."""
+    return RunConfig(features=dict.fromkeys(FEATURE_CATEGORIES, True), which_layout=None, psd_segment=0.5, psd_overlap=0.25, segments_length=2.0, segments_overlap=0.5, hset=(1.1, 1.55, 0.1), least_r2=0.3, **changes)
+
+
+@query()
+def decomposed_models(spark, sf_dir):
+    samples, found = K.event_series(spark, sf_dir), []
+    for method, mode in (("fooof", "knee"), ("irasa", "fixed")):
+        settings = run_settings(parameterization=method, aperiodic_mode=mode)
+        models = extraction.decomposed(samples, settings, 100.0)[1]
+        found.append(spectral.fits_by_band(models, settings.bands).withColumn("method", F.lit(method)))
+    return found[0].unionByName(found[1])
+
+
+@query()
+def extracted_features(spark, sf_dir):
+    return rounded(extraction.extracted(K.event_series(spark, sf_dir), run_settings(parameterization="fooof", aperiodic_mode="fixed"), 100.0), "value")
+
+
 @query(f"{DRIVER} SELECT s::VARCHAR AS subject, channel, feature, band, round(value, 6) + 0 AS value FROM al")
 def feature_driver(spark, sf_dir):
     spectra = psd(spark, sf_dir).select((F.col("label") % 4).cast("string").alias("subject"), F.col("vec_id").alias("channel"), "freqs", "power")

@@ -66,6 +66,14 @@ def periodic_residual(psd: DataFrame, models: DataFrame, keys: tuple = ("subject
     return psd.join(models.select(*keys, "ap"), list(keys)).select(*keys, "freqs", S.periodic_part(F.col("power"), F.col("ap")).alias("power"))
 
 
+def fits_by_band(models: DataFrame, bands: dict = BANDS, keys: tuple = ("subject", "channel")) -> DataFrame:
+    """keys, offset, knee, exponent, r2, n_peaks and of each band the strongest peak (cf, pw, bw; NULL
+    without one): a row a band, the same for models of either method."""
+    at = F.array(*[F.struct(F.lit(b).alias("band"), S.peak_in_band(F.col("peaks"), lo, hi).alias("peak")) for b, (lo, hi) in bands.items()])
+    rows = models.select(*keys, "offset", "knee", "exponent", "r2", F.size("peaks").alias("n_peaks"), F.explode(at).alias("__b"))
+    return rows.select(*keys, "offset", "knee", "exponent", "r2", "n_peaks", "__b.band", "__b.peak.cf", "__b.peak.pw", "__b.peak.bw")
+
+
 def well_fitted(models: DataFrame, least_r2: float = 0.9) -> DataFrame:
     """Models whose fit is good enough; a missing R2 passes, as no comparison fails it."""
     return models.filter(F.col("r2").isNull() | F.isnan("r2") | (F.col("r2") >= least_r2))

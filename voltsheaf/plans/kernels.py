@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from voltsheaf.functions import kernels
 from voltsheaf.operators.stats import normal_quantile, ordered, sequence
 
-MODEL = "subject string, channel string, offset double, exponent double, r2 double, ap array<double>, peaks array<struct<cf:double,pw:double,bw:double>>"
+#: Models of either method: the aperiodic fit (knee: NULL where none was asked for), log10 of its curve, and peaks.
+MODEL = "subject string, channel string, offset double, knee double, exponent double, r2 double, ap array<double>, peaks array<struct<cf:double,pw:double,bw:double>>"
+FIT = ["offset", "knee", "exponent", "r2", "ap", "peaks"]
 
 
 def event_series(spark, sf_dir: str) -> DataFrame:
@@ -88,10 +90,16 @@ def parameterize(psd: DataFrame, knee: bool = False, fit_range: tuple = (3.0, 40
                 f, p = np.asarray(f, float), np.asarray(p, float)
                 keep = (f >= fit_range[0]) & (f <= fit_range[1])
                 out.append(kernels.parameterize(f[keep], p[keep], knee, **options))
-            yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=["offset", "exponent", "r2", "ap", "peaks"])], axis=1)
+            yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=FIT)], axis=1)
 
-    parts = max(int(psd.sparkSession.conf.get("spark.sql.shuffle.partitions")), psd.sparkSession.sparkContext.defaultParallelism)
-    return psd.select("subject", "channel", "freqs", "power").repartition(parts, "subject", "channel").mapInPandas(run, MODEL)
+    return dealt(psd, "power").mapInPandas(run, MODEL)
+
+
+def dealt(spectra: DataFrame, power: str) -> DataFrame:
+    """Spectra dealt out by recording and channel."""
+    spark = spectra.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spectra.select("subject", "channel", "freqs", power).repartition(parts, "subject", "channel")
 
 
 def aperiodic_models(spectra: DataFrame, knee: bool = False) -> DataFrame:
@@ -104,16 +112,16 @@ def aperiodic_models(spectra: DataFrame, knee: bool = False) -> DataFrame:
                 f, p = np.asarray(f, float), np.asarray(p, float)
                 good = (f > 0) & (p > 0)
                 if good.sum() < 6:
-                    out.append((None, None, None, [], []))
+                    out.append((None, None, None, None, [], []))
                     continue
                 x, y = f[good], np.log10(p[good])
                 fit = kernels.aperiodic_fit(x, y, knee)
                 rest, spread = y - kernels.aperiodic_curve(x, fit), y - y.mean()
                 r2 = 1 - float(rest @ rest / (spread @ spread)) if spread @ spread > 0 else None
-                out.append((float(fit[0]), float(fit[-1]), r2, kernels.aperiodic_curve(np.where(f > 0, f, np.nan), fit).tolist(), []))
-            yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=["offset", "exponent", "r2", "ap", "peaks"])], axis=1)
+                out.append((float(fit[0]), kernels.knee_of(fit), float(fit[-1]), r2, kernels.aperiodic_curve(np.where(f > 0, f, np.nan), fit).tolist(), []))
+            yield pd.concat([pdf[["subject", "channel"]].reset_index(drop=True), pd.DataFrame(out, columns=FIT)], axis=1)
 
-    return spectra.select("subject", "channel", "freqs", "aperiodic").mapInPandas(run, MODEL)
+    return dealt(spectra, "aperiodic").mapInPandas(run, MODEL)
 
 
 def irasa(samples: DataFrame, sfreq: float, band: tuple, segment: float = 10.0, overlap: float = 2.0, factors: np.ndarray | None = None) -> DataFrame:
