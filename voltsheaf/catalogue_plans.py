@@ -253,6 +253,30 @@ def flat_or_noisy(spark, sf_dir):
     return rounded(qc.flat_or_noisy(table(spark, sf_dir, "events"), ["user_id"], "value", 25.0, 35.0), "sd", digits=4)
 
 
+WINDOWED = """s AS (SELECT user_id % 3 AS s, event_type AS c, event_id // 500 AS w, value AS v FROM events WHERE value IS NOT NULL),
+x AS (SELECT s, c, w, max(v) - min(v) AS span, stddev_samp(v) AS sd FROM s GROUP BY 1, 2, 3), m AS (SELECT *, sd - median(sd) OVER (PARTITION BY s, w) AS d FROM x), z AS (SELECT *, median(abs(d)) OVER (PARTITION BY s, w) AS mad FROM m),
+k AS (SELECT s, c, count(*) AS n_windows, count(*) FILTER (mad > 0 AND d / (1.4826::DOUBLE * mad) > 2.5) AS n_noisy, count(*) FILTER (span < 40) AS n_flat FROM z GROUP BY 1, 2),
+g AS (SELECT s::VARCHAR AS subject, c AS channel, n_windows, n_noisy, n_flat, CASE WHEN s = 0 AND c = 'view' THEN 'known' WHEN n_flat >= 2 THEN 'flat' WHEN n_noisy >= 2 THEN 'noisy' ELSE 'good' END AS verdict FROM k)"""
+
+
+def windowed_verdicts(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("string").alias("subject"), F.col("event_type").alias("channel"), F.col("event_id").alias("t_idx"), "value")
+    known = samples.select("subject", "channel").distinct().filter("subject = '0' AND channel = 'view'")
+    return samples, qc.bad_channels(samples, 500, flat=40.0, limit=2.5, least=2, known=known)
+
+
+@query(f"WITH {WINDOWED} SELECT * FROM g")
+def bad_channels(spark, sf_dir):
+    return windowed_verdicts(spark, sf_dir)[1]
+
+
+@query(f"WITH {WINDOWED} SELECT subject, channel, count(*) AS n, round(sum(v), 4) + 0 AS total FROM s JOIN g ON g.subject = s.s::VARCHAR AND g.channel = s.c WHERE verdict = 'good' GROUP BY 1, 2")
+def good_channel_samples(spark, sf_dir):
+    samples, verdicts = windowed_verdicts(spark, sf_dir)
+    kept = qc.without_bad_channels(samples, verdicts).filter("value IS NOT NULL")
+    return rounded(kept.groupBy("subject", "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
+
+
 @query(
     """WITH c AS (SELECT l_returnflag, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS d FROM lineitem GROUP BY 1), e AS (SELECT l_returnflag, (a + d) / 2 AS m, sqrt((a - d) * (a - d) / 4 + b * b) AS r FROM c)
 SELECT l_returnflag, 2 AS rank, round((m + r) / (m - r) / 1000, 3) + 0 AS condition_k FROM e"""

@@ -126,6 +126,37 @@ def flat_or_noisy(samples: DataFrame, by: list[str], value: str, flat: float, no
     return samples.groupBy(*by).agg(sd.alias("sd")).withColumn("verdict", F.when(F.col("sd") < flat, "flat").when(F.col("sd") > noisy, "noisy").otherwise("good"))
 
 
+def bad_channels(samples: DataFrame, window: int, flat: float, limit: float = 7.0, least: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """subject, channel, n_windows, n_noisy, n_flat, verdict (known, flat, noisy or good).
+
+    samples: subject, channel, t_idx, value, cut into windows of ``window`` samples.  In a window a
+    channel is flat if its values span less than ``flat``, and noisy if its deviation is over the
+    median of the recording's channels by more than ``limit`` scaled MADs; a channel that is so in
+    ``least`` windows is bad, so that a short burst is not.  Where all channels of a window deviate
+    alike (MAD 0) none is noisy there.  Windows without values do not count; a channel without any
+    has no row.  known: subject, channel of those marked before.  The medians are over the channels
+    of one window, so no group grows with the length of a recording.
+    """
+    here = ["subject", F.floor(F.col("t_idx") / window).alias("__w")]
+    valid = samples.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    per = valid.groupBy(*here, "channel").agg((F.max("value") - F.min("value")).alias("__span"), F.stddev_samp("value").alias("__sd"))
+    among = Window.partitionBy("subject", "__w")  # a row a channel
+    apart = per.withColumn("__d", F.col("__sd") - F.median("__sd").over(among)).withColumn("__mad", F.median(F.abs("__d")).over(among))
+    noisy = F.coalesce((F.col("__mad") > 0) & (F.col("__d") / (1.4826 * F.col("__mad")) > limit), F.lit(False))
+    out = apart.groupBy("subject", "channel").agg(F.count("*").alias("n_windows"), F.count_if(noisy).alias("n_noisy"), F.count_if(F.col("__span") < flat).alias("n_flat"))
+    marked = F.lit(False)
+    if known is not None:
+        out = out.join(known.select("subject", "channel").distinct().withColumn("__known", F.lit(True)), ["subject", "channel"], "left")
+        marked = F.coalesce("__known", F.lit(False))
+    verdict = F.when(marked, "known").when(F.col("n_flat") >= least, "flat").when(F.col("n_noisy") >= least, "noisy").otherwise("good")
+    return out.select("subject", "channel", "n_windows", "n_noisy", "n_flat", verdict.alias("verdict"))
+
+
+def without_bad_channels(samples: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """samples of channels that no verdict calls bad: of a recording, or of the empty room that goes with it."""
+    return samples.join(verdicts.filter("verdict <> 'good'").select("subject", "channel"), ["subject", "channel"], "left_anti").select(*samples.columns)
+
+
 def covariance_spectrum(cov: DataFrame, by: list[str], tolerance: float = 1e-10, least: int = 15, default: int = 30) -> DataFrame:
     """by, rank, condition, components of covariance matrices given as rows (a, b, cov): the square of the
     number of channels in a group, whatever the length of the recordings.
