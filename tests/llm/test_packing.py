@@ -46,6 +46,29 @@ def test_coder_matches_the_library(theirs):
         assert np.frombuffer(got, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_encoded_once(monkeypatch):
+    coder = P.ByteCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    seen, encode = [], coder.bpe.encode
+    monkeypatch.setattr(coder.bpe, "encode", lambda words: seen.extend(words) or encode(words))
+    names = ["Anna", "Boris", "Clara", "Dmitri", "Élise"]
+    for a in names:  # the words meet in ever new chunks between spaces
+        coder.encode([f"x {a}.\n{b}!{a} {b}" for b in names])
+    assert len(seen) == len(set(seen)) and b"Anna" in seen and " Élise".encode() in seen
+
+
+@pytest.mark.parametrize("block, kept", [(1 << 22, 0), (7, 1_000_000), (13, 40)])
+def test_cut_texts_and_full_cache(theirs, monkeypatch, block, kept):
+    monkeypatch.setattr(P, "BLOCK_CHARS", block, raising=False)
+    monkeypatch.setattr(P, "KEPT_WORDS", kept, raising=False)
+    rng = random.Random(block + kept)
+    parts = [" ", " ", "\n", "\t ", "'", "'s", "'re", "'ll", "'S", "s", "word", "été", "日本", "١٢", "Ⅷ", "²", "!?", "\x1c", "\u3000", "\u0301", "🙂", "<|", "|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    coder = P.ByteCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time with what is kept of the first
+        for text, got in zip(texts, coder.encode(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_documents(spark, sf_small, theirs):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").repartition(5)
     verify(P.pack(docs).collect(), dict(docs.select("doc_id", "text").collect()), theirs)

@@ -208,24 +208,21 @@ class _Known(dict):
 
 
 class ChunkCoder:
-    """Ids of texts cut into chunks between spaces, each chunk encoded once while it is kept.
+    """Ids of texts cut into chunks between spaces, each chunk encoded once while it is kept."""
 
-    lead: what stands before each chunk when it is cut into words (a space, or nothing).
-    """
-
-    def __init__(self, bpe: RankBpe, words: regex.Pattern, lead: str = "") -> None:
-        self.bpe, self.words, self.lead, self.known = bpe, words, lead, _Known()
+    def __init__(self, bpe: RankBpe, words: regex.Pattern) -> None:
+        self.bpe, self.words, self.known = bpe, words, _Known()
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.known)
-        lead, parts, single = self.lead, {}, set()
+        parts, single = {}, set()
         for c in new:
             if c.isalpha():
-                parts[c] = p = (lead + c,)
+                parts[c] = p = (c,)
             elif c[:-1].isalpha() and c[-1] in ".,":
-                parts[c] = p = (lead + c[:-1], c[-1])
+                parts[c] = p = (c[:-1], c[-1])
             else:
-                parts[c] = p = self.words.findall(lead + c)
+                parts[c] = p = self.words.findall(c)
             single.update(p)
         order = list(single)
         ids = dict(zip(order, self.bpe.encode([w.encode() for w in order])))

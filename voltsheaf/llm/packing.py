@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltsheaf.llm.bpe import ChunkCoder, RankBpe, resolve
+from voltsheaf.llm.bpe import SPACE, RankBpe, resolve
 from voltsheaf.llm.common import arrow_map, as_batch, slices, written
 
 WINDOW = 2048
@@ -32,6 +32,12 @@ OPEN_WINDOWS = 16
 MERGE = 64
 #: Sequence ids: the task (or merged group) above, the count within it below.
 TASK_SHIFT = 32
+#: Classes of characters in the word pattern.
+LETTER, NUMBER, BLANK = 1, 2, 3
+#: Characters that are cut into words at once; a longer text is cut before white space.
+BLOCK_CHARS = 1 << 22
+#: Words a worker keeps with their ids, and the most bytes of such a word.
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 32
 
 PIECE = pa.schema(
     [
@@ -50,39 +56,141 @@ PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens lo
 DIGEST = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+@functools.cache
+def char_classes() -> np.ndarray:
+    """The class of each code point: a letter, a number, white space or (0) anything else."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, f"[{SPACE}]+")):
+        for m in regex.finditer(pattern, every):
+            out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    return out
+
+
+def word_starts(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Marks the characters at which the vocabulary's word pattern begins a match.
+
+    The pattern: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+    chars: code points of texts strung together; first: marks where a text begins.
+    """
+    kind = char_classes()[chars]
+    new = first.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    # of white space before a word the last character stands alone, and a space goes with the word
+    last = np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] != BLANK) & ~first[1:])
+    new[last] = True
+    new[last[chars[last] == ord(" ")] + 1] = False
+    # an apostrophe that begins a match takes one of the endings with it, and a match begins after them
+    at = np.flatnonzero((chars == ord("'")) & new)
+    for ending in ("s", "t", "re", "ve", "m", "ll", "d"):
+        n = len(ending)
+        has = at[at + n < len(chars)]
+        for i, letter in enumerate(ending, 1):
+            has = has[(chars[has + i] == ord(letter)) & ~first[has + i]]
+        new[has + 1] = False
+        after = has + n + 1
+        new[after[after < len(chars)]] = True
+    return new
+
+
 class ByteCoder:
-    """Ids of the byte-level vocabulary.  Texts are cut at single spaces, where its word pattern
-    cuts whatever stands around; texts with a space before other white space take the pattern whole.
+    """Ids of the byte-level vocabulary.
+
+    The texts of a batch are cut into words at once, and each different word is encoded once while
+    it is kept.  ``known`` has the places of kept words in ``start`` and ``size``, which say where
+    their ids lie in ``ids``; behind these stand the words of the batch at hand that are not kept.
     """
 
     def __init__(self, path: str) -> None:
-        bpe = RankBpe(path)
-        space = "\t-\r \x85\xa0  -     　"
-        words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+")
-        self.bpe, self.words = bpe, words
-        self.first, self.rest = ChunkCoder(bpe, words), ChunkCoder(bpe, words, " ")
-        self.odd = re.compile(rf" [{space}]")
-        self.specials = re.compile("(" + "|".join(map(re.escape, bpe.special)) + ")")
+        self.bpe = RankBpe(path)
+        special = self.bpe.special
+        self.known = {s.encode(): i for i, s in enumerate(special)}
+        self.used = len(special)
+        self.start, self.size, self.ids = np.arange(self.used), np.ones(self.used, np.int64), np.array([*special.values()], "<u4")
+        self.specials = re.compile("|".join(map(re.escape, special)))
+        self.cut = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")  # a word begins here whatever follows
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") if "<|" not in t and not self.odd.search(t) else [""] for t in texts]
-        heads = self.first.join([c[:1] if c[0] else [] for c in cut])
-        tails = self.rest.join([c[1:] for c in cut])
-        out = [a + b for a, b in zip(heads, tails)]
+        out = self.block([t if len(t) <= BLOCK_CHARS else "" for t in texts])
         for i, t in enumerate(texts):
-            if "<|" in t or self.odd.search(t):
-                out[i] = self.encode_whole(t)
+            if len(t) > BLOCK_CHARS:
+                out[i] = self.encode_long(t)
         return out
 
-    def encode_whole(self, text: str) -> bytes:
-        got = []
-        for part in self.specials.split(text):
-            if part in self.bpe.special:
-                got.append(np.array([self.bpe.special[part]], "<u4").tobytes())
-            else:
-                got += self.bpe.encode([w.encode() for w in self.words.findall(part)])
+    def encode_long(self, text: str) -> bytes:
+        got, at = [], 0
+        while at < len(text):
+            m = self.cut.search(text, at + BLOCK_CHARS)
+            stop = m.start() if m else len(text)
+            got += self.block([text[at:stop]])
+            at = stop
         return b"".join(got)
 
+    def block(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        data = np.frombuffer(joined.encode(), np.uint8)
+        chars = data if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        first = np.zeros(len(chars) + 1, bool)
+        first[0] = first[ends] = True
+        # a special token is a word of its own, and what stands around it are texts of their own
+        special = [(end - len(t) + m.start(), end - len(t) + m.end()) for t, end in zip(texts, ends.tolist()) if "<|" in t for m in self.specials.finditer(t)]
+        for a, b in special:
+            first[a] = first[b] = True
+        starts = word_starts(chars, first[:-1])
+        for a, b in special:
+            starts[a + 1 : b] = False
+        word = np.searchsorted(np.flatnonzero(starts), ends)  # the first word after each text
+        if chars is not data:
+            at = np.zeros(len(data), bool)
+            at[(data & 0xC0) != 0x80] = starts
+            starts = at
+        offsets = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        place = self.places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        size = self.size[place]
+        after = np.cumsum(size)
+        blob = self.ids[np.repeat(self.start[place] - after + size, size) + np.arange(after[-1])].tobytes()
+        stops = [0, *(np.append(0, after)[word] * 4).tolist()]
+        return [blob[a:b] for a, b in zip(stops, stops[1:])]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The places of different words, which hold until the next call."""
+        get = self.known.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        fresh = [words[i] for i in new.tolist()]
+        length = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        order = np.argsort(length, kind="stable")
+        new, fresh = new[order], [fresh[i] for i in order.tolist()]
+        coded = self.bpe.encode(fresh)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        count, most = len(self.known), len(self.known) + len(fresh)
+        self.start, self.size = grown(self.start, most), grown(self.size, most)
+        self.ids = grown(self.ids, self.used + int(size.sum()))
+        self.size[count:most] = size
+        self.start[count:most] = self.used + np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        self.ids[self.used : self.used + len(flat)] = flat
+        out[new] = np.arange(count, most)
+        keep = min(int((length <= KEPT_BYTES).sum()), max(0, KEPT_WORDS - count))
+        self.known.update(zip(fresh[:keep], range(count, count + keep)))
+        self.used += int(size[:keep].sum())
+        return out
+
+
+def grown(array: np.ndarray, least: int) -> np.ndarray:
+    """array, or with half as much room again as is needed a copy that holds ``least`` values."""
+    if len(array) >= least:
+        return array
+    out = np.zeros(least + least // 2, array.dtype)
+    out[: len(array)] = array
+    return out
+
 
 @functools.lru_cache(maxsize=2)
 def byte_coder(name: str) -> ByteCoder:
