@@ -37,7 +37,7 @@ LETTER, NUMBER, BLANK = 1, 2, 3
 #: Characters that are cut into words at once; a longer text is cut before white space.
 BLOCK_CHARS = 1 << 22
 #: Words a worker keeps with their ids, and the most bytes of such a word.
-KEPT_WORDS, KEPT_BYTES = 1_000_000, 32
+KEPT_WORDS, KEPT_BYTES = 300_000, 32
 
 PIECE = pa.schema(
     [
@@ -59,7 +59,7 @@ DIGEST = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 @functools.cache
 def char_classes() -> np.ndarray:
     """The class of each code point: a letter, a number, white space or (0) anything else."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")
     out = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, f"[{SPACE}]+")):
         for m in regex.finditer(pattern, every):
