@@ -62,3 +62,9 @@ def test_odd_epochs(spark):
     assert got["one"].threshold == 1.0 and got["one"].error is None and got["flat"].threshold == 0.0 and got["flat"].error == 0.0
     assert all(r.keep for r in R.rejected(df, 4, 3).collect())
     assert R.rejected(df.limit(0), 4, 3).count() == 0
+
+
+def test_steps_without_epochs_are_no_candidates(spark):
+    rows = [("a", "c", e, e % 7 % 2 * 2 + 1, [float(e), 1.0]) for e in range(12)]  # at steps 1 and 3
+    df = spark.createDataFrame(rows, "subject string, channel string, epoch long, step int, x array<double>")
+    assert {r.step for r in R.held_out_errors(df, ["subject", "channel"], 5, 3).collect()} == {1, 3}

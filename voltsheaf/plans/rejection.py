@@ -38,7 +38,7 @@ def held_out_errors(epochs: DataFrame, by: list[str], steps: int, folds: int) ->
     """by, step, error: the mean over folds of the root mean square distance of the kept training mean from the fold's median.
 
     epochs: channel, epoch, step and x beside by; a group's points are all points of all its channels.
-    A step that leaves some fold without training epochs has no row; a fold without epochs takes no part.
+    A step that leaves some fold without training epochs, or that no epoch is at, has no row; a fold without epochs takes no part.
     """
     keys = list(dict.fromkeys([*by, "channel"]))
     points = epochs.select(*keys, fold("epoch", folds).alias("fold"), "step", F.posexplode("x").alias("t", "v"))
@@ -72,7 +72,9 @@ def held_out_errors(epochs: DataFrame, by: list[str], steps: int, folds: int) ->
     used = total.filter(F.col("i") >= folds * steps).select(*by, (F.col("i") - folds * steps).alias("fold"), F.col("x").alias("points"))
     each = total.filter(F.col("i") < folds * steps).select(*by, F.expr(f"cast(i div {steps} as int)").alias("fold"), (F.col("i") % steps + 1).alias("step"), "x")
     scored = each.join(used.filter("points > 0"), [*by, "fold"]).withColumn("rms", F.sqrt(F.col("x") / F.col("points")))
-    return scored.groupBy(*by, "step").agg(F.avg("rms").alias("error")).filter(~F.isnan("error"))
+    errors = scored.groupBy(*by, "step").agg(F.avg("rms").alias("error")).filter(~F.isnan("error"))
+    # a step that no epoch is at keeps what the one before keeps: its equal error, summed in another order, might be the lesser by rounding
+    return errors.join(epochs.select(*by, "step").distinct(), [*by, "step"], "left_semi")
 
 
 def best_step(errors: DataFrame, by: list[str]) -> DataFrame:
