@@ -65,6 +65,21 @@ def test_streaming(spark, tmp_path):
     assert monitor.sessions(rows, "ts", "subject", "5 seconds", "1 second").first().n == 100
 
 
+def test_sessions_part_at_exactly_the_gap(spark, tmp_path):
+    times = [("a", 0), ("a", 9), ("a", 19), ("a", 39), ("b", 5), ("b", 16)]
+    rows = spark.createDataFrame(times, "subject string, t long").withColumn("ts", F.timestamp_seconds("t")).coalesce(1)
+    want = [("a", 0, 19, 2), ("a", 19, 29, 1), ("a", 39, 49, 1), ("b", 5, 15, 1), ("b", 16, 26, 1)]
+    found = lambda df: sorted(tuple(r) for r in df.select("subject", F.unix_seconds("start"), F.unix_seconds("end"), "n").collect())
+    assert found(monitor.sessions(rows, "ts", "subject", "10 seconds", "1 hour")) == want
+    later = spark.createDataFrame([("c", 90_000)], "subject string, t long").withColumn("ts", F.timestamp_seconds("t"))  # closes the others
+    rows.unionByName(later).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = monitor.sessions(stream, "ts", "subject", "10 seconds", "1 hour").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert found(spark.table("sessions")) == want
+
+
 def test_workbooks(spark, tmp_path):
     import zipfile
 

@@ -18,9 +18,14 @@ def amplitude_flags(samples: DataFrame, ts: str, key: str, channel: str, value:
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
-    """Stretches of events without a pause of the gap."""
+    """Stretches of events without a pause of the gap; an event exactly the gap after another begins a new one.
+
+    Spark joins sessions that touch, so its gap is a microsecond, the step of timestamps, less.
+    """
     rows = events.withWatermark(ts, late) if events.isStreaming else events
-    return rows.groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), key, "n")
+    s = F.session_window(ts, f"{gap} -1 microseconds").alias("s")
+    end = F.col("s.end") + F.expr("INTERVAL 1 MICROSECOND")
+    return rows.groupBy(s, key).agg(F.count("*").alias("n")).select(F.col("s.start").alias("start"), end.alias("end"), key, "n")
 
 
 def first_seen(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
