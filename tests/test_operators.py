@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltsheaf import catalogue
 from voltsheaf.config import RunConfig
 from voltsheaf.functions import kernels
 from voltsheaf.functions import spectral as S
@@ -132,6 +133,22 @@ def test_segments(spark):
     assert sorted((r.start, r.length, r.position) for r in t.collect()) == [(1, 7, 0), (31, 7, 7)]
 
 
+def test_stretches_that_begin_together_have_one_order(spark):
+    rows = [("s", "a", 5, 40, 2), ("s", "a", 5, 60, 1), ("s", "a", 0, 30, 3), ("s", "a", 5, 35, 4), ("s", "b", 5, 50, 0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "subject string, label string, onset long, duration long, id long").coalesce(1)
+        at = lambda ties: sorted((r.label, r.position, r.length) for r in segments.trimmed(df, ["subject"], "onset", "duration", "label", 10, 15, ties).collect())  # noqa: B023, E731
+        assert at(("id",)) == [("a", 0, 5), ("a", 5, 35), ("a", 40, 15), ("a", 55, 10), ("b", 0, 25)]
+        assert at(()) == [("a", 0, 5), ("a", 5, 10), ("a", 15, 15), ("a", 30, 35), ("b", 0, 25)]
+
+
+def test_trim_concat_takes_a_second_by_event(spark, tmp_path):
+    ts = "TIMESTAMP_NTZ '2024-01-01 00:00:01'"
+    spark.sql(f"SELECT id AS event_id, {ts} AS ts, 1L AS user_id, 'view' AS event_type, 1.0D AS value, '' AS props FROM range(30, 60)").orderBy(F.desc("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r.position, r.length) for r in catalogue.queries()["trim_concat"](spark, str(tmp_path)).orderBy("position").collect()]
+    assert got == [(sum(range(5, k)), k) for k in range(5, 35)]
+
+
 def test_norms(spark):
     rng = np.random.default_rng(0)
     age, site = rng.uniform(0, 1, 400), rng.integers(0, 2, 400)

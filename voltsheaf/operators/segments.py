@@ -87,11 +87,14 @@ def assert_blocks(found: DataFrame, length: float) -> DataFrame:
     return found
 
 
-def trimmed(annotations: DataFrame, by: list[str], onset: str, duration: str, label: str, before: float, after: float) -> DataFrame:
-    """Annotated stretches cut at both ends and strung together by label; too short ones are left out."""
+def trimmed(annotations: DataFrame, by: list[str], onset: str, duration: str, label: str, before: float, after: float, ties: tuple = ()) -> DataFrame:
+    """Annotated stretches cut at both ends and strung together by label; too short ones are left out.
+
+    ties: columns that order stretches of one label that begin together; without them the shorter comes first.
+    """
     good = annotations.filter(F.col(duration) > before + after)
     kept = good.withColumn("start", F.col(onset) + before).withColumn("length", F.col(duration) - before - after)
-    w = Window.partitionBy(*by, label).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*by, label).orderBy("start", *ties, "length").rowsBetween(Window.unboundedPreceding, -1)
     return kept.select(*by, label, "start", "length", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("position"))
 
 
