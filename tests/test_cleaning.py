@@ -150,3 +150,29 @@ def test_sequence_numbers_run_on_over_ranges(spark):
     for r in got:
         by.setdefault(r.g, []).append((r.o, r.n))
     assert len(got) == 5000 and all([n for _, n in sorted(v)] == list(range(len(v))) for v in by.values())
+
+
+def test_components_within_a_task_equal_those_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k, n in enumerate((400, 401, 700, 130, 900, 60)):
+        x = rng.normal(size=(3, 2)) @ np.stack([rng.laplace(size=n) ** 3, np.sign(np.sin(np.arange(n) / (5 + k)))])
+        gap = range(20, 30) if k % 2 else ()
+        rows += [(f"s{k}", f"e{i}", t, v) for i, line in enumerate(x) for t, v in enumerate(line) if not (i == 1 and t in gap)]
+        want[f"s{k}"] = 2 * (n - len(gap))
+    rows += [("one", "e0", 0, 5.0), ("flat", "e0", 0, 1.0), ("flat", "e0", 1, 1.0)]
+    found = lambda **k: {(r.subject, r.component, r.t): r.value for r in C.independent_components(table(spark, rows), n=2, block=100, **k).collect()}
+    by_rounds, mixed = found(task_values=0), found(task_values=1203)
+    monkeypatch.setattr(C, "rotations", None)  # the driver has no part in short recordings
+    within = found()
+    assert {s: sum(k[0] == s for k in within) for s in want} == want and len(within) == sum(want.values())
+    for other in (by_rounds, mixed):
+        assert within.keys() == other.keys() and max(abs(within[k] - other[k]) for k in within) < 1e-6
+
+
+def test_waves_bound_the_recordings_at_the_driver(spark, monkeypatch):
+    rows = [(f"s{k}", "e0", t, float((t * 7 + k) % 11)) for k in range(40) for t in range(20)]
+    seen, inner = [], C.rotations
+    monkeypatch.setattr(C, "rotations", lambda z, sizes, *a: seen.append(len(sizes)) or inner(z, sizes, *a))
+    out = C.independent_components(table(spark, rows), n=1, wave_bytes=10 * 6_000, task_values=0)
+    assert out.count() == 800 and sum(seen) == 40 and len(seen) == 5 and max(seen) < 20

@@ -115,6 +115,12 @@ def average_reference(samples: DataFrame, channels: DataFrame | None = None) ->
 #: Bytes of unmixing matrices that a wave of recordings may send to the executors.
 WAVE_BYTES = 64 << 20
 
+#: Bytes that the driver needs for a recording besides its matrices: names, arrays, rows and their copies (measured: some 4,000).
+RECORDING_BYTES = 6_000
+
+#: Values up to which a recording is decomposed within one task, and values of such recordings that a task holds at once.
+TASK_VALUES = 1 << 20
+
 
 def instants(samples: DataFrame, length: int) -> DataFrame:
     """subject, block, t, channel, value (arrays): all channels of a block of a recording as one row."""
@@ -141,6 +147,13 @@ def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, F.col("s.x").alias("v"))
 
 
+def block_moments(t, channel, value) -> tuple[tuple[str, ...], np.ndarray]:
+    """The channels of a block; count, sums and products over the instants that have them all."""
+    names, _, x = matrix(t, channel, value)
+    x = x[:, ~np.isnan(x).any(0)]
+    return tuple(names), np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()])
+
+
 def channel_moments(blocks: DataFrame) -> DataFrame:
     """subject, channels, v: count, sums and products of the largest set of channels that occur together, over the instants that have them all."""
 
@@ -148,10 +161,8 @@ def channel_moments(blocks: DataFrame) -> DataFrame:
         for pdf in frames:
             held: dict = {}
             for subject, t, channel, value in pdf[["subject", "t", "channel", "value"]].itertuples(index=False):
-                names, _, x = matrix(t, channel, value)
-                x = x[:, ~np.isnan(x).any(0)]
-                key = (subject, tuple(names))
-                held[key] = held.get(key, 0) + np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()])
+                names, v = block_moments(t, channel, value)
+                held[subject, names] = held.get((subject, names), 0) + v
             yield pd.DataFrame([(s, list(c), list(v)) for (s, c), v in held.items()], columns=["subject", "channels", "v"])
 
     sums = summed(blocks.mapInPandas(run, "subject string, channels array<string>, v array<double>"), ["subject", "channels"])
@@ -159,6 +170,21 @@ def channel_moments(blocks: DataFrame) -> DataFrame:
     return sums.groupBy("subject").agg(best).select("subject", "b.channels", "b.v")
 
 
+def whitening(v: np.ndarray, c: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """mean, white (n x channels), back (channels x n) by count, sums and products of c channels; None where nothing varies."""
+    if v[0] < 2:
+        return None
+    mean = v[1 : c + 1] / v[0]
+    values, vectors = np.linalg.eigh(v[c + 1 :].reshape(c, c) / v[0] - np.outer(mean, mean))
+    keep = np.argsort(-values, kind="stable")[:n]
+    keep = keep[values[keep] > 1e-10 * max(values.max(), 1e-300)]
+    if not len(keep):
+        return None
+    e = vectors[:, keep] * np.sign(vectors[np.abs(vectors[:, keep]).argmax(0), keep])
+    root = np.sqrt(values[keep])
+    return mean, (e / root).T, e * root
+
+
 def whitened_by(moments: DataFrame, n: int) -> DataFrame:
     """subject, channels, n, mean, white (n x channels), back (channels x n): the first n principal components at unit variance."""
 
@@ -166,22 +192,21 @@ def whitened_by(moments: DataFrame, n: int) -> DataFrame:
         for pdf in frames:
             out = []
             for subject, names, v in pdf.itertuples(index=False):
-                c, v = len(names), np.asarray(v, float)
-                if v[0] < 2:
-                    continue
-                mean = v[1 : c + 1] / v[0]
-                values, vectors = np.linalg.eigh(v[c + 1 :].reshape(c, c) / v[0] - np.outer(mean, mean))
-                keep = np.argsort(-values, kind="stable")[:n]
-                keep = keep[values[keep] > 1e-10 * max(values.max(), 1e-300)]
-                if len(keep):
-                    e = vectors[:, keep] * np.sign(vectors[np.abs(vectors[:, keep]).argmax(0), keep])
-                    root = np.sqrt(values[keep])
-                    out.append((subject, list(names), len(keep), mean.tolist(), (e / root).T.ravel().tolist(), (e * root).ravel().tolist()))
+                if (found := whitening(np.asarray(v, float), len(names), n)) is not None:
+                    mean, white, back = found
+                    out.append((subject, list(names), len(white), mean.tolist(), white.ravel().tolist(), back.ravel().tolist()))
             yield pd.DataFrame(out, columns=["subject", "channels", "n", "mean", "white", "back"])
 
     return moments.mapInPandas(run, "subject string, channels array<string>, n int, mean array<double>, white array<double>, back array<double>")
 
 
+def block_whitened(t, channel, value, names, mean: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The complete instants of a block and their whitened values (n x instants)."""
+    _, times, x = matrix(t, channel, value, list(names))
+    whole = ~np.isnan(x).any(0)
+    return times[whole], white @ (x[:, whole] - mean[:, None])
+
+
 def whitened(blocks: DataFrame, state: dict) -> DataFrame:
     """subject, block, t, z: complete instants of the subjects of state, n whitened values each."""
 
@@ -190,10 +215,8 @@ def whitened(blocks: DataFrame, state: dict) -> DataFrame:
             for subject, block, t, channel, value in pdf[["subject", "block", "t", "channel", "value"]].itertuples(index=False):
                 if subject in state:
                     s = state[subject]
-                    _, times, x = matrix(t, channel, value, s["channels"])
-                    whole = ~np.isnan(x).any(0)
-                    z = s["white"] @ (x[:, whole] - s["mean"][:, None])
-                    yield pd.DataFrame({"subject": [subject], "block": [block], "t": [times[whole]], "z": [z.ravel()]})
+                    times, z = block_whitened(t, channel, value, s["channels"], s["mean"], s["white"])
+                    yield pd.DataFrame({"subject": [subject], "block": [block], "t": [times], "z": [z.ravel()]})
 
     return blocks.mapInPandas(run, "subject string, block long, t array<long>, z array<double>")
 
@@ -203,6 +226,10 @@ def orthogonal(w: np.ndarray) -> np.ndarray:
     return a @ b
 
 
+def first_rotation(n: int, seed: int) -> np.ndarray:
+    return orthogonal(np.random.default_rng(seed).normal(size=(n, n)))
+
+
 def tanh_sums(w: dict[str, np.ndarray]):
     """For mapInPandas: subject, v: the count, sums of 1 - tanh^2 and products of tanh with the signals."""
 
@@ -225,7 +252,7 @@ def rotations(z: DataFrame, sizes: dict[str, int], rounds: int, tolerance: float
     A round is one pass over the blocks of subjects that still move; only n * (n + 1) sums a subject
     reach the driver.
     """
-    w = {s: orthogonal(np.random.default_rng(seed).normal(size=(n, n))) for s, n in sizes.items()}
+    w = {s: first_rotation(n, seed) for s, n in sizes.items()}
     going = set(w)
     for _ in range(rounds):
         if not going:
@@ -294,14 +321,13 @@ def without_components(blocks: DataFrame, parts: dict) -> DataFrame:
     return blocks.mapInPandas(run, SAMPLES)
 
 
-def decomposed(s: Scratch, samples: DataFrame, n: int, block: int, rounds: int, tolerance: float, seed: int, wave_bytes: int) -> Iterator[tuple[DataFrame, dict, DataFrame, dict]]:
+def decomposed(s: Scratch, blocks: DataFrame, n: int, rounds: int, tolerance: float, seed: int, wave_bytes: int) -> Iterator[tuple[DataFrame, dict, DataFrame, dict]]:
     """Wave by wave of recordings: their blocks, whitening matrices by subject, whitened blocks and rotations.
 
-    A wave's matrices hold about wave_bytes at most, so what is sent to tasks has a bound.
+    A wave's matrices and what the driver holds with them have about wave_bytes at most.
     """
-    blocks = s.saved(instants(samples, block), "instants")
     white = s.saved(whitened_by(channel_moments(blocks), n), "whitening")
-    size, recordings = white.agg(F.coalesce(F.sum(8 * (F.size("white") + F.size("back") + F.size("mean"))), F.lit(0)), F.count("*")).first()
+    size, recordings = white.agg(F.coalesce(F.sum(8 * (F.size("white") + F.size("back") + F.size("mean")) + RECORDING_BYTES), F.lit(0)), F.count("*")).first()
     waves = max(1, min(-(-int(size) // wave_bytes), recordings))
     wave = F.pmod(F.xxhash64("subject"), F.lit(waves))
     if waves > 1:
@@ -316,12 +342,101 @@ def decomposed(s: Scratch, samples: DataFrame, n: int, block: int, rounds: int,
         yield mine, state, z, rotations(z, {k: len(v["white"]) for k, v in state.items()}, rounds, tolerance, seed)
 
 
-def independent_components(samples: DataFrame, n: int = 2, block: int = 10_000, rounds: int = 200, tolerance: float = 1e-6, seed: int = 42, wave_bytes: int = WAVE_BYTES) -> DataFrame:
-    """subject, component, t, value: the components over the instants that have all channels."""
-    out = []
+def settled(signals: list[np.ndarray], rounds: int, tolerance: float, seed: int) -> list[np.ndarray]:
+    """The rotation of each of several recordings' whitened signals (n x instants), as rotations finds it.
+
+    Recordings of one length pass their rounds as a stack, in which each has the sums that it has alone: where
+    the rounds do not settle, the last bit decides, and that must not depend on the other recordings.
+    """
+    out: list = [None] * len(signals)
+    stacks: dict = {}
+    for k, x in enumerate(signals):
+        stacks.setdefault(x.shape, []).append(k)
+    for (n, count), at in stacks.items():
+        x, at = np.stack([signals[k] for k in at]), np.array(at)
+        w = np.repeat(first_rotation(n, seed)[None], len(at), 0)
+        for _ in range(rounds):
+            if not len(at):
+                break
+            g = np.tanh(w @ x)
+            new = orthogonal(g @ x.transpose(0, 2, 1) / count - ((1 - g * g).sum(2) / count)[:, :, None] * w)
+            done = np.abs(np.abs((new * w).sum(2)) - 1).max(1) < tolerance
+            w = new
+            if done.any():
+                for k, found in zip(at[done], w[done]):
+                    out[k] = found
+                w, x, at = w[~done], x[~done], at[~done]
+        for k, found in zip(at, w):
+            out[k] = found
+    return out
+
+
+def held_components(blocks: DataFrame, n: int, rounds: int, tolerance: float, seed: int, values: int) -> DataFrame:
+    """subject, component, t, value of recordings that fit a task: whitened, rotated and written out within it.
+
+    The blocks of a recording meet in one task, one recording after the other; those of about ``values``
+    values pass their rounds together, and nothing of them reaches the driver.
+    """
+
+    def recordings(frames):
+        subject, parts = None, []
+        for pdf in frames:
+            for row in pdf[["subject", "t", "channel", "value"]].itertuples(index=False):
+                if parts and row[0] != subject:
+                    yield subject, parts
+                    parts = []
+                subject = row[0]
+                parts.append(row[1:])
+        if parts:
+            yield subject, parts
+
+    def run(frames):
+        wait, size = [], 0
+        for subject, parts in recordings(frames):
+            sums: dict = {}
+            for part in parts:
+                names, v = block_moments(*part)
+                sums[names] = sums.get(names, 0) + v
+            names = max(sorted(sums), key=lambda c: (len(c), sums[c][0]))
+            if (found := whitening(sums[names], len(names), n)) is not None:
+                each = [block_whitened(*part, names, *found[:2]) for part in parts]
+                wait.append((subject, np.concatenate([t for t, _ in each]), np.concatenate([z for _, z in each], 1)))
+                size += wait[-1][2].size
+            if size >= values:
+                yield components(wait)
+                wait, size = [], 0
+        if wait:
+            yield components(wait)
+
+    def components(wait):
+        u = [w @ z for w, (_, _, z) in zip(settled([z for _, _, z in wait], rounds, tolerance, seed), wait)]
+        return pd.DataFrame({
+            "subject": np.repeat(np.array([subject for subject, _, _ in wait], object), [x.size for x in u]),
+            "component": np.concatenate([np.repeat(np.arange(len(x)), x.shape[1]) for x in u]),
+            "t": np.concatenate([np.tile(t, len(x)) for x, (_, t, _) in zip(u, wait)]),
+            "value": np.concatenate([x.ravel() for x in u]),
+        })
+
+    whole = blocks.repartition("subject").sortWithinPartitions("subject", "block")
+    return whole.mapInPandas(run, "subject string, component int, t long, value double")
+
+
+def independent_components(samples: DataFrame, n: int = 2, block: int = 10_000, rounds: int = 200, tolerance: float = 1e-6, seed: int = 42, wave_bytes: int = WAVE_BYTES, task_values: int = TASK_VALUES) -> DataFrame:
+    """subject, component, t, value: the components over the instants that have all channels.
+
+    Recordings of up to task_values values are each decomposed within one task; the rounds of longer ones
+    are passes over their blocks, in waves that bound what the driver holds.
+    """
     with scratch(samples.sparkSession) as s:
-        for _, _, z, w in decomposed(s, samples, n, block, rounds, tolerance, seed, wave_bytes):
-            out.append(s.saved(sources(z, w), "components", lasts=True))
+        blocks = s.saved(instants(samples, block), "instants")
+        sizes = blocks.groupBy("subject").agg(F.sum(F.size("t")).alias("values"))
+        long = s.saved(sizes.filter(F.col("values") > task_values).select("subject"), "long")
+        some = not long.isEmpty()
+        out = [s.saved(held_components(blocks.join(long, "subject", "left_anti") if some else blocks, n, rounds, tolerance, seed, task_values), "components", lasts=True)]
+        if some:
+            mine = s.saved(blocks.join(long, "subject", "left_semi"), "instants")
+            for _, _, z, w in decomposed(s, mine, n, rounds, tolerance, seed, wave_bytes):
+                out.append(s.saved(sources(z, w), "components", lasts=True))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -353,7 +468,8 @@ def components_removed(samples: DataFrame, reference: DataFrame, n: int = 30, th
     spark = samples.sparkSession
     cleaned, found = [], []
     with scratch(spark) as s:
-        for mine, state, z, w in decomposed(s, samples, n, block, rounds, tolerance, seed, wave_bytes):
+        blocks = s.saved(instants(samples, block), "instants")
+        for mine, state, z, w in decomposed(s, blocks, n, rounds, tolerance, seed, wave_bytes):
             rows = [tuple(r) for r in correlations(z, reference, w, block).collect()]  # n rows a subject and reference
             best: dict = {}
             for subject, name, component, r in sorted(rows, key=lambda r: r[:3]):
