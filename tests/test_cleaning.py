@@ -176,3 +176,20 @@ def test_waves_bound_the_recordings_at_the_driver(spark, monkeypatch):
     monkeypatch.setattr(C, "rotations", lambda z, sizes, *a: seen.append(len(sizes)) or inner(z, sizes, *a))
     out = C.independent_components(table(spark, rows), n=1, wave_bytes=10 * 6_000, task_values=0)
     assert out.count() == 800 and sum(seen) == 40 and len(seen) == 5 and max(seen) < 20
+
+
+def test_batches_of_short_recordings_are_small_and_the_session_keeps_its_own(spark, monkeypatch):
+    rows = [(f"s{k}", "e0", t, float((t * 7 + k) % 11)) for k in range(5) for t in range(20)]
+    seen, inner = {}, C.held_components
+    keys = list(C.BATCHES)
+    monkeypatch.setattr(C, "held_components", lambda *a: seen.update({k: spark.conf.get(k) for k in keys}) or inner(*a))
+    own = {keys[0]: "70000", keys[1]: "1000"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        assert C.independent_components(table(spark, rows), n=1).count() == 100
+        assert seen == {keys[0]: "1000", keys[1]: "1000"} and {k: spark.conf.get(k) for k in keys} == own
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

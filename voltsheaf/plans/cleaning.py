@@ -7,13 +7,14 @@ is many tasks, and what comes out equals the same step on the whole signal.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltsheaf.config import RunConfig
@@ -118,8 +119,26 @@ WAVE_BYTES = 64 << 20
 #: Bytes that the driver needs for a recording besides its matrices: names, arrays, rows and their copies (measured: some 4,000).
 RECORDING_BYTES = 6_000
 
-#: Values up to which a recording is decomposed within one task, and values of such recordings that a task holds at once.
-TASK_VALUES = 1 << 20
+#: Values up to which a recording is decomposed within one task, and whitened values that pass their rounds together there.
+TASK_VALUES, TOGETHER = 1 << 20, 1 << 18
+
+#: Bounds of the Arrow batches of short recordings, where a batch has many of them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches within BATCHES for what is computed inside, unless the session has smaller ones."""
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    try:
+        for key, most in BATCHES.items():
+            now = before[key].rstrip("b")
+            if not now.isdigit() or not 0 < int(now) <= most:  # 0 and below: no bound
+                spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def instants(samples: DataFrame, length: int) -> DataFrame:
@@ -371,11 +390,11 @@ def settled(signals: list[np.ndarray], rounds: int, tolerance: float, seed: int)
     return out
 
 
-def held_components(blocks: DataFrame, n: int, rounds: int, tolerance: float, seed: int, values: int) -> DataFrame:
+def held_components(blocks: DataFrame, n: int, rounds: int, tolerance: float, seed: int) -> DataFrame:
     """subject, component, t, value of recordings that fit a task: whitened, rotated and written out within it.
 
-    The blocks of a recording meet in one task, one recording after the other; those of about ``values``
-    values pass their rounds together, and nothing of them reaches the driver.
+    The blocks of a recording meet in one task, one recording after the other; those of about
+    TOGETHER values pass their rounds together, and nothing of them reaches the driver.
     """
 
     def recordings(frames):
@@ -402,7 +421,7 @@ def held_components(blocks: DataFrame, n: int, rounds: int, tolerance: float, se
                 each = [block_whitened(*part, names, *found[:2]) for part in parts]
                 wait.append((subject, np.concatenate([t for t, _ in each]), np.concatenate([z for _, z in each], 1)))
                 size += wait[-1][2].size
-            if size >= values:
+            if size >= TOGETHER:
                 yield components(wait)
                 wait, size = [], 0
         if wait:
@@ -432,7 +451,8 @@ def independent_components(samples: DataFrame, n: int = 2, block: int = 10_000,
         sizes = blocks.groupBy("subject").agg(F.sum(F.size("t")).alias("values"))
         long = s.saved(sizes.filter(F.col("values") > task_values).select("subject"), "long")
         some = not long.isEmpty()
-        out = [s.saved(held_components(blocks.join(long, "subject", "left_anti") if some else blocks, n, rounds, tolerance, seed, task_values), "components", lasts=True)]
+        with small_batches(samples.sparkSession):
+            out = [s.saved(held_components(blocks.join(long, "subject", "left_anti") if some else blocks, n, rounds, tolerance, seed), "components", lasts=True)]
         if some:
             mine = s.saved(blocks.join(long, "subject", "left_semi"), "instants")
             for _, _, z, w in decomposed(s, mine, n, rounds, tolerance, seed, wave_bytes):
